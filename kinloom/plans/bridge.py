@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 from kinloom.functions.dates import DATE_TYPE, MONTHS, parse_date
 from kinloom.functions.names import parse_names, parse_sex
 from kinloom.functions.places import parse_place
-from kinloom.operators.events import intern_places
+from kinloom.operators.events import (
+    intern_places,
+    located_events,
+    military_events,
+    military_service,
+    vital_facts,
+)
+from kinloom.operators.graph import parent_of, spouse_of
+from kinloom.operators.profile import display_names
 
 # Place texts by nation key, written as City, County, State, Country.
 PLACES = [
@@ -268,6 +276,43 @@ class Bridge:
         ).select("tree_id", "event_id", "person_id", "pord")
         return own.unionByName(wed)
 
+    def person_fams(self) -> DataFrame:
+        """Spouse families of each person in file order."""
+        return self.family_spouse().select("tree_id", "person_id", F.col("fseq").alias("ord"), "family_id")
+
+    def parents(self) -> DataFrame:
+        return parent_of(self.person_raw(), self.family(), self.family_spouse(), self.family_child())
+
+    def spouses(self) -> DataFrame:
+        return spouse_of(self.person_raw(), self.family(), self.family_spouse())
+
+    def vitals(self) -> DataFrame:
+        return vital_facts(self.person_raw(), self.person_event(), self.event())
+
+    def service(self) -> DataFrame:
+        return military_service(
+            military_events(self.person_event(), self.event_participant(), self.event_lite())
+        )
+
+    def names(self) -> DataFrame:
+        return display_names(self.person())
+
+    def located(self) -> DataFrame:
+        return located_events(self.person_event(), self.event_participant(), self.event())
+
+    def gazetteer_of(self, provider: str) -> DataFrame:
+        return self.gazetteer().where(F.col("provider") == provider)
+
+    def coordinates(self) -> DataFrame:
+        """(tree_id, place_key, lat, lon) of the places of each tree known to the gazetteer."""
+        known = self.gazetteer().groupBy(F.col("query").alias("place_key")).agg(
+            F.min_by(F.struct("lat", "lon"), "n").alias("at")
+        ).select("place_key", "at.lat", "at.lon")
+        used = self.event_lite().where(F.col("place").isNotNull()).select(
+            "tree_id", F.col("place.normalized").alias("place_key")
+        ).distinct()
+        return used.join(known, "place_key")
+
     def focals(self) -> DataFrame:
         return self.person_raw().select("tree_id", F.col("person_id").alias("focal_id"))
 
