@@ -42,7 +42,11 @@ _BET = f"(?i)^BET\\b\\.?{WS}+(.*?){WS}+AND{WS}+(.*)$"
 _FROM_TO = f"(?i)^FROM\\b{WS}+(.*?){WS}+TO{WS}+(.*)$"
 _FROM = f"(?i)^FROM\\b{WS}+(.*)$"
 _TO = f"(?i)^TO\\b{WS}+(.*)$"
-_PARTS = "struct<year:int,month:int,day:int>"
+# Most dates are "[[day] month] year"; these skip the token fold.
+_COMMON = (
+    f"(?i)^(?:(?:(0?[1-9]|[12][0-9]|3[01]){WS}+)?({'|'.join(MONTHS)}){WS}+)?([0-9]{{3,9}})$"
+)
+_KEYWORD = "(?i)^(BET|FROM|TO|ABT|BEF|AFT|EST|CAL)\\b"
 
 
 def _qualified(keyword: str) -> str:
@@ -70,15 +74,13 @@ def date_parts(token: Column) -> Column:
     """Year, month and day named by one date token."""
 
     def fold(acc: Column, tok: Column) -> Column:
-        upper = F.upper(tok)
-        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), upper).cast("int")
-        value = _int(tok)
-        digits = tok.rlike("^\\d+$")
-        as_day = digits & (F.length(tok) <= 2) & acc["day"].isNull() & value.between(1, 31)
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.upper(tok)).cast("int")
+        digits = tok.rlike("^[0-9]+$")
+        value = F.when(digits, _int(tok))
+        as_day = (F.length(tok) <= 2) & acc["day"].isNull() & F.coalesce(value, F.lit(0)).between(1, 31)
+        year = F.when(F.instr(tok, "/") > 0, _double_year(tok)).when(digits & ~as_day, value)
         return F.struct(
-            F.coalesce(
-                _double_year(tok), F.when(digits & ~as_day, value), acc["year"]
-            ).cast("int").alias("year"),
+            F.coalesce(year, acc["year"]).cast("int").alias("year"),
             F.when(month > 0, month).otherwise(acc["month"]).cast("int").alias("month"),
             F.when(as_day, value).otherwise(acc["day"]).cast("int").alias("day"),
         )
@@ -88,17 +90,31 @@ def date_parts(token: Column) -> Column:
         year = F.when(is_bc, -acc["year"]).otherwise(acc["year"])
         return F.struct(year.alias("year"), acc["month"].alias("month"), day.alias("day"))
 
-    def run(text: Column) -> Column:
-        working = trim(F.regexp_replace(text, _BC, ""))
+    def run(text: Column, is_bc: Column) -> Column:
+        working = F.when(is_bc, trim(F.regexp_replace(text, _BC, ""))).otherwise(text)
         tokens = F.filter(F.split(working, f"{WS}+"), lambda t: t != "")
-        start = F.lit(None).cast(_PARTS)
         empty = F.struct(
             *[F.lit(None).cast("int").alias(n) for n in ("year", "month", "day")]
         )
-        folded = F.aggregate(tokens, F.coalesce(start, empty), fold)
-        return let(folded, lambda acc: finish(acc, text.rlike(_BC)))
+        return let(F.aggregate(tokens, empty, fold), lambda acc: finish(acc, is_bc))
+
+    def common_form(text: Column) -> Column:
+        month = F.array_position(
+            F.array(*[F.lit(m) for m in MONTHS]), F.upper(F.regexp_extract(text, _COMMON, 2))
+        )
+        day = F.regexp_extract(text, _COMMON, 1)
+        return F.struct(
+            F.regexp_extract(text, _COMMON, 3).cast("int").alias("year"),
+            F.when(month > 0, month).cast("int").alias("month"),
+            F.when(day != "", day).cast("int").alias("day"),
+        )
 
-    return let(trim(token), run)
+    return let(
+        trim(token),
+        lambda text: F.when(text.rlike(_COMMON), common_form(text)).otherwise(
+            let(text.rlike(_BC), lambda is_bc: run(text, is_bc))
+        ),
+    )
 
 
 def _usable(parts: Column) -> Column:
@@ -109,23 +125,35 @@ def parse_date(raw: Column) -> Column:
     """Normalise one DATE value; never fails and keeps ``raw`` untouched."""
     none = F.lit(None).cast("string")
 
-    def split_form(w: Column) -> Column:
-        kind = F.when(w == "", "none").when(w.rlike(_BET), "bet").when(w.rlike(_FROM_TO), "span")
-        kind = kind.when(w.rlike(_FROM), "from").when(w.rlike(_TO), "to")
-        first = F.when(w.rlike(_BET), F.regexp_extract(w, _BET, 1))
-        first = first.when(w.rlike(_FROM_TO), F.regexp_extract(w, _FROM_TO, 1))
-        first = first.when(w.rlike(_FROM), F.regexp_extract(w, _FROM, 1)).when(w.rlike(_TO), none)
-        second = F.when(w.rlike(_BET), F.regexp_extract(w, _BET, 2))
-        second = second.when(w.rlike(_FROM_TO), F.regexp_extract(w, _FROM_TO, 2))
-        second = second.when(w.rlike(_FROM), none).when(w.rlike(_TO), F.regexp_extract(w, _TO, 1))
+    def kind_of(w: Column, word: Column) -> Column:
+        kind = F.when(w == "", "none").when(word == "", "exact")
+        kind = kind.when((word == "BET") & w.rlike(_BET), "bet")
+        kind = kind.when((word == "FROM") & w.rlike(_FROM_TO), "span")
+        kind = kind.when((word == "FROM") & w.rlike(_FROM), "from")
+        kind = kind.when((word == "TO") & w.rlike(_TO), "to")
         for keyword, name in QUALIFIERS.items():
-            pattern = _qualified(keyword)
-            kind = kind.when(w.rlike(pattern), name)
-            first = first.when(w.rlike(pattern), F.regexp_extract(w, pattern, 1))
+            kind = kind.when((word == keyword) & w.rlike(_qualified(keyword)), name)
+        return kind.otherwise("exact")
+
+    def pieces(w: Column, kind: Column) -> Column:
+        first = F.when(kind == "exact", w).when(kind == "bet", F.regexp_extract(w, _BET, 1))
+        first = first.when(kind == "span", F.regexp_extract(w, _FROM_TO, 1))
+        first = first.when(kind == "from", F.regexp_extract(w, _FROM, 1)).when(kind == "to", none)
+        for keyword, name in QUALIFIERS.items():
+            first = first.when(kind == name, F.regexp_extract(w, _qualified(keyword), 1))
+        second = F.when(kind == "bet", F.regexp_extract(w, _BET, 2))
+        second = second.when(kind == "span", F.regexp_extract(w, _FROM_TO, 2))
+        second = second.when(kind == "to", F.regexp_extract(w, _TO, 1))
         return F.struct(
-            kind.otherwise("exact").alias("kind"),
-            first.otherwise(w).alias("first"),
-            second.otherwise(none).alias("second"),
+            kind.alias("kind"), first.otherwise(none).alias("first"), second.otherwise(none).alias("second")
+        )
+
+    def split_form(text: Column) -> Column:
+        return let(
+            text,
+            lambda w: let(
+                kind_of(w, F.upper(F.regexp_extract(w, _KEYWORD, 1))), lambda kind: pieces(w, kind)
+            ),
         )
 
     def assemble(form: Column, a: Column, b: Column, calendar: Column) -> Column:
@@ -154,13 +182,15 @@ def parse_date(raw: Column) -> Column:
 
     def run(trimmed: Column) -> Column:
         name = F.upper(trim(F.regexp_extract(trimmed, _ESCAPE, 1)))
-        calendar = F.when(trimmed.rlike(_ESCAPE), lookup(CALENDARS, name))
+        escaped = F.startswith(trimmed, F.lit("@#D"))
+        calendar = F.when(escaped, lookup(CALENDARS, name))
+        plain = F.when(escaped, trim(F.regexp_replace(trimmed, _ESCAPE, ""))).otherwise(trimmed)
         return let(
-            split_form(trim(F.regexp_replace(trimmed, _ESCAPE, ""))),
+            split_form(plain),
             lambda form: let(
                 F.struct(
-                    date_parts(F.coalesce(form["first"], F.lit(""))).alias("a"),
-                    date_parts(F.coalesce(form["second"], F.lit(""))).alias("b"),
+                    F.when(form["first"].isNotNull(), date_parts(form["first"])).alias("a"),
+                    F.when(form["second"].isNotNull(), date_parts(form["second"])).alias("b"),
                 ),
                 lambda ab: assemble(form, ab["a"], ab["b"], calendar),
             ),

@@ -16,8 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# The same class as plain characters, for the built-in trim.
+WS_CHARS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
 def trim(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
+    return F.trim(col, F.lit(WS_CHARS))
 
 
 def squash(col: Column) -> Column:

@@ -6,7 +6,9 @@ place in the layer ``k % 8``. Every row of the source tables takes part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from kinloom.operators.events import (
     military_service,
     vital_facts,
 )
+from kinloom.operators.lineage import cut
 from kinloom.operators.graph import parent_of, spouse_of
 from kinloom.operators.profile import display_names
 
@@ -46,7 +49,10 @@ EXTRA_YEARS = 215
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan a table; one that fits in fewer splits than there are cores is spread out."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def _array(items: list[str]) -> Column:
@@ -98,9 +104,29 @@ def _date_text(k: str, year: str) -> Column:
     )
 
 
+_ingested: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def ingested(build: Callable[[Bridge], DataFrame]) -> Callable[[Bridge], DataFrame]:
+    """Write a parsed table once per session and read it back afterwards.
+
+    This is the ingest step of the engine: texts are parsed once into typed
+    Parquet tables, all queries read those.
+    """
+
+    @wraps(build)
+    def table(self: Bridge) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, build.__name__)
+        if key not in _ingested:
+            _ingested[key] = cut(build(self))[0]
+        return _ingested[key]
+
+    return table
+
+
 @dataclass
 class Bridge:
-    """Lazily built tables of one data folder."""
+    """Tables of one data folder; the ``ingested`` ones are written once per session."""
 
     spark: SparkSession
     sf_dir: str
@@ -134,6 +160,7 @@ class Bridge:
             )
         )
 
+    @ingested
     def person(self) -> DataFrame:
         source = F.struct(F.lit("@S1@").alias("raw"), F.lit("S1").alias("source_id"), F.lit("p. 1").alias("page"))
         none = F.array().cast("array<struct<raw:string,source_id:string,page:string>>")
@@ -147,6 +174,7 @@ class Bridge:
             "nationkey",
         )
 
+    @ingested
     def family_spouse(self) -> DataFrame:
         p = self.person_raw().select("seq").withColumn("t", F.expr("seq div 64"))
         p = p.withColumn("layer", F.expr("seq % 64 div 8")).withColumn("pos", F.expr("seq % 8"))
@@ -162,9 +190,11 @@ class Bridge:
             "ord", _person("seq").alias("person_id"), F.col("f").alias("fseq"),
         )
 
+    @ingested
     def family(self) -> DataFrame:
         return self.family_spouse().groupBy("tree_id", "family_id").agg(F.max("fseq").alias("seq"))
 
+    @ingested
     def family_child(self) -> DataFrame:
         p = self.person_raw().select("seq").withColumn("t", F.expr("seq div 64"))
         p = p.withColumn("layer", F.expr("seq % 64 div 8")).withColumn("pos", F.expr("seq % 8"))
@@ -181,6 +211,7 @@ class Bridge:
             F.concat(F.lit("F"), F.col("f").cast("string")).alias("family_id"), "ord", "person_id",
         )
 
+    @ingested
     def event_raw(self) -> DataFrame:
         """(tree_id, event_id, seq, owner_id, family_id, ord, type, raw_tag, date_raw, place_raw, description, cited)."""
         p = self.person_raw().select("tree_id", "person_id", "seq", "nationkey")
@@ -244,30 +275,32 @@ class Bridge:
         )
         return birth.unionByName(death).unionByName(marriage).unionByName(resi).unionByName(mili)
 
+    @ingested
     def event(self) -> DataFrame:
         """Events with parsed dates and places; ``place.raw`` is the first spelling in the tree."""
-        raw = self.event_raw().withColumn("date", parse_date(F.col("date_raw"))).withColumn(
-            "place", parse_place(F.col("place_raw"))
+        raw, _ = cut(
+            self.event_raw().withColumn("date", parse_date(F.col("date_raw")))
+            .withColumn("place", parse_place(F.col("place_raw")))
         )
         return intern_places(raw)
 
-    def event_lite(self) -> DataFrame:
-        """Events with parsed dates but without interned place labels."""
-        return self.event_raw().withColumn("date", parse_date(F.col("date_raw"))).withColumn(
-            "place", parse_place(F.col("place_raw"))
-        )
+    def event_links(self) -> DataFrame:
+        return self.event().select("tree_id", "event_id", "owner_id", "family_id", "ord")
 
+    @ingested
     def person_event(self) -> DataFrame:
         """Events listed on the person's own record, in order."""
-        return self.event_raw().where("owner_id is not null").select(
+        return self.event_links().where("owner_id is not null").select(
             "tree_id", F.col("owner_id").alias("person_id"), "ord", "event_id"
         )
 
+    @ingested
     def family_event(self) -> DataFrame:
-        return self.event_raw().where("family_id is not null").select("tree_id", "family_id", "ord", "event_id")
+        return self.event_links().where("family_id is not null").select("tree_id", "family_id", "ord", "event_id")
 
+    @ingested
     def event_participant(self) -> DataFrame:
-        own = self.event_raw().where("owner_id is not null").select(
+        own = self.event_links().where("owner_id is not null").select(
             "tree_id", "event_id", F.col("owner_id").alias("person_id"), F.lit(0).alias("pord")
         )
         wed = self.family_event().join(
@@ -280,35 +313,42 @@ class Bridge:
         """Spouse families of each person in file order."""
         return self.family_spouse().select("tree_id", "person_id", F.col("fseq").alias("ord"), "family_id")
 
+    @ingested
     def parents(self) -> DataFrame:
         return parent_of(self.person_raw(), self.family(), self.family_spouse(), self.family_child())
 
+    @ingested
     def spouses(self) -> DataFrame:
         return spouse_of(self.person_raw(), self.family(), self.family_spouse())
 
+    @ingested
     def vitals(self) -> DataFrame:
         return vital_facts(self.person_raw(), self.person_event(), self.event())
 
+    @ingested
     def service(self) -> DataFrame:
         return military_service(
-            military_events(self.person_event(), self.event_participant(), self.event_lite())
+            military_events(self.person_event(), self.event_participant(), self.event())
         )
 
+    @ingested
     def names(self) -> DataFrame:
         return display_names(self.person())
 
+    @ingested
     def located(self) -> DataFrame:
         return located_events(self.person_event(), self.event_participant(), self.event())
 
     def gazetteer_of(self, provider: str) -> DataFrame:
         return self.gazetteer().where(F.col("provider") == provider)
 
+    @ingested
     def coordinates(self) -> DataFrame:
         """(tree_id, place_key, lat, lon) of the places of each tree known to the gazetteer."""
         known = self.gazetteer().groupBy(F.col("query").alias("place_key")).agg(
             F.min_by(F.struct("lat", "lon"), "n").alias("at")
         ).select("place_key", "at.lat", "at.lon")
-        used = self.event_lite().where(F.col("place").isNotNull()).select(
+        used = self.event().where(F.col("place").isNotNull()).select(
             "tree_id", F.col("place.normalized").alias("place_key")
         ).distinct()
         return used.join(known, "place_key")
@@ -358,10 +398,11 @@ class Bridge:
             F.when(~is_doc & (n % 4 == 1), F.lit("pension file")).alias("service_proof_cited"),
         )
 
+    @ingested
     def gazetteer(self) -> DataFrame:
         """Known coordinates by lookup text, from the nation table, for three providers."""
         n = self.source("nation").select(F.col("n_nationkey").cast("bigint").alias("n"))
-        parts = F.transform(F.split(F.element_at(_array(PLACES), F.expr("cast(n + 1 as int)")), ","), F.trim)
+        parts = F.transform(F.split(F.element_at(_array(PLACES), F.expr("cast(n + 1 as int)")), ","), lambda p: F.trim(p))
         keep = F.filter(parts, lambda p: p != "")
         level = F.expr("cast(n % 3 as int)")
         text = F.lower(F.array_join(F.slice(keep, level + 1, 9), ", "))

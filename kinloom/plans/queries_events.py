@@ -16,7 +16,7 @@ LINE = ["tree_id", "focal_id", "ancestor_id"]
 
 @query
 def first_events(b: Bridge) -> DataFrame:
-    return events.first_events(b.person_event(), b.event_lite()).select(
+    return events.first_events(b.person_event(), b.event()).select(
         "person_id", "type", "event_id", big("date.year", "year")
     )
 

@@ -234,7 +234,7 @@ def induced_view(b: Bridge) -> DataFrame:
 
 @query
 def default_focal(b: Bridge) -> DataFrame:
-    latest = views.latest_years(b.person_event(), b.event_lite())
+    latest = views.latest_years(b.person_event(), b.event())
     # Trees whose number ends in 5 declare a root person.
     roots = b.person_raw().where("seq % 640 = 325").select("tree_id", F.col("person_id").alias("root_id"))
     return views.default_focal(b.person_raw(), graph.degrees(b.person_raw(), b.parents(), b.spouses()), latest, roots)
@@ -242,7 +242,7 @@ def default_focal(b: Bridge) -> DataFrame:
 
 @query
 def latest_years(b: Bridge) -> DataFrame:
-    return views.latest_years(b.person_event(), b.event_lite()).select("tree_id", "person_id", big("latest_year"))
+    return views.latest_years(b.person_event(), b.event()).select("tree_id", "person_id", big("latest_year"))
 
 
 @query

@@ -25,7 +25,7 @@ def dates_normalised(b: Bridge) -> DataFrame:
 
 @query
 def society_dates(b: Bridge) -> DataFrame:
-    d = b.event_lite().where("date is not null")
+    d = b.event().where("date is not null")
     return d.select(
         "event_id", dates.society_date(F.col("date.year"), F.col("date.month"), F.col("date.day")).alias("label")
     )
@@ -33,7 +33,7 @@ def society_dates(b: Bridge) -> DataFrame:
 
 @query
 def event_sort_keys(b: Bridge) -> DataFrame:
-    return b.event_lite().select(
+    return b.event().select(
         "event_id", dates.sort_key(F.col("date.year"), F.col("date.month"), F.col("date.day")).alias("sort_key")
     )
 
@@ -81,7 +81,7 @@ def places_parsed(b: Bridge) -> DataFrame:
 
 @query
 def place_dimension(b: Bridge) -> DataFrame:
-    return events.place_dimension(b.event_lite()).select(
+    return events.place_dimension(b.event()).select(
         "tree_id", "normalized", "raw", joined("parts", "|"), big("uses")
     )
 
@@ -93,7 +93,7 @@ def interned_places(b: Bridge) -> DataFrame:
 
 @query
 def place_regions(b: Bridge) -> DataFrame:
-    p = b.event_lite().where("place is not null")
+    p = b.event().where("place is not null")
     return p.select("event_id", places.region_of(F.col("place.parts"), F.col("place.raw")).alias("region"))
 
 
@@ -112,7 +112,7 @@ def society_places(b: Bridge) -> DataFrame:
 
 @query
 def place_query_ladder(b: Bridge) -> DataFrame:
-    p = b.event_lite().where("place is not null")
+    p = b.event().where("place is not null")
     ladder = places.query_ladder(F.col("place.parts"), F.col("place.raw"))
     return p.select("event_id", F.posexplode(ladder).alias("rung", "query")).withColumn("rung", big("rung"))
 
@@ -120,12 +120,12 @@ def place_query_ladder(b: Bridge) -> DataFrame:
 @query
 def war_classes(b: Bridge) -> DataFrame:
     y = F.col("date.year")
-    return b.event_lite().where(y.isNotNull()).select("event_id", big("date.year"), military.war_of_year(y).alias("war"))
+    return b.event().where(y.isNotNull()).select("event_id", big("date.year"), military.war_of_year(y).alias("war"))
 
 
 @query
 def service_records(b: Bridge) -> DataFrame:
-    m = events.military_events(b.person_event(), b.event_participant(), b.event_lite())
+    m = events.military_events(b.person_event(), b.event_participant(), b.event())
     return events.service_records(m).select(
         "person_id", "event_id", "raw", "war", "branch", "rank", "unit", "service_raw",
         big("start_year"), big("end_year"),

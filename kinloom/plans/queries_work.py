@@ -65,7 +65,7 @@ def unlink_spouse_impact(b: Bridge) -> DataFrame:
 
 
 def _places(b: Bridge) -> DataFrame:
-    used = b.event_lite().where("place is not null").select(
+    used = b.event().where("place is not null").select(
         F.col("place.normalized").alias("place_key"), F.col("place.raw").alias("raw"), F.col("place.parts").alias("parts")
     )
     return geo.distinct_places(used)
