@@ -18,6 +18,7 @@ depth of merge chains only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -376,72 +377,134 @@ def _famc(base: Tree, links: DataFrame, unlinked: DataFrame, life: DataFrame, fo
     )
 
 
-def replay(base: Tree, op: DataFrame) -> Tree:
-    """Tables after applying the whole log."""
-    op, _ = cut(op)
-    life = lifecycles(base.person, op)
-    moves, merge_metrics = cut(_moves(life))
-    keys = [*_ID, "from_seq"]
+class Replay:
+    """Parts of a replay, each computed once when first asked for."""
 
-    # Last edit of each field inside each life interval.
-    edits = existing_at(
-        kind(op, "editPerson").select(
-            "tree_id", F.col("person_id").alias("id"), "seq", "name_raws", "sex", "notes"
-        ), life,
-    )
-    last = lambda c, n: [
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{n}_new"),
-        F.max(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{n}_at"),
-    ]
-    edited, _ = cut(
-        edits.groupBy(*keys).agg(
-            *last("name_raws", "names"), *last("sex", "sex"), *last("notes", "notes"), F.lit(True).alias("touched")
+    def __init__(self, base: Tree, op: DataFrame) -> None:
+        self.base = base
+        self.op = cut(op)[0]
+
+    @cached_property
+    def life(self) -> DataFrame:
+        return lifecycles(self.base.person, self.op)
+
+    @cached_property
+    def _merges(self) -> tuple[DataFrame, dict]:
+        return cut(_moves(self.life))
+
+    @property
+    def moves(self) -> DataFrame:
+        return self._merges[0]
+
+    @cached_property
+    def edited(self) -> DataFrame:
+        """Last edit of each field inside each life interval."""
+        edits = existing_at(
+            kind(self.op, "editPerson").select(
+                "tree_id", F.col("person_id").alias("id"), "seq", "name_raws", "sex", "notes"
+            ), self.life,
         )
-    )
-    folds = fold_paths(life, edited.select(*keys, "names_at", "sex_at", "notes_at"))
-    person = _fold_people(base, op, life, edited, folds)
-
-    # Families and their members.
-    links = _link_people(op, life)
-    made = links.groupBy("tree_id", "family_id").agg(F.min("seq").alias("born_seq"))
-    born, _ = cut(
-        base.family.select("tree_id", "family_id", F.lit(-1).cast("bigint").alias("born_seq")).unionByName(
-            made.join(base.family.select("tree_id", "family_id"), ["tree_id", "family_id"], "left_anti")
+        last = lambda c, n: [
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{n}_new"),
+            F.max(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"{n}_at"),
+        ]
+        return cut(
+            edits.groupBy(*_ID, "from_seq").agg(
+                *last("name_raws", "names"), *last("sex", "sex"), *last("notes", "notes"), F.lit(True).alias("touched")
+            )
+        )[0]
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        return fold_paths(self.life, self.edited.select(*_ID, "from_seq", "names_at", "sex_at", "notes_at"))
+
+    @cached_property
+    def people(self) -> DataFrame:
+        """Surviving people with folded fields, without the child-family pointer."""
+        return cut(_fold_people(self.base, self.op, self.life, self.edited, self.folds))[0]
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return _link_people(self.op, self.life)
+
+    @cached_property
+    def born(self) -> DataFrame:
+        """(tree_id, family_id, born_seq) of base families and of those made by a link."""
+        made = self.links.groupBy("tree_id", "family_id").agg(F.min("seq").alias("born_seq"))
+        known = self.base.family.select("tree_id", "family_id")
+        return cut(
+            known.withColumn("born_seq", F.lit(-1).cast("bigint")).unionByName(
+                made.join(known, ["tree_id", "family_id"], "left_anti")
+            )
+        )[0]
+
+    @cached_property
+    def family(self) -> DataFrame:
+        return self.base.family.select("tree_id", "family_id", "seq").unionByName(
+            self.born.where("born_seq >= 0").select(
+                "tree_id", "family_id", ((1 << 50) + F.col("born_seq")).alias("seq")
+            )
         )
+
+    @cached_property
+    def _spouse_gone(self) -> DataFrame:
+        return cut(_unlinks(self.op, self.born, {"parent-child": ["parent_id"], "spouse": ["spouse_a", "spouse_b"]}))[0]
+
+    @cached_property
+    def _child_gone(self) -> DataFrame:
+        return cut(_unlinks(self.op, self.born, {"parent-child": ["child_id"]}))[0]
+
+    def _tokens(self, links: DataFrame, role: str) -> DataFrame:
+        start = links.select(
+            "tree_id", "family_id", F.col("person_id").alias("id"), F.lit(-1).cast("bigint").alias("t"),
+            _key(-1, F.col("ord")).alias("key"),
+        )
+        return start.unionByName(
+            self.links.where(F.col("role") == role).select(
+                "tree_id", "family_id", "id", F.col("seq").alias("t"), _key(F.col("seq"), F.col("at")).alias("key")
+            )
+        )
+
+    @cached_property
+    def spouse_spans(self) -> DataFrame:
+        return follow_tokens(self._tokens(self.base.family_spouse, "spouse"), self._spouse_gone, self.moves, False)
+
+    @cached_property
+    def child_spans(self) -> DataFrame:
+        tokens = self._tokens(self.base.family_child, "child")
+        return _child_spans(tokens, self._child_gone, self.moves, self.spouse_spans, self._merges[1]["rows"])
+
+    @cached_property
+    def fams(self) -> DataFrame:
+        """Spouse families on the record of each surviving person."""
+        spans = follow_tokens(self._tokens(self.base.person_fams, "spouse"), self._spouse_gone, self.moves, True)
+        alive = self.life.where(F.col("to_seq") == FAR).select("tree_id", F.col("id").alias("person_id"))
+        return _members(spans).join(alive, ["tree_id", "person_id"], "left_semi")
+
+    @cached_property
+    def famc(self) -> DataFrame:
+        return _famc(self.base, self.links, self._child_gone, self.life, self.folds, self.spouse_spans)
+
+    @cached_property
+    def events(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """event, person_event, family_event, event_participant."""
+        return _replay_events(self.base, self.op, self.life, self.folds, self.born, self.moves)
+
+
+def _members(spans: DataFrame) -> DataFrame:
+    return _present(spans).select("tree_id", "family_id", F.col("id").alias("person_id"), F.col("key").alias("ord"))
+
+
+def replay(base: Tree, op: DataFrame) -> Tree:
+    """Tables after applying the whole log."""
+    run = Replay(base, op)
+    pointer = run.famc.select(
+        "tree_id", F.col("id").alias("person_id"), F.col("family_id").alias("family_id_as_child")
     )
-    family = base.family.select("tree_id", "family_id", "seq").unionByName(
-        born.where("born_seq >= 0").select("tree_id", "family_id", ((1 << 50) + F.col("born_seq")).alias("seq"))
-    )
-    spouse_gone, _ = cut(_unlinks(op, born, {"parent-child": ["parent_id"], "spouse": ["spouse_a", "spouse_b"]}))
-    child_gone, _ = cut(_unlinks(op, born, {"parent-child": ["child_id"]}))
-    start = lambda df: df.select(
-        "tree_id", "family_id", F.col("person_id").alias("id"), F.lit(-1).cast("bigint").alias("t"),
-        _key(-1, F.col("ord")).alias("key"),
-    )
-    joins = lambda role: links.where(F.col("role") == role).select(
-        "tree_id", "family_id", "id", F.col("seq").alias("t"), _key(F.col("seq"), F.col("at")).alias("key")
-    )
-    spouse_spans = follow_tokens(
-        start(base.family_spouse).unionByName(joins("spouse")), spouse_gone, moves, prefix_key=False
-    )
-    child_tokens = start(base.family_child).unionByName(joins("child"))
-    child_spans = _child_spans(child_tokens, child_gone, moves, spouse_spans, merge_metrics["rows"])
-    fams = follow_tokens(
-        start(base.person_fams).unionByName(joins("spouse")), spouse_gone, moves, prefix_key=True
-    )
-    famc = _famc(base, links, child_gone, life, folds, spouse_spans)
-    person = person.join(
-        famc.select("tree_id", F.col("id").alias("person_id"), F.col("family_id").alias("family_id_as_child")),
-        ["tree_id", "person_id"], "left",
-    )
-    member = lambda spans: _present(spans).select(
-        "tree_id", "family_id", F.col("id").alias("person_id"), F.col("key").alias("ord")
-    )
-    living = person.select("tree_id", "person_id")
-    event, person_event, family_event, participant = _replay_events(base, op, life, folds, born, moves)
+    event, person_event, family_event, participant = run.events
     return Tree(
-        cut(person)[0], member(fams).join(living, ["tree_id", "person_id"], "left_semi"), family, member(spouse_spans),
-        member(child_spans), event, person_event, family_event, participant,
+        cut(run.people.join(pointer, ["tree_id", "person_id"], "left"))[0], run.fams, run.family,
+        _members(run.spouse_spans), _members(run.child_spans), event, person_event, family_event, participant,
     )
 
 

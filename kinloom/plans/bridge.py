@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import wraps
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,12 @@ from kinloom.operators.events import (
     military_service,
     vital_facts,
 )
-from kinloom.operators.lineage import cut
+from kinloom.operators.lineage import cut, scratch_root
 from kinloom.operators.graph import parent_of, spouse_of
+from kinloom.operators.edits import Tree
 from kinloom.operators.profile import display_names
+from kinloom.sources.gedcom import Corpus, parse_corpus
+from kinloom.sources.sinks import gedcom_lines
 
 # Place texts by nation key, written as City, County, State, Country.
 PLACES = [
@@ -104,6 +108,7 @@ def _date_text(k: str, year: str) -> Column:
     )
 
 
+_reread: dict[tuple[str, str], Corpus] = {}
 _ingested: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -398,6 +403,106 @@ class Bridge:
             F.when(~is_doc & (n % 4 == 1), F.lit("pension file")).alias("service_proof_cited"),
         )
 
+    @ingested
+    def ops(self) -> DataFrame:
+        """One edit per event row."""
+        e = self.source("events").select("event_id", "event_type")
+        k, t = "(event_id * 3 div 20)", "(event_id * 3 div 20 div 64)"
+        other = f"({t} * 64 + ({k} * 5 + event_id) % 64)"
+        layer, pos = f"({k} % 64 div 8)", f"({k} % 8)"
+        home = f"({t} * 32 + ({layer} - 1) * 4 + ({pos} * 3 + {layer}) % 4)"
+        id_of, n = F.col("event_id").cast("string"), F.col("event_id")
+        family = lambda f: F.concat(F.lit("F"), F.expr(f"cast({f} as string)"))
+        even, third = n % 2 == 0, n % 3 == 0
+        kind = (
+            F.when(F.col("event_type") == "signup", "addPerson").when(F.col("event_type") == "click", "editPerson")
+            .when((F.col("event_type") == "view") & third, "editEvent").when(F.col("event_type") == "view", "addEvent")
+            .when(F.col("event_type") == "purchase", "linkRelationship").when(even, "unlinkRelationship").otherwise("merge")
+        )
+        is_ = lambda *names: F.col("kind").isin(*names)
+        me, you = _person(k), _person(other)
+        top = F.expr(f"{layer} = 0")
+        relation = F.when(is_("linkRelationship"), F.when(even, "spouse").otherwise("parent-child")).when(
+            is_("unlinkRelationship"), F.when(top, "spouse").otherwise("parent-child")
+        )
+        parent_child, wed = F.col("relation") == "parent-child", F.col("relation") == "spouse"
+        null = F.lit(None).cast("string")
+        rows = e.withColumn("kind", kind).withColumn("relation", relation)
+        return rows.select(
+            _tree(k).alias("tree_id"), n.alias("seq"), "kind",
+            F.when(is_("addPerson"), F.when(n % 7 == 0, me).otherwise(F.concat(F.lit("N"), id_of)))
+            .when(is_("editPerson"), me).alias("person_id"),
+            F.when(is_("merge"), me).alias("keep_id"), F.when(is_("merge"), you).alias("merge_id"),
+            F.when(is_("addPerson") | (is_("editPerson") & even),
+                   F.array(F.concat(F.lit("Given "), id_of, F.lit(" /Edit/")))).alias("name_raws"),
+            F.when(is_("addPerson"), F.when(even, "male").otherwise("unknown"))
+            .when(is_("editPerson") & third, "female").alias("sex"),
+            F.when(is_("editPerson") & (n % 10 == 5), F.array().cast("array<string>"))
+            .when(is_("addPerson", "editPerson") & (n % 5 == 0), F.array(F.concat(F.lit("edit "), id_of))).alias("notes"),
+            F.when(is_("addEvent"), F.concat(F.lit("U"), id_of))
+            .when(is_("editEvent"), F.concat(me, F.lit("-BIRT-0"))).alias("event_id"),
+            F.when(is_("addEvent"), F.when(even, "residence").otherwise("census"))
+            .when(is_("editEvent") & even, "baptism").alias("event_type"),
+            null.alias("raw_tag"), F.when(is_("addEvent"), F.array(me, you)).alias("participant_ids"),
+            F.when(is_("addEvent", "editEvent") & (n % 5 != 0),
+                   F.concat(F.lit("ABT "), F.expr("cast(1800 + event_id % 100 as string)"))).alias("date_raw"),
+            (is_("editEvent") & (n % 2 == 1)).alias("date_set"),
+            F.when(is_("addEvent", "editEvent") & (n % 7 != 0), _spell("event_id", "event_id")).alias("place_raw"),
+            (is_("editEvent") & (n % 4 == 0)).alias("place_set"),
+            F.when(is_("addEvent", "editEvent") & (n % 4 != 0), F.concat(F.lit("text "), id_of)).alias("description"),
+            (is_("editEvent") & (n % 4 == 2)).alias("description_set"),
+            F.when(is_("addEvent") & (n % 11 == 0), family(home))
+            .when(is_("linkRelationship") & wed, F.concat(F.lit("FU"), id_of))
+            .when(is_("linkRelationship"), family(home))
+            .when(is_("unlinkRelationship") & wed, family(f"({t} * 32 + {pos} div 2)"))
+            .when(is_("unlinkRelationship"), family(home)).alias("family_id"),
+            "relation", F.when(is_("linkRelationship") & parent_child, me).alias("parent_id"),
+            F.when(parent_child, F.when(is_("linkRelationship"), you).otherwise(me)).alias("child_id"),
+            F.when(wed, me).alias("spouse_a"), F.when(is_("linkRelationship") & wed, you).alias("spouse_b"),
+        )
+
+    def tree(self) -> Tree:
+        person = self.person().join(
+            self.family_child().select("tree_id", "person_id", F.col("family_id").alias("family_id_as_child")),
+            ["tree_id", "person_id"], "left",
+        ).select("tree_id", "person_id", "names", "sex", "notes", "sources", "family_id_as_child")
+        return Tree(
+            person, self.person_fams(), self.family(), self.family_spouse(), self.family_child(), self.event(),
+            self.person_event(), self.family_event(), self.event_participant(),
+        )
+
+    def corpus(self) -> Corpus:
+        """The tables as a corpus that the writers take."""
+        trees = self.person_raw().select("tree_id").distinct()
+        null = F.lit(None).cast("string")
+        header = trees.select("tree_id", F.lit("bridge").alias("source_system"), null.alias("root_person_id"))
+        person = self.person().join(
+            self.family_child().select("tree_id", "person_id", F.col("family_id").alias("family_id_as_child")),
+            ["tree_id", "person_id"], "left",
+        )
+        cite = F.struct(F.lit("@S1@").alias("raw"), F.lit("S1").alias("source_id"), F.lit("p. 2").alias("page"))
+        none = F.array().cast("array<struct<raw:string,source_id:string,page:string>>")
+        event = self.event().withColumn("sources", F.when(F.col("cited"), F.array(cite)).otherwise(none))
+        return Corpus(
+            header, person, self.person_fams(), self.family(), self.family_spouse(), self.family_child(), event,
+            self.person_event(), self.family_event(), self.event_participant(), header,
+        )
+
+    def reread(self) -> Corpus:
+        """The corpus written as family-tree text and parsed again, once per session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _reread:
+            folder = f"{scratch_root(self.spark)}/kinloom-text-{uuid.uuid4().hex}"
+            lines = gedcom_lines(self.corpus())
+            order = ["tree_id", "section", "seq", "block", "ord", "pos"]
+            # One text file per tree is what a user uploads; trees of the test data are small.
+            (
+                lines.repartition(self.spark.sparkContext.defaultParallelism, "tree_id").sortWithinPartitions(*order)
+                .select("tree_id", "text").write.partitionBy("tree_id").text(folder)
+            )
+            _reread[key] = parse_corpus(self.spark, folder, tree_from_folder=True)
+        return _reread[key]
+
     @ingested
     def gazetteer(self) -> DataFrame:
         """Known coordinates by lookup text, from the nation table, for three providers."""

@@ -30,6 +30,7 @@ def joined(col: str, sep: str = ">", alias: str | None = None):
 def load_all() -> dict[str, Query]:
     """Import every query module and return the registry."""
     from kinloom.plans import (  # noqa: F401
+        queries_edits,
         queries_events,
         queries_graph,
         queries_text,

@@ -59,7 +59,7 @@ def strip_xref(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), "^@", ""), "@$", "")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, tree_from_folder: bool = False) -> DataFrame:
     """(tree_id, rec, text): one row per level-0 record, ``rec`` in file order.
 
     Row ids grow with the position inside a scan task; a record's number is the
@@ -67,7 +67,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     so no sort and no single task per file is needed.
     """
     raw = (
-        spark.read.option("lineSep", "\n0 ").text(path)
+        spark.read.option("lineSep", "\n0 ").option("recursiveFileLookup", "true").text(path)
         .select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("_id"), F.col("value"),
@@ -79,6 +79,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), "\\.[^.]*$", "")
+    if tree_from_folder:
+        name = F.regexp_extract("file", "tree_id=([^/]*)/", 1)
     text = F.regexp_replace(F.regexp_replace("value", "^﻿?(0 )?", "0 "), "\r", "")
     return raw.join(starts, ["file", "block"]).select(
         F.url_decode(name).alias("tree_id"), (F.col("_base") + F.col("_id") - F.col("_first")).alias("rec"),
@@ -138,8 +140,12 @@ def _sources(own: DataFrame, pages: DataFrame, keys: list[str], at: str) -> Data
     )
 
 
-def parse_corpus(spark: SparkSession, path: str) -> Corpus:
-    lines, _ = cut(_with_parents(read_lines(read_records(spark, path))))
+def parse_corpus(spark: SparkSession, path: str, tree_from_folder: bool = False) -> Corpus:
+    """Parse all files under ``path``; the tree id is the file name without its ending.
+
+    ``tree_from_folder`` takes it from a ``tree_id=<id>`` folder with one file instead.
+    """
+    lines, _ = cut(_with_parents(read_lines(read_records(spark, path, tree_from_folder))))
     heads = lines.where("level = 0")
     none = F.array().cast("array<struct<raw:string,source_id:string,page:string>>")
 
