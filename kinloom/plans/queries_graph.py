@@ -235,8 +235,11 @@ def induced_view(b: Bridge) -> DataFrame:
 @query
 def default_focal(b: Bridge) -> DataFrame:
     latest = views.latest_years(b.person_event(), b.event())
-    # Trees whose number ends in 5 declare a root person.
-    roots = b.person_raw().where("seq % 640 = 325").select("tree_id", F.col("person_id").alias("root_id"))
+    # Every supplier row declares the root person of one tree (not all of them exist).
+    roots = b.source("supplier").select(
+        F.concat(F.lit("T"), F.expr("cast(s_suppkey * 4 as string)")).alias("tree_id"),
+        F.concat(F.lit("I"), F.expr("cast(s_suppkey * 256 + s_nationkey as string)")).alias("root_id"),
+    )
     return views.default_focal(b.person_raw(), graph.degrees(b.person_raw(), b.parents(), b.spouses()), latest, roots)
 
 

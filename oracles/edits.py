@@ -89,7 +89,7 @@ FROM bp LEFT JOIN le USING (person_id)""", "praw", "pname", "ops"),
 UNION ALL SELECT o.tree_id, o.person, o.event_id, event_type, {TAG}, date_raw, {KEY.format('place_raw')}, description, true FROM (
   SELECT *, me AS person FROM ops WHERE kind = 'addEvent' AND family_id IS NULL UNION SELECT *, you FROM ops WHERE kind = 'addEvent' AND family_id IS NULL) o
   JOIN p0 ON p0.person_id = o.person
-UNION ALL SELECT o.tree_id, o.family_id, o.event_id, event_type, {TAG}, date_raw, {KEY.format('place_raw')}, description, true FROM ops o JOIN fam USING (family_id) WHERE kind = 'addEvent'""",
+UNION ALL SELECT o.tree_id, o.family_id, o.event_id, event_type, {TAG}, date_raw, {KEY.format('place_raw')}, description, true FROM ops o JOIN fam USING (tree_id, family_id) WHERE kind = 'addEvent'""",
         "ev", "eraw", "ops", "p0", "fam"),
     "events_edited": more(
         f"""le AS (SELECT event_id, max_by({TAG}, n) FILTER (event_type IS NOT NULL) AS ntag, max_by(event_type, n) FILTER (event_type IS NOT NULL) AS nt,
@@ -104,7 +104,7 @@ UNION ALL SELECT o.tree_id, o.family_id, o.event_id, event_type, {TAG}, date_raw
 UNION ALL SELECT tree_id, family_id, person_id, 'record' FROM ly WHERE r <> 'c'
 UNION ALL SELECT tree_id, max_by(family_id, n), person_id, 'pointer' FROM ptr GROUP BY tree_id, person_id)""", "fs", "fc", "p0", "ops"),
     "relationships_unlinked": more(
-        MEMBERS + """, ux AS (SELECT o.* FROM ops o JOIN fam USING (family_id) WHERE kind = 'unlinkRelationship')""",
+        MEMBERS + """, ux AS (SELECT o.* FROM ops o JOIN fam USING (tree_id, family_id) WHERE kind = 'unlinkRelationship')""",
         """SELECT * FROM bm b WHERE NOT EXISTS (SELECT 1 FROM ux WHERE ux.family_id = b.family_id AND ux.me = b.person_id AND
   ((b.role = 'child' AND relation = 'parent-child') OR (b.role <> 'child' AND relation = 'spouse')))
 UNION ALL SELECT c.tree_id, c.family_id, c.person_id, 'pointer' FROM fc c JOIN p0 USING (person_id) WHERE NOT EXISTS (

@@ -167,7 +167,7 @@ FROM (SELECT l.tree_id, l.from_id, l.to_id, l.path_no, l.length, string_agg(p.na
 vn AS (SELECT sv.tree_id, sv.focal_id, sv.person_id, gg.g FROM sv LEFT JOIN gg ON gg.focal_id = sv.focal_id AND gg.person_id = sv.person_id)""",
         flags("vn", "sv"), *EGO_NEEDS, "up", "up0"),
     "default_focal": build(
-        """SELECT tree_id, person_id AS focal_id FROM (SELECT p.tree_id, p.person_id, row_number() OVER (PARTITION BY p.tree_id ORDER BY p.k % 640 <> 325, NOT leaf,
+        """SELECT tree_id, person_id AS focal_id FROM (SELECT p.tree_id, p.person_id, row_number() OVER (PARTITION BY p.tree_id ORDER BY p.k NOT IN (SELECT s_suppkey * 256 + s_nationkey FROM supplier), NOT leaf,
   CASE WHEN leaf AND ly IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN leaf THEN -coalesce(ly, 0) ELSE 0 END, CASE WHEN leaf THEN 0 ELSE -deg END, p.person_id) AS rn
 FROM (SELECT p.*, (SELECT count(*) FROM nb WHERE nb.person_id = p.person_id) AS deg, NOT EXISTS (SELECT 1 FROM po WHERE parent_id = p.person_id) AS leaf,
   (SELECT max(year) FROM ev WHERE owner_id = p.person_id) AS ly FROM p0 p) p) WHERE rn = 1""", "p0", "nb", "po", "ev"),
