@@ -46,7 +46,7 @@ def _param(key: str, value: Column) -> Column:
 
 
 def ancestry_url(facts: Column) -> Column:
-    """Link from a struct with self, birth/death year and parts, father, mother, spouses, children."""
+    """Link from a struct with self, birth/death year and parts, father, mother, spouse, children."""
     children = F.transform(
         F.slice(facts["children"], 1, MAX_CHILDREN),
         lambda c, i: F.concat(
@@ -54,7 +54,7 @@ def ancestry_url(facts: Column) -> Column:
             packed_name(c),
         ),
     )
-    spouse = F.try_element_at(facts["spouses"], F.lit(1))
+    spouse = facts["spouse"]
     gender = F.when(facts["sex"] == "male", "gender=m").when(facts["sex"] == "female", "gender=f")
     query = F.concat_ws(
         "&",

@@ -2,43 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.dates import life_span
-from kinloom.functions.names import trimmed_name
+from kinloom.functions.links import MAX_CHILDREN
+from kinloom.functions.names import display_name, trimmed_name
 from kinloom.functions.places import place_head
 from kinloom.functions.text import blank_to_null, trim
 from kinloom.operators.graph import spouse_links
+from kinloom.operators.numbering import number_rows
 
 _PERSON = ["tree_id", "person_id"]
 _NAME = "struct<given:string,surname:string,full:string>"
 
 
 def display_names(person: DataFrame) -> DataFrame:
-    from kinloom.functions.names import display_name
-
     return person.select(*_PERSON, display_name(F.col("names")).alias("name"))
 
 
-def _ordered(values, *order):
-    return F.sort_array(F.collect_list(F.struct(*order, values)))
-
-
 def person_sketch(
     person: DataFrame, parents: DataFrame, spouses: DataFrame, vitals: DataFrame, service: DataFrame
 ) -> DataFrame:
-    """Name, sex, vital facts, age, spouses, child count and wars of every person."""
+    """Name, sex, vital facts, age, spouse and child counts and wars of every person.
+
+    The spouses themselves are rows of ``relatives``.
+    """
     name = person.select(*_PERSON, trimmed_name(F.col("names")).alias("name"))
-    partner = name.select("tree_id", F.col("person_id").alias("spouse_id"), F.col("name").alias("spouse_name"))
-    wed = (
-        spouse_links(spouses).join(partner, ["tree_id", "spouse_id"])
-        .groupBy(*_PERSON).agg(
-            F.transform(
-                _ordered(F.col("spouse_name"), "fseq", "sord"), lambda x: x["spouse_name"]
-            ).alias("spouses")
-        )
-    )
+    wed = spouse_links(spouses).groupBy(*_PERSON).agg(F.count(F.lit(1)).alias("spouses"))
     kids = parents.groupBy("tree_id", F.col("parent_id").alias("person_id")).agg(
         F.count(F.lit(1)).alias("children")
     )
@@ -54,7 +45,7 @@ def person_sketch(
             blank_to_null(F.col("death.date.raw")).alias("death_raw"), dy.alias("death_year"),
             blank_to_null(F.col("death.place.raw")).alias("death_place"),
             (dy - by).alias("age_at_death"),
-            F.coalesce("spouses", F.array().cast("array<string>")).alias("spouses"),
+            F.coalesce("spouses", F.lit(0)).cast("bigint").alias("spouses"),
             F.coalesce("children", F.lit(0)).cast("bigint").alias("children"),
             F.coalesce("served", F.lit(False)).alias("served"),
             F.coalesce("wars", F.array().cast("array<string>")).alias("wars"),
@@ -84,43 +75,53 @@ def _name_parts(names):
     )
 
 
+def _kin(person: DataFrame, parents: DataFrame, spouses: DataFrame) -> dict[str, DataFrame]:
+    """Named parents, spouses and children of each person: (.., k1, k2, other_id, other_sex, other)."""
+    names = person.select("tree_id", F.col("person_id").alias("other_id"), F.col("sex").alias("other_sex"),
+                          _name_parts(F.col("names")).alias("other"))
+    hop = lambda df, me, other, k2: df.select(
+        "tree_id", F.col(me).alias("person_id"), F.col(other).alias("other_id"), F.col("fseq").alias("k1"), F.col(k2).alias("k2")
+    ).join(names, ["tree_id", "other_id"])
+    return {
+        "parent": hop(parents, "child_id", "parent_id", "pord"),
+        "spouse": hop(spouse_links(spouses), "person_id", "spouse_id", "sord"),
+        "child": hop(parents, "parent_id", "child_id", "cord"),
+    }
+
+
+def relatives(person: DataFrame, parents: DataFrame, spouses: DataFrame) -> DataFrame:
+    """One row per relative: (tree_id, person_id, role, position, other_id, full)."""
+    rows = None
+    for role, df in _kin(person, parents, spouses).items():
+        part = df.select(*_PERSON, F.lit(role).alias("role"), "k1", "k2", "other_id", F.col("other.full").alias("full"))
+        rows = part if rows is None else rows.unionByName(part)
+    numbered = number_rows(rows, ["tree_id", "person_id", "role"], ["k1", "k2", "other_id"], "position")
+    return numbered.select(*_PERSON, "role", "position", "other_id", "full")
+
+
+def _first_kin(df: DataFrame, count: int, name: str) -> DataFrame:
+    """The first ``count`` relatives as an array; the rank filter bounds every group."""
+    order = Window.partitionBy(*_PERSON).orderBy("k1", "k2", "other_id")
+    few = df.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= count)
+    return few.groupBy(*_PERSON).agg(F.sort_array(F.collect_list(F.struct("_at", "other_sex", "other"))).alias(name))
+
+
 def research_facts(
     person: DataFrame, parents: DataFrame, spouses: DataFrame, vitals: DataFrame
 ) -> DataFrame:
-    """Everything a search form takes, one row per person (column ``facts``)."""
-    names = person.select(*_PERSON, "sex", _name_parts(F.col("names")).alias("n"))
-    as_other = lambda col: names.select(
-        "tree_id", F.col("person_id").alias(col), F.col("sex").alias("other_sex"), F.col("n").alias("other")
-    )
-    fold_type = f"struct<father:{_NAME},mother:{_NAME}>"
-
-    def pick(acc, p):
-        sex, name = p["other_sex"], p["other"]
-        to_mother = (sex == "female") & acc["mother"].isNull()
-        to_father = ~to_mother & acc["father"].isNull()
-        late = ~to_mother & ~to_father & acc["mother"].isNull()
-        return F.struct(
-            F.when(to_father, name).otherwise(acc["father"]).alias("father"),
-            F.when(to_mother | late, name).otherwise(acc["mother"]).alias("mother"),
-        )
-
-    start = F.struct(F.lit(None).cast(_NAME).alias("father"), F.lit(None).cast(_NAME).alias("mother")).cast(fold_type)
-    folks = (
-        parents.join(as_other("parent_id"), ["tree_id", "parent_id"])
-        .groupBy("tree_id", F.col("child_id").alias("person_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("fseq", "pord", "other_sex", "other"))).alias("ps"))
-        .select(*_PERSON, F.aggregate("ps", start, pick).alias("folks"))
-    )
-    wed = (
-        spouse_links(spouses).join(as_other("spouse_id"), ["tree_id", "spouse_id"]).groupBy(*_PERSON)
-        .agg(F.transform(_ordered(F.col("other"), "fseq", "sord"), lambda x: x["other"]).alias("spouses"))
-    )
-    kids = (
-        parents.join(as_other("child_id"), ["tree_id", "child_id"])
-        .groupBy("tree_id", F.col("parent_id").alias("person_id"))
-        .agg(F.transform(_ordered(F.col("other"), "fseq", "cord"), lambda x: x["other"]).alias("children"))
-    )
+    """Everything a search form takes, one row per person (column ``facts``).
+
+    Each parent fills one of the two parent slots, so the first two decide: a
+    first woman is the mother, anyone else the father, the second takes the other
+    slot. Forms take one spouse and a few children; ``relatives`` has them all.
+    """
+    kin = _kin(person, parents, spouses)
+    folks, wed = _first_kin(kin["parent"], 2, "ps"), _first_kin(kin["spouse"], 1, "ws")
+    kids = _first_kin(kin["child"], MAX_CHILDREN, "cs")
+    at = lambda c, i: F.try_element_at(F.col(c), F.lit(i))["other"]
+    woman = F.try_element_at(F.col("ps"), F.lit(1))["other_sex"] == "female"
     none = F.array().cast(f"array<{_NAME}>")
+    names = person.select(*_PERSON, "sex", _name_parts(F.col("names")).alias("n"))
     return (
         names.join(vitals, _PERSON, "left").join(folks, _PERSON, "left").join(wed, _PERSON, "left")
         .join(kids, _PERSON, "left")
@@ -132,8 +133,9 @@ def research_facts(
                 F.col("birth.place.raw").alias("birth_raw"),
                 F.col("death.date.year").alias("death_year"), F.col("death.place.parts").alias("death_parts"),
                 F.col("death.place.raw").alias("death_raw"),
-                F.col("folks.father").alias("father"), F.col("folks.mother").alias("mother"),
-                F.coalesce("spouses", none).alias("spouses"), F.coalesce("children", none).alias("children"),
+                F.when(woman, at("ps", 2)).otherwise(at("ps", 1)).alias("father"),
+                F.when(woman, at("ps", 1)).otherwise(at("ps", 2)).alias("mother"), at("ws", 1).alias("spouse"),
+                F.coalesce(F.transform("cs", lambda c: c["other"]), none).alias("children"),
             ).alias("facts"),
         )
     )

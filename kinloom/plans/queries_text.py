@@ -167,8 +167,14 @@ def research_facts(b: Bridge) -> DataFrame:
         "person_id", F.col("facts.self.full").alias("full_name"), "facts.sex", big("facts.birth_year"),
         "facts.birth_raw", big("facts.death_year"), "facts.death_raw",
         F.col("facts.father.full").alias("father"), F.col("facts.mother.full").alias("mother"),
-        F.array_join(full("facts.spouses"), "|").alias("spouses"),
-        F.array_join(full("facts.children"), "|").alias("children"),
+        F.col("facts.spouse.full").alias("spouse"), F.array_join(full("facts.children"), "|").alias("children"),
+    )
+
+
+@query
+def research_relatives(b: Bridge) -> DataFrame:
+    return profile.relatives(b.person(), b.parents(), b.spouses()).select(
+        "person_id", "role", "position", "other_id", "full"
     )
 
 
@@ -186,7 +192,7 @@ def person_sketch(b: Bridge) -> DataFrame:
     s = profile.person_sketch(b.person(), b.parents(), b.spouses(), b.vitals(), b.service())
     return s.select(
         "person_id", "name", "sex", "birth_raw", big("birth_year"), "birth_place", "death_raw", big("death_year"),
-        "death_place", big("age_at_death"), joined("spouses", "|"), "children", "served", joined("wars", "|"),
+        "death_place", big("age_at_death"), "spouses", "children", "served", joined("wars", "|"),
     )
 
 

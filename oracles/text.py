@@ -200,7 +200,7 @@ ORACLES = {
         "person"),
     "research_facts": build("SELECT 1", "person", "po", "sp", "vit").rsplit("\nSELECT 1", 1)[0] + "," + _FACTS + """
 SELECT n.person_id, n.f AS full_name, n.sex, v.byr AS birth_year, v.bp AS birth_raw, v.dyr AS death_year, v.dp AS death_raw, father, mother,
-  coalesce(array_to_string(sf, '|'), '') AS spouses, coalesce(array_to_string(kf, '|'), '') AS children
+  sf[1] AS spouse, coalesce(array_to_string(kf[:8], '|'), '') AS children
 FROM nm n JOIN vit v USING (person_id) LEFT JOIN folks ON folks.child_id = n.person_id LEFT JOIN wed USING (person_id) LEFT JOIN kid USING (person_id)""",
     "search_links": build("SELECT 1", "person", "po", "sp", "vit").rsplit("\nSELECT 1", 1)[0] + "," + _FACTS + f"""
 SELECT n.person_id, 'https://www.ancestry.com/search/?' || concat_ws('&', 'name=' || nullif({packed('n.g', 'n.s', 'n.f')}, ''),
@@ -216,12 +216,17 @@ SELECT n.person_id, 'https://www.ancestry.com/search/?' || concat_ws('&', 'name=
 FROM nm n JOIN vit v USING (person_id) LEFT JOIN folks ON folks.child_id = n.person_id LEFT JOIN wed USING (person_id) LEFT JOIN kid USING (person_id)""",
     "person_sketch": build(
         f"""SELECT p.person_id, trim(p.name) AS name, p.sex, v.bd AS birth_raw, v.byr AS birth_year, v.bp AS birth_place, v.dd AS death_raw,
-  v.dyr AS death_year, v.dp AS death_place, v.dyr - v.byr AS age_at_death, coalesce(w.s, '') AS spouses, coalesce(c.n, 0) AS children,
+  v.dyr AS death_year, v.dp AS death_place, v.dyr - v.byr AS age_at_death, coalesce(w.s, 0) AS spouses, coalesce(c.n, 0) AS children,
   s.n IS NOT NULL AS served, coalesce({wars_text('s.wr')}, '') AS wars
 FROM person p JOIN vit v USING (person_id)
-LEFT JOIN (SELECT q.person_id, string_agg(trim(x.name), '|' ORDER BY q.f, q.sord) AS s FROM sp q JOIN person x ON x.person_id = q.spouse_id GROUP BY ALL) w USING (person_id)
+LEFT JOIN (SELECT person_id, count(*) AS s FROM sp GROUP BY ALL) w USING (person_id)
 LEFT JOIN (SELECT parent_id AS person_id, count(*) AS n FROM po GROUP BY ALL) c USING (person_id) LEFT JOIN serv s USING (person_id)""",
         "person", "vit", "sp", "po", "serv"),
+    "research_relatives": build("SELECT 1", "person", "po", "sp", "vit").rsplit("\nSELECT 1", 1)[0] + "," + _FACTS + """,
+rel AS (SELECT child_id AS person_id, 'parent' AS role, parent_id AS other_id, f AS k1, pord AS k2 FROM po UNION ALL SELECT person_id, 'spouse', spouse_id, f, sord FROM sp
+  UNION ALL SELECT parent_id, 'child', child_id, f, cord FROM po)
+SELECT r.person_id, r.role, row_number() OVER (PARTITION BY r.person_id, r.role ORDER BY k1, k2, other_id) AS position, r.other_id, n.f AS "full"
+FROM rel r JOIN nm n ON n.person_id = r.other_id""",
     "society_vitals": build("SELECT 1", "vit").rsplit("\nSELECT 1", 1)[0]
     + ", lab AS (" + SOCIETY_PLACE.replace("SRC", "(SELECT person_id AS event_id, bp AS place_raw FROM vit)") + f""")
 SELECT v.person_id, concat_ws(' · ', nullif({society_date('byr', 'bmo', 'bda')}, ''), nullif(l.label, '')) AS vitals
