@@ -25,7 +25,9 @@ from kinloom.operators.events import (
     vital_facts,
 )
 from kinloom.operators.lineage import cut, scratch_root
+from kinloom.operators.closure import closure
 from kinloom.operators.graph import parent_of, spouse_of
+from kinloom.operators.paths import pedigree_collapse
 from kinloom.operators.edits import Tree
 from kinloom.operators.profile import display_names
 from kinloom.sources.gedcom import Corpus, parse_corpus
@@ -344,6 +346,21 @@ class Bridge:
     def located(self) -> DataFrame:
         return located_events(self.person_event(), self.event_participant(), self.event())
 
+    @ingested
+    def ancestors(self) -> DataFrame:
+        """Ancestor closure of everybody, in breadth-first order; shared by many questions."""
+        return closure(self.parents(), self.focals(), ordered=True)
+
+    def descendants(self) -> DataFrame:
+        """The same table seen from above: everybody is a focal person."""
+        return self.ancestors().select(
+            "tree_id", F.col("person_id").alias("focal_id"), F.col("focal_id").alias("person_id"), "min_depth"
+        )
+
+    @ingested
+    def collapse(self) -> DataFrame:
+        return pedigree_collapse(self.parents(), self.focals())
+
     def gazetteer_of(self, provider: str) -> DataFrame:
         return self.gazetteer().where(F.col("provider") == provider)
 

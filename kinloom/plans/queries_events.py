@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.operators import closure as cl
 from kinloom.operators import events, paths, research, society, stats
 from kinloom.operators.lineage import cut
 from kinloom.plans.bridge import Bridge
@@ -43,8 +42,7 @@ def line_stops(b: Bridge) -> DataFrame:
 
 
 def _ancestor_stops(b: Bridge) -> DataFrame:
-    above = cl.closure(b.parents(), b.focals(), ordered=True)
-    return events.stops_of_people(events.ancestry_members(above, b.focals()), b.located())
+    return events.stops_of_people(events.ancestry_members(b.ancestors(), b.focals()), b.located())
 
 
 @query
@@ -114,37 +112,33 @@ def _facts(b: Bridge) -> DataFrame:
     return stats.person_facts(b.vitals(), b.service())
 
 
-def _above(b: Bridge) -> DataFrame:
-    return cut(cl.closure(b.parents(), b.focals()))[0]
-
-
 @query
 def family_stats(b: Bridge) -> DataFrame:
-    return stats.family_stats(b.focals(), _above(b), _facts(b), b.person_fams(), b.family_child())
+    return stats.family_stats(b.focals(), b.ancestors(), _facts(b), b.person_fams(), b.family_child())
 
 
 @query
 def top_birth_regions(b: Bridge) -> DataFrame:
-    return stats.region_tally(stats.ancestor_facts(_above(b), _facts(b))).select(
+    return stats.region_tally(stats.ancestor_facts(b.ancestors(), _facts(b))).select(
         "focal_id", big("rank"), "region", "people"
     )
 
 
 @query
 def war_tally(b: Bridge) -> DataFrame:
-    return stats.war_tally(stats.ancestor_facts(_above(b), _facts(b))).select("focal_id", "war", "people")
+    return stats.war_tally(stats.ancestor_facts(b.ancestors(), _facts(b))).select("focal_id", "war", "people")
 
 
 @query
 def ancestor_longevity(b: Bridge) -> DataFrame:
-    return stats.longevity(stats.ancestor_facts(_above(b), _facts(b))).select(
+    return stats.longevity(stats.ancestor_facts(b.ancestors(), _facts(b))).select(
         "focal_id", "aged", "average_years", "median_years"
     )
 
 
 @query
 def ancestral_family_sizes(b: Bridge) -> DataFrame:
-    return stats.family_sizes(_above(b), b.person_fams(), b.family_child()).select(
+    return stats.family_sizes(b.ancestors(), b.person_fams(), b.family_child()).select(
         "focal_id", "couples", "average_children"
     )
 

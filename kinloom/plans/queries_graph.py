@@ -59,9 +59,7 @@ def descendant_closure(b: Bridge) -> DataFrame:
 
 @query
 def focal_generations(b: Bridge) -> DataFrame:
-    up = cl.closure(b.parents(), b.focals())
-    down = cl.closure(b.parents(), b.focals(), "down")
-    return cl.focal_generations(up, down, b.focals()).withColumn("generation", big("generation"))
+    return cl.focal_generations(b.ancestors(), b.descendants(), b.focals()).withColumn("generation", big("generation"))
 
 
 @query
@@ -180,8 +178,7 @@ def _flagged(df: DataFrame) -> DataFrame:
 @query
 def ego_nodes(b: Bridge) -> DataFrame:
     ego = _ego(b)
-    fold = paths.pedigree_collapse(b.parents(), b.focals())
-    return _flagged(views.flag_nodes(ego, ego, b.parents(), b.spouses(), fold))
+    return _flagged(views.flag_nodes(ego, ego, b.parents(), b.spouses(), b.collapse()))
 
 
 @query
@@ -201,9 +198,8 @@ def blood_edges(b: Bridge) -> DataFrame:
 
 
 def _expanded(b: Bridge):
-    fold = paths.pedigree_collapse(b.parents(), b.focals())
     asked = b.focals().withColumn("person_id", F.col("focal_id")).withColumn("direction", F.lit("all"))
-    return views.expand(_ego(b, 1), asked, b.parents(), b.spouses(), fold)
+    return views.expand(_ego(b, 1), asked, b.parents(), b.spouses(), b.collapse())
 
 
 @query
@@ -225,11 +221,9 @@ def sibling_view(b: Bridge) -> DataFrame:
 def induced_view(b: Bridge) -> DataFrame:
     """Sibling-augmented node set with generations of both directions and flags."""
     members = cut(views.with_siblings(_ego(b, 2, 1), b.parents()).select("tree_id", "focal_id", "person_id"))[0]
-    up, down = cl.closure(b.parents(), b.focals()), cl.closure(b.parents(), b.focals(), "down")
-    gens = cl.focal_generations(up, down, b.focals())
+    gens = cl.focal_generations(b.ancestors(), b.descendants(), b.focals())
     nodes = members.join(gens, ["tree_id", "focal_id", "person_id"], "left")
-    fold = paths.pedigree_collapse(b.parents(), b.focals())
-    return _flagged(views.flag_nodes(nodes, members, b.parents(), b.spouses(), fold))
+    return _flagged(views.flag_nodes(nodes, members, b.parents(), b.spouses(), b.collapse()))
 
 
 @query
@@ -257,6 +251,5 @@ def next_ids(b: Bridge) -> DataFrame:
 
 @query
 def ancestor_picker(b: Bridge) -> DataFrame:
-    above = cl.closure(b.parents(), b.focals(), ordered=True)
     asked = b.focals().withColumn("query", F.lit("")).unionByName(b.focals().withColumn("query", F.lit("mach")))
-    return views.pick_ancestors(above, b.names(), asked).withColumn("rank", big("rank"))
+    return views.pick_ancestors(b.ancestors(), b.names(), asked).withColumn("rank", big("rank"))
