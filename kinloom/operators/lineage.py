@@ -2,28 +2,33 @@
 
 Executors can be lost at any time, so intermediate results of loops are written
 as Parquet under the folder the cluster names in ``spark.checkpoint.dir`` and
-read back. Only where that setting is absent (tests, local runs) a temporary
-folder of this process is used.
+read back. On a cluster a missing setting is an error: a machine-local folder
+would be seen by one executor only. A session that is one process
+(``local[n]``) may do without and then gets a folder of its own.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_local_root: list[str] = []
+_own_root: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="kinloom-"))
-    return _local_root[0]
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="kinloom-"))
+    return _own_root[0]
 
 
 def cut(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
