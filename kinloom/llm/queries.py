@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat, html, langid, neardup, quality, tokens, topk
+from kinloom.llm import chat, decontam, html, langid, neardup, quality, tokens, topk
 from kinloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS reach FROM n UNION SELECT r.id, v.b FROM r JOIN both_ways v ON v.a = r.reach)
 SELECT n.doc_id, n.n AS n_shingles, c.m AS component_id, c.m = n.doc_id AS kept
 FROM n JOIN (SELECT id, min(reach) AS m FROM r GROUP BY id) c ON c.id = n.doc_id"""
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
