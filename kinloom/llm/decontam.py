@@ -212,13 +212,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
                       least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item, as they are."""
     for index in indexes(items, item_id, item_text, least):
+        docs = docs.where(_clean(index)(F.col(text)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], index=index) -> Iterator[pd.Series]:
-            maker = Sketcher(SHINGLE)
-            for batch in batches:
-                texts = batch.tolist()
-                yield pd.Series([not m for low in range(0, len(texts), 128) for m in index.matches(texts[low:low + 128], maker)], dtype=bool)
 
-        docs = docs.where(clean(F.col(text)))
-    return docs
+def _clean(index: Index):
+    """Column function: the text holds none of the items."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        maker = Sketcher(SHINGLE)
+        for batch in batches:
+            texts = batch.tolist()
+            found = [m for low in range(0, len(texts), 128) for m in index.matches(texts[low:low + 128], maker)]
+            yield pd.Series([not m for m in found], dtype=bool)
+
+    return clean
