@@ -9,21 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import decontam, langid, mixing, neardup, pii
-from kinloom.llm.common import fold, fresh, table
+from kinloom.llm.common import fold, table
 from kinloom.operators.lineage import scratch_root
 
-LEAST_COSINE = 0.05  # below it a text looks like no language at all
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a learned language; null texts, texts without letters and texts far from all languages go."""
+    """Texts with a language; null texts and texts without a letter are rejected. Short texts stay, however low their cosine."""
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     prototypes = langid.learn_prototypes(docs.where(~held), "text", "lang")
-    (same,) = fresh(docs, "__text")
-    found = langid.predict_language(docs.withColumn(same, F.col("text")), prototypes, same)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE))
-    return kept.select(*docs.columns)
+    whole = docs.select("text", F.struct("*").alias("row"))
+    found = langid.predict_language(whole, prototypes)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
