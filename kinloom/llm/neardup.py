@@ -7,11 +7,13 @@ make a band; documents that share a band are candidates. With 95 permutations
 and 5 rows, 38 bands find a pair at 0.8 with probability 1 - 3e-7.
 
 Links are confirmed on the full sets of shingles, as words, not hashes. A bucket
-never yields all its pairs: first every member meets one member of its bucket,
-and the confirmed links are joined to components. Pairs that are then still in
-different components are compared in a second pass, which completes the
-buckets; members of one component need no further comparison, whatever the size
-of the group. Exact copies are one node from the start.
+never yields all its pairs. Exact copies are one node from the start. Then every
+node meets the smallest id of any of its buckets, and the confirmed links are
+joined to components; nodes that are still apart from the smallest id of a
+bucket meet it; and last, members of different components in a bucket meet,
+which completes it. Members of one component need no further comparison,
+whatever the size of the group. Before texts are fetched, pairs whose sizes or
+signatures (four bits of each value) rule out the similarity are left out.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ from kinloom.operators.lineage import cut
 
 HASHES, ROWS = 95, 5
 BANDS = 2 * HASHES // ROWS
-BITS_LEAST = 146  # of 190 one-bit signature values; six deviations below what a similarity of 0.8 gives
+WORDS = -(-2 * HASHES // 16)
+APART_MOST = 63  # differing four-bit values of the 190; five deviations more than a similarity of 0.8 gives
+SURE_SIZE = 32  # smaller sets are not judged by their signatures
 KNOWN_WORDS = 400_000
+DIFF_WORDS = 16  # longs in a bitmap of differences
 SMALL = 200_000  # ids that may be broadcast
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "id long, key binary, n_shingles long, bands array<long>, bits array<long>"
@@ -103,10 +108,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def bit_words(signature: np.ndarray) -> np.ndarray:
-    """One bit of every value, packed into 64-bit words."""
-    bits = np.zeros((len(signature), -(-2 * HASHES // 64) * 64), dtype=np.uint8)
-    bits[:, :2 * HASHES] = mixed(signature) & np.uint64(1)
-    return np.packbits(bits, axis=1).view(np.int64)
+    """Four bits of every value, packed into 64-bit words."""
+    bits = np.zeros((len(signature), WORDS * 16), dtype=np.uint8)
+    bits[:, :2 * HASHES] = mixed(signature) & np.uint64(15)
+    return (bits[:, ::2] << 4 | bits[:, 1::2]).view(np.int64)
 
 
 def _lists(rows: np.ndarray, whole: np.ndarray) -> pa.Array:
@@ -145,36 +150,59 @@ def sketches(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return rows.mapInArrow(_sketch(n), SKETCH)
 
 
-def _similar(n: int, percent: int):
+def _difference_bits(left: set, right: set) -> tuple[list[int], int]:
+    """The shingles that only one of two sets has, hashed into a bitmap of DIFF_WORDS longs; and how many share a bit."""
+    only = {xxhash.xxh3_64_intdigest(b" ".join(g), seed) % (64 * DIFF_WORDS) for seed, s in ((0, left - right), (1, right - left)) for g in s}
+    mask = sum(1 << k for k in only)
+    words = np.frombuffer(mask.to_bytes(8 * DIFF_WORDS, "little"), dtype=np.int64)
+    return words.tolist(), len(left ^ right) - len(only)
+
+
+def _overlap(n: int, differences: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, left = None, set()
         for batch in batches:
-            found = ([], [])
-            a_ids, b_ids = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            for i, (a, b) in enumerate(zip(a_ids, b_ids, strict=True)):
-                text = batch.column("a_text")[i].as_py()
+            sizes, bits, hidden = [], [], []
+            for a_text, b_text in zip(batch.column("a_text"), batch.column("b_text"), strict=True):
+                text = a_text.as_py()
                 if held != text:
                     held, left = text, shingle_set(text, n)
-                right = shingle_set(batch.column("b_text")[i].as_py(), n)
-                both = len(left & right)
-                if both and 100 * both >= percent * (len(left) + len(right) - both):
-                    found[0].append(a)
-                    found[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+                right = shingle_set(b_text.as_py(), n)
+                sizes.append((len(left), len(right), len(left & right)))
+                if differences:
+                    mask, more = _difference_bits(left, right)
+                    bits.append(mask)
+                    hidden.append(more)
+            columns = [pa.array(c, pa.int64()) for c in list(zip(*sizes, strict=True)) or [()] * 3]
+            names = ["a", "b", "n_a", "n_b", "both"]
+            if differences:
+                columns += [pa.array(bits, pa.list_(pa.int64())), pa.array(hidden, pa.int64())]
+                names += ["diff", "hidden"]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=names)
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, involved: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar. ``docs``: id, text. ``involved`` bounds the ids in the pairs."""
+def overlaps(pairs: DataFrame, docs: DataFrame, n: int, involved: int, differences: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, both): sizes of the full shingle sets and of their intersection, for the pairs (a, b).
+
+    ``docs``: id, text; a pair has a row for each text of its ids. ``involved``
+    bounds the ids in the pairs. ``differences`` adds the bitmap of the shingles
+    that only one side has, and the number of those that share a bit.
+    """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     if involved <= SMALL:
         ids = F.broadcast(ids)
     texts = docs.join(ids, "id", "left_semi").distinct()
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
+    more = ", diff array<long>, hidden long" if differences else ""
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(
-        _similar(n, percent), "a long, b long").distinct()
+        _overlap(n, differences), f"a long, b long, n_a long, n_b long, both long{more}")
+
+
+def similar(n_a, n_b, both, percent: int):
+    return (both > 0) & (100 * both >= percent * (n_a + n_b - both))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,46 +242,96 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes, _ = cut(
         made.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("key")
         .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
-    meta = nodes.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("texts"))
+    meta, _ = cut(nodes.groupBy("id").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("texts")))
+    known = ["low", "high", "bits", "texts"]
 
     def facts(side: str) -> DataFrame:
-        return meta.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("low", "high", "bits", "texts")])
+        return meta.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in known])
 
     def alike(a: str, b: str):
-        """False only for pairs that cannot be similar, or are so with a probability below 1e-8."""
-        bits = sum((F.bit_count(F.col(f"{a}_bits")[i].bitwiseXOR(F.col(f"{b}_bits")[i])) for i in range(3)), F.lit(0))
+        """False only for pairs that cannot be similar, or are so with a probability below 1e-6."""
+
+        def apart(i: int):
+            x = F.col(f"{a}_bits")[i].bitwiseXOR(F.col(f"{b}_bits")[i])
+            return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(
+                F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(0x1111111111111111)))
+
         sizes = (100 * F.col(f"{a}_high") >= percent * F.col(f"{b}_low")) & (100 * F.col(f"{b}_high") >= percent * F.col(f"{a}_low"))
-        several = (F.col(f"{a}_texts") > 1) | (F.col(f"{b}_texts") > 1)
-        return sizes & (several | (2 * HASHES - bits >= BITS_LEAST))
+        open_ = (F.col(f"{a}_texts") > 1) | (F.col(f"{b}_texts") > 1) | (F.least(f"{a}_low", f"{b}_low") < SURE_SIZE)
+        return sizes & (open_ | (sum((apart(i) for i in range(WORDS)), F.lit(0)) <= APART_MOST))
+
+    def grown(links: DataFrame | None, pairs: DataFrame):
+        """Links with those of the pairs (a, b) that are similar; the components, if there are new links."""
+        held, met = cut(pairs)
+        if not met["rows"]:
+            return links, None
+        seen, found = cut(
+            overlaps(held, whole, n, 2 * met["rows"]), F.count_if(similar(F.col("n_a"), F.col("n_b"), F.col("both"), percent)).alias("new"))
+        if not found["new"]:
+            return links, None
+        new = seen.where(similar(F.col("n_a"), F.col("n_b"), F.col("both"), percent)).select("a", "b").distinct()
+        links = new if links is None else links.unionByName(new)
+        return links, components(links)
+
+    def placed(groups: DataFrame | None) -> DataFrame:
+        """Members of buckets with their components."""
+        if groups is None:
+            return live.withColumn("comp", F.col("id"))
+        return live.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
     bands = nodes.select("id", F.explode("bands").alias("band"))
-    centres = bands.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("top")).where(F.col("a") != F.col("top")).select("band", "a")
-    star = bands.withColumnRenamed("id", "b").join(centres, "band").where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    first, met = cut(star.join(facts("a"), "a").join(facts("b"), "b").where(alike("a", "b")).select("a", "b"))
-    links, _ = cut(confirmed(first, whole, n, percent, 2 * met["rows"]))
-    groups = components(links)
-
-    placed, _ = cut(nodes.join(groups, "id", "left").select("id", "bands", F.coalesce("comp", "id").alias("comp")))
-    spread = placed.select("id", "comp", F.explode("bands").alias("band"))
-    shares = spread.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
+    centres = bands.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where(F.col("centre") != F.col("top"))
+    live, _ = cut(bands.join(centres.select("band", "centre"), "band"))
+    star = live.where(F.col("id") != F.col("centre")).groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a"))
+    links, groups = grown(None, star.join(facts("a"), "a").join(facts("b"), "b").where(alike("a", "b")).select("a", "b"))
+
+    apart = placed(groups)
+    centre_comp = apart.where(F.col("id") == F.col("centre")).select("band", F.col("comp").alias("centre_comp")).distinct()
+    star = apart.join(centre_comp, "band").where(F.col("comp") != F.col("centre_comp")).select(
+        F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    links, more = grown(links, star.join(facts("a"), "a").join(facts("b"), "b").where(alike("a", "b")).select("a", "b"))
+    groups = groups if more is None else more
+
+    apart = placed(groups)
+    shares = apart.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
     torn = shares.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    member, rest = cut(spread.join(torn.select("band", "main"), "band"))
+    member, rest = cut(apart.join(torn.select("band", "main"), "band"))
     if rest["rows"]:
+        # Every member meets the smallest id of its buckets' largest component. What two members x and y share is
+        # what both share with that root, as far as they do not lack the same, and what both have beyond it: a
+        # bitmap of each one's differences gives an upper bound, which settles most pairs without their texts.
+        roots, met = cut(member.groupBy(F.col("id").alias("b")).agg(F.min("main").alias("a")))
+        met_root, _ = cut(overlaps(roots, whole, n, 2 * met["rows"], differences=True))
+        pivot = met_root.groupBy(F.col("b").alias("id"), F.col("a").alias("pivot")).agg(
+            F.max("both").alias("shared"), F.max("n_a").alias("root"), F.first("diff").alias("diff"), F.first("hidden").alias("hidden"),
+            F.count(F.lit(1)).alias("rows"))
+        pivot = pivot.where("rows = 1").drop("rows")
+        added = ["pivot", "shared", "root", "diff", "hidden"]
+
+        def within(a: str, b: str):
+            same_differences = sum(
+                (F.bit_count(F.col(f"{a}_diff")[i].bitwiseAND(F.col(f"{b}_diff")[i])) for i in range(DIFF_WORDS)), F.lit(0))
+            most = F.col(f"{a}_shared") + F.col(f"{b}_shared") - F.col(f"{a}_root") + same_differences + F.least(f"{a}_hidden", f"{b}_hidden")
+            single = (F.col(f"{a}_texts") == 1) & (F.col(f"{b}_texts") == 1)
+            same = F.coalesce(F.col(f"{a}_pivot") == F.col(f"{b}_pivot"), F.lit(False))
+            return ~(single & same) | (100 * most >= percent * (F.col(f"{a}_high") + F.col(f"{b}_high") - most))
+
         # members outside a bucket's largest component against all members of other components
-        member = member.join(meta, "id")
+        member = member.join(meta, "id").join(pivot, "id", "left")
+        known = [*known, *added]
         x = member.where(F.col("comp") != F.col("main")).select(
-            "band", F.col("id").alias("x"), F.col("comp").alias("x_comp"), *[F.col(c).alias(f"x_{c}") for c in ("low", "high", "bits", "texts")])
+            "band", F.col("id").alias("x"), F.col("comp").alias("x_comp"), *[F.col(c).alias(f"x_{c}") for c in known])
         y = member.select(
             "band", F.col("id").alias("y"), F.col("comp").alias("y_comp"), (F.col("comp") == F.col("main")).alias("y_main"),
-            *[F.col(c).alias(f"y_{c}") for c in ("low", "high", "bits", "texts")])
-        across = x.join(y, (x["band"] == y["band"]) & (F.col("x_comp") != F.col("y_comp")) & (F.col("y_main") | (F.col("x") < F.col("y"))) & alike("x", "y"))
-        pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        second, met = cut(pairs.join(first, ["a", "b"], "left_anti"))
-        if met["rows"]:
-            more, found = cut(confirmed(second, whole, n, percent, 2 * met["rows"]))
-            if found["rows"]:
-                groups = components(links.unionByName(more))
-
+            *[F.col(c).alias(f"y_{c}") for c in known])
+        across = x.join(y, (x["band"] == y["band"]) & (F.col("x_comp") != F.col("y_comp")) & (F.col("y_main") | (F.col("x") < F.col("y")))
+                        & within("x", "y") & alike("x", "y"))
+        links, more = grown(links, across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        groups = groups if more is None else more
+
+    if groups is None:
+        groups = live.select("id", F.col("id").alias("comp")).distinct()
     of_key = nodes.join(groups, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"))
     return made.select("id", "key", "n_shingles").join(of_key, "key", "left").select(
         F.col("id").alias(doc_id), "n_shingles",
