@@ -1,16 +1,16 @@
 r"""Personal data: patterns, and terms that give a protected entity away.
 
 The values that the patterns find (addresses, ips, cards, phones) are protected
-entities. How strongly a term reveals one is estimated from the corpus: with N
-texts, n(e) that hold the entity, n(t) that hold the term and n(e, t) in which
-the term stands within ``NEAR`` words of the entity,
+entities. How strongly a term reveals one is estimated from the corpus: of N
+documents, n(e) hold the entity, n(t) hold the term and n(e, t) have the term
+within ``NEAR`` words of the entity, then
 
     disclosure = PMI(e; t) / IC(e) = 1 + log(n(e, t) / n(t)) / -log(n(e) / N)
 
 which is 1 if the term occurs with the entity only, and 0 if it tells nothing.
 Terms with at least ``SUPPORT`` different surroundings of one entity are removed
 from ``REMOVE`` on and generalised from ``GENERALISE`` on, wherever they occur.
-Copies of a text count once, in all of these numbers.
+Copies of a text count alike in all of these numbers, and as one surrounding.
 
 All of it is DataFrame expressions. The patterns are the contract's, written so
 that they never look at a character twice: a run of characters is taken whole,
@@ -125,37 +125,48 @@ def revealing_terms(docs: DataFrame, text: str, support: int = SUPPORT, generali
                     remove: float = REMOVE) -> tuple[DataFrame, int] | None:
     """(key, terms), rows: the terms to treat in each text that has any; terms are (term, kind), kind 6 if removed."""
     texts = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
-    spots = texts.where(F.col("text").rlike("[0-9@]")).select("text", F.explode(base_spans(F.col("text"))).alias("s"))
 
     def words(c: Column) -> Column:
         return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
 
     before = words(F.substring(F.col("text"), F.greatest(F.col("s.start") - 159, F.lit(1)), F.least(F.col("s.start"), F.lit(160))))
     after = words(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(160)))
+    spots = texts.where(F.col("text").rlike("[0-9@]")).select("text", F.posexplode(base_spans(F.col("text"))).alias("pos", "s"))
     near, _ = cut(spots.select(
-        F.lower("s.value").alias("entity"), _key(F.col("text")).alias("key"),
+        "pos", F.lower("s.value").alias("entity"), _key(F.col("text")).alias("key"),
         F.array_distinct(F.concat(F.reverse(F.slice(F.reverse(before), 1, NEAR)), F.slice(after, 1, NEAR))).alias("terms")))
-    together = near.select("entity", "key", F.md5(F.array_join("terms", " ")).alias("around"), F.explode("terms").alias("term"))
+    # a text has one first span in each of its rows
+    times = near.where("pos = 0").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    together, met = cut(
+        near.select("entity", "key", F.md5(F.array_join("terms", " ")).alias("around"), F.explode("terms").alias("term"))
+        .distinct().join(times, "key"))
+    if not met["rows"]:
+        return None
+    n = texts.count()
+
+    def rows_of(*by: str) -> DataFrame:
+        return together.groupBy(*by, "key").agg(F.max("times").alias("times")).groupBy(*by).agg(F.sum("times").alias("n"))
+
+    n_e = near.select("entity", "key").distinct().join(times, "key").groupBy("entity").agg(F.sum("times").alias("n_e")).where(F.col("n_e") < n)
+
+    def disclosure(rows_of_term: str) -> Column:
+        return 1 + F.log(F.col("n_et") / F.col(rows_of_term)) / -F.log(F.col("n_e") / F.lit(n))
+
+    # the rows that have the term near any entity are some of those that have it, so common words go here already
+    backed = together.groupBy("entity", "term").agg(F.count_distinct("around").alias("around")).where(F.col("around") >= support)
     pairs, met = cut(
-        together.groupBy("entity", "term").agg(F.count_distinct("key").alias("n_et"), F.count_distinct("around").alias("around"))
-        .where(F.col("around") >= support))
+        backed.join(rows_of("entity", "term").withColumnRenamed("n", "n_et"), ["entity", "term"]).join(n_e, "entity")
+        .join(rows_of("term").withColumnRenamed("n", "n_near"), "term").where(disclosure("n_near") >= generalise))
     if not met["rows"]:
         return None
-    asked = _small(pairs.select("term").distinct(), met["rows"])
-    hits, _ = cut(
-        texts.select(_key(F.col("text")).alias("key"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-        .join(asked, "term").distinct())
-    n = texts.select(_key(F.col("text")).alias("key")).distinct().count()
-    n_t = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_e = near.groupBy("entity").agg(F.count_distinct("key").alias("n_e"))
-    told = pairs.join(n_e, "entity").join(n_t, "term").where(F.col("n_e") < n)
-    disclosure = 1 + F.log(F.col("n_et") / F.col("n_t")) / -F.log(F.col("n_e") / F.lit(n))
-    told = told.groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    n_t = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    told = pairs.join(n_t, "term").groupBy("term").agg(F.max(disclosure("n_t")).alias("disclosure")).where(F.col("disclosure") >= generalise)
     treated, most = cut(told.select("term", F.when(F.col("disclosure") >= remove, 6).otherwise(5).alias("kind")))
     if not most["rows"]:
         return None
+    hits = texts.select(_key(F.col("text")).alias("key"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     out, seen = cut(
-        hits.join(_small(treated, most["rows"]), "term").groupBy("key").agg(F.collect_list(F.struct("term", "kind")).alias("terms")))
+        hits.join(_small(treated, most["rows"]), "term").distinct().groupBy("key").agg(F.collect_list(F.struct("term", "kind")).alias("terms")))
     return out, seen["rows"]
 
 
