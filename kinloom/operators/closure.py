@@ -10,12 +10,14 @@ and ends the loop on cyclic data too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.operators.lineage import cut
 
 LEVELS_PER_JOB = 4
+LOOP_CHECK = 24  # levels after which lines that are still open are examined for loops
+HOPS = "array<struct<f:bigint,p:int,c:int>>"
 
 
 def steps_of(parents: DataFrame, direction: str) -> DataFrame:
@@ -45,7 +47,7 @@ def closure(
     """
     if max_depth is not None and max_depth <= 0:
         max_depth = 0
-    step, _ = cut(steps_of(parents, direction))
+    step = steps_of(parents, direction)
     keys = ["tree_id", "focal_id", "node"]
     empty_key = F.array().cast("array<bigint>")
     frontier = focals.select("tree_id", "focal_id").distinct().withColumn("node", F.col("focal_id"))
@@ -119,23 +121,22 @@ def focal_generations(ancestors: DataFrame, descendants: DataFrame, focals: Data
     )
 
 
-def path_counts(
-    parents: DataFrame, focals: DataFrame, max_depth: int, levels_per_job: int = LEVELS_PER_JOB
-) -> DataFrame:
-    """Upward walks per (focal, ancestor, depth) by dynamic programming.
+def path_counts(parents: DataFrame, focals: DataFrame, levels_per_job: int = LEVELS_PER_JOB) -> DataFrame:
+    """Upward paths per (focal, ancestor, depth), exact, whatever their number and length.
 
-    No path is built: each level adds up the counts of the level before. Rows at
-    ``max_depth`` mark focals whose lines are deeper than the cap or run in a loop.
+    Loop-free lines need no path: each level adds up the counts of the level
+    before, until the lines end. Lines that are still open after ``LOOP_CHECK``
+    levels are examined for loops; the focals that reach one are counted over
+    their simple paths instead, the others go on as before.
     """
-    step, _ = cut(steps_of(parents, "up").select("tree_id", "node", "next"))
-    level = focals.select("tree_id", "focal_id").distinct().select(
-        "tree_id", "focal_id", F.col("focal_id").alias("node"), F.lit(1).cast("bigint").alias("paths")
-    )
+    step = steps_of(parents, "up").select("tree_id", "node", "next")
+    focals = focals.select("tree_id", "focal_id").distinct()
+    level = focals.select("tree_id", "focal_id", F.col("focal_id").alias("node"), F.lit(1).cast("bigint").alias("paths"))
     done: DataFrame | None = None
-    depth = 0
-    while depth < max_depth:
+    depth, looked = 0, False
+    while True:
         batch = None
-        for _ in range(min(levels_per_job, max_depth - depth)):
+        for _ in range(levels_per_job):
             depth += 1
             level = (
                 level.join(step, ["tree_id", "node"])
@@ -149,4 +150,104 @@ def path_counts(
         if metrics["rows"] == 0 or metrics["deepest"] < depth:
             break
         level = batch.where(F.col("depth") == depth).drop("depth")
+        if depth >= LOOP_CHECK and not looked:
+            looked = True
+            loops, found = cut(looping_people(parents))
+            if found["rows"]:
+                caught, _ = cut(_reaching(parents, focals, loops))
+                keys = ["tree_id", "focal_id"]
+                done, level = done.join(caught, keys, "left_anti"), level.join(caught, keys, "left_anti")
+                extra, _ = cut(
+                    upward_trails(parents, caught).groupBy(*keys, F.col("tip_id").alias("node"), F.col("length").alias("depth"))
+                    .agg(F.count(F.lit(1)).alias("paths")))
+                done = done.unionByName(extra.select(*done.columns))
     return done.withColumnRenamed("node", "ancestor_id")
+
+
+def _reaching(parents: DataFrame, focals: DataFrame, loops: DataFrame) -> DataFrame:
+    """Focals that are on a loop or below one."""
+    every = with_self(closure(parents, focals), focals)
+    return every.join(loops, ["tree_id", "person_id"], "left_semi").select("tree_id", "focal_id").distinct()
+
+
+def looping_people(parents: DataFrame) -> DataFrame:
+    """(tree_id, person_id) that lie on, above and below an ancestry loop.
+
+    People without parents among the rest are peeled off until none is left;
+    then people without children among the rest.
+    """
+    edges = parents.select("tree_id", "parent_id", "child_id")
+    for end, other in (("parent_id", "child_id"), ("child_id", "parent_id")):
+        edges, metrics = cut(edges)
+        before = None
+        while metrics["rows"] and metrics["rows"] != before:
+            before = metrics["rows"]
+            inner = edges.select("tree_id", F.col(other).alias(end)).distinct()
+            edges, metrics = cut(edges.join(inner, ["tree_id", end], "left_semi"))
+    return edges.select("tree_id", F.col("child_id").alias("person_id")).distinct()
+
+
+def hop_table(parents: DataFrame) -> DataFrame:
+    hop = F.struct(
+        F.col("fseq").cast("bigint").alias("f"), F.col("pord").cast("int").alias("p"),
+        F.col("cord").cast("int").alias("c"),
+    )
+    return parents.select(
+        "tree_id", F.col("child_id").alias("tip_id"), F.col("parent_id").alias("up_id"), hop.alias("hop")
+    )
+
+
+def upward_trails(
+    parents: DataFrame, focals: DataFrame, first: int | None = None, levels_per_job: int = LEVELS_PER_JOB
+) -> DataFrame:
+    """All simple upward trails of length >= 1, of any length.
+
+    With ``first`` only the first so many trails per (focal, tip) in depth-first
+    order have to survive, so at job borders the frontier is thinned to them. On
+    loop-free lines this loses none of the first trails of any later tip: a
+    dropped trail already has that many smaller siblings with every
+    continuation. Trees with a loop are not thinned.
+    """
+    hops = hop_table(parents)
+    frontier = focals.select("tree_id", "focal_id").distinct().select(
+        "tree_id", "focal_id", F.col("focal_id").alias("tip_id"),
+        F.array("focal_id").alias("steps"), F.array().cast(HOPS).alias("hops"),
+    )
+    looping = None
+    done: DataFrame | None = None
+    depth = 0
+    while True:
+        batch = None
+        level = frontier
+        for _ in range(levels_per_job):
+            depth += 1
+            level = (
+                level.join(hops, ["tree_id", "tip_id"])
+                .where(~F.array_contains("steps", F.col("up_id")))
+                .select(
+                    "tree_id", "focal_id", F.col("up_id").alias("tip_id"),
+                    F.concat("steps", F.array("up_id")).alias("steps"),
+                    F.concat("hops", F.array("hop")).alias("hops"),
+                )
+            )
+            part = level.withColumn("length", F.lit(depth))
+            batch = part if batch is None else batch.unionByName(part)
+        batch, metrics = cut(batch, F.max("length").alias("longest"))
+        done = batch if done is None else done.unionByName(batch)
+        if metrics["rows"] == 0 or metrics["longest"] < depth:
+            return done
+        frontier = batch.where(F.col("length") == depth)
+        if first is not None:
+            if looping is None:
+                looping, _ = cut(looping_people(parents).select("tree_id").distinct())
+            kept = first_trails(done, first).where(F.col("length") == depth)
+            loose = frontier.join(looping, "tree_id", "left_semi")
+            frontier, _ = cut(kept.join(looping, "tree_id", "left_anti").drop("path_no").unionByName(loose))
+        frontier = frontier.drop("length")
+
+
+def first_trails(trails: DataFrame, count: int | None) -> DataFrame:
+    """Trails numbered per (focal, tip) in depth-first order; with ``count`` only so many of each."""
+    order = Window.partitionBy("tree_id", "focal_id", "tip_id").orderBy("hops")
+    numbered = trails.withColumn("path_no", F.row_number().over(order))
+    return numbered if count is None else numbered.where(F.col("path_no") <= count)

@@ -11,31 +11,12 @@ from kinloom.functions.kinship_terms import (
     collateral_term,
     descendant_term,
 )
-from kinloom.operators.closure import closure, path_counts
+from kinloom.operators.closure import closure, with_self
 from kinloom.operators.lineage import cut
-from kinloom.operators.paths import MAX_DEPTH, MAX_PATHS, relationship_paths
 
 _PAIR = ["tree_id", "from_id", "to_id"]
 
 
-def counted_ancestors(parents: DataFrame, focals: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(tree_id, focal_id, person_id, min_depth, paths): ancestors with walk counts.
-
-    Ancestors above ``max_depth`` are kept; they have no count.
-    """
-    counts, metrics = cut(
-        path_counts(parents, focals, max_depth)
-        .groupBy("tree_id", "focal_id", F.col("ancestor_id").alias("person_id"))
-        .agg(F.min("depth").alias("min_depth"), F.sum("paths").alias("paths")),
-        F.max("min_depth").alias("deepest"),
-    )
-    if (metrics["deepest"] or 0) < max_depth:
-        return counts.where(F.col("person_id") != F.col("focal_id"))
-    whole = closure(parents, focals)
-    keys = ["tree_id", "focal_id", "person_id"]
-    return whole.join(counts.select(*keys, "paths"), keys, "left")
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("tree_id", F.col("from_id").alias("focal_id")).unionByName(
         pairs.select("tree_id", F.col("to_id").alias("focal_id"))
@@ -70,60 +51,37 @@ def nearest_common(parents: DataFrame, common: DataFrame) -> DataFrame:
     return common.join(above, [*_PAIR, "ancestor_id"], "left_anti")
 
 
-def path_distances(
-    parents: DataFrame, asked: DataFrame, max_paths: int = MAX_PATHS, max_depth: int = MAX_DEPTH
-) -> DataFrame:
-    """Length of the shortest listed path of every (from_id, to_id); null when none.
+def path_distances(parents: DataFrame, asked: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
+    """Length of the shortest path of every (from_id, to_id) that are related.
 
-    The shortest way over any apex is the sum of two closure depths. It is among
-    the listed paths whenever no more than ``max_paths`` exist; pairs that could
-    exceed this are settled by listing their paths.
+    It is the smallest sum of the two depths over the shared apexes (an end may be
+    the apex): where the two ways to an apex meet below it, the meeting point is a
+    nearer apex. ``ancestors``: closure of all ends; computed where it is not given.
     """
-    asked, _ = cut(asked.select(*_PAIR).distinct())
+    asked = asked.select(*_PAIR).distinct()
     ends = _ends(asked)
-    above = counted_ancestors(parents, ends, max_depth)
-    own = ends.select(
-        "tree_id", "focal_id", F.col("focal_id").alias("person_id"), F.lit(0).alias("min_depth"),
-        F.lit(1).cast("bigint").alias("paths"),
-    )
-    every, _ = cut(above.where(F.col("paths").isNotNull()).unionByName(own))
-    a = every.select(
-        "tree_id", F.col("focal_id").alias("from_id"), "person_id",
-        F.col("min_depth").alias("d1"), F.col("paths").alias("n1"),
-    )
-    b = every.select(
-        "tree_id", F.col("focal_id").alias("to_id"), "person_id",
-        F.col("min_depth").alias("d2"), F.col("paths").alias("n2"),
-    )
-    bound, metrics = cut(
+    above = closure(parents, ends) if ancestors is None else ancestors.join(ends, ["tree_id", "focal_id"], "left_semi")
+    every = with_self(above, ends)
+    a = every.select("tree_id", F.col("focal_id").alias("from_id"), "person_id", F.col("min_depth").alias("d1"))
+    b = every.select("tree_id", F.col("focal_id").alias("to_id"), "person_id", F.col("min_depth").alias("d2"))
+    return (
         asked.join(a, ["tree_id", "from_id"]).join(b, ["tree_id", "to_id", "person_id"])
-        .groupBy(*_PAIR)
-        .agg(F.min(F.col("d1") + F.col("d2")).alias("distance"),
-             F.sum(F.col("n1").cast("double") * F.col("n2")).alias("ways")),
-        F.max("ways").alias("most"),
-    )
-    distance = F.when(F.col("distance") <= max_depth, F.col("distance")).cast("int")
-    if (metrics["most"] or 0) <= max_paths:
-        return bound.select(*_PAIR, distance.alias("distance"))
-    dense = bound.where(F.col("ways") > max_paths).select(*_PAIR)
-    listed = relationship_paths(parents, dense, max_paths, max_depth).groupBy(*_PAIR).agg(
-        F.min("length").cast("int").alias("distance")
+        .groupBy(*_PAIR).agg(F.min(F.col("d1") + F.col("d2")).cast("int").alias("distance"))
     )
-    settled = bound.where(F.col("ways") <= max_paths).select(*_PAIR, distance.alias("distance"))
-    return settled.unionByName(listed)
 
 
-def nearest_common_ancestors(
-    parents: DataFrame, pairs: DataFrame, ancestors: DataFrame | None = None
-) -> DataFrame:
-    """Nearest common ancestors: (tree_id, from_id, to_id, ancestor_id, gen_from, gen_to)."""
-    if ancestors is None:
-        ancestors = counted_ancestors(parents, _ends(pairs))
-    nearest, _ = cut(nearest_common(parents, common_ancestors(ancestors, pairs)))
+def nearest_common_ancestors(parents: DataFrame, pairs: DataFrame, ancestors: DataFrame | None = None) -> DataFrame:
+    """Nearest common ancestors: (tree_id, from_id, to_id, ancestor_id, gen_from, gen_to).
+
+    ``ancestors``: closure of everybody in the trees asked; without it, the
+    closures of the ends and of the ancestors found are computed.
+    """
+    known = closure(parents, _ends(pairs)) if ancestors is None else ancestors
+    nearest, _ = cut(nearest_common(parents, common_ancestors(known, pairs)))
     legs = nearest.select("tree_id", "from_id", F.col("ancestor_id").alias("to_id")).unionByName(
         nearest.select("tree_id", F.col("to_id").alias("from_id"), F.col("ancestor_id").alias("to_id"))
     ).distinct()
-    dist, _ = cut(path_distances(parents, legs))
+    dist, _ = cut(path_distances(parents, legs, ancestors))
     one = dist.select("tree_id", "from_id", F.col("to_id").alias("ancestor_id"), F.col("distance").alias("gen_from"))
     two = dist.select(
         "tree_id", F.col("from_id").alias("to_id"), F.col("to_id").alias("ancestor_id"),
@@ -137,11 +95,15 @@ def nearest_common_ancestors(
     )
 
 
-def describe_relationships(parents: DataFrame, person: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Kinship term of ``to_id`` as seen from ``from_id`` for every asked pair."""
-    parents, _ = cut(parents)
-    asked, _ = cut(pairs.select(*_PAIR).distinct())
-    ancestors, _ = cut(counted_ancestors(parents, _ends(asked)))
+def describe_relationships(
+    parents: DataFrame, person: DataFrame, pairs: DataFrame, everybody: DataFrame | None = None
+) -> DataFrame:
+    """Kinship term of ``to_id`` as seen from ``from_id`` for every asked pair.
+
+    ``everybody``: ancestor closure of all people in the trees asked, if it is at hand.
+    """
+    asked = pairs.select(*_PAIR).distinct()
+    ancestors = cut(closure(parents, _ends(asked)))[0] if everybody is None else everybody
     up = ancestors.select(
         "tree_id", F.col("focal_id").alias("from_id"), F.col("person_id").alias("to_id"),
         F.col("min_depth").alias("up"),
@@ -154,7 +116,7 @@ def describe_relationships(parents: DataFrame, person: DataFrame, pairs: DataFra
     collateral = lineal.where(
         F.col("up").isNull() & F.col("down").isNull() & (F.col("from_id") != F.col("to_id"))
     )
-    shared = nearest_common_ancestors(parents, collateral, ancestors)
+    shared = nearest_common_ancestors(parents, collateral, everybody)
     total = F.col("gen_from") + F.col("gen_to")
     rank = F.struct(total.isNull().alias("far"), total.alias("total"), F.col("ancestor_id").alias("id"))
     best = shared.groupBy(*_PAIR).agg(F.min_by(F.struct("gen_from", "gen_to"), rank).alias("best"))
@@ -188,7 +150,6 @@ def collapse_report(collapse_paths: DataFrame, person: DataFrame, names: DataFra
             "tree_id", "focal_id", "ancestor_id", "path_no",
             F.concat(
                 F.col("ancestor_name"), F.lit(" — reached "), F.col("path_count").cast("string"), F.lit(" ways"),
-                F.when(F.col("truncated"), "+").otherwise(""),
             ).alias("heading"),
             F.concat(
                 F.lit("your "), ancestor_term(F.col("length"), F.col("sex")), F.lit(" via "),

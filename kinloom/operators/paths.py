@@ -4,6 +4,10 @@ A *trail* is one simple upward path from a focal person to a tip:
 ``(tree_id, focal_id, tip_id, length, steps, hops)``. ``hops`` holds one
 ``(fseq, pord, cord)`` struct per step; comparing hops arrays gives depth-first
 order, a proper prefix first.
+
+Counts are exact and no length is too long. Listings take ``first``, the number
+of paths wanted of each group, or None for all; the caller has to choose, and
+the exact count stands beside the paths either way.
 """
 
 from __future__ import annotations
@@ -11,217 +15,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.operators.closure import LEVELS_PER_JOB, path_counts
+from kinloom.operators.closure import HOPS, first_trails, looping_people, path_counts, upward_trails
 from kinloom.operators.lineage import cut
 
-# Default caps of the path searches.
-MAX_PATHS = 200
-MAX_DEPTH = 25
-
-_HOPS = "array<struct<f:bigint,p:int,c:int>>"
+__all__ = [
+    "ancestral_paths", "collapse_paths", "looping_people", "path_highlights", "path_listing", "pedigree_collapse",
+    "relationship_paths", "upward_trails",
+]
 
 
-def _hop_table(parents: DataFrame) -> DataFrame:
-    hop = F.struct(
-        F.col("fseq").cast("bigint").alias("f"), F.col("pord").cast("int").alias("p"),
-        F.col("cord").cast("int").alias("c"),
-    )
-    return parents.select(
-        "tree_id", F.col("child_id").alias("tip_id"), F.col("parent_id").alias("up_id"), hop.alias("hop")
+def _totals(parents: DataFrame, focals: DataFrame) -> DataFrame:
+    return path_counts(parents, focals).groupBy("tree_id", "focal_id", "ancestor_id").agg(
+        F.sum("paths").alias("path_count"), F.min("depth").alias("min_length")
     )
 
 
-def looping_people(parents: DataFrame) -> DataFrame:
-    """(tree_id, person_id) that lie on, above and below an ancestry loop.
-
-    People without parents among the rest are peeled off until none is left;
-    then people without children among the rest.
-    """
-    edges = parents.select("tree_id", "parent_id", "child_id")
-    for end, other in (("parent_id", "child_id"), ("child_id", "parent_id")):
-        edges, metrics = cut(edges)
-        before = None
-        while metrics["rows"] and metrics["rows"] != before:
-            before = metrics["rows"]
-            inner = edges.select("tree_id", F.col(other).alias(end)).distinct()
-            edges, metrics = cut(edges.join(inner, ["tree_id", end], "left_semi"))
-    return edges.select("tree_id", F.col("child_id").alias("person_id")).distinct()
+def pedigree_collapse(parents: DataFrame, focals: DataFrame) -> DataFrame:
+    """Ancestors reached by two or more upward paths: (tree_id, focal_id, ancestor_id, path_count, min_length)."""
+    return _totals(parents, focals).where(F.col("path_count") >= 2)
 
 
-def upward_trails(
-    parents: DataFrame,
-    focals: DataFrame,
-    max_depth: int = MAX_DEPTH,
-    max_paths: int | None = None,
-    levels_per_job: int = LEVELS_PER_JOB,
-) -> DataFrame:
-    """All simple upward trails of length >= 1.
+def collapse_paths(parents: DataFrame, focals: DataFrame, first: int | None) -> DataFrame:
+    """Paths to every ancestor reached by two or more, in depth-first order.
 
-    With ``max_paths`` only the first ``max_paths + 1`` trails per (focal, tip) in
-    depth-first order have to survive, so at job borders the frontier is thinned
-    to them. On loop-free lines this loses none of the first ``max_paths + 1``
-    trails of any later tip: a dropped trail already has that many smaller
-    siblings with every continuation. Trees with a loop are not thinned.
+    (tree_id, focal_id, ancestor_id, path_no, length, steps, path_count)
     """
-    hops, _ = cut(_hop_table(parents))
-    frontier = focals.select("tree_id", "focal_id").distinct().select(
-        "tree_id", "focal_id", F.col("focal_id").alias("tip_id"),
-        F.array("focal_id").alias("steps"), F.array().cast(_HOPS).alias("hops"),
-    )
-    looping = None
-    done: DataFrame | None = None
-    depth = 0
-    while depth < max_depth:
-        batch = None
-        level = frontier
-        for _ in range(min(levels_per_job, max_depth - depth)):
-            depth += 1
-            level = (
-                level.join(hops, ["tree_id", "tip_id"])
-                .where(~F.array_contains("steps", F.col("up_id")))
-                .select(
-                    "tree_id", "focal_id", F.col("up_id").alias("tip_id"),
-                    F.concat("steps", F.array("up_id")).alias("steps"),
-                    F.concat("hops", F.array("hop")).alias("hops"),
-                )
-            )
-            part = level.withColumn("length", F.lit(depth))
-            batch = part if batch is None else batch.unionByName(part)
-        batch, metrics = cut(batch, F.max("length").alias("longest"))
-        done = batch if done is None else done.unionByName(batch)
-        if metrics["rows"] == 0 or metrics["longest"] < depth:
-            break
-        frontier = batch.where(F.col("length") == depth)
-        if max_paths is not None and 2**depth > max_paths:
-            if looping is None:
-                looping, _ = cut(looping_people(parents).select("tree_id").distinct())
-            kept = _first_trails(done, max_paths + 1).where(F.col("length") == depth)
-            loose = frontier.join(looping, "tree_id", "left_semi")
-            frontier, _ = cut(
-                kept.join(looping, "tree_id", "left_anti").drop("path_no").unionByName(loose)
-            )
-        frontier = frontier.drop("length")
-    return done
-
-
-def _first_trails(trails: DataFrame, count: int) -> DataFrame:
-    order = Window.partitionBy("tree_id", "focal_id", "tip_id").orderBy("hops")
-    return trails.withColumn("path_no", F.row_number().over(order)).where(F.col("path_no") <= count)
-
-
-def collapse_paths(
-    parents: DataFrame, focals: DataFrame, max_paths: int = MAX_PATHS, max_depth: int = MAX_DEPTH
-) -> DataFrame:
-    """Every path to every ancestor reached by two or more, in depth-first order.
-
-    (tree_id, focal_id, ancestor_id, path_no, length, steps, path_count, truncated)
-    """
-    trails = _first_trails(upward_trails(parents, focals, max_depth, max_paths), max_paths + 1)
-    group = Window.partitionBy("tree_id", "focal_id", "tip_id")
-    return (
-        trails.withColumn("found", F.count(F.lit(1)).over(group))
-        .where((F.col("found") >= 2) & (F.col("path_no") <= max_paths))
-        .select(
-            "tree_id", "focal_id", F.col("tip_id").alias("ancestor_id"), "path_no", "length", "steps",
-            F.least("found", F.lit(max_paths)).cast("bigint").alias("path_count"),
-            (F.col("found") > max_paths).alias("truncated"),
-        )
-    )
-
-
-def _collapse_by_trails(parents, focals, max_paths, max_depth) -> DataFrame:
-    paths = collapse_paths(parents, focals, max_paths, max_depth)
-    return paths.groupBy("tree_id", "focal_id", "ancestor_id").agg(
-        F.max("path_count").alias("path_count"), F.min("length").alias("min_length"),
-        F.max("truncated").alias("truncated"),
+    many = pedigree_collapse(parents, focals).drop("min_length")
+    trails = first_trails(upward_trails(parents, focals, first), first)
+    return trails.withColumnRenamed("tip_id", "ancestor_id").join(many, ["tree_id", "focal_id", "ancestor_id"]).select(
+        "tree_id", "focal_id", "ancestor_id", "path_no", "length", "steps", "path_count"
     )
 
 
-def pedigree_collapse(
-    parents: DataFrame, focals: DataFrame, max_paths: int = MAX_PATHS, max_depth: int = MAX_DEPTH
-) -> DataFrame:
-    """Ancestors reached by two or more upward paths.
+def ancestral_paths(parents: DataFrame, lines: DataFrame, first: int | None) -> DataFrame:
+    """Upward paths of each asked (focal_id, ancestor_id): path_no, length, steps, path_count."""
+    keys = ["tree_id", "focal_id", "ancestor_id"]
+    asked = lines.select(*keys).distinct()
+    focals = asked.select("tree_id", "focal_id").distinct()
+    trails = upward_trails(parents, focals, first).withColumnRenamed("tip_id", "ancestor_id").join(asked, keys, "left_semi")
+    numbered = first_trails(trails.withColumnRenamed("ancestor_id", "tip_id"), first).withColumnRenamed("tip_id", "ancestor_id")
+    return numbered.join(_totals(parents, focals), keys).select(*keys, "path_no", "length", "steps", "path_count")
 
-    (tree_id, focal_id, ancestor_id, path_count, min_length, truncated)
 
-    Counts come from dynamic programming over the closure, so no path is built.
-    A count is final when it is within the cap and the focal's lines end before
-    ``max_depth``, which also proves them loop-free. Only the remaining focals
-    go through path enumeration.
-    """
-    parents, _ = cut(parents)
-    counts = path_counts(parents, focals, max_depth)
-    totals, metrics = cut(
-        counts.groupBy("tree_id", "focal_id", "ancestor_id").agg(
-            F.sum("paths").alias("path_count"), F.min("depth").alias("min_length"),
-            F.max("depth").alias("max_length"),
-        ),
-        F.max("path_count").alias("most"), F.max("max_length").alias("deepest"),
-    )
-    open_case = (F.col("path_count") > max_paths) | (F.col("max_length") >= max_depth)
-    simple = totals.where(F.col("path_count") >= 2).select(
-        "tree_id", "focal_id", "ancestor_id", "path_count", "min_length", F.lit(False).alias("truncated")
-    )
-    if (metrics["most"] or 0) <= max_paths and (metrics["deepest"] or 0) < max_depth:
-        return simple
-    hard, _ = cut(totals.where(open_case).select("tree_id", "focal_id").distinct())
-    return simple.join(hard, ["tree_id", "focal_id"], "left_anti").unionByName(
-        _collapse_by_trails(parents, hard, max_paths, max_depth)
-    )
-
-
-def ancestral_paths(
-    parents: DataFrame, lines: DataFrame, max_paths: int = MAX_PATHS, max_depth: int = MAX_DEPTH
-) -> DataFrame:
-    """Upward paths of each asked (focal_id, ancestor_id): path_no, length, steps, truncated."""
-    asked = lines.select("tree_id", "focal_id", "ancestor_id").distinct()
-    trails = upward_trails(parents, asked.select("tree_id", "focal_id"), max_depth, max_paths)
-    on_line = trails.withColumnRenamed("tip_id", "ancestor_id").join(
-        asked, ["tree_id", "focal_id", "ancestor_id"], "left_semi"
-    )
-    order = Window.partitionBy("tree_id", "focal_id", "ancestor_id")
-    numbered = on_line.withColumn("path_no", F.row_number().over(order.orderBy("hops")))
-    # A search is cut short when a line still open at the depth cap has not met the ancestor.
-    deep = (
-        trails.where(F.col("length") >= max_depth).select("tree_id", "focal_id", "steps")
-        .join(asked, ["tree_id", "focal_id"])
-        .where(~F.array_contains("steps", F.col("ancestor_id")))
-        .select("tree_id", "focal_id", "ancestor_id").distinct().withColumn("deep", F.lit(True))
-    )
-    return (
-        numbered.where(F.col("path_no") <= max_paths + 1)
-        .withColumn("more", F.max(F.col("path_no") > max_paths).over(order))
-        .where(F.col("path_no") <= max_paths)
-        .join(deep, ["tree_id", "focal_id", "ancestor_id"], "left")
-        .select(
-            "tree_id", "focal_id", "ancestor_id", "path_no", "length", "steps",
-            (F.col("more") | F.coalesce("deep", F.lit(False))).alias("truncated"),
-        )
-    )
-
-
-def relationship_paths(
-    parents: DataFrame, pairs: DataFrame, max_paths: int = MAX_PATHS, max_depth: int = MAX_DEPTH
-) -> DataFrame:
+def relationship_paths(parents: DataFrame, pairs: DataFrame, first: int | None) -> DataFrame:
     """Paths that climb to a shared ancestor and come down again, per asked pair.
 
     Upward trails of both ends meet on the apex (an end itself may be the apex).
-    (tree_id, from_id, to_id, path_no, length, steps, apex_id, truncated)
+    (tree_id, from_id, to_id, path_no, length, steps, apex_id, path_count)
     """
-    parents, _ = cut(parents)
-    asked, _ = cut(
-        pairs.select("tree_id", "from_id", "to_id").where(F.col("from_id") != F.col("to_id")).distinct()
-    )
+    asked = pairs.select("tree_id", "from_id", "to_id").where(F.col("from_id") != F.col("to_id")).distinct()
     ends = (
         asked.select("tree_id", F.col("from_id").alias("focal_id"))
         .unionByName(asked.select("tree_id", F.col("to_id").alias("focal_id"))).distinct()
     )
-    trails = upward_trails(parents, ends, max_depth)
+    trails = upward_trails(parents, ends)
     own = ends.select(
         "tree_id", "focal_id", F.col("focal_id").alias("tip_id"), F.array("focal_id").alias("steps"),
-        F.array().cast(_HOPS).alias("hops"), F.lit(0).alias("length"),
+        F.array().cast(HOPS).alias("hops"), F.lit(0).alias("length"),
     )
-    every, _ = cut(trails.unionByName(own))
+    every = trails.unionByName(own)
     climb = every.select(
         "tree_id", F.col("focal_id").alias("from_id"), F.col("tip_id").alias("apex_id"),
         F.col("steps").alias("up_steps"), F.col("length").alias("up_len"),
@@ -238,10 +90,9 @@ def relationship_paths(
             )
         ).alias("down_key"),
     )
-    met = (
+    met, _ = cut(
         asked.join(climb, ["tree_id", "from_id"])
         .join(descend, ["tree_id", "to_id", "apex_id"])
-        .where(F.col("up_len") + F.col("down_len") <= max_depth)
         .where(F.size(F.array_intersect("up_steps", "down_steps")) == 1)
         .select(
             "tree_id", "from_id", "to_id", "apex_id",
@@ -250,23 +101,12 @@ def relationship_paths(
             F.concat("up_key", "down_key").alias("path_key"),
         )
     )
-    group = Window.partitionBy("tree_id", "from_id", "to_id")
-    open_ends = (
-        every.where(F.col("length") >= max_depth)
-        .join(parents.select("tree_id", F.col("child_id").alias("tip_id")), ["tree_id", "tip_id"], "left_semi")
-        .select("tree_id", F.col("focal_id").alias("from_id")).distinct().withColumn("deep", F.lit(True))
-    )
-    return (
-        met.withColumn("path_no", F.row_number().over(group.orderBy("path_key")))
-        .where(F.col("path_no") <= max_paths + 1)
-        .withColumn("more", F.max(F.col("path_no") > max_paths).over(group))
-        .where(F.col("path_no") <= max_paths)
-        .join(open_ends, ["tree_id", "from_id"], "left")
-        .select(
-            "tree_id", "from_id", "to_id", "path_no", "length", "steps", "apex_id",
-            (F.col("more") | F.coalesce("deep", F.lit(False))).alias("truncated"),
-        )
-    )
+    keys = ["tree_id", "from_id", "to_id"]
+    numbered = met.withColumn("path_no", F.row_number().over(Window.partitionBy(*keys).orderBy("path_key")))
+    if first is not None:
+        numbered = numbered.where(F.col("path_no") <= first)
+    total = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("path_count"))
+    return numbered.join(total, keys).select(*keys, "path_no", "length", "steps", "apex_id", "path_count")
 
 
 def path_highlights(paths: DataFrame) -> tuple[DataFrame, DataFrame]:

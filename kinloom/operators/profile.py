@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.dates import life_span
-from kinloom.functions.links import MAX_CHILDREN
 from kinloom.functions.names import display_name, trimmed_name
 from kinloom.functions.places import place_head
 from kinloom.functions.text import blank_to_null, trim
@@ -99,10 +98,11 @@ def relatives(person: DataFrame, parents: DataFrame, spouses: DataFrame) -> Data
     return numbered.select(*_PERSON, "role", "position", "other_id", "full")
 
 
-def _first_kin(df: DataFrame, count: int, name: str) -> DataFrame:
-    """The first ``count`` relatives as an array; the rank filter bounds every group."""
+def _kin_list(df: DataFrame, name: str, count: int | None = None) -> DataFrame:
+    """The relatives of one person in order, as an array; with ``count`` the first ones only."""
     order = Window.partitionBy(*_PERSON).orderBy("k1", "k2", "other_id")
-    few = df.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= count)
+    few = df.withColumn("_at", F.row_number().over(order))
+    few = few if count is None else few.where(F.col("_at") <= count)
     return few.groupBy(*_PERSON).agg(F.sort_array(F.collect_list(F.struct("_at", "other_sex", "other"))).alias(name))
 
 
@@ -113,11 +113,12 @@ def research_facts(
 
     Each parent fills one of the two parent slots, so the first two decide: a
     first woman is the mother, anyone else the father, the second takes the other
-    slot. Forms take one spouse and a few children; ``relatives`` has them all.
+    slot. ``spouse`` is the first of ``spouses``; spouses and children are complete,
+    what a search form takes of them is up to its link.
     """
     kin = _kin(person, parents, spouses)
-    folks, wed = _first_kin(kin["parent"], 2, "ps"), _first_kin(kin["spouse"], 1, "ws")
-    kids = _first_kin(kin["child"], MAX_CHILDREN, "cs")
+    folks, wed = _kin_list(kin["parent"], "ps", 2), _kin_list(kin["spouse"], "ws")
+    kids = _kin_list(kin["child"], "cs")
     at = lambda c, i: F.try_element_at(F.col(c), F.lit(i))["other"]
     woman = F.try_element_at(F.col("ps"), F.lit(1))["other_sex"] == "female"
     none = F.array().cast(f"array<{_NAME}>")
@@ -135,6 +136,7 @@ def research_facts(
                 F.col("death.place.raw").alias("death_raw"),
                 F.when(woman, at("ps", 2)).otherwise(at("ps", 1)).alias("father"),
                 F.when(woman, at("ps", 1)).otherwise(at("ps", 2)).alias("mother"), at("ws", 1).alias("spouse"),
+                F.coalesce(F.transform("ws", lambda c: c["other"]), none).alias("spouses"),
                 F.coalesce(F.transform("cs", lambda c: c["other"]), none).alias("children"),
             ).alias("facts"),
         )

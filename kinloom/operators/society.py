@@ -35,32 +35,24 @@ def society_rules(spark: SparkSession, rules: list[dict] | None = None) -> DataF
     return spark.createDataFrame([tuple(r.values()) for r in rules or SOCIETY_RULES], schema)
 
 
-def checklist_links(paths: DataFrame) -> DataFrame:
-    """Distinct child -> parent links over all paths of a line, nearest first.
+def checklist_links(parents: DataFrame, on_line: DataFrame) -> DataFrame:
+    """Child -> parent links between people of a line, nearest first.
 
     (tree_id, focal_id, ancestor_id, link_key, child_id, parent_id, generation, link_no)
     """
-    hops = paths.select(
-        *_LINE,
-        F.posexplode(
-            F.arrays_zip(
-                F.expr("slice(steps, 1, size(steps) - 1)").alias("child_id"),
-                F.expr("slice(steps, 2, size(steps) - 1)").alias("parent_id"),
-            )
-        ).alias("pos", "hop"),
-    ).select(*_LINE, "pos", "hop.child_id", "hop.parent_id")
-    links = hops.groupBy(*_LINE, "child_id", "parent_id").agg((F.min("pos") + 1).alias("generation"))
+    child = on_line.select(*_LINE, F.col("person_id").alias("child_id"), (F.col("depth") + 1).alias("generation"))
+    parent = on_line.select(*_LINE, F.col("person_id").alias("parent_id"))
+    links = child.join(parents.select("tree_id", "child_id", "parent_id").distinct(), ["tree_id", "child_id"]).join(
+        parent, [*_LINE, "parent_id"]).select(*_LINE, "child_id", "parent_id", "generation")
     links = links.withColumn("link_key", F.concat("child_id", F.lit("->"), "parent_id"))
     order = Window.partitionBy(*_LINE).orderBy("generation", "link_key")
     return links.withColumn("link_no", F.row_number().over(order))
 
 
-def reachability(lines: DataFrame, paths: DataFrame) -> DataFrame:
-    found = paths.groupBy(*_LINE).agg(F.max("truncated").alias("truncated"))
-    return lines.select(*_LINE).distinct().join(found, _LINE, "left").select(
-        *_LINE, F.col("truncated").isNotNull().alias("reachable"),
-        F.coalesce("truncated", F.lit(False)).alias("truncated"),
-    )
+def reachability(lines: DataFrame, on_line: DataFrame) -> DataFrame:
+    """Whether each line's ancestor is above its focal."""
+    found = on_line.where((F.col("person_id") == F.col("ancestor_id")) & (F.col("depth") > 0)).select(*_LINE, F.lit(True).alias("found"))
+    return lines.select(*_LINE).distinct().join(found, _LINE, "left").select(*_LINE, F.col("found").isNotNull().alias("reachable"))
 
 
 def service_citation(society: Column, number: Column, cited: Column) -> Column:
@@ -78,7 +70,7 @@ def checklist_items(lines: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def evaluate_items(
-    items: DataFrame, proofs: DataFrame, rules: DataFrame, society_id: str = "sar"
+    items: DataFrame, proofs: DataFrame, rules: list[dict] | None = None, society_id: str = "sar"
 ) -> DataFrame:
     """Proof status of every checklist item.
 
@@ -88,11 +80,11 @@ def evaluate_items(
     first older copy.
     """
     is_doc = F.col("kind") == "document"
+    # the rules are configuration on the driver, so the one that applies is a literal
+    cutoff = {r["society_id"]: r["record_copy_cutoff"] for r in rules or SOCIETY_RULES}[society_id]
     per_key = (
         proofs.withColumn("link_key", F.explode(F.array_distinct("covered_keys")))
-        .withColumn("society_id", F.lit(society_id))
-        .join(rules.select("society_id", "record_copy_cutoff"), "society_id")
-        .withColumn("sufficient", F.when(~is_doc, F.col("approved_year") >= F.col("record_copy_cutoff")))
+        .withColumn("sufficient", F.when(~is_doc, F.col("approved_year") >= F.lit(cutoff)))
         .withColumn("priority", F.when(is_doc, 0).when(F.col("sufficient"), 1).otherwise(2))
         .groupBy(*_LINE, "link_key")
         .agg(
@@ -137,13 +129,15 @@ def record_copy_span(links: DataFrame, spans: DataFrame) -> DataFrame:
     """
     start = spans.join(
         links.select(*_LINE, F.col("link_key").alias("start_key"), F.col("link_no").alias("from_no")),
-        [*_LINE, "start_key"], "left",
+        [*_LINE, "start_key"],
     )
-    covered = start.join(links.select(*_LINE, "link_key", "link_no"), _LINE).where(
-        (F.col("link_no") >= F.col("from_no")) & (F.col("link_no") < F.col("from_no") + F.col("generations"))
-    ).select(*_LINE, "start_key", "generations", "link_key", "link_no")
+    last = F.col("from_no") + F.col("generations") - 1
+    numbers = start.where(F.col("generations") > 0).select(
+        *_LINE, "start_key", "generations", F.explode(F.sequence(F.col("from_no").cast("bigint"), last.cast("bigint"))).alias("link_no"))
+    covered = numbers.join(links.select(*_LINE, "link_key", F.col("link_no").cast("bigint").alias("link_no")), [*_LINE, "link_no"]).select(
+        *_LINE, "start_key", "generations", "link_key", "link_no")
     own = spans.where(F.col("start_key") == SERVICE_KEY).select(
-        *_LINE, "start_key", "generations", F.lit(SERVICE_KEY).alias("link_key"), F.lit(0).alias("link_no")
+        *_LINE, "start_key", "generations", F.lit(SERVICE_KEY).alias("link_key"), F.lit(0).cast("bigint").alias("link_no")
     )
     return covered.unionByName(own)
 

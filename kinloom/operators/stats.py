@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kinloom.functions.places import region_of
 
-MAX_REGIONS = 5
 _FOCAL = ["tree_id", "focal_id"]
 
 
@@ -30,12 +29,12 @@ def person_facts(vitals: DataFrame, service: DataFrame) -> DataFrame:
 
 
 def region_tally(facts: DataFrame) -> DataFrame:
-    """Top birth regions per focal: (tree_id, focal_id, rank, region, people)."""
+    """Birth regions per focal, most people first: (tree_id, focal_id, rank, region, people)."""
     counted = facts.where(F.col("region").isNotNull()).groupBy(*_FOCAL, "region").agg(
         F.count(F.lit(1)).alias("people")
     )
     order = Window.partitionBy(*_FOCAL).orderBy(F.desc("people"), "region")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_REGIONS)
+    return counted.withColumn("rank", F.row_number().over(order))
 
 
 def war_tally(facts: DataFrame) -> DataFrame:

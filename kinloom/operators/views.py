@@ -12,7 +12,7 @@ from kinloom.operators.lineage import cut
 from kinloom.operators.numbering import number_rows
 
 # Default reach and size of a view.
-UP, DOWN, BUDGET = 4, 0, 300
+UP, DOWN = 4, 0
 
 _VIEW = ["tree_id", "focal_id"]
 
@@ -39,7 +39,7 @@ def _blood(parents: DataFrame, focals: DataFrame, up: int, down: int) -> DataFra
 
 def ego_members(
     parents: DataFrame, spouses: DataFrame, person: DataFrame, focals: DataFrame,
-    up: int = UP, down: int = DOWN, include_spouses: bool = True, budget: int = BUDGET,
+    up: int = UP, down: int = DOWN, include_spouses: bool = True, *, budget: int | None,
 ) -> DataFrame:
     """(tree_id, focal_id, person_id, generation) kept by the node budget."""
     blood, _ = cut(_blood(parents, focals, up, down))
@@ -56,7 +56,7 @@ def ego_members(
         (F.col("person_id") != F.col("focal_id")), F.col("spouse_only"),
         F.when(~F.col("spouse_only"), F.abs("generation")).otherwise(0), F.col("person_id"),
     )
-    return known.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= budget).select(
+    return known.withColumn("_at", F.row_number().over(order)).where(F.lit(True) if budget is None else F.col("_at") <= budget).select(
         *_VIEW, "person_id", "generation"
     )
 
@@ -140,7 +140,7 @@ def expand(
     return nodes, one.select(*columns).unionByName(two.select(*columns)).distinct()
 
 
-def with_siblings(members: DataFrame, parents: DataFrame, budget: int = BUDGET) -> DataFrame:
+def with_siblings(members: DataFrame, parents: DataFrame, budget: int | None) -> DataFrame:
     """Add siblings of the shown people, in view order, until the budget is used up."""
     members, _ = cut(members)
     shown = members.select("tree_id", "person_id").distinct()
@@ -158,7 +158,7 @@ def with_siblings(members: DataFrame, parents: DataFrame, budget: int = BUDGET)
         .groupBy(*_VIEW, "sibling_id").agg(F.min("at").alias("at"))
         .join(members.select(*_VIEW, F.col("person_id").alias("sibling_id")), [*_VIEW, "sibling_id"], "left_anti")
     )
-    room = members.groupBy(*_VIEW).agg((F.lit(budget) - F.count(F.lit(1))).alias("room"))
+    room = members.groupBy(*_VIEW).agg((F.lit(9223372036854775807 if budget is None else budget) - F.count(F.lit(1))).alias("room"))
     ranked = number_rows(extra, _VIEW, ["at"], "n").join(room, _VIEW)
     taken = ranked.where(F.col("n") <= F.col("room")).select(
         *_VIEW, F.col("sibling_id").alias("person_id"), F.lit(None).cast("int").alias("generation")
@@ -204,12 +204,12 @@ def latest_years(person_event: DataFrame, event: DataFrame) -> DataFrame:
     )
 
 
-def search_people(person: DataFrame, queries: list[str], limit: int = 50) -> DataFrame:
-    """First matches of each typed search text per tree, in file order.
+def search_people(person: DataFrame, queries: list[str]) -> DataFrame:
+    """Matches of each typed search text per tree, ranked in file order.
 
-    The texts travel as literals, so every person row is tested in place. The
-    rank filter is applied before the shuffle too, so at most ``limit`` rows per
-    text and tree leave a task.
+    The texts travel as literals, so every person row is tested in place. A
+    caller who wants the first few filters on ``rank``, which Spark also applies
+    before the shuffle.
     """
     texts = F.array(*[F.lit(q) for q in queries])
     hits = person.select(
@@ -217,21 +217,17 @@ def search_people(person: DataFrame, queries: list[str], limit: int = 50) -> Dat
         F.explode(F.filter(texts, lambda q: name_matches(F.col("names"), q))).alias("query"),
     )
     order = Window.partitionBy("tree_id", "query").orderBy("seq")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
-        "tree_id", "query", "person_id", "rank"
-    )
+    return hits.withColumn("rank", F.row_number().over(order)).select("tree_id", "query", "person_id", "rank")
 
 
-def list_people(person: DataFrame, limit: int = 25) -> DataFrame:
-    """First people of each tree in file order."""
+def list_people(person: DataFrame) -> DataFrame:
+    """People of each tree, ranked in file order."""
     order = Window.partitionBy("tree_id").orderBy("seq")
-    return person.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
-        "tree_id", "person_id", "rank"
-    )
+    return person.withColumn("rank", F.row_number().over(order)).select("tree_id", "person_id", "rank")
 
 
-def pick_ancestors(ordered_ancestors: DataFrame, names: DataFrame, queries: DataFrame, limit: int = 40) -> DataFrame:
-    """First ancestors of each focal whose display name contains the query text.
+def pick_ancestors(ordered_ancestors: DataFrame, names: DataFrame, queries: DataFrame) -> DataFrame:
+    """Ancestors of each focal whose display name contains the query text, ranked by nearness.
 
     ``queries(tree_id, focal_id, query)``: an empty text matches everyone.
     """
@@ -241,9 +237,7 @@ def pick_ancestors(ordered_ancestors: DataFrame, names: DataFrame, queries: Data
         .where((q == "") | F.contains(F.lower("name"), q))
     )
     order = Window.partitionBy(*_VIEW, "query").orderBy("min_depth", "walk_key")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
-        *_VIEW, "query", "person_id", "rank"
-    )
+    return hits.withColumn("rank", F.row_number().over(order)).select(*_VIEW, "query", "person_id", "rank")
 
 
 def next_ids(ids: DataFrame, prefix: str, id_col: str) -> DataFrame:

@@ -55,10 +55,7 @@ EXTRA_YEARS = 215
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan a table; one that fits in fewer splits than there are cores is spread out."""
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _array(items: list[str]) -> Column:
@@ -146,7 +143,7 @@ class Bridge:
         given = F.concat(
             F.substring("c_mktsegment", 1, 1), F.lower(F.expr("substring(c_mktsegment, 2)"))
         )
-        surname = F.concat(F.lit("Sn"), F.expr("substring(c_name, -4)"))
+        surname = F.concat(F.lit("Sn"), F.col("c_name"))
         k = F.col("k")
         name = (
             F.when(k % 29 == 3, "")

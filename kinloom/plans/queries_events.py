@@ -35,7 +35,7 @@ def event_sequence(b: Bridge) -> DataFrame:
 @query
 def line_stops(b: Bridge) -> DataFrame:
     asked = b.lines().select("tree_id", F.col("focal_id").alias("from_id"), F.col("ancestor_id").alias("to_id"))
-    members = events.line_members(paths.relationship_paths(b.parents(), asked))
+    members = events.line_members(paths.relationship_paths(b.parents(), asked, 1))
     return events.stops_of_people(members, b.located()).select(
         "tree_id", "set_id", "event_id", "person_id", big("year"), "sort_key", "place_key"
     )
@@ -119,7 +119,8 @@ def family_stats(b: Bridge) -> DataFrame:
 
 @query
 def top_birth_regions(b: Bridge) -> DataFrame:
-    return stats.region_tally(stats.ancestor_facts(b.ancestors(), _facts(b))).select(
+    """The five most frequent ones of each focal person."""
+    return stats.region_tally(stats.ancestor_facts(b.ancestors(), _facts(b))).where("rank <= 5").select(
         "focal_id", big("rank"), "region", "people"
     )
 
@@ -153,8 +154,8 @@ def merge_survivor_choice(b: Bridge) -> DataFrame:
     return stats.merge_survivors(stats.data_richness(b.person(), b.person_event()), b.pairs())
 
 
-def _line_paths(b: Bridge) -> DataFrame:
-    return cut(paths.ancestral_paths(b.parents(), b.lines()))[0]
+def _on_line(b: Bridge) -> DataFrame:
+    return cut(research.people_on_line(b.ancestors(), b.lines()))[0]
 
 
 def _person_research(b: Bridge) -> DataFrame:
@@ -163,7 +164,7 @@ def _person_research(b: Bridge) -> DataFrame:
 
 @query
 def people_on_line(b: Bridge) -> DataFrame:
-    return research.people_on_line(_line_paths(b), b.lines())
+    return research.people_on_line(b.ancestors(), b.lines()).drop("depth")
 
 
 @query
@@ -173,36 +174,27 @@ def research_person_facts(b: Bridge) -> DataFrame:
     )
 
 
-def _line_facts(b: Bridge) -> DataFrame:
-    on_line = research.people_on_line(_line_paths(b), b.lines())
-    return cut(research.locality_facts(on_line, _person_research(b)))[0]
-
-
 @query
 def locality_report(b: Bridge) -> DataFrame:
-    return research.locality_rows(_line_facts(b)).select(
+    return research.locality_rows(_on_line(b), _person_research(b)).select(
         *LINE, big("place_no"), "place_key", "place_label", "facts", "people", "is_target"
     )
 
 
 @query
 def research_gaps(b: Bridge) -> DataFrame:
-    return research.gap_counts(_line_facts(b))
+    return research.gap_counts(_on_line(b), _person_research(b))
 
 
 @query
 def research_plan_lines(b: Bridge) -> DataFrame:
-    listed = _line_paths(b)
-    on_line = cut(research.people_on_line(listed, b.lines()))[0]
-    facts = cut(research.locality_facts(on_line, _person_research(b)))[0]
-    reach = society.reachability(b.lines(), listed).select(*LINE, "truncated")
     titles = b.lines().withColumn("title", F.concat_ws(" to ", "focal_id", "ancestor_id"))
-    plan = research.markdown_lines(facts, research.locality_rows(facts), on_line, reach, titles)
+    plan = research.markdown_lines(_on_line(b), cut(_person_research(b))[0], titles)
     return plan.withColumn("section", big("section")).withColumn("item", big("item"))
 
 
 def _links(b: Bridge) -> DataFrame:
-    return cut(society.checklist_links(_line_paths(b)))[0]
+    return cut(society.checklist_links(b.parents(), _on_line(b)))[0]
 
 
 @query
@@ -212,12 +204,11 @@ def checklist_links(b: Bridge) -> DataFrame:
 
 @query
 def checklist_reach(b: Bridge) -> DataFrame:
-    return society.reachability(b.lines(), _line_paths(b))
+    return society.reachability(b.lines(), _on_line(b))
 
 
 def _evaluated(b: Bridge) -> DataFrame:
-    rules = society.society_rules(b.spark)
-    return society.evaluate_items(society.checklist_items(b.lines(), _links(b)), b.proofs(), rules)
+    return society.evaluate_items(society.checklist_items(b.lines(), _links(b)), b.proofs())
 
 
 @query

@@ -15,20 +15,20 @@ from kinloom.plans.catalog import big, joined, query
 @query
 def pedigree_collapse(b: Bridge) -> DataFrame:
     return paths.pedigree_collapse(b.parents(), b.focals()).select(
-        "tree_id", "focal_id", "ancestor_id", big("path_count"), big("min_length"), "truncated"
+        "tree_id", "focal_id", "ancestor_id", big("path_count"), big("min_length")
     )
 
 
 @query
 def collapse_paths(b: Bridge) -> DataFrame:
-    return paths.collapse_paths(b.parents(), b.focals()).select(
-        "tree_id", "focal_id", "ancestor_id", big("path_no"), big("length"), joined("steps"), "path_count", "truncated"
+    return paths.collapse_paths(b.parents(), b.focals(), None).select(
+        "tree_id", "focal_id", "ancestor_id", big("path_no"), big("length"), joined("steps"), "path_count"
     )
 
 
 @query
 def collapse_report(b: Bridge) -> DataFrame:
-    listed = paths.collapse_paths(b.parents(), b.focals())
+    listed = paths.collapse_paths(b.parents(), b.focals(), None)
     return kinship.collapse_report(listed, b.person(), b.names()).withColumn("path_no", big("path_no"))
 
 
@@ -79,26 +79,26 @@ def degrees_and_leaves(b: Bridge) -> DataFrame:
 
 @query
 def path_counts(b: Bridge) -> DataFrame:
-    return cl.path_counts(b.parents(), b.focals(), paths.MAX_DEPTH).groupBy("focal_id", "ancestor_id").agg(
+    return cl.path_counts(b.parents(), b.focals()).groupBy("tree_id", "focal_id", "ancestor_id").agg(
         F.sum("paths").cast("bigint").alias("paths")
     )
 
 
 @query
 def ancestral_paths(b: Bridge) -> DataFrame:
-    return paths.ancestral_paths(b.parents(), b.lines()).select(
-        "tree_id", "focal_id", "ancestor_id", big("path_no"), big("length"), joined("steps"), "truncated"
+    return paths.ancestral_paths(b.parents(), b.lines(), None).select(
+        "tree_id", "focal_id", "ancestor_id", big("path_no"), big("length"), joined("steps"), big("path_count")
     )
 
 
 def _pair_paths(b: Bridge) -> DataFrame:
-    return paths.relationship_paths(b.parents(), b.pairs())
+    return paths.relationship_paths(b.parents(), b.pairs(), None)
 
 
 @query
 def relationship_paths(b: Bridge) -> DataFrame:
     return _pair_paths(b).select(
-        "tree_id", "from_id", "to_id", big("path_no"), big("length"), joined("steps"), "truncated"
+        "tree_id", "from_id", "to_id", big("path_no"), big("length"), joined("steps"), big("path_count")
     )
 
 
@@ -128,14 +128,14 @@ def common_ancestors(b: Bridge) -> DataFrame:
 
 @query
 def nearest_common_ancestors(b: Bridge) -> DataFrame:
-    return kinship.nearest_common_ancestors(b.parents(), b.pairs()).select(
+    return kinship.nearest_common_ancestors(b.parents(), b.pairs(), b.ancestors()).select(
         "tree_id", "from_id", "to_id", "ancestor_id", big("gen_from"), big("gen_to")
     )
 
 
 @query
 def relationship_terms(b: Bridge) -> DataFrame:
-    return kinship.describe_relationships(b.parents(), b.person(), b.pairs())
+    return kinship.describe_relationships(b.parents(), b.person(), b.pairs(), b.ancestors())
 
 
 @query
@@ -167,7 +167,7 @@ def co_parents(b: Bridge) -> DataFrame:
     )
 
 
-def _ego(b: Bridge, up: int = 4, down: int = 0, budget: int = views.BUDGET) -> DataFrame:
+def _ego(b: Bridge, up: int = 4, down: int = 0, budget: int | None = None) -> DataFrame:
     return cut(views.ego_members(b.parents(), b.spouses(), b.person_raw(), b.focals(), up, down, budget=budget))[0]
 
 
@@ -220,7 +220,7 @@ def sibling_view(b: Bridge) -> DataFrame:
 @query
 def induced_view(b: Bridge) -> DataFrame:
     """Sibling-augmented node set with generations of both directions and flags."""
-    members = cut(views.with_siblings(_ego(b, 2, 1), b.parents()).select("tree_id", "focal_id", "person_id"))[0]
+    members = cut(views.with_siblings(_ego(b, 2, 1), b.parents(), None).select("tree_id", "focal_id", "person_id"))[0]
     gens = cl.focal_generations(b.ancestors(), b.descendants(), b.focals())
     nodes = members.join(gens, ["tree_id", "focal_id", "person_id"], "left")
     return _flagged(views.flag_nodes(nodes, members, b.parents(), b.spouses(), b.collapse()))
@@ -245,8 +245,8 @@ def latest_years(b: Bridge) -> DataFrame:
 @query
 def next_ids(b: Bridge) -> DataFrame:
     return views.next_ids(b.person_raw(), "I", "person_id").withColumnRenamed("next_id", "next_person").join(
-        views.next_ids(b.family(), "FU", "family_id").withColumnRenamed("next_id", "next_family"), "tree_id"
-    )
+        views.next_ids(b.family(), "FU", "family_id").withColumnRenamed("next_id", "next_family"), "tree_id", "left"
+    ).withColumn("next_family", F.coalesce("next_family", F.lit("FU1")))
 
 
 @query

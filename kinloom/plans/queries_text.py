@@ -167,7 +167,8 @@ def research_facts(b: Bridge) -> DataFrame:
         "person_id", F.col("facts.self.full").alias("full_name"), "facts.sex", big("facts.birth_year"),
         "facts.birth_raw", big("facts.death_year"), "facts.death_raw",
         F.col("facts.father.full").alias("father"), F.col("facts.mother.full").alias("mother"),
-        F.col("facts.spouse.full").alias("spouse"), F.array_join(full("facts.children"), "|").alias("children"),
+        F.col("facts.spouse.full").alias("spouse"), F.array_join(full("facts.spouses"), "|").alias("spouses"),
+        F.array_join(full("facts.children"), "|").alias("children"),
     )
 
 

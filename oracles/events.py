@@ -81,7 +81,7 @@ SELECT s.person_id, e.event_id FROM ev e JOIN fs s ON e.family_id = s.family_id"
         """lp AS (SELECT * FROM (SELECT l.tree_id, l.focal_id, l.ancestor_id, list_concat(a.steps, list_reverse(b.steps)[2:]) AS steps,
     row_number() OVER (PARTITION BY l.focal_id, l.ancestor_id ORDER BY list_concat(a.ukey, b.dkey)) AS rn
   FROM lines l JOIN trails a ON a.focal_id = l.focal_id JOIN trails b ON b.focal_id = l.ancestor_id AND b.tip = a.tip
-  WHERE l.focal_id <> l.ancestor_id AND a.len + b.len <= 25 AND len(list_intersect(a.steps, b.steps)) = 1) WHERE rn = 1),
+  WHERE l.focal_id <> l.ancestor_id AND len(list_intersect(a.steps, b.steps)) = 1) WHERE rn = 1),
 lm AS (SELECT tree_id, focal_id || '>' || ancestor_id AS set_id, unnest(range(1, len(steps) + 1)) AS pos, unnest(steps) AS person_id FROM lp)""",
         """SELECT tree_id, set_id, event_id, person_id, year, sort_key, place_key FROM (SELECT m.tree_id, m.set_id, l.event_id, l.person_id, l.year, l.sort_key, l.place_key,
   row_number() OVER (PARTITION BY m.set_id, l.event_id ORDER BY m.pos) AS rn FROM lm m JOIN located l ON l.person_id = m.person_id) WHERE rn = 1""",
@@ -154,7 +154,7 @@ UNION ALL SELECT f.tree_id, f.focal_id, f.ancestor_id, r.place_no, row_number()
 FROM lf f JOIN lr r ON r.focal_id = f.focal_id AND r.ancestor_id = f.ancestor_id AND r.place_key = f.place_key""", *ALLEV_NEEDS),
     "checklist_links": more(LINKS, "SELECT tree_id, focal_id, ancestor_id, link_key, generation, link_no FROM lk", "anc", "lines"),
     "checklist_reach": build(
-        """SELECT l.tree_id, l.focal_id, l.ancestor_id, max(a.n) IS NOT NULL AS reachable, coalesce(max(a.n) > 200, false) AS truncated FROM lines l
+        """SELECT l.tree_id, l.focal_id, l.ancestor_id, max(a.n) IS NOT NULL AS reachable FROM lines l
   LEFT JOIN anc a ON a.focal_id = l.focal_id AND a.ancestor_id = l.ancestor_id GROUP BY ALL""", "anc", "lines"),
     "checklist_items": more(LINKS, "SELECT * FROM evl", "anc", "lines"),
     "checklist_summary": more(

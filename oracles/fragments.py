@@ -47,7 +47,7 @@ def frag(name: str, needs: list[str], sql: str) -> None:
 
 frag("p0", [], """SELECT c_custkey AS k, c_custkey // 64 AS t, c_custkey % 64 // 8 AS layer, c_custkey % 8 AS pos,
   'T' || (c_custkey // 64) AS tree_id, 'I' || c_custkey AS person_id, c_nationkey::BIGINT AS nk,
-  substr(c_mktsegment, 1, 1) || lower(substr(c_mktsegment, 2)) AS given, 'Sn' || right(c_name, 4) AS surname FROM customer""")
+  substr(c_mktsegment, 1, 1) || lower(substr(c_mktsegment, 2)) AS given, 'Sn' || c_name AS surname FROM customer""")
 
 frag("praw", ["p0"], """SELECT *, CASE WHEN k % 29 = 3 THEN '' WHEN k % 13 = 0 THEN given || ' ' || surname
   WHEN k % 17 = 0 THEN given || ' /' || surname WHEN k % 11 = 0 THEN given || ' /' || upper(surname) || '/ Jr'
@@ -98,7 +98,7 @@ frag("trails", ["po", "p0"], """SELECT tree_id, person_id AS focal_id, person_id
     [0::BIGINT][:0] AS ukey, [0::BIGINT][:0] AS dkey FROM p0
   UNION ALL SELECT r.tree_id, r.focal_id, p.parent_id, r.len + 1, list_append(r.steps, p.parent_id),
     list_concat(r.ukey, [0::BIGINT, p.f::BIGINT, p.pord::BIGINT]), list_concat([1::BIGINT, p.f::BIGINT, p.cord::BIGINT], r.dkey)
-  FROM trails r JOIN po p ON r.tip = p.child_id WHERE r.len < 25""")
+  FROM trails r JOIN po p ON r.tip = p.child_id""")
 frag("up", ["trails"], """SELECT tree_id, focal_id, tip AS person_id, min(len)::BIGINT AS depth, count(*)::BIGINT AS paths
   FROM trails WHERE len > 0 GROUP BY ALL""")
 frag("up0", ["trails"], "SELECT tree_id, focal_id, tip AS person_id, min(len)::BIGINT AS depth FROM trails GROUP BY ALL")
@@ -115,11 +115,11 @@ frag("lam", ["trails", "pairs"], """SELECT * FROM (SELECT *, row_number() OVER (
   SELECT q.tree_id, q.from_id, q.to_id, a.len + b.len AS length, list_concat(a.steps, list_reverse(b.steps)[2:]) AS steps,
     list_concat(a.ukey, b.dkey) AS pkey
   FROM pairs q JOIN trails a ON a.focal_id = q.from_id JOIN trails b ON b.focal_id = q.to_id AND b.tip = a.tip
-  WHERE q.from_id <> q.to_id AND a.len + b.len <= 25 AND len(list_intersect(a.steps, b.steps)) = 1)) WHERE path_no <= 200""")
+  WHERE q.from_id <> q.to_id AND len(list_intersect(a.steps, b.steps)) = 1))""")
 frag("anc", ["trails", "lines"], """SELECT * FROM (SELECT l.tree_id, l.focal_id, l.ancestor_id, r.len AS length, r.steps,
     row_number() OVER (PARTITION BY l.focal_id, l.ancestor_id ORDER BY r.ukey) AS path_no,
     count(*) OVER (PARTITION BY l.focal_id, l.ancestor_id) AS n
-  FROM lines l JOIN trails r ON r.focal_id = l.focal_id AND r.tip = l.ancestor_id AND r.len > 0) WHERE path_no <= 200""")
+  FROM lines l JOIN trails r ON r.focal_id = l.focal_id AND r.tip = l.ancestor_id AND r.len > 0)""")
 
 frag("eraw", ["p0", "fam"], f"""SELECT tree_id, person_id || '-BIRT-0' AS event_id, k AS seq, person_id AS owner_id,
     NULL::VARCHAR AS family_id, 0::BIGINT AS ord, 'birth' AS type, 'BIRT' AS raw_tag, {date_text('k', Y)} AS date_raw,

@@ -15,15 +15,14 @@ TERM = f"""CASE WHEN from_id = to_id THEN 'self' WHEN up IS NOT NULL THEN {linea
 
 COMMON = """common AS (SELECT q.tree_id, q.from_id, q.to_id, a.person_id AS ancestor_id, a.depth AS from_depth, b.depth AS to_depth
   FROM pairs q JOIN up a ON a.focal_id = q.from_id JOIN up b ON b.focal_id = q.to_id AND b.person_id = a.person_id WHERE q.from_id <> q.to_id)"""
-# Distances follow the listed paths: the shortest among the first 200.
 NEAREST = COMMON + """,
 near AS (SELECT * FROM common c WHERE NOT EXISTS (SELECT 1 FROM common y JOIN up u ON u.focal_id = y.ancestor_id
   WHERE y.from_id = c.from_id AND y.to_id = c.to_id AND u.person_id = c.ancestor_id)),
 legs AS (SELECT DISTINCT f, x FROM (SELECT from_id AS f, ancestor_id AS x FROM near UNION ALL SELECT to_id, ancestor_id FROM near)),
 legp AS (SELECT f, x, len, row_number() OVER (PARTITION BY f, x ORDER BY pkey) AS rn FROM (
   SELECT l.f, l.x, a.len + b.len AS len, list_concat(a.ukey, b.dkey) AS pkey FROM legs l JOIN trails a ON a.focal_id = l.f
-  JOIN trails b ON b.focal_id = l.x AND b.tip = a.tip WHERE len(list_intersect(a.steps, b.steps)) = 1 AND a.len + b.len <= 25)),
-dist AS (SELECT f, x, min(len)::BIGINT AS d FROM legp WHERE rn <= 200 GROUP BY ALL),
+  JOIN trails b ON b.focal_id = l.x AND b.tip = a.tip WHERE len(list_intersect(a.steps, b.steps)) = 1)),
+dist AS (SELECT f, x, min(len)::BIGINT AS d FROM legp GROUP BY ALL),
 nca AS (SELECT n.tree_id, n.from_id, n.to_id, n.ancestor_id, p.d AS gen_from, q.d AS gen_to FROM near n
   LEFT JOIN dist p ON p.f = n.from_id AND p.x = n.ancestor_id LEFT JOIN dist q ON q.f = n.to_id AND q.x = n.ancestor_id)"""
 
@@ -32,7 +31,7 @@ def more(ctes: str, final: str, *needs: str) -> str:
     return build("@@", *needs).rsplit("\n@@", 1)[0] + ",\n" + ctes + "\n" + final
 
 
-def ego(up: int, down: int, budget: int, name: str = "ego") -> str:
+def ego(up: int, down: int, budget: int | None, name: str = "ego") -> str:
     """Members of the views of every person."""
     return f"""gb AS (SELECT tree_id, person_id AS focal_id, person_id, 0::BIGINT AS g, 0 AS ph, 0 AS d, [0::BIGINT][:0] AS kk FROM p0
   UNION ALL SELECT tree_id, focal_id, person_id, depth, 1, depth, wkey FROM walk WHERE depth <= {up}
@@ -41,7 +40,7 @@ gs AS (SELECT b.tree_id, b.focal_id, s.spouse_id AS person_id, min_by(b.g, (b.ph
   WHERE NOT EXISTS (SELECT 1 FROM gb o WHERE o.focal_id = b.focal_id AND o.person_id = s.spouse_id) GROUP BY ALL),
 gr AS (SELECT *, row_number() OVER (PARTITION BY focal_id ORDER BY person_id <> focal_id, so, CASE WHEN so THEN 0 ELSE abs(g) END, person_id) AS rn
   FROM (SELECT tree_id, focal_id, person_id, g, false AS so FROM gb UNION ALL SELECT tree_id, focal_id, person_id, g, true FROM gs)),
-{name} AS (SELECT tree_id, focal_id, person_id, g FROM gr WHERE rn <= {budget})"""
+{name} AS (SELECT tree_id, focal_id, person_id, g FROM gr WHERE {f'rn <= {budget}' if budget else 'true'})"""
 
 
 # Breadth-first keys going down: (fseq, cord) per step, smallest among shortest walks.
@@ -87,16 +86,15 @@ EGO_NEEDS = ("walk", "trails", "sp", "p0", "po", "nb", "edges", "coll")
 
 ORACLES = {
     "pedigree_collapse": build(
-        "SELECT tree_id, focal_id, ancestor_id, least(paths, 200) AS path_count, depth AS min_length, paths > 200 AS truncated FROM coll", "coll"),
+        "SELECT tree_id, focal_id, ancestor_id, paths AS path_count, depth AS min_length FROM coll", "coll"),
     "collapse_paths": build(
-        """SELECT tree_id, focal_id, tip AS ancestor_id, rn AS path_no, len AS length, array_to_string(steps, '>') AS steps, least(n, 200) AS path_count,
-  n > 200 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY focal_id, tip ORDER BY ukey) AS rn,
-  count(*) OVER (PARTITION BY focal_id, tip) AS n FROM trails WHERE len > 0) WHERE n > 1 AND rn <= 200""", "trails"),
+        """SELECT tree_id, focal_id, tip AS ancestor_id, rn AS path_no, len AS length, array_to_string(steps, '>') AS steps, n AS path_count FROM (SELECT *, row_number() OVER (PARTITION BY focal_id, tip ORDER BY ukey) AS rn,
+  count(*) OVER (PARTITION BY focal_id, tip) AS n FROM trails WHERE len > 0) WHERE n > 1""", "trails"),
     "collapse_report": build(
-        f"""SELECT r.tree_id, r.focal_id, tip AS ancestor_id, rn AS path_no, p.name || ' — reached ' || least(n, 200) || ' ways' || CASE WHEN n > 200 THEN '+' ELSE '' END AS heading,
+        f"""SELECT r.tree_id, r.focal_id, tip AS ancestor_id, rn AS path_no, p.name || ' — reached ' || n || ' ways' AS heading,
   'your ' || {lineal('len', FATHER.replace('CASE sex', 'CASE p.sex'))} || ' via ' || v.name || '’s line' AS line
 FROM (SELECT *, row_number() OVER (PARTITION BY focal_id, tip ORDER BY ukey) AS rn, count(*) OVER (PARTITION BY focal_id, tip) AS n
-  FROM trails WHERE len > 0) r JOIN person p ON p.person_id = r.tip JOIN person v ON v.person_id = r.steps[2] WHERE n > 1 AND rn <= 200""",
+  FROM trails WHERE len > 0) r JOIN person p ON p.person_id = r.tip JOIN person v ON v.person_id = r.steps[2] WHERE n > 1""",
         "trails", "person"),
     "graph_edges": build("SELECT * FROM edges", "edges"),
     "adjacency_order": build(
@@ -117,11 +115,11 @@ UNION ALL SELECT tree_id, 'spouse', person_id, spouse_id, row_number() OVER (PAR
         """SELECT p.tree_id, p.person_id, (SELECT count(*) FROM po WHERE child_id = p.person_id) + (SELECT count(*) FROM po WHERE parent_id = p.person_id)
   + (SELECT count(*) FROM sp WHERE sp.person_id = p.person_id) AS degree, NOT EXISTS (SELECT 1 FROM po WHERE parent_id = p.person_id) AS is_leaf FROM p0 p""",
         "po", "sp", "p0"),
-    "path_counts": build("SELECT focal_id, person_id AS ancestor_id, paths FROM up", "up"),
+    "path_counts": build("SELECT tree_id, focal_id, person_id AS ancestor_id, paths FROM up", "up"),
     "ancestral_paths": build(
-        """SELECT tree_id, focal_id, ancestor_id, path_no, length, array_to_string(steps, '>') AS steps, n > 200 AS truncated FROM anc""", "anc"),
+        """SELECT tree_id, focal_id, ancestor_id, path_no, length, array_to_string(steps, '>') AS steps, n AS path_count FROM anc""", "anc"),
     "relationship_paths": build(
-        """SELECT tree_id, from_id, to_id, path_no, length, array_to_string(steps, '>') AS steps, n > 200 AS truncated FROM lam""", "lam"),
+        """SELECT tree_id, from_id, to_id, path_no, length, array_to_string(steps, '>') AS steps, n AS path_count FROM lam""", "lam"),
     "path_listing": build(
         """SELECT tree_id, from_id, to_id, path_no, '#' || path_no || ' (' || length || ' step' || CASE WHEN length = 1 THEN '' ELSE 's' END || '): ' || names AS listing
 FROM (SELECT l.tree_id, l.from_id, l.to_id, l.path_no, l.length, string_agg(p.name, ' → ' ORDER BY l.i) AS names FROM (
@@ -151,18 +149,18 @@ FROM (SELECT l.tree_id, l.from_id, l.to_id, l.path_no, l.length, string_agg(p.na
     "co_parents": build(
         """SELECT a.tree_id, a.family_id, a.person_id AS parent_id, b.person_id AS co_parent_id FROM fs a JOIN fs b ON a.family_id = b.family_id
   AND a.person_id <> b.person_id""", "fs"),
-    "ego_nodes": more(DWALK + "," + ego(4, 0, 300), flags("ego", "ego"), *EGO_NEEDS),
-    "ego_edges": more(DWALK + "," + ego(4, 0, 300), induced("ego"), *EGO_NEEDS),
+    "ego_nodes": more(DWALK + "," + ego(4, 0, None), flags("ego", "ego"), *EGO_NEEDS),
+    "ego_edges": more(DWALK + "," + ego(4, 0, None), induced("ego"), *EGO_NEEDS),
     "ego_budget": more(DWALK + "," + ego(3, 2, 12), "SELECT tree_id, focal_id, person_id, g AS generation FROM ego", *EGO_NEEDS),
-    "blood_edges": more(DWALK + "," + ego(2, 1, 300), f"SELECT * FROM ({induced('ego')}) WHERE type <> 'spouseOf'", *EGO_NEEDS),
-    "expanded_nodes": more(DWALK + "," + ego(1, 0, 300) + "," + EXPAND, flags("added", "after"), *EGO_NEEDS),
+    "blood_edges": more(DWALK + "," + ego(2, 1, None), f"SELECT * FROM ({induced('ego')}) WHERE type <> 'spouseOf'", *EGO_NEEDS),
+    "expanded_nodes": more(DWALK + "," + ego(1, 0, None) + "," + EXPAND, flags("added", "after"), *EGO_NEEDS),
     "expanded_edges": more(
-        DWALK + "," + ego(1, 0, 300) + "," + EXPAND,
+        DWALK + "," + ego(1, 0, None) + "," + EXPAND,
         f"""SELECT i.* FROM ({induced('after')}) i WHERE EXISTS (SELECT 1 FROM added d WHERE d.focal_id = i.focal_id AND d.person_id IN (i.from_id, i.to_id))""",
         *EGO_NEEDS),
-    "sibling_view": more(DWALK + "," + ego(2, 0, 300) + "," + sibling_view(20), "SELECT * FROM sv", *EGO_NEEDS),
+    "sibling_view": more(DWALK + "," + ego(2, 0, None) + "," + sibling_view(20), "SELECT * FROM sv", *EGO_NEEDS),
     "induced_view": more(
-        DWALK + "," + ego(2, 1, 300) + "," + sibling_view(300)
+        DWALK + "," + ego(2, 1, None) + "," + sibling_view(2**40)
         + """, gg AS (SELECT focal_id, person_id, depth AS g FROM up0 UNION ALL SELECT person_id, focal_id, -depth FROM up),
 vn AS (SELECT sv.tree_id, sv.focal_id, sv.person_id, gg.g FROM sv LEFT JOIN gg ON gg.focal_id = sv.focal_id AND gg.person_id = sv.person_id)""",
         flags("vn", "sv"), *EGO_NEEDS, "up", "up0"),
@@ -176,7 +174,6 @@ FROM (SELECT p.*, (SELECT count(*) FROM nb WHERE nb.person_id = p.person_id) AS
     "next_ids": build("SELECT tree_id, 'I' || (max(k) + 1) AS next_person, 'FU1' AS next_family FROM p0 GROUP BY ALL", "p0"),
     "ancestor_picker": build(
         """SELECT w.tree_id, w.focal_id, q.query, w.person_id, row_number() OVER (PARTITION BY w.focal_id, q.query ORDER BY w.depth, w.wkey) AS rank
-FROM walk w JOIN person p ON p.person_id = w.person_id JOIN (SELECT '' AS query UNION ALL SELECT 'mach') q ON contains(lower(p.name), q.query)
-QUALIFY row_number() OVER (PARTITION BY w.focal_id, q.query ORDER BY w.depth, w.wkey) <= 40""", "walk", "person"),
+FROM walk w JOIN person p ON p.person_id = w.person_id JOIN (SELECT '' AS query UNION ALL SELECT 'mach') q ON contains(lower(p.name), q.query)""", "walk", "person"),
 }
 

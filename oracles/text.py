@@ -168,10 +168,9 @@ ORACLES = {
         "SELECT person_id, name AS shown, trim(name) AS sketch, trim(name_or_id) AS locality FROM person", "person"),
     "name_search": build(
         f"""SELECT tree_id, query, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, query ORDER BY k) AS rank
-  FROM (SELECT DISTINCT * FROM ({_SEARCH}))) WHERE rank <= 50""", "pname"),
+  FROM (SELECT DISTINCT * FROM ({_SEARCH})))""", "pname"),
     "people_list": build(
-        """SELECT tree_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY k) AS rank FROM p0)
-  WHERE rank <= 25""", "p0"),
+        """SELECT tree_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY k) AS rank FROM p0)""", "p0"),
     "places_parsed": build("SELECT event_id, raw, normalized, array_to_string(parts, '|') AS parts FROM places", "places"),
     "place_dimension": build("SELECT tree_id, normalized, raw, array_to_string(parts, '|') AS parts, uses FROM pdim", "pdim"),
     "interned_places": build("SELECT event_id, place_raw FROM ev", "ev"),
@@ -200,7 +199,7 @@ ORACLES = {
         "person"),
     "research_facts": build("SELECT 1", "person", "po", "sp", "vit").rsplit("\nSELECT 1", 1)[0] + "," + _FACTS + """
 SELECT n.person_id, n.f AS full_name, n.sex, v.byr AS birth_year, v.bp AS birth_raw, v.dyr AS death_year, v.dp AS death_raw, father, mother,
-  sf[1] AS spouse, coalesce(array_to_string(kf[:8], '|'), '') AS children
+  sf[1] AS spouse, coalesce(array_to_string(sf, '|'), '') AS spouses, coalesce(array_to_string(kf, '|'), '') AS children
 FROM nm n JOIN vit v USING (person_id) LEFT JOIN folks ON folks.child_id = n.person_id LEFT JOIN wed USING (person_id) LEFT JOIN kid USING (person_id)""",
     "search_links": build("SELECT 1", "person", "po", "sp", "vit").rsplit("\nSELECT 1", 1)[0] + "," + _FACTS + f"""
 SELECT n.person_id, 'https://www.ancestry.com/search/?' || concat_ws('&', 'name=' || nullif({packed('n.g', 'n.s', 'n.f')}, ''),

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinloom.operators import closure, kinship, paths, quality
+from kinloom.operators import closure, kinship, paths, quality, research, society
 from kinloom.operators.numbering import number_rows
 
 PARENTS = "tree_id string, parent_id string, child_id string, family_id string, fseq bigint, pord int, cord int"
@@ -26,28 +26,23 @@ def adjacency(edges):
     return up, down
 
 
-def climb(edges, start, cap, depth):
-    """First ``cap`` upward paths per ancestor in depth-first order, and whether more exist."""
-    up, found, more = adjacency(edges)[0], {}, set()
+def climb(edges, start):
+    """All upward paths per ancestor in depth-first order."""
+    up, found = adjacency(edges)[0], {}
 
     def go(trail):
         if len(trail) > 1:
-            mine = found.setdefault(trail[-1], [])
-            if len(mine) < cap:
-                mine.append(tuple(trail))
-            else:
-                more.add(trail[-1])
-        if len(trail) <= depth:
-            for p in up.get(trail[-1], []):
-                if p not in trail:
-                    go([*trail, p])
+            found.setdefault(trail[-1], []).append(tuple(trail))
+        for p in up.get(trail[-1], []):
+            if p not in trail:
+                go([*trail, p])
 
     go([start])
-    return found, more
+    return found
 
 
-def bends(edges, a, b, cap, depth):
-    """First ``cap`` paths up and then down again, in depth-first order."""
+def bends(edges, a, b):
+    """All paths up and then down again, in depth-first order."""
     up, down = adjacency(edges)
     out = []
 
@@ -55,8 +50,6 @@ def bends(edges, a, b, cap, depth):
         if trail[-1] == b:
             out.append(tuple(trail))
             return
-        if len(trail) > depth:
-            return
         if rising:
             for p in up.get(trail[-1], []):
                 if p not in trail:
@@ -67,7 +60,7 @@ def bends(edges, a, b, cap, depth):
 
     if a != b:
         go([a], True)
-    return out[:cap]
+    return out
 
 
 def random_dag(rng, people, links):
@@ -78,20 +71,81 @@ def random_dag(rng, people, links):
     return sorted(edges, key=lambda _: rng.random())
 
 
-DIAMONDS = [
-    (c, p) for i in range(3) for c, p in ((f"D{i}", f"L{i}"), (f"D{i}", f"R{i}"), (f"L{i}", f"D{i + 1}"), (f"R{i}", f"D{i + 1}"))
-]
+def diamonds(n):
+    """n diamonds on top of each other: 2 ** n paths from D0 to Dn, each 2 * n steps long."""
+    return [
+        (c, p) for i in range(n)
+        for c, p in ((f"D{i}", f"L{i}"), (f"D{i}", f"R{i}"), (f"L{i}", f"D{i + 1}"), (f"R{i}", f"D{i + 1}"))
+    ]
+
+
+def lines_of(spark, *rows):
+    return spark.createDataFrame([("T", *r) for r in rows], "tree_id string, focal_id string, ancestor_id string")
+
 
+def test_three_diamonds(spark):
+    parents = table(spark, {"T": diamonds(3)})
+    lines = lines_of(spark, ("D0", "D3"))
+    for first in (None, 5):
+        got = paths.ancestral_paths(parents, lines, first).collect()
+        assert len(got) == min(8, first or 8) and {r.path_count for r in got} == {8}
+    found = {r.ancestor_id: (r.path_count, r.min_length) for r in paths.pedigree_collapse(parents, lines.select("tree_id", "focal_id")).collect()}
+    assert found == {"D1": (2, 2), "D2": (4, 4), "D3": (8, 6), **{f"{s}{i}": (2**i, 2 * i + 1) for s in "LR" for i in (1, 2)}}
 
-def test_three_diamonds_and_caps(spark):
-    parents = table(spark, {"T": DIAMONDS})
-    lines = spark.createDataFrame([("T", "D0", "D3")], "tree_id string, focal_id string, ancestor_id string")
-    count = lambda **kw: paths.ancestral_paths(parents, lines, **kw).count()
-    assert [count(), count(max_paths=5), count(max_depth=5), count(max_depth=6)] == [8, 5, 0, 8]
+
+def test_thirty_generations_and_a_billion_paths(spark):
+    """Counts, lines and checklists need no path."""
+    parents = table(spark, {"T": diamonds(30)})
+    lines = lines_of(spark, ("D0", "D30"))
     focal = lines.select("tree_id", "focal_id")
-    top = lambda df: {r.ancestor_id: (r.path_count, r.min_length, r.truncated) for r in df.collect()}
-    assert top(paths.pedigree_collapse(parents, focal))["D3"] == (8, 6, False)
-    assert top(paths.pedigree_collapse(parents, focal, max_paths=5))["D3"] == (5, 6, True)
+    top = {r.ancestor_id: (r.path_count, r.min_length) for r in paths.pedigree_collapse(parents, focal).collect()}
+    assert top["D30"] == (2**30, 60) and len(top) == 30 + 2 * 29
+    everybody = spark.createDataFrame(
+        [("T", f"{k}{i}") for k in "DLR" for i in range(31)], "tree_id string, focal_id string")
+    above = closure.closure(parents, everybody).cache()
+    on_line = research.people_on_line(above, lines)
+    assert on_line.count() == 91
+    links = society.checklist_links(parents, on_line).collect()
+    assert len(links) == 120 and max(r.generation for r in links) == 60 and {r.link_no for r in links} == set(range(1, 121))
+    assert [r.reachable for r in society.reachability(lines, on_line).collect()] == [True]
+
+
+def test_more_than_two_hundred_paths_are_listed(spark):
+    parents = table(spark, {"T": diamonds(8)})
+    lines = lines_of(spark, ("D0", "D8"))
+    listed = paths.ancestral_paths(parents, lines, None).collect()
+    assert sorted(r.path_no for r in listed) == list(range(1, 257)) and {r.path_count for r in listed} == {256}
+    first = paths.ancestral_paths(parents, lines, 7).collect()
+    assert {r.path_no: r.steps for r in first} == {r.path_no: r.steps for r in listed if r.path_no <= 7}
+    pairs = lines.select("tree_id", F.col("focal_id").alias("from_id"), F.col("ancestor_id").alias("to_id"))
+    bent = paths.relationship_paths(parents, pairs, 3).collect()
+    assert len(bent) == 3 and {r.path_count for r in bent} == {256}
+
+
+def test_a_distant_relation_is_found(spark):
+    """Twenty generations up and twenty down."""
+    edges = [(f"{s}{i}", f"{s}{i + 1}" if i < 19 else "TOP") for s in "AB" for i in range(20)]
+    parents = table(spark, {"T": edges})
+    pairs = spark.createDataFrame([("T", "A0", "B0"), ("T", "A0", "A19")], "tree_id string, from_id string, to_id string")
+    assert {r.to_id: r.distance for r in kinship.path_distances(parents, pairs).collect()} == {"B0": 40, "A19": 19}
+    assert {r.to_id: r.length for r in paths.relationship_paths(parents, pairs, None).collect()} == {"B0": 40, "A19": 19}
+    person = spark.createDataFrame([("T", "B0", "male"), ("T", "A19", "female")], "tree_id string, person_id string, sex string")
+    got = {r.to_id: r.term for r in kinship.describe_relationships(parents, person, pairs).collect()}
+    assert "cousin" in got["B0"] and got["A19"].endswith("great-grandmother")
+
+
+def test_long_lines_above_and_beside_a_loop(spark):
+    """Lines of 40 steps with a loop on top are counted over simple paths; those beside it as ever."""
+    chain = [(f"P{i}", f"P{i + 1}") for i in range(40)]
+    loop = [("P40", "X"), ("X", "Y"), ("Y", "P40")]
+    parents = table(spark, {"T": chain + loop, "U": diamonds(15)})
+    focals = spark.createDataFrame([("T", "P0"), ("T", "P39"), ("U", "D0")], "tree_id string, focal_id string")
+    got = {}
+    for r in closure.path_counts(parents, focals).collect():
+        got.setdefault((r.tree_id, r.focal_id), {})[r.ancestor_id] = got.get((r.tree_id, r.focal_id), {}).get(r.ancestor_id, 0) + r.paths
+    assert got[("U", "D0")]["D15"] == 2**15
+    assert got[("T", "P0")] == {**{f"P{i}": 1 for i in range(1, 41)}, "X": 1, "Y": 1}
+    assert got[("T", "P39")] == {"P40": 1, "X": 1, "Y": 1}
 
 
 def test_random_graphs_match_depth_first_search(spark):
@@ -100,22 +154,43 @@ def test_random_graphs_match_depth_first_search(spark):
     parents = table(spark, trees)
     people = [(t, f"P{i}") for t in trees for i in range(9)]
     focals = spark.createDataFrame(people, "tree_id string, focal_id string")
-    for cap, depth in ((200, 25), (2, 25), (3, 4)):
+    want = {}
+    for t, who in people:
+        for anc, ps in climb(trees[t], who).items():
+            if len(ps) > 1:
+                want[(t, who, anc)] = ps
+    for first in (None, 2):
         got = {}
-        for r in paths.collapse_paths(parents, focals, cap, depth).collect():
-            got.setdefault((r.tree_id, r.focal_id, r.ancestor_id), []).append((r.path_no, tuple(r.steps), r.truncated))
-        short = {
-            (r.tree_id, r.focal_id, r.ancestor_id): (r.path_count, r.min_length, r.truncated)
-            for r in paths.pedigree_collapse(parents, focals, cap, depth).collect()
-        }
+        for r in paths.collapse_paths(parents, focals, first).collect():
+            got.setdefault((r.tree_id, r.focal_id, r.ancestor_id), []).append((r.path_no, tuple(r.steps), r.path_count))
+        assert {k: sorted(v) for k, v in got.items()} == {
+            k: [(i + 1, p, len(v)) for i, p in enumerate(v[:first])] for k, v in want.items()}
+    short = {(r.tree_id, r.focal_id, r.ancestor_id): (r.path_count, r.min_length) for r in paths.pedigree_collapse(parents, focals).collect()}
+    assert short == {k: (len(v), min(len(p) - 1 for p in v)) for k, v in want.items()}
+
+
+def test_lines_and_links_match_the_paths(spark):
+    rng = random.Random(5)
+    trees = {f"T{i}": random_dag(rng, 9, 15) for i in range(8)}
+    parents = table(spark, trees)
+    people = [(t, f"P{i}") for t in trees for i in range(9)]
+    above = closure.closure(parents, spark.createDataFrame(people, "tree_id string, focal_id string")).cache()
+    asked = [(t, f"P{a}", f"P{b}") for t in trees for a in range(9) for b in range(9)]
+    lines = spark.createDataFrame(asked, "tree_id string, focal_id string, ancestor_id string")
+    on_line = research.people_on_line(above, lines).cache()
+    got, links = {}, {}
+    for r in on_line.collect():
+        got.setdefault((r.tree_id, r.focal_id, r.ancestor_id), set()).add(r.person_id)
+    for r in society.checklist_links(parents, on_line).collect():
+        links.setdefault((r.tree_id, r.focal_id, r.ancestor_id), {})[r.link_key] = r.generation
+    for t, a, b in asked:
+        ps = climb(trees[t], a).get(b, [])
+        assert got.get((t, a, b), set()) == ({a} if a == b else {x for p in ps for x in p})
         want = {}
-        for t, who in people:
-            found, more = climb(trees[t], who, cap, depth)
-            for anc, ps in found.items():
-                if len(ps) > 1:
-                    want[(t, who, anc)] = [(i + 1, p, anc in more) for i, p in enumerate(ps)]
-        assert {k: sorted(v) for k, v in got.items()} == want
-        assert short == {k: (len(v), min(len(p) - 1 for _, p, _ in v), v[0][2]) for k, v in want.items()}
+        for p in ps:
+            for i, (c, q) in enumerate(zip(p, p[1:], strict=False)):
+                want[f"{c}->{q}"] = min(want.get(f"{c}->{q}", 99), i + 1)
+        assert links.get((t, a, b), {}) == want
 
 
 def test_bent_paths_match_depth_first_search(spark):
@@ -124,16 +199,17 @@ def test_bent_paths_match_depth_first_search(spark):
     parents = table(spark, trees)
     pairs = [(t, f"P{a}", f"P{b}") for t in trees for a in range(8) for b in range(8)]
     asked = spark.createDataFrame(pairs, "tree_id string, from_id string, to_id string")
-    for cap, depth in ((200, 25), (3, 25), (200, 4)):
+    for first in (None, 3):
         got = {}
-        for r in paths.relationship_paths(parents, asked, cap, depth).collect():
-            got.setdefault((r.tree_id, r.from_id, r.to_id), []).append((r.path_no, tuple(r.steps)))
+        for r in paths.relationship_paths(parents, asked, first).collect():
+            got.setdefault((r.tree_id, r.from_id, r.to_id), []).append((r.path_no, tuple(r.steps), r.path_count))
         for t, a, b in pairs:
-            want = [(i + 1, p) for i, p in enumerate(bends(trees[t], a, b, cap, depth))]
+            every = bends(trees[t], a, b)
+            want = [(i + 1, p, len(every)) for i, p in enumerate(every[:first])]
             assert sorted(got.get((t, a, b), [])) == want, (t, a, b)
-    near = {(r.tree_id, r.from_id, r.to_id): r.distance for r in kinship.path_distances(parents, asked, 2).collect()}
+    near = {(r.tree_id, r.from_id, r.to_id): r.distance for r in kinship.path_distances(parents, asked).collect()}
     for t, a, b in pairs:
-        listed = bends(trees[t], a, b, 2, 25)
+        listed = bends(trees[t], a, b)
         if a != b:
             assert near.get((t, a, b)) == (min(len(p) - 1 for p in listed) if listed else None)
 

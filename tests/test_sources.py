@@ -111,3 +111,16 @@ def test_place_stream_resolves_each_place_once(spark, tmp_path):
     ).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "cache"))
     assert rows(got, "place_key", "lat") == [("boston, ma", 1.0), ("salem, ma", 42.0)]
+
+
+def test_a_repeated_batch_gives_the_same_cache(spark, tmp_path):
+    places = spark.createDataFrame([("salem, ma", "Salem, MA", ["Salem", "MA"])], "place_key string, raw string, parts array<string>")
+    table = spark.createDataFrame(
+        [("massachusetts", 42.0, -71.0, 0.7, "Massachusetts")],
+        "query string, lat double, lon double, importance double, resolved_name string",
+    )
+    cache = str(tmp_path / "cache")
+    spark.createDataFrame([("boston, ma", 1.0, 2.0, None, None)], place_stream.CACHE_SCHEMA).write.parquet(f"{cache}/batch_id=-1")
+    for _ in range(2):
+        place_stream.resolve_batch(places, 0, cache, [geo.ladder_lookup(table, "nominatim")])
+        assert rows(spark.read.parquet(cache), "place_key", "lat") == [("boston, ma", 1.0), ("salem, ma", 42.0)]
