@@ -31,7 +31,7 @@ from kinloom.operators.paths import pedigree_collapse
 from kinloom.operators.edits import Tree
 from kinloom.operators.profile import display_names
 from kinloom.sources.gedcom import Corpus, parse_corpus
-from kinloom.sources.sinks import gedcom_lines
+from kinloom.sources.sinks import write_gedcom
 
 # Place texts by nation key, written as City, County, State, Country.
 PLACES = [
@@ -507,13 +507,7 @@ class Bridge:
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _reread:
             folder = f"{scratch_root(self.spark)}/kinloom-text-{uuid.uuid4().hex}"
-            lines = gedcom_lines(self.corpus())
-            order = ["tree_id", "section", "seq", "block", "ord", "pos"]
-            # One text file per tree is what a user uploads; trees of the test data are small.
-            (
-                lines.repartition(self.spark.sparkContext.defaultParallelism, "tree_id").sortWithinPartitions(*order)
-                .select("tree_id", "text").write.partitionBy("tree_id").text(folder)
-            )
+            write_gedcom(self.corpus(), folder)
             _reread[key] = parse_corpus(self.spark, folder, tree_from_folder=True)
         return _reread[key]
 

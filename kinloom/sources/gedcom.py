@@ -8,6 +8,7 @@ are numbered within the record only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,12 +60,60 @@ def strip_xref(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), "^@", ""), "@$", "")
 
 
+def _decoded(column: Column) -> Column:
+    return F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B")))
+
+
+def tree_name(file: Column, path: str, tree_from_folder: bool) -> Column:
+    """Tree id of a file: its path below ``path`` (or below the folder before the first wildcard), without extension.
+
+    Files of the same name in different folders are different trees. With
+    ``tree_from_folder`` it is the value of the ``tree_id=<id>`` folder, whose
+    files are the parts of one tree.
+    """
+    if tree_from_folder:
+        return _decoded(_decoded(F.regexp_extract(file, "tree_id=([^/]*)/", 1)))
+    stem, *wild = re.split(r"[*?\[{]", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path), maxsplit=1)
+    base = stem[:stem.rfind("/") + 1] if wild else stem.rstrip("/")
+    whole = _decoded(file)
+    at = F.locate(base, whole)
+    below = F.ltrim(F.when(at > 0, F.substring(whole, at + len(base), F.length(whole))).otherwise(F.lit("")), F.lit("/"))
+    own = F.when(below == "", F.element_at(F.split(whole, "/"), -1)).otherwise(below)
+    return F.regexp_replace(own, "\\.[^./]*$", "")
+
+
+def _wide_files(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """UTF-16 files among the scanned ones, and their contents decoded; such a file is read whole."""
+    odd, seen = cut(
+        raw.where(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF"))
+        .select("file", _decoded(F.col("file")).alias("name")).distinct())
+    if not seen["rows"]:
+        return odd, None
+    out, names = None, []
+
+    def load(some: list[str]) -> DataFrame:
+        files = spark.read.format("binaryFile").load(some)
+        return files.select(
+            F.col("_metadata.file_path").alias("file"), F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("_id"),
+            F.decode("content", "UTF-16").alias("value"))
+
+    for row in odd.toLocalIterator():  # names only, some at a time
+        names.append(row["name"])
+        if len(names) == 1000:
+            out, names = load(names) if out is None else out.unionByName(load(names)), []
+    if names:
+        out = load(names) if out is None else out.unionByName(load(names))
+    return odd, out
+
+
 def read_records(spark: SparkSession, path: str, tree_from_folder: bool = False) -> DataFrame:
-    """(tree_id, rec, text): one row per level-0 record, ``rec`` in file order.
+    """(tree_id, rec, text): one row per level-0 record, ``rec`` counts through the files of a tree.
 
-    Row ids grow with the position inside a scan task; a record's number is the
-    number of records of its file in earlier splits plus its place in the split,
-    so no sort and no single task per file is needed.
+    Lines may end in LF, CR LF or CR; files are UTF-8, or UTF-16 with a byte
+    order mark. Row ids grow with the position inside a scan task; a record's
+    number is the number of records of its tree in earlier splits plus its place
+    in the split, so no task has to hold a file. (A file with bare CR is one
+    piece for the scan.)
     """
     raw = (
         spark.read.option("lineSep", "\n0 ").option("recursiveFileLookup", "true").text(path)
@@ -74,18 +123,34 @@ def read_records(spark: SparkSession, path: str, tree_from_folder: bool = False)
         )
     )
     raw, _ = cut(raw)
-    splits = raw.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # One row per file split: far smaller than the data, and ordered per file.
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    odd, wide = _wide_files(spark, raw)
+    if wide is not None:
+        raw = raw.join(odd.select("file"), "file", "left_anti").unionByName(wide)
+    pieces = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n0 ")
+    rows = raw.select(
+        tree_name(F.col("file"), path, tree_from_folder).alias("tree_id"), "file", "block", "_id", F.posexplode(pieces).alias("_sub", "value"))
+    splits = rows.groupBy("tree_id", "file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per split: far smaller than the data, and ordered per tree.
+    before = Window.partitionBy("tree_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), "\\.[^.]*$", "")
-    if tree_from_folder:
-        name = F.regexp_extract("file", "tree_id=([^/]*)/", 1)
-    text = F.regexp_replace(F.regexp_replace("value", "^﻿?(0 )?", "0 "), "\r", "")
-    return raw.join(starts, ["file", "block"]).select(
-        F.url_decode(name).alias("tree_id"), (F.col("_base") + F.col("_id") - F.col("_first")).alias("rec"),
-        text.alias("text"),
-    )
+    place = F.row_number().over(Window.partitionBy("tree_id", "file", "block").orderBy("_id", "_sub"))
+    text = F.regexp_replace("value", "^\ufeff?(0 )?", "0 ")
+    return rows.withColumn("_at", place).join(starts, ["tree_id", "file", "block"]).select(
+        "tree_id", (F.col("_base") + F.col("_at") - 1).alias("rec"), text.alias("text"))
+
+
+def empty_files(spark: SparkSession, path: str, tree_from_folder: bool, heads: DataFrame) -> DataFrame:
+    """A warning for each tree whose files hold neither a person nor a family; ``heads(tree_id, tag)``.
+
+    Files of no bytes are passed over by every scan and get none.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.col("_metadata.file_path").alias("file"))
+    trees = files.select(tree_name(F.col("file"), path, tree_from_folder).alias("tree_id")).where(F.col("tree_id") != "").distinct()
+    filled = heads.where(F.col("tag").isin("INDI", "FAM")).select("tree_id").distinct()
+    return trees.join(filled, "tree_id", "left_anti").select(
+        "tree_id", F.lit("warning").alias("severity"), F.lit("The file holds no individual and no family record.").alias("message"),
+        F.lit(None).cast("string").alias("context"))
 
 
 def read_lines(records: DataFrame) -> DataFrame:
@@ -141,9 +206,9 @@ def _sources(own: DataFrame, pages: DataFrame, keys: list[str], at: str) -> Data
 
 
 def parse_corpus(spark: SparkSession, path: str, tree_from_folder: bool = False) -> Corpus:
-    """Parse all files under ``path``; the tree id is the file name without its ending.
+    """Parse all files under ``path``; ``tree_name`` says what a file's tree is called.
 
-    ``tree_from_folder`` takes it from a ``tree_id=<id>`` folder with one file instead.
+    ``tree_from_folder`` takes it from a ``tree_id=<id>`` folder instead, whose files follow each other by name.
     """
     lines, _ = cut(_with_parents(read_lines(read_records(spark, path, tree_from_folder))))
     heads = lines.where("level = 0")
@@ -272,7 +337,8 @@ def parse_corpus(spark: SparkSession, path: str, tree_from_folder: bool = False)
     )
 
     notes = _parse_notes(heads, of_person_all(sub, records("INDI")), hints, known, structural)
-    dangling = reference_warnings(person, person_fams, family, family_spouse, family_child)
+    dangling = reference_warnings(person, person_fams, family, family_spouse, family_child).unionByName(
+        empty_files(spark, path, tree_from_folder, heads.select("tree_id", "tag")))
     return Corpus(
         header, person, person_fams, family, family_spouse, family_child, event, person_event, family_event,
         participant, notes.unionByName(dangling),

@@ -143,12 +143,12 @@ def _spouse_roles(corpus) -> DataFrame:
 def write_gedcom(corpus, path: str) -> None:
     """Write all trees under ``path/tree_id=<id>/``, lines in order.
 
-    Rows are range-partitioned by tree and position: a large tree becomes several
-    part files that follow each other in name order.
+    Rows are range-partitioned by tree and record: a large tree becomes several
+    part files that follow each other in name order, each record in one of them.
     """
     order = ["tree_id", "section", "seq", "block", "ord", "pos"]
     (
-        gedcom_lines(corpus).repartitionByRange(*order).sortWithinPartitions(*order)
+        gedcom_lines(corpus).repartitionByRange(*order[:3]).sortWithinPartitions(*order)
         .select("tree_id", "text").write.partitionBy("tree_id").text(path)
     )
 

@@ -93,6 +93,45 @@ def test_edit_stream_equals_batch(spark, tmp_path):
         same(brute(base_state(), logs[t]), states[t])
 
 
+def test_files_of_one_name_encodings_and_line_ends(spark, tmp_path):
+    text = lambda name: f"0 HEAD\n0 @I1@ INDI\n1 NAME {name} /Ütz/\n1 NOTE a\n2 CONT b\n0 @I2@ INDI\n0 TRLR\n"
+    files = {
+        "x/tree.ged": text("Ann").encode(), "y/tree.ged": text("Bob").encode("utf-8-sig"), "mac.ged": text("Cyr").replace("\n", "\r").encode(),
+        "dos.v1.ged": text("Dan").replace("\n", "\r\n").encode(), "wide le.ged": text("Eva").encode("utf-16"),
+        "wide+be.ged": b"\xfe\xff" + text("Fay").encode("utf-16-be"), "empty.ged": b"\n", "prose.ged": b"no record here\n",
+    }
+    for name, raw in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(raw)
+    c = gedcom.parse_corpus(spark, str(tmp_path / "in"))
+    names = {r.tree_id: r.full for r in c.person.where("person_id = 'I1'").selectExpr("tree_id", "names[0].given as full").collect()}
+    assert names == {"x/tree": "Ann", "y/tree": "Bob", "mac": "Cyr", "dos.v1": "Dan", "wide le": "Eva", "wide+be": "Fay"}
+    assert {r.notes[0] for r in c.person.where("person_id = 'I1'").select("notes").collect()} == {"a\nb"}
+    assert c.person.count() == 12
+    hollow = c.warning.where("message like '%no individual and no family%'")
+    assert rows(hollow, "tree_id") == [("empty",), ("prose",)]
+    one = gedcom.parse_corpus(spark, str(tmp_path / "in" / "x" / "tree.ged"))
+    assert rows(one.person, "tree_id", "person_id") == [("tree", "I1"), ("tree", "I2")]
+    some = gedcom.parse_corpus(spark, str(tmp_path / "in" / "*" / "tree.ged"))
+    assert {r.tree_id for r in some.person.collect()} == {"x/tree", "y/tree"}
+
+
+def test_a_tree_in_several_parts(spark, tmp_path):
+    people = "".join(f"0 @I{i}@ INDI\n1 NAME P{i} /Q/\n" for i in range(50))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.ged").write_text("0 HEAD\n" + people + "0 TRLR\n")
+    first = gedcom.parse_corpus(spark, str(tmp_path / "in"))
+    folder = tmp_path / "out" / "tree_id=big"
+    folder.mkdir(parents=True)
+    chunks = ("0 HEAD\n" + people).split("\n0 ")
+    for k in range(3):
+        part = chunks[k * 20:(k + 1) * 20]
+        (folder / f"part-0000{k}.txt").write_text("\n".join(p if p.startswith("0 ") else f"0 {p}" for p in part) + "\n")
+    again = gedcom.parse_corpus(spark, str(tmp_path / "out"), tree_from_folder=True)
+    order = lambda c: [r.person_id for r in c.person.orderBy("seq").collect()]
+    assert order(again) == order(first) == [f"I{i}" for i in range(50)]
+
+
 def test_place_stream_resolves_each_place_once(spark, tmp_path):
     places = spark.createDataFrame(
         [("boston, ma", "Boston, MA", ["Boston", "MA"]), ("nowhere", "Nowhere", ["Nowhere"]), ("salem, ma", "Salem, MA", ["Salem", "MA"])],
