@@ -33,6 +33,7 @@ def load_all() -> dict[str, Query]:
         queries_edits,
         queries_events,
         queries_graph,
+        queries_reader,
         queries_text,
         queries_work,
     )
