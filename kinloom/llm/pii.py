@@ -8,9 +8,11 @@ within ``NEAR`` words of the entity, then
     disclosure = PMI(e; t) / IC(e) = 1 + log(n(e, t) / n(t)) / -log(n(e) / N)
 
 which is 1 if the term occurs with the entity only, and 0 if it tells nothing.
-Terms with at least ``SUPPORT`` different surroundings of one entity are removed
-from ``REMOVE`` on and generalised from ``GENERALISE`` on, wherever they occur.
-Copies of a text count alike in all of these numbers, and as one surrounding.
+Terms are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on,
+wherever they occur, if unrelated texts bear witness: the smallest hash of a
+text's words is mostly the same in near copies, so the texts behind a term must
+have ``SUPPORT`` such values at least, and half as many as there are texts.
+Copies of a text count alike in all of the numbers, and as one text.
 
 All of it is DataFrame expressions. The patterns are the contract's, written so
 that they never look at a character twice: a run of characters is taken whole,
@@ -38,7 +40,7 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM_START, TERM_END = r"(?<![^\s(\[\"'«])", r"(?=[\s.,;:!?)\]\"'»]|$)"
 TERM = TERM_START + r"\p{L}{3,}+" + TERM_END
 NEAR, SUPPORT = 8, 3
-GENERALISE, REMOVE = 0.75, 0.9
+GENERALISE, REMOVE = 0.85, 0.95
 SMALL = 200_000  # rows that may be broadcast
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
 CHUNK = 64
@@ -134,11 +136,12 @@ def revealing_terms(docs: DataFrame, text: str, support: int = SUPPORT, generali
     spots = texts.where(F.col("text").rlike("[0-9@]")).select("text", F.posexplode(base_spans(F.col("text"))).alias("pos", "s"))
     near, _ = cut(spots.select(
         "pos", F.lower("s.value").alias("entity"), _key(F.col("text")).alias("key"),
+        F.array_min(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("voice"),
         F.array_distinct(F.concat(F.reverse(F.slice(F.reverse(before), 1, NEAR)), F.slice(after, 1, NEAR))).alias("terms")))
     # a text has one first span in each of its rows
     times = near.where("pos = 0").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     together, met = cut(
-        near.select("entity", "key", F.md5(F.array_join("terms", " ")).alias("around"), F.explode("terms").alias("term"))
+        near.select("entity", "key", "voice", F.explode("terms").alias("term"))
         .distinct().join(times, "key"))
     if not met["rows"]:
         return None
@@ -153,7 +156,8 @@ def revealing_terms(docs: DataFrame, text: str, support: int = SUPPORT, generali
         return 1 + F.log(F.col("n_et") / F.col(rows_of_term)) / -F.log(F.col("n_e") / F.lit(n))
 
     # the rows that have the term near any entity are some of those that have it, so common words go here already
-    backed = together.groupBy("entity", "term").agg(F.count_distinct("around").alias("around")).where(F.col("around") >= support)
+    backed = together.groupBy("entity", "term").agg(F.count_distinct("voice").alias("voices"), F.count_distinct("key").alias("texts")).where(
+        (F.col("voices") >= support) & (2 * F.col("voices") >= F.col("texts"))).select("entity", "term")
     pairs, met = cut(
         backed.join(rows_of("entity", "term").withColumnRenamed("n", "n_et"), ["entity", "term"]).join(n_e, "entity")
         .join(rows_of("term").withColumnRenamed("n", "n_near"), "term").where(disclosure("n_near") >= generalise))

@@ -31,17 +31,21 @@ def test_base_spans_equal_one_by_one_matching(spark):
 
 
 def revealing_corpus() -> list[str]:
-    texts = [f"word{chr(97 + k)} Gandalfus mail gandalf@x.org please foo{chr(97 + k)} the end" for k in range(12)]
+    rnd = random.Random(1)
+    other = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    texts = [f"{other()} Gandalfus mail gandalf@x.org please {other()} the end" for k in range(12)]
     texts += [f"some other mail the please text{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(100)]
-    # copies of one text are one surrounding, whatever their number
-    return texts + ["Elrondus wrote elrond@y.org today"] * 50
+    # copies and near copies of one text are one witness, whatever their number
+    base = [other() for _ in range(3)]
+    near = [f"{base[0]} {base[1]} changed{chr(97 + k)} {base[2]} Sarumanus sent saruman@z.org now" for k in range(20)]
+    return [*texts, *["Elrondus wrote elrond@y.org today"] * 50, *near]
 
 
 def test_terms_that_reveal_an_entity_are_found_and_common_ones_are_not(spark):
     docs = spark.createDataFrame(list(enumerate(revealing_corpus())), "doc_id long, text string")
     told = {w for r in pii.with_spans(docs).collect() for w in [s.value for s in r.spans if s.kind > 4]}
     assert "Gandalfus" in told
-    assert not told & {"mail", "please", "the", "Elrondus", "wrote"}
+    assert not told & {"mail", "please", "the", "Elrondus", "wrote", "Sarumanus"}
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "gandalf" not in clean[0].lower() and "[EMAIL]" in clean[0] and "please" in clean[0]
     assert clean[120] == "Elrondus wrote [EMAIL] today"
