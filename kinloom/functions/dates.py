@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinloom.functions.text import WS, blank_to_null, let, lookup, pad_left, trim
+from kinloom.functions.text import WS, let, lookup, pad_left, trim
 
 # Month abbreviations of the file format and of the society form.
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
@@ -226,7 +226,3 @@ def life_span(birth_year: Column, death_year: Column) -> Column:
         .when(death.isNotNull(), F.concat(F.lit("d. "), death))
         .otherwise("")
     )
-
-
-def date_label(date_raw: Column) -> Column:
-    return blank_to_null(date_raw)

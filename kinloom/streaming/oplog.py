@@ -1,29 +1,38 @@
 """Edit logs that arrive as a stream.
 
 Every micro-batch appends its edits to a log table, without repeats, and replays
-the trees it touched from their base tables. Replay is deterministic and looks at
-the log as a set ordered by ``seq``, so late or repeated edits of a tree lead to
-the same tables as one batch over the whole log.
+the trees it touched from their base tables. The log is laid out by batch and by
+hash bucket of the tree, so a batch reads the buckets of its own trees only.
+Replay is deterministic and looks at the log as a set ordered by ``seq``, so late
+or repeated edits of a tree lead to the same tables as one batch over the whole
+log.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.operators.edits import OP_SCHEMA, Tree, replay
 
 OP_KEY = ["tree_id", "seq"]
+BUCKETS = 256
 
 
 def dedup_ops(op: DataFrame) -> DataFrame:
     return op.dropDuplicates(OP_KEY)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OP_SCHEMA + ", batch_id bigint").parquet(path).drop("batch_id")
+def bucket_of(tree_id) -> Column:
+    return F.pmod(F.xxhash64(tree_id), F.lit(BUCKETS)).cast("int")
+
+
+def read_log(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """The log so far, or only some of its buckets, which are folders."""
+    log = spark.read.schema(OP_SCHEMA + ", batch_id bigint, bucket int").parquet(path)
+    return (log if buckets is None else log.where(F.col("bucket").isin(buckets))).drop("batch_id", "bucket")
 
 
 def restrict(base: Tree, trees: DataFrame) -> Tree:
@@ -32,25 +41,31 @@ def restrict(base: Tree, trees: DataFrame) -> Tree:
     return Tree(**parts)
 
 
-def apply_stream(
-    ops: DataFrame, base: Tree, log_path: str, checkpoint: str, publish: Callable[[Tree, DataFrame, int], None]
-):
-    """Start the stream; ``publish(tables, touched_trees, batch_id)`` stores the outcome.
+def apply_batch(batch: DataFrame, batch_id: int, base: Tree, log_path: str, publish: Callable[[Tree, DataFrame, int], None]) -> None:
+    """Log one batch and replay its trees.
 
     The log is written per batch under ``batch_id``; a batch that runs again after
     a failure overwrites its own part, so the log holds every edit once.
     """
+    spark = batch.sparkSession
+    part = f"{log_path}/batch_id={batch_id}"
+    dedup_ops(batch).withColumn("bucket", bucket_of("tree_id")).write.partitionBy("bucket").mode("overwrite").parquet(part)
+    fresh = spark.read.schema(OP_SCHEMA + ", bucket int").parquet(part)
+    buckets = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+    if not buckets:
+        return
+    touched = fresh.select("tree_id").distinct()
+    log = dedup_ops(read_log(spark, log_path, buckets).join(touched, "tree_id", "left_semi"))
+    publish(replay(restrict(base, touched), log), touched, batch_id)
+
+
+def apply_stream(
+    ops: DataFrame, base: Tree, log_path: str, checkpoint: str, publish: Callable[[Tree, DataFrame, int], None]
+):
+    """Start the stream; ``publish(tables, touched_trees, batch_id)`` stores the outcome."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        part = f"{log_path}/batch_id={batch_id}"
-        dedup_ops(batch).write.mode("overwrite").parquet(part)
-        fresh = spark.read.schema(OP_SCHEMA).parquet(part)
-        touched = fresh.select("tree_id").distinct()
-        if touched.isEmpty():
-            return
-        log = dedup_ops(read_log(spark, log_path).join(touched, "tree_id", "left_semi"))
-        publish(replay(restrict(base, touched), log), touched, batch_id)
+        apply_batch(batch, batch_id, base, log_path, publish)
 
     return (
         ops.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -59,7 +74,3 @@ def apply_stream(
 
 def stream_ops(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(OP_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-
-
-def log_rows(spark: SparkSession, path: str) -> DataFrame:
-    return read_log(spark, path).groupBy("tree_id").agg(F.count(F.lit(1)).alias("ops"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import random
 
 from pyspark.sql import functions as F
@@ -93,6 +94,21 @@ def test_edit_stream_equals_batch(spark, tmp_path):
         same(brute(base_state(), logs[t]), states[t])
 
 
+def test_a_batch_of_edits_that_runs_again(spark, tmp_path):
+    """The log holds every edit once, and the outcome is the same."""
+    base = base_tables(spark, ["T0"])
+    ops = random_ops("T0", random.Random(3), 10, 3)
+    rows_of = lambda some: spark.createDataFrame([tuple(op[f] for f in FIELDS) for op in some], edits.OP_SCHEMA)
+    log, seen = str(tmp_path / "log"), []
+    publish = lambda tables, touched, batch: seen.append(as_state(tables)["T0"])
+    for batch_id, part in ((0, ops[:6]), (0, ops[:6]), (1, ops[4:]), (1, ops[4:])):
+        oplog.apply_batch(rows_of(part), batch_id, base, log, publish)
+    assert oplog.read_log(spark, log).count() == len(ops) + 2  # two edits came in both batches
+    same(copy.deepcopy(seen[0]), copy.deepcopy(seen[1]))
+    same(copy.deepcopy(seen[2]), copy.deepcopy(seen[3]))
+    same(brute(base_state(), ops), seen[3])
+
+
 def test_files_of_one_name_encodings_and_line_ends(spark, tmp_path):
     text = lambda name: f"0 HEAD\n0 @I1@ INDI\n1 NAME {name} /Ütz/\n1 NOTE a\n2 CONT b\n0 @I2@ INDI\n0 TRLR\n"
     files = {
