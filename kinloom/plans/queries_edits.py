@@ -116,6 +116,12 @@ def undo_last_edits(b: Bridge) -> DataFrame:
     return _people(edits.Replay(b.tree(), edits.without_op(b.ops(), last)).people)
 
 
+@query
+def effective_merges(b: Bridge) -> DataFrame:
+    """Merges that count: both people exist at that moment."""
+    return edits._moves(_run(b, "merge").life).select("tree_id", "id", "merge_seq", "keep_id")
+
+
 @query
 def merge_survivors(b: Bridge) -> DataFrame:
     merges = edits.kind(b.ops(), "merge")

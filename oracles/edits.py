@@ -65,7 +65,25 @@ def doc(col: str = "doc_id") -> str:
     WHEN 3 THEN 'image/png' END END AS mimetype, octet_length(encode(text))::BIGINT AS size, sha256(text) AS hash FROM documents)"""
 
 
+# Merges of each tree one after the other, with the people that are gone so far as the state.
+MERGES = """mg AS (SELECT tree_id, n, me, you, row_number() OVER (PARTITION BY tree_id ORDER BY n) AS i,
+  me <> you AND me IN (SELECT person_id FROM p0) AND you IN (SELECT person_id FROM p0) AS known FROM ops WHERE kind = 'merge'),
+st AS (SELECT tree_id, 0::BIGINT AS i, NULL::BIGINT AS n, NULL::VARCHAR AS keep_id, NULL::VARCHAR AS id, ['']::VARCHAR[] AS gone FROM p0 GROUP BY tree_id
+  UNION ALL SELECT s.tree_id, m.i, CASE WHEN ok THEN m.n END, CASE WHEN ok THEN me END, CASE WHEN ok THEN you END, CASE WHEN ok THEN list_append(gone, you) ELSE gone END
+  FROM (SELECT s.*, m.i AS mi, known AND NOT list_contains(gone, me) AND NOT list_contains(gone, you) AS ok FROM st s JOIN mg m ON m.tree_id = s.tree_id AND m.i = s.i + 1) s
+  JOIN mg m ON m.tree_id = s.tree_id AND m.i = s.mi),
+ok AS (SELECT tree_id, person_id FROM p0 WHERE (tree_id, person_id) NOT IN (SELECT (tree_id, id) FROM st WHERE id IS NOT NULL)),
+nx AS (SELECT tree_id, you AS at, max_by(me, n) AS nxt FROM mg GROUP BY ALL),
+ch AS (SELECT tree_id, person_id AS id, person_id AS at, [person_id] AS seen FROM p0
+  UNION ALL SELECT c.tree_id, c.id, x.nxt, list_append(c.seen, x.nxt) FROM ch c JOIN nx x ON x.tree_id = c.tree_id AND x.at = c.at
+  WHERE NOT list_contains(c.seen, x.nxt) AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.tree_id = c.tree_id AND ok.person_id = c.at))"""
+
 ORACLES = {
+    "effective_merges": more(MERGES, "SELECT tree_id, id, n AS merge_seq, keep_id FROM st WHERE id IS NOT NULL", "ops", "p0"),
+    "merge_survivors": more(
+        MERGES,
+        """SELECT c.tree_id, c.id, ok.person_id AS survivor_id FROM (SELECT tree_id, id, max_by(ch.at, len(seen)) AS spot FROM ch GROUP BY ALL) c
+LEFT JOIN ok ON ok.tree_id = c.tree_id AND ok.person_id = c.spot""", "ops", "p0"),
     "op_descriptions": build(
         """SELECT o.tree_id, o.n AS seq, CASE kind WHEN 'merge' THEN 'Merged ' || coalesce(a.name, o.me) || ' ← ' || coalesce(b.name, o.you)
   WHEN 'addPerson' THEN 'Added person ' || replace(name_raw, '/', '') WHEN 'editPerson' THEN 'Edited ' || coalesce(a.name, o.me)
