@@ -151,8 +151,7 @@ def settle(dealt: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """doc_id, key, size, source_size, target, copies and taken of each row of ``docs``.
 
-    Empty documents are taken once at rate 1 of 0 words, i.e. with 0 taken words
-    and 0 copies. A null source is a source of its own, the last one. Rows with
+    Documents without words are not taken: 0 copies. A null source is a source of its own, the last one. Rows with
     equal id, source and size are alike: which of them is copied more often is
     open, how many are is not. ``how``: weights, share, limit.
     """

@@ -140,11 +140,9 @@ def revealing_terms(docs: DataFrame, text: str, support: int = SUPPORT, generali
         F.array_distinct(F.concat(F.reverse(F.slice(F.reverse(before), 1, NEAR)), F.slice(after, 1, NEAR))).alias("terms")))
     # a text has one first span in each of its rows
     times = near.where("pos = 0").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    together, met = cut(
+    together, _ = cut(
         near.select("entity", "key", "voice", F.explode("terms").alias("term"))
         .distinct().join(times, "key"))
-    if not met["rows"]:
-        return None
     n = texts.count()
 
     def rows_of(*by: str) -> DataFrame:
@@ -158,12 +156,12 @@ def revealing_terms(docs: DataFrame, text: str, support: int = SUPPORT, generali
     # the rows that have the term near any entity are some of those that have it, so common words go here already
     backed = together.groupBy("entity", "term").agg(F.count_distinct("voice").alias("voices"), F.count_distinct("key").alias("texts")).where(
         (F.col("voices") >= support) & (2 * F.col("voices") >= F.col("texts"))).select("entity", "term")
-    pairs, met = cut(
+    pairs, _ = cut(
         backed.join(rows_of("entity", "term").withColumnRenamed("n", "n_et"), ["entity", "term"]).join(n_e, "entity")
         .join(rows_of("term").withColumnRenamed("n", "n_near"), "term").where(disclosure("n_near") >= generalise))
-    if not met["rows"]:
-        return None
-    n_t = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # counted for the whole vocabulary whether or not terms are left to judge, so the work grows evenly with the input
+    n_t, _ = cut(
+        texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     told = pairs.join(n_t, "term").groupBy("term").agg(F.max(disclosure("n_t")).alias("disclosure")).where(F.col("disclosure") >= generalise)
     treated, most = cut(told.select("term", F.when(F.col("disclosure") >= remove, 6).otherwise(5).alias("kind")))
     if not most["rows"]:
