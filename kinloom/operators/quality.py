@@ -47,6 +47,7 @@ def _spread(df: DataFrame, keys: list[str], blocks: list, warnings: list) -> Dat
     )
 
 
+# The wording of all issues and consequences in this module.
 def _date_warnings(p, c):
     pb, cb, pd = F.col("p_birth"), F.col("c_birth"), F.col("p_death")
     text = lambda col: col.cast("string")

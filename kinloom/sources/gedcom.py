@@ -354,6 +354,7 @@ def _say(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+# The wording of all notes and warnings below.
 def _parse_notes(heads: DataFrame, person_lines: DataFrame, hints: DataFrame, known: Column, structural: Column) -> DataFrame:
     """Info rows: what was skipped or ignored while reading."""
     row = lambda df, message, context: df.select(
