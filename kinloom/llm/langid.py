@@ -27,7 +27,7 @@ from kinloom.llm.common import fresh, with_fields
 
 CELLS = 1024
 UNKNOWN = "und"
-DOCS = 512  # documents profiled at a time
+DOCS = 256  # documents profiled at a time
 GRAMS = 4096  # trigram vectors held at a time
 
 
