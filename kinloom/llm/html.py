@@ -33,6 +33,8 @@ INLINE = {
     "mark", "nobr", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt",
     "u", "var", "wbr", "img", "picture", "source",
 }
+# ASCII case only: the page itself is searched, since other letters change their length in lower case
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW | {"title"}}
 VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 }
@@ -110,7 +112,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         if skip and len(stack) < skip:
             skip = 0
 
-    at, size, lower = 0, len(page), None
+    at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
@@ -126,9 +128,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         if not closing and (tag in RAW or tag in ("title", "head")):
             if tag == "head":
                 continue
-            lower = page.lower() if lower is None else lower
-            close = lower.find(f"</{tag}", at)
-            end = lower.find(">", close) if close >= 0 else -1
+            close = RAW_END[tag].search(page, at)
+            end = page.find(">", close.end()) if close else -1
             at = end + 1 if end >= 0 else size
             if tag not in ("svg", "math"):
                 flush()

@@ -115,6 +115,11 @@ def test_page_text(spark):
     assert html.main_texts(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_letters_that_grow_in_lower_case_move_no_raw_end():
+    assert html.main_text("İİİİİ<script>x</script><p>Hello</p>") == "İİİİİ Hello"
+    assert html.main_text("<TITLE>İstanbul</Title><p>Merhaba</p><STYLE>İ</sTyle><p>dünya</p><script>'</ſcript>'</SCRIPT >son") == "Merhaba dünya son"
+
+
 def test_far_apart_parts_without_an_article():
     page = "<div><p>" + "real text here " * 10 + "</p><p>short</p></div><div><p>x</p></div><hr><nav>n</nav><div><p>tiny</p></div>"
     assert html.main_text(page) == ("real text here " * 10).strip() + " short x"
