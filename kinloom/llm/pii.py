@@ -9,10 +9,17 @@ within ``NEAR`` words of the entity, then
 
 which is 1 if the term occurs with the entity only, and 0 if it tells nothing.
 Terms are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on,
-wherever they occur, if unrelated texts bear witness: the smallest hash of a
-text's words is mostly the same in near copies, so the texts behind a term must
-have ``SUPPORT`` such values at least, and half as many as there are texts.
-Copies of a text count alike in all of the numbers, and as one text.
+wherever they occur, if unrelated texts bear witness. A text is known by the
+``SKETCH`` smallest hashes of its words and word pairs; texts are related if the
+similarity of these sets, estimated from the smallest hashes of both, reaches
+``RELATED``. The longest text behind a term is the first witness, the longest
+that is not related to it the next, and so on until there are ``SUPPORT``. Any
+number of near copies of a text is one witness, and neither they nor further
+unrelated texts put another one out. Copies of a text count alike in all of the
+numbers, and as one text.
+
+A term is a word of three letters or more, with marks, inner hyphens and inner
+apostrophes; what stands between apostrophes counts as a term of its own as well.
 
 All of it is DataFrame expressions. The patterns are the contract's, written so
 that they never look at a character twice: a run of characters is taken whole,
@@ -37,9 +44,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM_START, TERM_END = r"(?<![^\s(\[\"'«])", r"(?=[\s.,;:!?)\]\"'»]|$)"
-TERM = TERM_START + r"\p{L}{3,}+" + TERM_END
+TERM_START, TERM_END = r"(?<![^\s(\[\"'’«])", r"(?=[\s.,;:!?)\]\"'’»]|$)"
+TERM = TERM_START + r"(?=\p{L}(?:[\p{M}'’‐-]*+\p{L}){2})\p{L}[\p{L}\p{M}]*+(?:['’‐-]\p{L}[\p{L}\p{M}]*+)*+" + TERM_END
 NEAR, SUPPORT = 8, 3
+SKETCH, RELATED = 64, 0.4
 GENERALISE, REMOVE = 0.85, 0.95
 SMALL = 200_000  # rows that may be broadcast
 SPAN = "struct<start:int,end:int,kind:int,value:string>"
@@ -123,25 +131,82 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def with_parts(found: Column) -> Column:
+    """Terms, and for those with apostrophes also what stands between them."""
+    def parts(w: Column) -> Column:
+        return F.filter(F.split(w, "['’]"), lambda p: p.rlike(r"(?:\p{L}\P{L}*+){3}"))
+
+    return let(found, lambda f: F.concat(f, F.flatten(F.transform(F.filter(f, lambda w: w.contains("'") | w.contains("’")), parts))))
+
+
+def words_of(text: Column) -> Column:
+    """All terms of a text, repeated ones too."""
+    return with_parts(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def known_by(found: Column) -> Column:
+    """What a text is known by, from its terms in lower case."""
+    both = F.concat(
+        F.transform(found, lambda w: F.xxhash64(w)), F.transform(found, lambda w, i: F.xxhash64(w, F.try_element_at(found, i + 2))))
+    return F.struct(F.size(found).alias("words"), F.slice(F.array_sort(F.array_distinct(both)), 1, SKETCH).alias("hashes"))
+
+
+def spots(texts: DataFrame) -> DataFrame:
+    """(key, witness, spots): what a text is known by, and for each span its value and the ``NEAR`` terms on either side.
+
+    One column after the other, each used more than once, so that none is worked out anew inside another.
+    """
+    s, t, has = F.col("s"), F.col("t"), F.size("s") > 0
+    # terms that start before a span: a running count over the starts of both
+    marks = F.array_sort(F.concat(
+        F.transform(s, lambda x, i: F.struct(x["start"].alias("at"), F.lit(0).alias("term"), i.alias("no"))),
+        F.transform(t, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("term"), F.lit(-1).alias("no")))))
+    counted = F.arrays_zip(F.col("marks").alias("mark"), sums_before(F.transform("marks", lambda m: m["term"])).alias("n"))
+    before = F.transform(F.filter(counted, lambda c: c["mark"]["no"] >= 0), lambda c: c["n"])
+
+    def near(x: Column, i: Column) -> Column:
+        n = F.col("before")[i]
+        first = F.greatest(n - NEAR, F.lit(0))
+        # a term can start with an address, and no other can start inside a span
+        after = F.slice(F.filter(F.slice(t, n + 1, F.lit(NEAR + 1)), lambda y: y["start"] >= x["end"]), 1, NEAR)
+        return F.struct(F.lower(x["value"]).alias("entity"), F.concat(F.slice(t, first + 1, n - first), after).alias("terms"))
+
+    return (
+        texts.select("text", base_spans(F.col("text")).alias("s"))
+        .select("text", "s", matches(F.col("text"), F.lit(TERM), F.lit(0), has).alias("t"))
+        .select("text", "s", "t", F.when(has, marks).alias("marks"))
+        .select("text", "s", "t", F.when(has, before).alias("before"), F.transform(t, lambda x: F.lower(x["value"])).alias("words"))
+        .select(_key(F.col("text")).alias("key"), F.when(has, known_by(F.col("words"))).alias("witness"), F.transform(s, near).alias("spots")))
+
+
+def related(a: Column, b: Column) -> Column:
+    """Whether the sets behind two sketches are similar."""
+    lowest = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return let(lowest, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) >= RELATED * F.size(u))
+
+
+def borne_out(rows: DataFrame, witnesses: DataFrame, support: int) -> DataFrame:
+    """The (entity, term) of ``rows`` (entity, term, key) that so many unrelated texts bear out; ``witnesses`` are (key, witness)."""
+    left = rows.join(witnesses, "key").select("entity", "term", F.struct("witness.words", "key", "witness.hashes").alias("witness"))
+    for _ in range(support - 1):
+        longest, most = cut(left.groupBy("entity", "term").agg(F.max("witness").alias("longest")))
+        left = left.join(_small(longest, 8 * most["rows"]), ["entity", "term"]).where(
+            ~related(F.col("witness.hashes"), F.col("longest.hashes"))).drop("longest")
+    return left.select("entity", "term").distinct()
+
+
 def revealing_terms(docs: DataFrame, text: str, support: int = SUPPORT, generalise: float = GENERALISE,
                     remove: float = REMOVE) -> tuple[DataFrame, int] | None:
-    """(key, terms), rows: the terms to treat in each text that has any; terms are (term, kind), kind 6 if removed."""
+    """(key, terms), rows: the terms to treat in each text that has any, as written there; terms are (term, kind), kind 6 if removed."""
     texts = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
-
-    def words(c: Column) -> Column:
-        return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
-
-    before = words(F.substring(F.col("text"), F.greatest(F.col("s.start") - 159, F.lit(1)), F.least(F.col("s.start"), F.lit(160))))
-    after = words(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(160)))
-    spots = texts.where(F.col("text").rlike("[0-9@]")).select("text", F.posexplode(base_spans(F.col("text"))).alias("pos", "s"))
-    near, _ = cut(spots.select(
-        "pos", F.lower("s.value").alias("entity"), _key(F.col("text")).alias("key"),
-        F.array_min(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("voice"),
-        F.array_distinct(F.concat(F.reverse(F.slice(F.reverse(before), 1, NEAR)), F.slice(after, 1, NEAR))).alias("terms")))
+    found, _ = cut(spots(texts.where(F.col("text").rlike("[0-9@]"))))
+    near = found.select("key", "witness", F.posexplode("spots").alias("pos", "spot")).select(
+        "pos", "spot.entity", "key", "witness",
+        F.array_distinct(with_parts(F.transform("spot.terms", lambda t: F.lower(t["value"])))).alias("terms"))
     # a text has one first span in each of its rows
     times = near.where("pos = 0").groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     together, _ = cut(
-        near.select("entity", "key", "voice", F.explode("terms").alias("term"))
+        near.select("entity", "key", F.explode("terms").alias("term"))
         .distinct().join(times, "key"))
     n = texts.count()
 
@@ -154,21 +219,25 @@ def revealing_terms(docs: DataFrame, text: str, support: int = SUPPORT, generali
         return 1 + F.log(F.col("n_et") / F.col(rows_of_term)) / -F.log(F.col("n_e") / F.lit(n))
 
     # the rows that have the term near any entity are some of those that have it, so common words go here already
-    backed = together.groupBy("entity", "term").agg(F.count_distinct("voice").alias("voices"), F.count_distinct("key").alias("texts")).where(
-        (F.col("voices") >= support) & (2 * F.col("voices") >= F.col("texts"))).select("entity", "term")
+    often = together.groupBy("entity", "term").agg(F.count_distinct("key").alias("texts")).where(F.col("texts") >= support).select("entity", "term")
     pairs, _ = cut(
-        backed.join(rows_of("entity", "term").withColumnRenamed("n", "n_et"), ["entity", "term"]).join(n_e, "entity")
+        often.join(rows_of("entity", "term").withColumnRenamed("n", "n_et"), ["entity", "term"]).join(n_e, "entity")
         .join(rows_of("term").withColumnRenamed("n", "n_near"), "term").where(disclosure("n_near") >= generalise))
     # counted for the whole vocabulary whether or not terms are left to judge, so the work grows evenly with the input
     n_t, _ = cut(
-        texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    told = pairs.join(n_t, "term").groupBy("term").agg(F.max(disclosure("n_t")).alias("disclosure")).where(F.col("disclosure") >= generalise)
+        texts.select(F.explode(F.array_distinct(words_of(F.lower("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    telling, some = cut(pairs.join(n_t, "term").select("entity", "term", disclosure("n_t").alias("disclosure")).where(F.col("disclosure") >= generalise))
+    behind, _ = cut(together.select("entity", "term", "key").join(_small(telling.select("entity", "term"), some["rows"]), ["entity", "term"]))
+    witnesses = near.where("pos = 0").groupBy("key").agg(F.first("witness").alias("witness"))
+    told = telling.join(borne_out(behind, witnesses, support), ["entity", "term"]).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     treated, most = cut(told.select("term", F.when(F.col("disclosure") >= remove, 6).otherwise(5).alias("kind")))
     if not most["rows"]:
         return None
-    hits = texts.select(_key(F.col("text")).alias("key"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    hits = texts.select(_key(F.col("text")).alias("key"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("written")).withColumn(
+        "term", F.lower("written"))
     out, seen = cut(
-        hits.join(_small(treated, most["rows"]), "term").distinct().groupBy("key").agg(F.collect_list(F.struct("term", "kind")).alias("terms")))
+        hits.join(_small(treated, most["rows"]), "term").select("key", F.col("written").alias("term"), "kind").distinct()
+        .groupBy("key").agg(F.collect_list(F.struct("term", "kind")).alias("terms")))
     return out, seen["rows"]
 
 
@@ -186,12 +255,14 @@ def with_spans(docs: DataFrame, text: str = "text", into: str = "spans", **thres
     found, rows = told
     joined = docs.withColumn(key, _key(F.col(text))).join(
         _small(found.select(F.col("key").alias(key), F.col("terms").alias(terms)), rows), key, "left")
-    words = F.array_join(F.array_sort(F.transform(terms, lambda t: t["term"])), "|")
-    pattern = F.concat(F.lit("(?iu)" + TERM_START + "(?:"), F.coalesce(words, F.lit("")), F.lit(")" + TERM_END))
+    # longer ones first, as a term may begin another
+    words = F.array_join(F.transform(F.array_sort(F.transform(terms, lambda t: F.struct(
+        (-F.length(t["term"])).alias("n"), t["term"].alias("term")))), lambda t: t["term"]), "|")
+    pattern = F.concat(F.lit(TERM_START + "(?:"), F.coalesce(words, F.lit("")), F.lit(")" + TERM_END))
     spans = matches(F.col(text), pattern, F.lit(5), F.col(terms).isNotNull())
     kinds = F.map_from_entries(F.col(terms))
     spans = F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.coalesce(kinds[F.lower(s["value"])], F.lit(5)).alias("kind"), s["value"].alias("value")))
+        s["start"].alias("start"), s["end"].alias("end"), F.coalesce(kinds[s["value"]], F.lit(5)).alias("kind"), s["value"].alias("value")))
     return joined.withColumn(into, F.array_sort(F.concat(base, spans))).drop(key, terms)
 
 

@@ -51,6 +51,44 @@ def test_terms_that_reveal_an_entity_are_found_and_common_ones_are_not(spark):
     assert clean[120] == "Elrondus wrote [EMAIL] today"
 
 
+def test_more_texts_and_near_copies_put_no_term_out(spark):
+    """Long unrelated texts of one language share their smallest hashes; near copies of a witness change nothing."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghijkl") for _ in range(5)) for _ in range(1500)]
+    other = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    texts = [f"{other(200)} Gandalfus at gandalf@x.org {other(200)}" for _ in range(500)]
+    base = other(60)
+    texts += [f"{other(30)} Bilbous at bilbo@x.org {other(30)}" for _ in range(10)]
+    texts += [f"{base} copy{chr(97 + k // 26)}{chr(97 + k % 26)} Bilbous at bilbo@x.org {other(1)}" for k in range(80)]
+    texts += [f"{base} copy{chr(97 + k // 26)}{chr(97 + k % 26)} Sarumanus at saruman@x.org {other(1)}" for k in range(80)]
+    texts += [other(20) for _ in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = {s.value for r in pii.with_spans(docs).collect() for s in r.spans if s.kind > 4}
+    assert told == {"Gandalfus", "Bilbous"}
+
+
+def test_terms_with_marks_hyphens_and_apostrophes(spark):
+    names = ["Jean-Luc", "O'Brien", "D’Artagnan", "हिन्दी", "İstanbulus", "Zoe\u0301lla"]
+    rnd = random.Random(4)
+    other = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    texts = [f"{other()} {name} at who{i}@x.org {other()}" for i, name in enumerate(names) for _ in range(5)]
+    texts += [f"{other()} Gandalfus at g@x.org {other()}" for _ in range(5)] + [f"{other()} at Gandalfus's"] + [other() for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: [s.value for s in r.spans if s.kind > 4] for r in pii.with_spans(docs).collect()}
+    for i, name in enumerate(names):
+        assert name in rows[5 * i]
+    assert any(v.startswith("Gandalfus") for v in rows[5 * len(names) + 5])
+
+
+def test_terms_near_a_span_are_the_eight_words_on_either_side(spark):
+    word = lambda k: "".join(chr(97 + int(d)) for d in f"{k:03d}")
+    left, right = [word(k) * 20 for k in range(12)], [word(k) * 20 for k in range(12, 24)]
+    text = " ".join([*left, "12 -- " * 50, "foo.bar@x.org", "9.9.9.9", *right])
+    row = pii.spots(spark.createDataFrame([(text,)], "text string")).first()
+    assert [(s.entity, [t.value for t in s.terms]) for s in row.spots] == [
+        ("foo.bar@x.org", left[-8:] + right[:8]), ("9.9.9.9", [*left[-7:], "foo", *right[:8]])]
+
+
 def test_base_spans_stay_when_terms_are_added(spark):
     texts = revealing_corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
