@@ -2,11 +2,14 @@
 
 A window of a document as long as a benchmark item gets the 64-bit SimHash of its
 word shingles; an item is a candidate if the fingerprints differ in at most
-``RADIUS`` bits. The index holds each item under ``RADIUS + 1`` blocks of its
-bits: two fingerprints within the radius agree in at least one block, so looking
-the blocks up finds every item within it. Candidates are verified exactly: the
-shingles, weighted by how often they occur, must have a similarity (sum of
-minima over sum of maxima) of at least ``least``.
+``RADIUS`` bits. Every fingerprint of an item of that length is compared, so all
+within the radius are found. Candidates are verified exactly: the shingles,
+weighted by how often they occur, must have a similarity (sum of minima over sum
+of maxima) of at least ``least``. Two windows of one length with a similarity of
+0.8 and without repeated shingles are further apart than the radius with a
+probability of at most 3e-6. A document shorter than an item gets no
+fingerprint; it is verified against the items of that length that have the needed
+share of their shingles in it.
 
 Only windows in which the needed share of shingles occurs in items of that
 length are fingerprinted; any other window must fail the exact test.
@@ -18,7 +21,7 @@ blocks of at most ``BLOCK_WORDS`` words, one pass over the documents per block.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +34,8 @@ from pyspark.sql import functions as F
 from kinloom.llm.neardup import Sketcher
 
 SHINGLE = 5
-RADIUS = 15
+RADIUS = 24
 BLOCK_WORDS = 400_000
-BLOCK_BITS = 64 // (RADIUS + 1)
 WORD = re.compile(r"\w+")
 MATCHES = "id long, item_id long, word_start long, n_words long, similarity double"
 
@@ -63,11 +65,6 @@ def fingerprints(value: np.ndarray, start: np.ndarray, width: int) -> np.ndarray
     return out
 
 
-def block_values(prints: np.ndarray) -> np.ndarray:
-    shifts = np.arange(RADIUS + 1, dtype=np.uint64) * np.uint64(BLOCK_BITS)
-    return ((prints[..., None] >> shifts) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
-
-
 @dataclass
 class Width:
     """Items that have ``width`` shingles."""
@@ -77,23 +74,29 @@ class Width:
     values: list[np.ndarray] = field(default_factory=list)
     prints: np.ndarray | None = None
     shingles: np.ndarray | None = None
-    blocks: dict[tuple[int, int], list[int]] = field(default_factory=lambda: defaultdict(list))
+    sorted: np.ndarray | None = None
+    owner: np.ndarray | None = None
 
     def close(self, width: int) -> None:
         start = np.arange(len(self.ids)) * width
         self.prints = fingerprints(np.concatenate(self.values), start, width)
-        self.shingles = np.unique(np.concatenate(self.values))
-        for i, values in enumerate(block_values(self.prints)):
-            for j, v in enumerate(values.tolist()):
-                self.blocks[j, v].append(i)
+        every = np.concatenate(self.values)
+        order = np.argsort(every)
+        self.sorted, self.owner = every[order], order // width
+        self.shingles = np.unique(every)
 
     def within(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """(position in ``prints``, item) for all fingerprints within the radius."""
-        for w, values in enumerate(block_values(prints).tolist()):
-            near = sorted(set().union(*(self.blocks.get((j, v), ()) for j, v in enumerate(values))))
-            if near:
-                bits = np.bitwise_count(self.prints[near] ^ prints[w])
-                yield from ((w, near[k]) for k in np.flatnonzero(bits <= RADIUS))
+        for w, one in enumerate(prints):
+            yield from ((w, int(k)) for k in np.flatnonzero(np.bitwise_count(self.prints ^ one) <= RADIUS))
+
+
+    def sharing(self, value: np.ndarray, needed: int) -> list[int]:
+        """Items that have so many of their shingles, repeated ones counted, among ``value``."""
+        value = np.unique(value)
+        low, high = np.searchsorted(self.sorted, value), np.searchsorted(self.sorted, value, side="right")
+        at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+        return np.flatnonzero(np.bincount(self.owner[at], minlength=len(self.ids)) >= needed).tolist()
 
 
 class Index:
@@ -148,7 +151,11 @@ class Index:
             start = start[full]
             if not len(start):
                 continue
-            for w, i in items.within(fingerprints(value, start, width)):
+            if width < n:
+                near = ((0, i) for i in items.sharing(value, needed))
+            else:
+                near = items.within(fingerprints(value, start, width))
+            for w, i in near:
                 s = int(start[w])
                 have = best.get(items.ids[i])
                 if have and have[0] == 1.0:

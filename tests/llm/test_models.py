@@ -138,6 +138,27 @@ def test_contamination_equals_all_windows(spark, monkeypatch, words):
     assert decontam.find_contamination(docs, none).count() == 0 and decontam.drop_contaminated(docs, none).count() == len(rows)
 
 
+def test_windows_at_the_least_similarity_are_found():
+    """Item of ``n`` shingles, the last ``r`` of them replaced in the document: similarity (n - r) / (n + r)."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
+    for n, r, pairs in ((9, 1, 1500), (18, 2, 500), (46, 5, 300), (25, 2, 300)):
+        items = [[word() for _ in range(n + 4)] for _ in range(pairs)]
+        index = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)], 0.8)
+        texts = [" ".join([word(), *w[:n + 4 - r], *(word() for _ in range(r + 3))]) for w in items]
+        found = index.matches(texts, decontam.Sketcher(decontam.SHINGLE))
+        assert [[m[0] for m in f] for f in found] == [[i] for i in range(pairs)]
+
+
+def test_a_document_shorter_than_an_item_is_found_at_the_least_similarity():
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
+    items = [[word() for _ in range(14)] for _ in range(1500)]
+    index = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)], 0.8)
+    found = index.matches([" ".join(w[2:]) for w in items], decontam.Sketcher(decontam.SHINGLE))
+    assert [[m[0] for m in f] for f in found] == [[i] for i in range(1500)]
+
+
 def test_index_finds_every_fingerprint_within_the_radius():
     rnd = random.Random(4)
     items = [(i, " ".join(f"w{rnd.randrange(12)}" for _ in range(12))) for i in range(200)]
