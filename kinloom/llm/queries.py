@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat, decontam, html, langid, mixing, neardup, pii, quality, tokens, topk
+from kinloom.llm import chat, decontam, html, langid, mixing, neardup, pii, quality, spelling, tokens, topk, urls, whitening
 from kinloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,63 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("""SELECT * FROM VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+        ('com', '/fr/', 'allow'), ('com', '/de/', 'block') AS r(host, path, verdict)""")
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op11_url_filters"] = r"""
+WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+s AS (
+  SELECT k, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (
+  SELECT s.*, h || p AS rule, v, row_number() OVER (PARTITION BY k ORDER BY length(h || p) DESC, length(h) DESC) AS nth
+  FROM s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE nth = 1"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+    FROM range(256) r(i))),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{6,}')) AS run
+  FROM documents),
+x AS (SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x, count(*) AS times FROM r GROUP BY ALL),
+y AS (SELECT run, times, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS y FROM x),
+h AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, y), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM y, bits),
+k AS (
+  SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (
+  SELECT p.word, p.n, q.word AS near, q.n AS m FROM d p JOIN d q ON p.i = q.i AND p.a = q.a AND p.b = q.b AND p.word <> q.word
+  UNION SELECT p.word, p.n, v.word, v.n FROM d p JOIN v ON v.word = p.a || p.b
+  UNION SELECT v.word, v.n, p.word, p.n FROM d p JOIN v ON v.word = p.a || p.b),
+o AS (SELECT word, count(*) AS n_near FROM e GROUP BY word),
+g AS (SELECT word, near AS form, m AS form_n FROM (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS nth FROM e) WHERE nth = 1 AND m >= 5 * n),
+w AS (SELECT word, word AS root, 0 AS steps FROM v UNION ALL SELECT w.word, g.form, steps + 1 FROM w JOIN g ON g.word = w.root)
+SELECT v.word, g.form, z.root, v.n, coalesce(o.n_near, 0) AS n_near, g.form_n
+FROM v JOIN (SELECT word, max_by(root, steps) AS root FROM w GROUP BY word) z USING (word) LEFT JOIN o USING (word) LEFT JOIN g USING (word)"""
