@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -115,6 +116,52 @@ def test_page_text(spark):
     assert html.main_texts(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+LONG = "These are the words of the article, long enough to stand on their own. " * 5
+P = f"<p>{LONG}</p>"
+ARTICLES = [  # pages that hold LONG as their article, with and without a mark
+    "<div class='content no-sidebar'>{}</div>", "<div class='layout has-sidebar'><article>{}</article><div class=sidebar>links here</div></div>",
+    "<div class='with-header'>{}</div>", "<div class='no-comments'>{}</div>", "<div class='side-by-side'>{}</div>", "<div class='main right-side'>{}</div>",
+    "<section id=search>{}</section>", "<form id=aspnetForm><div>{}</div></form>", "<div class='sidebar-left'><nav>menu</nav>{}</div>",
+    "<div class='sidebar'><ul><li><a>a</a><li><a>b</a></ul></div>{}", "{}<div class='site-footer'><p>Contact us in our office today.</p></div>",
+    "<div class=header><p>Our site since 1990</p></div><div id=page>{}</div>", "<div class='post-comments'><p>I liked this</p></div>{}",
+    "<article>{}<div class='share-buttons'><a>Tweet this</a></div></article>", "<main><div class='related'><ul><li>One<li>Two</ul></div>{}</main>",
+    "<div id=cookie-consent>We use cookies</div><div>{}</div>", "<article>{}<div class='newsletter-signup'>" + "Join now. " * 30 + "</div></article>",
+    "{}<section class=comments><article class=comment>" + "I disagree with all of it. " * 6 + "</article></section>",
+    "<article>{}<ol class=commentlist><li>" + "A reader wrote this long remark. " * 9 + "</ol></article>",
+    "<div class='ad-slot'>Buy now</div>{}<div class='two-ads'>Buy more</div>", "<header><h1>Our site</h1></header><main>{}</main>",
+]
+
+
+@pytest.mark.parametrize("frame", ARTICLES)
+def test_words_in_class_and_id_do_not_drop_articles(frame):
+    assert html.main_text(f"<html><body class='no-sidebar'>{frame.format(P)}</body></html>") == LONG.strip()
+
+
+def test_named_parts_of_an_article_stay():
+    parts = ["<h2 id=social>On society</h2>", "<p id=search>A search began.</p>", "<h2 id='market-share'>Shares</h2>",
+             "<section id='related-work'><p>Others did it too.</p></section>", "<h3 id=comments>What they said</h3>",
+             f"<div class=related>{P}</div>"]
+    for part in parts:
+        inner = " ".join(re.sub("<[^>]*>", " ", part).split())
+        assert html.main_text(f"<article>{P}{part}</article>") == f"{LONG.strip()} {inner}"
+        if "related>" not in part:  # without a mark, that name is believed
+            assert html.main_text(f"<div>{P}{part}{P}</div>") == f"{LONG.strip()} {inner} {LONG.strip()}"
+
+
+def test_links_are_measured_as_they_are_read():
+    linked = "<p><a href=x>Fish &amp; chips,\n   &quot;salt&quot; &amp; vinegar</a></p>"
+    plain = 'Fish & chips, "salt" & vinegar'
+    assert html.main_text(f"<article>{linked}</article>") == plain
+    assert html.main_text(f"<article>{P}{linked}</article>") == f"{LONG.strip()} {plain}"
+    assert html.main_text(f"<div>{P}{linked}{P}</div>") == f"{LONG.strip()} {plain} {LONG.strip()}"
+
+
+def test_closing_paragraphs_and_formulas_stay():
+    assert html.main_text(f"<div>{P}<div class=ad>Buy</div><p>The end.</p></div><div><p>Imprint</p></div>") == f"{LONG.strip()} The end."
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>x=1</annotation></math>"
+    assert html.main_text(f"<article><p>So {formula} holds.</p></article>") == "So x=1 holds."
+
+
 def test_letters_that_grow_in_lower_case_move_no_raw_end():
     assert html.main_text("İİİİİ<script>x</script><p>Hello</p>") == "İİİİİ Hello"
     assert html.main_text("<TITLE>İstanbul</Title><p>Merhaba</p><STYLE>İ</sTyle><p>dünya</p><script>'</ſcript>'</SCRIPT >son") == "Merhaba dünya son"
