@@ -150,7 +150,8 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: s
                 norm = np.linalg.norm(profile, axis=1)
                 cosine = (profile @ unit.T) / np.maximum(norm, 1e-12)[:, None]
                 best = cosine.argmax(axis=1)
-                known = np.flatnonzero(norm > 0)
+                lettered = np.fromiter((any(map(str.isalpha, t or "")) for t in texts), dtype=bool, count=len(texts))
+                known = np.flatnonzero((norm > 0) & lettered)
                 lang[low + known] = np.array(names, dtype=object)[best[known]]
                 score[low + known] = np.clip(cosine[known, best[known]], 0, 1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
