@@ -29,11 +29,12 @@ def test_language_of_odd_texts(spark):
     train = spark.createDataFrame([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("x", None), (None, "fr"), ("12", "xx")], "text string, lang string")
     learned = langid.learn_prototypes(train, "text", "lang")
     assert set(learned) == {"en", "de"}
-    odd = [None, "", "123 !?", "the mat", "und die", "the " * 50_000, "日本" * 3_000]
+    odd = [None, "", "123 !?", "the mat", "und die", "the " * 50_000, "日本" * 3_000, "\u0301\u0302 ²", "\u0301\u0301 the mat"]
     docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(odd)], "doc_id long, text string, Score string")
     got = {r.doc_id: r for r in langid.predict_language(docs, learned).collect()}
     assert [got[i].lang_pred for i in range(6)] == ["und", "und", "und", "en", "de", "en"]
     assert got[0].score == 0 and got[6].lang_pred in ("de", "en")
+    assert (got[7].lang_pred, got[7].score, got[8].lang_pred) == ("und", 0, "en")  # marks alone are no letters
     none = langid.learn_prototypes(train.where("lang is null"), "text", "lang")
     assert {r.lang_pred for r in langid.predict_language(docs, none).collect()} == {"und"}
     assert langid.predict_language(docs.limit(0), learned).count() == 0
@@ -138,41 +139,83 @@ def test_contamination_equals_all_windows(spark, monkeypatch, words):
     assert decontam.find_contamination(docs, none).count() == 0 and decontam.drop_contaminated(docs, none).count() == len(rows)
 
 
-def test_windows_at_the_least_similarity_are_found():
+def random_word(rnd):
+    return "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_windows_at_the_least_similarity_are_found(exact):
     """Item of ``n`` shingles, the last ``r`` of them replaced in the document: similarity (n - r) / (n + r)."""
     rnd = random.Random(8)
-    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
-    for n, r, pairs in ((9, 1, 1500), (18, 2, 500), (46, 5, 300), (25, 2, 300)):
-        items = [[word() for _ in range(n + 4)] for _ in range(pairs)]
+    for n, r, pairs in ((9, 1, 1000), (18, 2, 300), (25, 2, 200), (46, 5, 200), (90, 10, 100)):
+        items = [[random_word(rnd) for _ in range(n + 4)] for _ in range(pairs)]
+        index = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)], 0.8, exact)
+        texts = [" ".join([random_word(rnd), *w[:n + 4 - r], *(random_word(rnd) for _ in range(r + 3))]) for w in items]
+        assert [[m[0] for m in f] for f in index.matches(texts, {})] == [[i] for i in range(pairs)]
+
+
+def test_items_with_repeated_shingles_are_found():
+    rnd = random.Random(10)
+    for n, r, pairs in ((9, 1, 300), (46, 5, 200), (90, 10, 100)):
+        items = [([random_word(rnd) for _ in range(rnd.choice([1, 2, 6]))] * n)[:n + 2 - r] + [random_word(rnd) for _ in range(r + 2)] for _ in range(pairs)]
         index = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)], 0.8)
-        texts = [" ".join([word(), *w[:n + 4 - r], *(word() for _ in range(r + 3))]) for w in items]
-        found = index.matches(texts, decontam.Sketcher(decontam.SHINGLE))
-        assert [[m[0] for m in f] for f in found] == [[i] for i in range(pairs)]
+        texts = [" ".join([*w[:n + 4 - r], *(random_word(rnd) for _ in range(r))]) for w in items]
+        found = index.matches(texts, {})
+        assert all(i in [m[0] for m in f] for i, f in enumerate(found))
+
+
+def test_fingerprints_at_the_least_similarity_stay_within_the_radius():
+    rnd, maker = random.Random(11), Sketcher(5)
+    for n, r in ((9, 1), (18, 2), (45, 5), (90, 10)):
+        ours = [[random_word(rnd) for _ in range(n + 4)] for _ in range(1_000)]
+        theirs = [w[:n + 4 - r] + [random_word(rnd) for _ in range(r)] for w in ours]
+        a, b = (decontam.fingerprints(maker.shingles(w)[0], np.arange(1_000) * n, n) for w in (ours, theirs))
+        far = decontam.apart(a, b)
+        assert far.max() <= decontam.RADIUS and far.mean() + 4.5 * far.std() < decontam.RADIUS + 1
 
 
 def test_a_document_shorter_than_an_item_is_found_at_the_least_similarity():
     rnd = random.Random(9)
-    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
-    items = [[word() for _ in range(14)] for _ in range(1500)]
+    items = [[random_word(rnd) for _ in range(14)] for _ in range(1500)]
     index = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)], 0.8)
-    found = index.matches([" ".join(w[2:]) for w in items], decontam.Sketcher(decontam.SHINGLE))
-    assert [[m[0] for m in f] for f in found] == [[i] for i in range(1500)]
+    assert [[m[0] for m in f] for f in index.matches([" ".join(w[2:]) for w in items], {})] == [[i] for i in range(1500)]
 
 
-def test_index_finds_every_fingerprint_within_the_radius():
+def test_blocks_find_every_fingerprint_within_the_radius():
     rnd = random.Random(4)
-    items = [(i, " ".join(f"w{rnd.randrange(12)}" for _ in range(12))) for i in range(200)]
-    width = decontam.Index(items, 0.8).widths[8]
-    prints = width.prints.copy()
+    index = decontam.Index([(i, " ".join(f"w{rnd.randrange(12)}" for _ in range(12))) for i in range(200)], 0.8)
+    prints = index.prints.copy()
     for k in range(len(prints)):
-        for b in rnd.sample(range(64), decontam.RADIUS):
-            prints[k] ^= np.uint64(1) << np.uint64(b)
-    found = set(width.within(prints))
-    want = {(a, b) for a in range(200) for b in range(200) if int(prints[a] ^ width.prints[b]).bit_count() <= decontam.RADIUS}
+        for b in rnd.sample(range(128), decontam.RADIUS):
+            prints[k, b // 16] ^= np.uint16(1 << b % 16)
+    found = set(index.within(prints, 5, 8))
+    want = {(a, b) for a in range(200) for b in range(200) if decontam.apart(prints[a], index.prints[b]) <= decontam.RADIUS}
     assert found == want and {(k, k) for k in range(200)} <= found
+    assert list(index.within(prints, 5, 9)) == []
     assert len(Sketcher(5).shingles([["a"] * 4, [], ["b"] * 9])[0]) == 6
 
 
+def test_short_items_are_whole_word_sequences(spark):
+    items = spark.createDataFrame([(1, "Two words"), (2, "one"), (3, "a b c d"), (4, "..."), (5, None), (None, "x"), (6, "a b c d e"), (6, "q r")], "item_id long, text string")
+    rows = [(1, "say TWO  words, two words"), (2, "oneself"), (3, "ONE"), (4, "z a b c d"), (5, "a b c d e f"), (6, None), (7, ""), (None, "q-r"), (7, "two word s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in decontam.find_contamination(docs, items).collect())))
+    assert got == sorted(map(str, [(1, 1, 1, 2, 1.0), (3, 2, 0, 1, 1.0), (4, 3, 1, 4, 1.0), (5, 3, 0, 4, 1.0), (5, 6, 0, 5, 1.0), (None, 6, 0, 2, 1.0)]))
+    assert sorted(r.text or "" for r in decontam.drop_contaminated(docs, items).collect()) == ["", "", "oneself", "two word s"]
+
+
+def test_items_and_documents_in_many_cells(spark, monkeypatch):
+    rows, items = contaminated(3)
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontam.find_contamination(docs, table).collect()))
+    for bits in (decontam.MOST_BITS, 6):  # a sieve that lets everything through changes nothing
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", 60)
+        monkeypatch.setattr(decontam, "CELL_CHARS", 500)
+        monkeypatch.setattr(decontam, "MOST_BITS", bits)
+        assert sorted(map(tuple, decontam.find_contamination(docs, table).collect())) == whole and whole
+        assert sorted(map(tuple, decontam.find_contamination(docs, table, exact=True).collect())) == whole
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
