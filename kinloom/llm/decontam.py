@@ -254,8 +254,8 @@ class Benchmark:
         self.blocks = max(1, -(-seen["words"] // BLOCK_WORDS))
         self.sieve = make_sieve(self.items, min(MOST_BITS, max(16, (64 * seen["words"]).bit_length())), least)
 
-    def sift(self, docs: DataFrame, text: str) -> DataFrame:
-        """``docs`` plus ``maybe``: could the row hold an item?"""
+    def sift(self, docs: DataFrame, text: str, flag: str) -> DataFrame:
+        """``docs`` plus ``flag``, a new column: could the row hold an item?"""
         sieve = self.sieve
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +264,9 @@ class Benchmark:
                 texts = batch.column(text)
                 passed = [sieve.passes(texts.slice(low, 128).to_pylist(), makers) for low in range(0, batch.num_rows, 128)]
                 flags = pa.array(np.concatenate(passed) if passed else [], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*batch.columns, flags], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*batch.columns, flags], names=[*batch.schema.names, flag])
 
-        (name,) = fresh(docs, "maybe")
-        return docs.mapInArrow(test, docs.select("*", F.lit(True).alias(name)).schema).withColumnRenamed(name, "__maybe")
+        return docs.mapInArrow(test, docs.select("*", F.lit(True).alias(flag)).schema)
 
     def search(self, rows: DataFrame, chars: int) -> DataFrame:
         """Matches of ``rows`` (number, text), a row per row and item: its best window."""
@@ -309,9 +308,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     them. The radius is made for a ``least`` of 0.8 or more; below, ask for ``exact``.
     """
     bench = Benchmark(items, item_id, item_text, least, exact)
-    rows = bench.sift(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "text")
+    rows = bench.sift(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), "text", "maybe")
     some, seen = cut(
-        rows.where("__maybe").select("id", "text", F.monotonically_increasing_id().alias("number")),
+        rows.where("maybe").select("id", "text", F.monotonically_increasing_id().alias("number")),
         F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
     found = bench.search(some.select("number", "text"), seen["chars"])
     return found.join(some.select("id", "number"), "number").select(
@@ -323,7 +322,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
     """The rows of ``docs`` that hold no item, as they are."""
     bench = Benchmark(items, item_id, item_text, least, exact)
     number, maybe = fresh(docs, "__number", "__maybe")
-    sifted = bench.sift(docs.withColumn(number, F.monotonically_increasing_id()), text).withColumnRenamed("__maybe", maybe)
+    sifted = bench.sift(docs.withColumn(number, F.monotonically_increasing_id()), text, maybe)
     rows, seen = cut(sifted, F.coalesce(F.sum(F.when(F.col(maybe), F.length(text))), F.lit(0)).alias("chars"))
     some = rows.where(F.col(maybe)).select(F.col(number).alias("number"), F.col(text).alias("text"))
     held = bench.search(some, seen["chars"]).select(F.col("number").alias(number)).distinct()
