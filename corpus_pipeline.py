@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import decontam, langid, mixing, neardup, pii
-from kinloom.llm.common import fold, table
-from kinloom.operators.lineage import scratch_root
+from kinloom.llm.common import fold, fresh, table
+from kinloom.operators.lineage import cut, scratch_root
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,11 +25,27 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; repeated rows of an id become one."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    A document is an id and its text: rows that repeat both become one, the first
+    by its other columns. Where an id has several texts, they are documents of
+    their own, and all but one of them stand behind all other ids. Rows without
+    an id stay.
+    """
+    key, print_, ahead = fresh(docs, "__key", "__print", "__ahead")
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(print_, F.xxhash64(F.length("text"), "text"))
+    clash = named.groupBy("doc_id").agg(F.min(print_).alias(ahead), F.max(print_).alias(print_)).where(F.col(ahead) != F.col(print_))
+    more = named.select("doc_id", print_).join(clash.select("doc_id", ahead), "doc_id").where(F.col(print_) != F.col(ahead))
+    last = docs.agg(F.max("doc_id").cast("long")).first()[0] or 0
+    more, _ = cut(more.select("doc_id", print_).distinct().orderBy("doc_id", print_).select(
+        "doc_id", print_, (F.lit(last + 1) + F.monotonically_increasing_id()).alias(key)))
+    keyed = named.join(more, ["doc_id", print_], "left").withColumn(key, F.coalesce(key, F.col("doc_id").cast("long")))
+    found = neardup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    kept = found.where("kept").select(F.col("doc_id").alias(key)).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    first = keyed.join(kept, key, "left_semi").groupBy(key).agg(F.min_by(row, others).alias(key + "row")).select(key + "row.*")
+    return first.unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
