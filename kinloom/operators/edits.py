@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.dates import parse_date
@@ -292,6 +292,10 @@ def _unlinks(op: DataFrame, born: DataFrame, columns: dict[str, list[str]]) -> D
     return out.where(F.col("id").isNotNull())
 
 
+def _if_there(df: DataFrame, column: str, other):
+    return F.coalesce(F.col(column), other) if column in df.columns else other
+
+
 def _key(*parts):
     return F.array(*[p.cast("bigint") if hasattr(p, "cast") else F.lit(p).cast("bigint") for p in parts])
 
@@ -324,7 +328,7 @@ def _famc(base: Tree, links: DataFrame, unlinked: DataFrame, life: DataFrame, fo
     last = sets.groupBy(*keys).agg(F.max(F.struct("seq", "family_id")).alias("s"))
     state, _ = cut(
         life.join(folds.select(*keys, F.size("path").alias("depth")), keys).join(last, keys, "left").select(
-            *keys, "to_seq", "into_id", "depth", F.coalesce("s.seq", F.lit(-2)).cast("bigint").alias("at"),
+            *keys, "to_seq", "into_id", "depth", F.coalesce("s.seq", "from_seq").alias("at"),
             F.col("s.family_id").alias("value"),
         ),
     )
@@ -508,6 +512,30 @@ def replay(base: Tree, op: DataFrame) -> Tree:
     )
 
 
+def as_base(tree: Tree) -> Tree:
+    """A tree as the start of further edits: the same tables in one layout, whether they were read or are the outcome of a replay.
+
+    Edits on top of it lead to what one replay of all edits leads to, if they come after the earlier ones.
+    """
+    def placed(links: DataFrame, owner: str, member: str) -> DataFrame:
+        order = Window.partitionBy("tree_id", owner).orderBy("ord", member)
+        return links.select("tree_id", owner, member, (F.row_number().over(order) - 1).cast("int").alias("ord"))
+
+    no_text, p, e = F.array().cast("array<string>"), tree.person, tree.event
+    person = p.select(
+        "tree_id", "person_id", "names", "sex", "notes", "sources", "family_id_as_child",
+        _if_there(p, "user_supplied", F.lit(False)).alias("user_supplied"), _if_there(p, "merged_from_ids", no_text).alias("merged_from_ids"))
+    event = e.select(
+        "tree_id", "event_id", F.col("seq").cast("bigint").alias("seq"), "type", "raw_tag", "date",
+        _if_there(e, "own_place", F.col("place")).alias("place"), "description", _if_there(e, "user_supplied", F.lit(False)).alias("user_supplied"))
+    return Tree(
+        person, placed(tree.person_fams, "person_id", "family_id"),
+        tree.family.select("tree_id", "family_id", F.col("seq").cast("bigint").alias("seq")),
+        placed(tree.family_spouse, "family_id", "person_id"), placed(tree.family_child, "family_id", "person_id"), event,
+        placed(tree.person_event, "person_id", "event_id"), placed(tree.family_event, "family_id", "event_id"),
+        tree.event_participant.select("tree_id", "event_id", "person_id", F.col("pord").cast("int").alias("pord")))
+
+
 def _child_spans(tokens, gone, moves, spouse_spans, merges: int) -> DataFrame:
     """Child memberships; nobody stays a child of a family where a merge made them a parent."""
     if not merges:
@@ -537,18 +565,19 @@ def _fold_people(base: Tree, op: DataFrame, life: DataFrame, edited: DataFrame,
     no_text, no_source = F.array().cast("array<string>"), "array<struct<raw:string,source_id:string,page:string>>"
     first = base.person.select(
         "tree_id", F.col("person_id").alias("id"), F.lit(-1).cast("bigint").alias("from_seq"), "names", "sex",
-        F.coalesce("notes", no_text).alias("notes"), "sources", F.lit(False).alias("added"),
+        F.coalesce("notes", no_text).alias("notes"), "sources", _if_there(base.person, "user_supplied", F.lit(False)).alias("added"),
+        _if_there(base.person, "merged_from_ids", no_text).alias("had"),
     ).unionByName(
         kind(op, "addPerson").select(
             "tree_id", F.col("person_id").alias("id"), F.col("seq").alias("from_seq"),
             parse_names(F.col("name_raws")).alias("names"), "sex", F.coalesce("notes", no_text).alias("notes"),
-            F.array().cast(no_source).alias("sources"), F.lit(True).alias("added"),
+            F.array().cast(no_source).alias("sources"), F.lit(True).alias("added"), no_text.alias("had"),
         )
     )
     now = F.when(F.col("names_new").isNotNull(), parse_names(F.col("names_new"))).otherwise(F.col("names"))
     facts, _ = cut(
         folds.join(first, keys).join(edited, keys, "left").select(
-            "tree_id", "id", "root_id", "path", "names_ok", "sex_ok", "notes_ok", now.alias("names"),
+            "tree_id", "id", "root_id", "path", "had", "names_ok", "sex_ok", "notes_ok", now.alias("names"),
             F.coalesce("sex_new", "sex").alias("sex"), F.coalesce("notes_new", "notes").alias("notes"), "sources",
             (F.col("added") | F.coalesce("touched", F.lit(False))).alias("user_supplied"),
         )
@@ -577,15 +606,17 @@ def _fold_people(base: Tree, op: DataFrame, life: DataFrame, edited: DataFrame,
         return firsts.groupBy(*root).agg(extra(firsts, "v").alias(f"all_{value}"))
 
     folded = facts.where(F.size("path") > 0)
-    has_notes = folded.where("notes_ok").select(*root).distinct().withColumn("notes_folded", F.lit(True))
-    gone = folded.groupBy(*root, "id").agg(F.min("path").alias("o"))
+    has_notes = folded.groupBy(*root).agg(F.bool_or("notes_ok").alias("notes_folded"), F.lit(True).alias("folded"))
+    gone = folded.select(*root, "path", F.lit(-1).alias("pos"), "id").unionByName(
+        facts.select(*root, "path", F.posexplode("had").alias("pos", "id")))
+    gone = gone.groupBy(*root, "id").agg(F.min(F.struct("path", "pos")).alias("o"))
     gone = gone.groupBy(*root).agg(extra(gone, "id").alias("merged_from_ids"))
     out = own.select(*root, "names", "notes", "sources", "user_supplied")
     for part in (added_names, sex, union_of("notes", F.col("notes_ok")), union_of("sources", F.lit(True)), has_notes, gone):
         out = out.join(part, root, "left")
     names = F.when(F.col("more_names").isNull(), F.col("names")).otherwise(F.concat("names", "more_names"))
     notes = F.when(F.col("notes_folded"), F.coalesce("all_notes", no_text)).otherwise(F.col("notes"))
-    sources = F.when(F.col("merged_from_ids").isNotNull(), F.coalesce("all_sources", F.array().cast(no_source)))
+    sources = F.when(F.col("folded"), F.coalesce("all_sources", F.array().cast(no_source)))
     return out.select(
         "tree_id", F.col("root_id").alias("person_id"), names.alias("names"),
         F.coalesce("known_sex", F.lit("unknown")).alias("sex"), notes.alias("notes"),
@@ -612,7 +643,8 @@ def _replay_events(base: Tree, op: DataFrame, life: DataFrame, folds: DataFrame,
         parse_date(text("date_raw")).alias("date"), parse_place(text("place_raw")).alias("place"),
         text("description").alias("description"), F.lit(True).alias("user_supplied"),
     )
-    first = base.event.select(*ev, F.lit(-1).cast("bigint").alias("born_seq"), *cols, F.lit(False).alias("user_supplied"))
+    first = base.event.withColumn("place", _if_there(base.event, "own_place", F.col("place"))).select(
+        *ev, F.lit(-1).cast("bigint").alias("born_seq"), *cols, _if_there(base.event, "user_supplied", F.lit(False)).alias("user_supplied"))
     every, _ = cut(first.unionByName(made))
     edits = kind(op, "editEvent").join(every.select(*ev, "born_seq"), ev).where(F.col("seq") > F.col("born_seq"))
     newest = lambda value, on: F.max_by(value, F.when(on, F.col("seq")))
@@ -634,7 +666,7 @@ def _replay_events(base: Tree, op: DataFrame, life: DataFrame, folds: DataFrame,
     # Spelling of a place: base spellings first, then edits in order.
     seq = base.event.select(*ev, "seq")
     patched = patched.join(seq, ev, "left").withColumn("seq", F.coalesce("seq", F.lit(1 << 60) + F.col("born_seq")))
-    event, _ = cut(intern_places(cut(patched)[0]))
+    event, _ = cut(intern_places(cut(patched.withColumn("own_place", F.col("place")))[0]))
 
     # Events on people's records.
     own = base.person_event.select(
@@ -685,11 +717,6 @@ def merge_only(base: Tree, op: DataFrame) -> Tree:
     return replay(base, kind(op, "merge"))
 
 
-def guarded_links(op: DataFrame, block_issues: DataFrame) -> DataFrame:
-    """Drop link edits with a blocking issue: ``block_issues(tree_id, seq)``."""
-    return op.join(block_issues.select("tree_id", "seq"), ["tree_id", "seq"], "left_anti")
-
-
 def describe_ops(op: DataFrame, names: DataFrame) -> DataFrame:
     """History line of every edit: (tree_id, seq, text)."""
     nm = lambda who, alias: names.select("tree_id", F.col("person_id").alias(who), F.col("name").alias(alias))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.operators.closure import HOPS, first_trails, looping_people, path_counts, upward_trails
+from kinloom.operators.first_paths import first_paths, loop_trees
 from kinloom.operators.lineage import cut
 
 __all__ = [
@@ -58,11 +59,24 @@ def ancestral_paths(parents: DataFrame, lines: DataFrame, first: int | None) ->
 
 
 def relationship_paths(parents: DataFrame, pairs: DataFrame, first: int | None) -> DataFrame:
-    """Paths that climb to a shared ancestor and come down again, per asked pair.
+    """Paths that climb to a shared ancestor and come down again, per asked pair, in depth-first order.
 
-    Upward trails of both ends meet on the apex (an end itself may be the apex).
     (tree_id, from_id, to_id, path_no, length, steps, apex_id, path_count)
+
+    With ``first`` no path beyond them is built, and the count (a decimal) adds up pairs of
+    people; trees with an ancestry loop are listed whole all the same.
     """
+    if first is None:
+        return _every_path(parents, pairs)
+    keys = ["tree_id", "from_id", "to_id"]
+    looping = loop_trees(parents)
+    found, count = first_paths(parents.join(looping, "tree_id", "left_anti"), pairs.join(looping, "tree_id", "left_anti"), first)
+    listed = _every_path(parents.join(looping, "tree_id", "left_semi"), pairs.join(looping, "tree_id", "left_semi")).where(F.col("path_no") <= first)
+    return found.join(count, keys).select(*listed.columns).unionByName(listed.withColumn("path_count", F.col("path_count").cast("decimal(38,0)")))
+
+
+def _every_path(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All paths: upward trails of both ends meet on the apex (an end itself may be the apex)."""
     asked = pairs.select("tree_id", "from_id", "to_id").where(F.col("from_id") != F.col("to_id")).distinct()
     ends = (
         asked.select("tree_id", F.col("from_id").alias("focal_id"))
@@ -103,8 +117,6 @@ def relationship_paths(parents: DataFrame, pairs: DataFrame, first: int | None)
     )
     keys = ["tree_id", "from_id", "to_id"]
     numbered = met.withColumn("path_no", F.row_number().over(Window.partitionBy(*keys).orderBy("path_key")))
-    if first is not None:
-        numbered = numbered.where(F.col("path_no") <= first)
     total = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("path_count"))
     return numbered.join(total, keys).select(*keys, "path_no", "length", "steps", "apex_id", "path_count")
 

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.operators import edits, quality
+from kinloom.operators import edits, guard
 from kinloom.operators.lineage import scratch_root
 from kinloom.plans.bridge import Bridge
 from kinloom.plans.catalog import big, joined, query
-from kinloom.sources import files, gedcom, sinks
+from kinloom.sources import files, gedcom, projects, sinks
 from kinloom.streaming.oplog import OP_KEY, dedup_ops
 
 
@@ -130,27 +130,28 @@ def merge_survivors(b: Bridge) -> DataFrame:
     return edits.survivors(merges, alive, b.person_raw().select("tree_id", F.col("person_id").alias("id")))
 
 
+def _link_log(b: Bridge) -> DataFrame:
+    """The edits that decide which links stand, and the names in the refusals."""
+    return b.ops().where(F.col("kind").isin("addPerson", "editPerson", "merge", "linkRelationship", "unlinkRelationship"))
+
+
 @query
 def blocked_links(b: Bridge) -> DataFrame:
-    """Link edits that a blocking issue rejects, checked against the base tables."""
-    op = edits.kind(b.ops(), "linkRelationship")
-    blood = op.where(F.col("relation") == "parent-child")
-    wed = op.where(F.col("relation") == "spouse")
-    one = quality.check_parent_child(b.person(), b.parents(), b.vitals(), blood).where(F.col("severity") == "block")
-    two = quality.check_spouses(
-        b.person(), b.parents(), b.spouses(), wed.select("tree_id", F.col("spouse_a").alias("a_id"), F.col("spouse_b").alias("b_id"))
-    ).where(F.col("severity") == "block")
-    return blood.join(one.select("tree_id", "parent_id", "child_id", "message"), ["tree_id", "parent_id", "child_id"]).select(
-        "tree_id", "seq", "message"
-    ).unionByName(
-        wed.join(two.select("tree_id", F.col("a_id").alias("spouse_a"), F.col("b_id").alias("spouse_b"), "message"),
-                 ["tree_id", "spouse_a", "spouse_b"]).select("tree_id", "seq", "message")
-    )
+    """Link edits that are refused, each checked in the tree as the edits before it have left it."""
+    return guard.blocked_links(b.tree(), _link_log(b))
 
 
 @query
 def links_let_through(b: Bridge) -> DataFrame:
-    return edits.guarded_links(edits.kind(b.ops(), "linkRelationship"), blocked_links(b)).select("tree_id", "seq", "family_id")
+    return edits.kind(guard.lawful_log(b.tree(), _link_log(b)), "linkRelationship").select("tree_id", "seq", "family_id")
+
+
+@query
+def guarded_families(b: Bridge) -> DataFrame:
+    """Who belongs to which family after the whole log, refused links left out."""
+    run = edits.Replay(b.tree(), guard.lawful_log(b.tree(), _link_log(b)))
+    tag = lambda df, role: df.select("tree_id", "family_id", "person_id", F.lit(role).alias("role"))
+    return tag(edits._members(run.spouse_spans), "spouse").unionByName(tag(edits._members(run.child_spans), "child"))
 
 
 @query
@@ -274,3 +275,38 @@ def project_manifests(b: Bridge) -> DataFrame:
     return files.parse_projects(texts).select(
         "file", "name", "source_file", "source_file_name", "source_hash", "focal_person_id", "orientation"
     )
+
+
+def _saved_projects(b: Bridge) -> DataFrame:
+    """Every tree with its edits and checklists, saved as a manifest and read again."""
+    proofs = b.proofs().withColumn("checklist_id", F.concat_ws("-", "focal_id", "ancestor_id"))
+    lists = proofs.select("tree_id", "checklist_id", F.lit("SAR").alias("society_id"), F.col("ancestor_id").alias("patriot_id"),
+                          F.lit("2020-01-01").alias("created_at")).distinct()
+    null = F.lit(None).cast("string")
+    heads = b.person_raw().select("tree_id").distinct().select(
+        "tree_id", F.col("tree_id").alias("name"), F.lit("source.ged").alias("source_file"), F.lit("tree.ged").alias("source_file_name"),
+        F.lit("").alias("source_hash"), null.alias("focal_person_id"), F.lit("vertical").alias("orientation"), F.lit("2020-01-02").alias("updated_at"))
+    return files.parse_projects(projects.project_texts(heads, b.ops(), lists, proofs))
+
+
+@query
+def project_ops(b: Bridge) -> DataFrame:
+    """The edits of saved projects, as a log again."""
+    return projects.project_ops(_saved_projects(b)).select(
+        "tree_id", "seq", "kind", "person_id", "keep_id", "merge_id", joined("name_raws", "|"), "sex", joined("notes", "|"), "event_id",
+        "event_type", joined("participant_ids"), "date_raw", "date_set", "place_raw", "place_set", "description", "description_set", "family_id",
+        "relation", "parent_id", "child_id", "spouse_a", "spouse_b",
+    )
+
+
+@query
+def project_checklists(b: Bridge) -> DataFrame:
+    return projects.project_checklists(_saved_projects(b)).select("file", "checklist_no", "checklist_id", "society_id", "patriot_id", "proofs")
+
+
+@query
+def project_proofs(b: Bridge) -> DataFrame:
+    return projects.project_proofs(_saved_projects(b)).select(
+        "file", "checklist_id", "seq", "kind", "doc_id", joined("covered_keys"), "society", "national_number", big("approved_year"),
+        "service_proof_cited",
+    )

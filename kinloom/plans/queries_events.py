@@ -56,6 +56,12 @@ def ancestor_stops(b: Bridge) -> DataFrame:
     )
 
 
+@query
+def ancestor_stop_rows(b: Bridge) -> DataFrame:
+    """The stops themselves, each with the nearest person it belongs to."""
+    return _ancestor_stops(b).select("tree_id", F.col("set_id").alias("focal_id"), "event_id", "person_id", big("year"), "sort_key", "place_key")
+
+
 @query
 def unique_stop_places(b: Bridge) -> DataFrame:
     stops = b.located().withColumn("set_id", F.col("person_id"))

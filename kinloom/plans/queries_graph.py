@@ -102,6 +102,14 @@ def relationship_paths(b: Bridge) -> DataFrame:
     )
 
 
+@query
+def first_relationship_paths(b: Bridge) -> DataFrame:
+    """The first two paths of every pair, and how many there are."""
+    return paths.relationship_paths(b.parents(), b.pairs(), 2).select(
+        "tree_id", "from_id", "to_id", big("path_no"), big("length"), joined("steps"), "apex_id", big("path_count")
+    )
+
+
 @query
 def path_listing(b: Bridge) -> DataFrame:
     return paths.path_listing(_pair_paths(b), b.names()).withColumn("path_no", big("path_no"))

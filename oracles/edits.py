@@ -168,13 +168,77 @@ UNION ALL SELECT e.tree_id, 2, f.f, e.text FROM evl e JOIN fam f ON f.family_id
 FROM supplier WHERE s_suppkey % 7 <> 0""",
 }
 
-_BLOCK = """bl AS (SELECT o.tree_id, o.n AS seq, o.family_id, CASE WHEN relation = 'spouse' THEN CASE WHEN me = you THEN coalesce(a.full_name, me) || ' cannot be married to themselves.' END
-  WHEN me = you THEN coalesce(a.full_name, me) || ' cannot be their own parent.' WHEN u.person_id IS NOT NULL THEN coalesce(a.full_name, me) || ' is already a descendant of '
-  || coalesce(b.full_name, you) || ', so this would make ' || coalesce(b.full_name, you) || ' their own ancestor.' END AS message
-  FROM ops o LEFT JOIN person a ON a.person_id = o.me LEFT JOIN person b ON b.person_id = o.you LEFT JOIN up u ON u.focal_id = o.me AND u.person_id = o.you
-  WHERE kind = 'linkRelationship')"""
-_KNOWN = "AND EXISTS (SELECT 1 FROM p0 JOIN ops x ON x.you = p0.person_id WHERE x.n = bl.seq)"
+# The edits of each tree one after the other. A link between a parent and a child first climbs from the parent, a generation
+# a step, until the child is met (refused) or nobody is left (accepted); any other edit takes one step.
+_PARENTS = """list_distinct(list_transform(list_filter(mem, lambda m: m.r = 's' AND list_contains(alive, m.p) AND list_contains(
+  list_transform(list_filter(mem, lambda c: c.r = 'c' AND list_contains(front, c.p)), lambda c: c.f), m.f)), lambda m: m.p))"""
+_REPLACED = "list_distinct(list_transform(mem, lambda m: {{'f': m.f, 'p': CASE WHEN m.p = you THEN me ELSE m.p END, 'r': m.r}}))".replace("{{", "{").replace("}}", "}")
+STEPS = f"""lo AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY n) AS i, relation = 'parent-child' AS blood FROM ops
+  WHERE kind IN ('addPerson', 'merge', 'linkRelationship', 'unlinkRelationship')),
+s0 AS (SELECT tree_id, list({{'f': family_id, 'p': person_id, 'r': r}}) AS mem FROM (
+  SELECT tree_id, family_id, person_id, 's' AS r FROM fs UNION SELECT tree_id, family_id, person_id, 'c' FROM fc) GROUP BY tree_id),
+w AS (SELECT tree_id, 1::BIGINT AS i, mem, (SELECT list(person_id) FROM p0 WHERE p0.tree_id = s0.tree_id) AS alive, NULL::VARCHAR[] AS front,
+    NULL::VARCHAR[] AS seen, NULL::BIGINT AS n, NULL::VARCHAR AS did FROM s0
+  UNION ALL
+  SELECT tree_id, CASE WHEN did = 'climb' THEN i ELSE i + 1 END,
+    CASE did WHEN 'link' THEN list_distinct(mem || list_filter([{{'f': fam, 'p': me, 'r': 's'}}, {{'f': fam, 'p': you, 'r': CASE WHEN blood THEN 'c' ELSE 's' END}}],
+        lambda m: list_contains(alive, m.p)))
+      WHEN 'unlink' THEN list_filter(mem, lambda m: NOT (m.f = fam AND m.p = me AND m.r = CASE WHEN blood THEN 'c' ELSE 's' END))
+      WHEN 'merge' THEN list_filter({_REPLACED}, lambda m: NOT (m.r = 'c' AND m.p = me AND list_contains(list_transform(list_filter(mem, lambda x: x.p = you), lambda x: x.f), m.f)
+        AND list_contains({_REPLACED}, {{'f': m.f, 'p': me, 'r': 's'}})))
+      ELSE mem END,
+    CASE did WHEN 'merge' THEN list_filter(alive, lambda x: x <> you) WHEN 'add' THEN list_append(alive, person) ELSE alive END,
+    CASE WHEN did = 'climb' THEN CASE WHEN front IS NULL THEN [me] ELSE list_filter(up, lambda x: NOT list_contains(seen, x)) END END,
+    CASE WHEN did = 'climb' THEN CASE WHEN front IS NULL THEN [me] ELSE list_distinct(seen || up) END END, n, did
+  FROM (SELECT *, CASE kind
+      WHEN 'addPerson' THEN CASE WHEN list_contains(alive, person) THEN 'none' ELSE 'add' END
+      WHEN 'merge' THEN CASE WHEN me <> you AND list_contains(alive, me) AND list_contains(alive, you) THEN 'merge' ELSE 'none' END
+      WHEN 'unlinkRelationship' THEN 'unlink'
+      ELSE CASE WHEN NOT (list_contains(alive, me) AND list_contains(alive, you)) THEN 'link' WHEN me = you THEN 'self' WHEN NOT blood THEN 'link'
+        WHEN list_contains(seen, you) THEN 'loop' WHEN len(front) = 0 THEN 'link' ELSE 'climb' END END AS did
+    FROM (SELECT w.tree_id, w.i, mem, alive, front, seen, {_PARENTS} AS up, o.n, kind, blood, me, you, family_id AS fam, person_id AS person
+      FROM w JOIN lo o ON o.tree_id = w.tree_id AND o.i = w.i))),
+bad AS (SELECT w.tree_id, w.n AS seq, w.did, o.me, o.you, o.blood FROM w JOIN lo o ON o.n = w.n WHERE did IN ('self', 'loop')),
+since AS (SELECT b.seq, x.p, coalesce(max(a.n), -1) AS s FROM bad b, LATERAL (SELECT unnest([b.me, b.you]) AS p) x
+  LEFT JOIN (SELECT w.n, o.person_id FROM w JOIN lo o ON o.n = w.n WHERE did = 'add') a ON a.person_id = x.p AND a.n < b.seq GROUP BY ALL),
+nm AS (SELECT s.seq, s.p, coalesce(any_value(e.nn), any_value(CASE WHEN s.s < 0 THEN q.full_name ELSE a.nn END), s.p) AS name FROM since s
+  LEFT JOIN (SELECT s.seq, s.p, max_by({FULL}, o.n) AS nn FROM since s JOIN ops o ON o.kind = 'editPerson' AND o.me = s.p AND o.name_raw IS NOT NULL AND o.n > s.s AND o.n < s.seq
+    GROUP BY ALL) e ON e.seq = s.seq AND e.p = s.p
+  LEFT JOIN person q ON q.person_id = s.p LEFT JOIN (SELECT n, {FULL} AS nn FROM ops WHERE kind = 'addPerson') a ON a.n = s.s GROUP BY s.seq, s.p)"""
+_GUARD = ("ops", "person", "p0", "fs", "fc")
 ORACLES["blocked_links"] = more(
-    _BLOCK, f"SELECT tree_id, seq, message FROM bl WHERE message IS NOT NULL {_KNOWN}", "ops", "person", "up", "p0")
+    STEPS,
+    """SELECT b.tree_id, b.seq, CASE WHEN did = 'loop' THEN a.name || ' is already a descendant of ' || c.name || ', so this would make ' || c.name || ' their own ancestor.'
+  WHEN blood THEN a.name || ' cannot be their own parent.' ELSE a.name || ' cannot be married to themselves.' END AS message
+FROM bad b JOIN nm a ON a.seq = b.seq AND a.p = b.me JOIN nm c ON c.seq = b.seq AND c.p = b.you""", *_GUARD)
 ORACLES["links_let_through"] = more(
-    _BLOCK, f"SELECT tree_id, seq, family_id FROM bl WHERE NOT (message IS NOT NULL {_KNOWN})", "ops", "person", "up", "p0")
+    STEPS, "SELECT tree_id, n AS seq, family_id FROM ops WHERE kind = 'linkRelationship' AND n NOT IN (SELECT seq FROM bad)", *_GUARD)
+ORACLES["guarded_families"] = more(
+    STEPS,
+    """SELECT tree_id, m.f AS family_id, m.p AS person_id, CASE m.r WHEN 's' THEN 'spouse' ELSE 'child' END AS role FROM (
+  SELECT tree_id, unnest(max_by(mem, (i, n, coalesce(len(seen), 0)))) AS m FROM w GROUP BY tree_id)""", *_GUARD)
+ORACLES["project_ops"] = build(
+    """SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY n) - 1 AS seq, kind, person_id, CASE WHEN kind = 'merge' THEN me END AS keep_id,
+  CASE WHEN kind = 'merge' THEN you END AS merge_id, name_raw AS name_raws, sex, note AS notes, event_id, event_type,
+  CASE WHEN kind = 'addEvent' THEN me || '>' || you END AS participant_ids,
+  CASE WHEN kind = 'addEvent' OR n % 2 = 1 THEN date_raw END AS date_raw, kind = 'editEvent' AND n % 2 = 1 AS date_set,
+  CASE WHEN kind = 'addEvent' OR n % 4 = 0 THEN place_raw END AS place_raw, kind = 'editEvent' AND n % 4 = 0 AS place_set,
+  CASE WHEN kind = 'addEvent' OR n % 4 = 2 THEN description END AS description, kind = 'editEvent' AND n % 4 = 2 AS description_set,
+  family_id, relation, CASE WHEN kind = 'linkRelationship' AND relation = 'parent-child' THEN me END AS parent_id,
+  CASE WHEN relation = 'parent-child' THEN CASE WHEN kind = 'linkRelationship' THEN you ELSE me END END AS child_id,
+  CASE WHEN relation = 'spouse' THEN me END AS spouse_a, CASE WHEN kind = 'linkRelationship' AND relation = 'spouse' THEN you END AS spouse_b FROM ops""", "ops")
+_PROOFS = """pf AS (SELECT 'T' || (o_custkey // 64) AS tree_id, 'I' || (o_custkey // 64 * 64 + 56 + o_orderkey % 8) || '-I' || (o_custkey // 64 * 64 + o_orderkey // 8 % 16) AS checklist_id,
+  'I' || (o_custkey // 64 * 64 + o_orderkey // 8 % 16) AS patriot_id, o_orderkey AS q, o_orderstatus = 'F' AS is_doc,
+  CASE WHEN o_custkey % 64 // 8 = 0 THEN 'service' ELSE 'I' || o_custkey || '->I' || (o_custkey // 64 * 64 + (o_custkey % 64 // 8 - 1) * 8
+    + (o_custkey % 8 * 3 + o_custkey % 64 // 8) % 4 * 2 + o_orderkey % 2) END AS link FROM orders),
+held AS (SELECT pf.* FROM pf WHERE tree_id IN (SELECT tree_id FROM p0))"""
+ORACLES["project_checklists"] = more(
+    _PROOFS,
+    """SELECT tree_id AS file, row_number() OVER (PARTITION BY tree_id ORDER BY checklist_id) - 1 AS checklist_no, checklist_id, 'SAR' AS society_id, patriot_id, count(*) AS proofs
+FROM held GROUP BY tree_id, checklist_id, patriot_id""", "p0")
+ORACLES["project_proofs"] = more(
+    _PROOFS,
+    """SELECT tree_id AS file, checklist_id, row_number() OVER (PARTITION BY tree_id, checklist_id ORDER BY q) - 1 AS seq, CASE WHEN is_doc THEN 'document' ELSE 'record-copy' END AS kind,
+  CASE WHEN is_doc THEN 'D' || q END AS doc_id, CASE WHEN NOT is_doc AND q % 5 = 0 THEN link || '>service' ELSE link END AS covered_keys,
+  CASE WHEN NOT is_doc THEN CASE WHEN q % 2 = 0 THEN 'SAR' ELSE 'DAR' END END AS society, CASE WHEN NOT is_doc THEN (q + 1000)::VARCHAR END AS national_number,
+  CASE WHEN NOT is_doc THEN 1975 + q % 25 END AS approved_year, CASE WHEN NOT is_doc AND q % 4 = 1 THEN 'pension file' END AS service_proof_cited FROM held""", "p0")

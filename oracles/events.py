@@ -93,6 +93,11 @@ st AS (SELECT * FROM (SELECT m.tree_id, m.focal_id, l.*, row_number() OVER (PART
         """SELECT tree_id, focal_id, count(*) AS stops, count(DISTINCT person_id) AS owners, count(DISTINCT place_key) AS places,
   min_by(event_id, (sort_key, event_id)) AS first_event, min_by(person_id, (sort_key, event_id)) AS first_owner,
   max_by(event_id, (sort_key, event_id)) AS last_event FROM st GROUP BY ALL""", "walk", "p0", "located"),
+    "ancestor_stop_rows": more(
+        """mem AS (SELECT tree_id, focal_id, person_id, depth, wkey FROM walk UNION ALL SELECT tree_id, person_id, person_id, 0, [0::BIGINT][:0] FROM p0),
+st AS (SELECT * FROM (SELECT m.tree_id, m.focal_id, l.*, row_number() OVER (PARTITION BY m.focal_id, l.event_id ORDER BY m.depth, m.wkey) AS rn
+  FROM mem m JOIN (SELECT person_id, event_id, year, sort_key, place_key FROM located) l ON l.person_id = m.person_id) WHERE rn = 1)""",
+        "SELECT tree_id, focal_id, event_id, person_id, year, sort_key, place_key FROM st", "walk", "p0", "located"),
     "unique_stop_places": build(
         "SELECT tree_id, person_id AS set_id, place_key, min_by(place_raw, (sort_key, event_id)) AS place_raw FROM located GROUP BY ALL", "located"),
     "resolved_stops": more(gaz() + COORD, "SELECT person_id, event_id, place_key, lat, lon FROM res", "located"),

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinloom.operators import closure, kinship, paths, quality, research, society
+from kinloom.operators import closure, first_paths, kinship, paths, quality, research, society
 from kinloom.operators.numbering import number_rows
 
 PARENTS = "tree_id string, parent_id string, child_id string, family_id string, fseq bigint, pord int, cord int"
@@ -110,6 +110,34 @@ def test_thirty_generations_and_a_billion_paths(spark):
     assert [r.reachable for r in society.reachability(lines, on_line).collect()] == [True]
 
 
+def test_first_paths_of_many(spark):
+    """No path beyond the first five is built."""
+    edges = diamonds(6) + [("D6", "TOP"), ("Z", "TOP")] + [("X", "D0"), ("X", "R0")]
+    parents = table(spark, {"T": edges, "LOOP": [("A", "B"), ("B", "C"), ("C", "A"), ("D", "A")]})
+    pairs = spark.createDataFrame(
+        [("T", "D0", "D6"), ("T", "D6", "D0"), ("T", "D0", "GHOST"), ("T", "Z", "X"), ("T", "L3", "R3"), ("LOOP", "D", "B")],
+        "tree_id string, from_id string, to_id string")
+    got, count = {}, {}
+    for r in paths.relationship_paths(parents, pairs, 5).collect():
+        got.setdefault((r.tree_id, r.from_id, r.to_id), []).append((r.path_no, r.steps, r.length))
+        count[r.tree_id, r.from_id, r.to_id] = r.path_count
+    # X reaches all above D1 by either parent, by R0 itself in half as many ways
+    assert count == {("T", "D0", "D6"): 64, ("T", "D6", "D0"): 64, ("T", "Z", "X"): 64 + 32, ("T", "L3", "R3"): 1, ("LOOP", "D", "B"): 2}
+    assert all(len(v) == min(5, count[k]) for k, v in got.items())
+    up = sorted(got["T", "D0", "D6"])
+    assert up[0][1] == [s for i in range(6) for s in (f"D{i}", f"L{i}")] + ["D6"] and up[0][2] == 12
+    turns = ["".join(x[0] for x in steps if x[0] in "LR")[-3:] for _, steps, _ in up]
+    assert turns == ["LLL", "LLR", "LRL", "LRR", "RLL"]
+
+
+def test_a_billion_paths_are_counted_by_pairs_of_people(spark):
+    parents = table(spark, {"T": diamonds(30)})
+    pairs = spark.createDataFrame([("T", "D0", "D30")], "tree_id string, from_id string, to_id string")
+    high = first_paths.heights(parents)
+    found = first_paths.pair_counts(first_paths._steps(parents, high), high, pairs)
+    assert [r.n for r in found.where("u = 'D0' AND v = 'D30'").collect()] == [2**30]
+
+
 def test_more_than_two_hundred_paths_are_listed(spark):
     parents = table(spark, {"T": diamonds(8)})
     lines = lines_of(spark, ("D0", "D8"))
