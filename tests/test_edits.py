@@ -153,8 +153,11 @@ def same(want: dict, got: dict) -> None:
 
 @pytest.mark.parametrize("merge_weight", [2, 8])
 def test_replay_matches_one_by_one(spark, merge_weight):
-    trees = [f"T{i}" for i in range(25)]
+    trees = [f"T{i}" for i in range(26)]
     logs = {t: random_ops(t, random.Random(100 * merge_weight + i), 12 + i, merge_weight) for i, t in enumerate(trees)}
+    logs["T25"] = [  # a pointer that a merge brought does not come back with a new person of the same id
+        blank("T25", 0, "merge", keep_id="P1", merge_id="P6"), blank("T25", 1, "merge", keep_id="P5", merge_id="P1"),
+        blank("T25", 2, "addPerson", person_id="P1", name_raws=["New /P/"], sex="male")]
     rows = [tuple(op[f] for f in FIELDS) for ops in logs.values() for op in ops]
     result = edits.replay(base_tables(spark, trees), spark.createDataFrame(rows, edits.OP_SCHEMA))
     got = as_state(result)

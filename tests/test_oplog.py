@@ -16,47 +16,21 @@ def frame(spark, ops):
     return spark.createDataFrame([tuple(op[f] for f in FIELDS) for op in ops], edits.OP_SCHEMA)
 
 
-def test_snapshots_carry_a_replay_on(spark):
-    """Two replays, one on the outcome of the other, against one."""
-    trees = [f"T{i}" for i in range(20)]
-    logs = {t: random_ops(t, random.Random(900 + i), 24 + i, 6) for i, t in enumerate(trees)}
-    half = {t: len(ops) // 2 for t, ops in logs.items()}
-    first = edits.replay(base_tables(spark, trees), frame(spark, [op for t in trees for op in logs[t][:half[t]]]))
-    got = as_state(edits.replay(edits.as_base(first), frame(spark, [op for t in trees for op in logs[t][half[t]:]])))
-    for t in trees:
-        same(brute(base_state(), logs[t]), got[t])
-
-
 def test_batches_read_their_own_edits_only(spark, tmp_path):
-    """Ten batches in order: each replays what it brings, whatever came before."""
-    ops = {t: random_ops(t, random.Random(i), 60, 3) for i, t in enumerate(("T0", "T1"))}
+    """Each batch replays what it brings, whatever came before; late edits make their tree start again, repeated ones are left out."""
+    ops = {t: random_ops(t, random.Random(i), 30, 3) for i, t in enumerate(("T0", "T1"))}
     base, root, states = base_tables(spark, list(ops)), str(tmp_path / "edits"), {}
     publish = lambda tables, touched, batch: states.update(as_state(tables))
-    for n in range(5):
-        part = ops["T0"][12 * n:12 * n + 12] + (ops["T1"][30 * n:30 * n + 30] if n < 2 else [])
-        work = oplog.apply_batch(frame(spark, part), n, base, root, publish)
-        assert (work.replayed, work.from_log) == (len(part), 0)
-        assert (work.from_base, work.continued) == ((2, 0) if n == 0 else (0, 2) if n == 1 else (0, 1))
-    for t, log in ops.items():
-        same(brute(base_state(), log), states[t])
-
-
-def test_late_and_repeated_edits(spark, tmp_path):
-    ops = random_ops("T0", random.Random(5), 40, 5)
-    base, root, states = base_tables(spark, ["T0"]), str(tmp_path / "edits"), []
-    publish = lambda tables, touched, batch: states.append(as_state(tables)["T0"])
     run = lambda part, n: oplog.apply_batch(frame(spark, part), n, base, root, publish)
-    late, now = ops[7:9], [op for op in ops[:20] if op not in ops[7:9]]
-    run(now, 0)
-    again = run(now[3:6] + ops[20:25], 1)  # three came before
-    assert (again.replayed, again.from_base, again.continued) == (5, 0, 1)
-    same(brute(base_state(), now + ops[20:25]), copy.deepcopy(states[-1]))
-    back = run(late + ops[25:28], 2)  # a gap is closed: the tree starts again
-    assert (back.replayed, back.from_base, back.continued) == (28, 1, 0)
-    same(brute(base_state(), ops[:28]), copy.deepcopy(states[-1]))
-    for _ in range(2):  # a batch that runs again
-        assert run(ops[28:], 3).replayed == 12
-        same(brute(base_state(), ops), copy.deepcopy(states[-1]))
-    assert run(ops[30:35], 4).replayed == 0 and len(states) == 5
-    assert run([], 5).replayed == 0
-    assert run(ops[38:], 6).replayed == 0
+    late = ops["T0"][7:9]
+    work = run([op for op in ops["T0"][:12] if op not in late] + ops["T1"][:20], 0)
+    assert (work.replayed, work.from_log, work.from_base, work.continued) == (30, 0, 2, 0)
+    work = run(ops["T0"][12:16] + ops["T1"][20:24], 1)
+    assert (work.replayed, work.from_log, work.from_base, work.continued) == (8, 0, 0, 2)
+    for _ in range(2):  # T1 goes on, with three edits again; T0 has a gap closed; and the batch runs again
+        work = run(late + ops["T0"][16:] + ops["T1"][18:21] + ops["T1"][24:], 2)
+        assert (work.replayed, work.from_base, work.continued) == (30 + 6, 1, 1)
+        for t, log in ops.items():
+            same(brute(base_state(), log), copy.deepcopy(states[t]))
+    before = copy.deepcopy(states)
+    assert run(ops["T0"][3:5], 3).replayed == 0 and run([], 4).replayed == 0 and states == before
