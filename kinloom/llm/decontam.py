@@ -25,6 +25,7 @@ tasks build the index of their block.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
@@ -42,7 +43,7 @@ SHINGLE = 5
 RADIUS = 39  # bits of 128
 BLOCKS = 8  # of 16 bits
 BLOCK_WORDS = 400_000  # words of a block of items
-CELL_CHARS = 8_000_000  # code points of a block of documents
+CELL_CHARS = 1_000_000  # code points of a block of documents
 MOST_BITS = 27  # the bitmap has at most 2^27 bits
 WORD = re.compile(r"\w+")
 MATCHES = "number long, item_id long, word_start long, n_words long, similarity double"
@@ -109,7 +110,8 @@ class Index:
         value, count = Sketcher(SHINGLE).shingles(self.words)
         at = np.cumsum(count) - count
         self.gram = np.fromiter((min(SHINGLE, len(w)) for w in self.words), dtype=np.int64, count=len(known))
-        self.width, self.shingles, self.owned, self.repeating = count, {}, {}, {}
+        self.width, self.owned, self.repeating = count, {}, {}
+        self.lengths_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # shingles of items, and the length of an item that has it
         self.prints = np.zeros((len(known), BLOCKS), dtype=np.uint16)
         for g, n in sorted(set(zip(self.gram.tolist(), count.tolist(), strict=True))):
             some = np.flatnonzero((self.gram == g) & (count == n))
@@ -118,26 +120,32 @@ class Index:
             repeats = np.array([len(np.unique(value[a:a + n])) < n for a in at[some].tolist()])
             self.owned[g, n] = _by_value(flat, owner)
             self.repeating[g, n] = _by_value(flat[np.repeat(repeats, n)], owner[np.repeat(repeats, n)])
-            self.shingles[g, n] = np.unique(flat)
             self.prints[some] = fingerprints(value, at[some], n)
+            known = np.unique(flat)
+            before = self.lengths_of.get(g, (flat[:0], owner[:0]))
+            self.lengths_of[g] = _by_value(np.r_[before[0], known], np.r_[before[1], np.full(len(known), n)])
 
     @cached_property
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each block: items by the block's value, and where each value begins."""
-        return [(order := np.argsort(self.prints[:, b], kind="stable"),
-                 np.searchsorted(self.prints[order, b], np.arange((1 << 16) + 1))) for b in range(BLOCKS)]
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block: which values occur, items by the block's value, and where each value begins."""
+        out = []
+        for b in range(BLOCKS):
+            order = np.argsort(self.prints[:, b], kind="stable")
+            edge = np.searchsorted(self.prints[order, b], np.arange((1 << 16) + 1))
+            out.append((edge[1:] > edge[:-1], order, edge))
+        return out
 
     def within(self, prints: np.ndarray, gram: int, width: int) -> Iterator[tuple[int, int]]:
         """(row of ``prints``, item) for all items of that length whose fingerprint is within the radius."""
         size = len(self.ids)
         for low in range(0, len(prints), 64):
             some, pairs = prints[low:low + 64], []
-            for b, (order, edge) in enumerate(self.tables):
-                near = (some[:, b, None] ^ PROBES).astype(np.int64)
-                first, last = edge[near], edge[near + 1]
-                w, p = np.nonzero(last > first)
-                n = (last - first)[w, p]
-                item = order[np.repeat(first[w, p] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            for b, (filled, order, edge) in enumerate(self.tables):
+                near = some[:, b, None] ^ PROBES
+                w, p = np.nonzero(filled[near])
+                at = near[w, p].astype(np.int64)
+                n = edge[at + 1] - edge[at]
+                item = order[np.repeat(edge[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 pairs.append(np.repeat(w, n) * size + item)
             pairs = np.unique(np.concatenate(pairs))
             w, item = pairs // size, pairs % size
@@ -159,18 +167,27 @@ class Index:
         """For each text: (item, first word, words, similarity) of each item's best window, the first of equals."""
         words = [words_of(t) for t in texts]
         best: list[dict[int, tuple[float, int, int]]] = [{} for _ in words]
-        for gram in sorted({g for g, _ in self.shingles}):
+        for gram, (sorted_, length) in self.lengths_of.items():
             long = [d for d, w in enumerate(words) if len(w) >= gram]
             value, count = makers.setdefault(gram, Sketcher(gram)).shingles([words[d] for d in long])
             edge = np.r_[0, np.cumsum(count)]
-            for k, d in enumerate(long):
-                for n in [n for g, n in self.shingles if g == gram]:
-                    self._windows(words[d], value[edge[k]:edge[k + 1]], gram, n, best[d])
+            low, high = np.searchsorted(sorted_, value), np.searchsorted(sorted_, value, side="right")
+            hit = np.flatnonzero(high > low)
+            first = np.searchsorted(hit, edge)
+            for k in np.flatnonzero(first[1:] > first[:-1]).tolist():
+                d, own = long[k], hit[first[k]:first[k + 1]]
+                # the lengths of the items that each place has a shingle of
+                n = (high - low)[own]
+                lengths = length[np.repeat(low[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                places = np.repeat(own - edge[k], n)
+                for size, there in zip(*np.unique(lengths, return_counts=True), strict=True):
+                    if there >= needed(int(size), self.least):
+                        self._windows(words[d], value[edge[k]:edge[k + 1]], places[lengths == size], gram, int(size), best[d])
         return [[(item, s, n, -similar) for item, (similar, s, n) in sorted(found.items())] for found in best]
 
-    def _windows(self, words: list[str], value: np.ndarray, gram: int, n: int, best: dict[int, tuple[float, int, int]]) -> None:
+    def _windows(self, words: list[str], value: np.ndarray, own: np.ndarray, gram: int, n: int, best: dict[int, tuple[float, int, int]]) -> None:
+        """Look at the windows of ``n`` shingles; ``own``: places of shingles that items of that length have."""
         width, enough = min(n, len(value)), needed(n, self.least)
-        own = np.flatnonzero(np.isin(value, self.shingles[gram, n]))
         start = own[close_runs(own, width, enough)] if width >= enough else own[:0]
         if not len(start):
             return
@@ -198,7 +215,8 @@ class Sieve:
     """A bitmap of the shingles of all items, and the lengths of items."""
 
     def __init__(self, bits: int, slots: dict[int, int], lengths: list[tuple[int, int]], least: float):
-        self.bits, self.lengths, self.least = bits, sorted(lengths), least
+        self.bits, self.least = bits, least
+        self.lengths = {g: sorted((needed(n, least), n) for h, n in lengths if h == g) for g in sorted({g for g, _ in lengths})}
         self.map = np.zeros(1 << max(bits - 6, 0), dtype=np.uint64)
         for slot, word in slots.items():
             self.map[slot] = word
@@ -206,17 +224,17 @@ class Sieve:
     def passes(self, texts: list[str | None], makers: dict[int, Sketcher]) -> np.ndarray:
         """Could the text hold an item?"""
         out, words = np.zeros(len(texts), dtype=bool), [words_of(t) for t in texts]
-        for gram in sorted({g for g, _ in self.lengths}):
+        for gram, lengths in self.lengths.items():
             long = [d for d, w in enumerate(words) if len(w) >= gram]
             value, count = makers.setdefault(gram, Sketcher(gram)).shingles([words[d] for d in long])
             place = value >> np.uint64(64 - self.bits)
             hit = np.flatnonzero((self.map[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
             edge = np.r_[0, np.cumsum(count)]
             first = np.searchsorted(hit, edge)
-            for k in np.flatnonzero(first[1:] > first[:-1]):
+            for k in np.flatnonzero(first[1:] - first[:-1] >= lengths[0][0]).tolist():
                 own = hit[first[k]:first[k + 1]]
                 out[long[k]] |= any(
-                    len(close_runs(own, min(n, int(count[k])), needed(n, self.least))) for g, n in self.lengths if g == gram)
+                    len(close_runs(own, min(n, int(count[k])), enough)) for enough, n in lengths[:bisect_right(lengths, (len(own), float("inf")))])
         return out
 
 
