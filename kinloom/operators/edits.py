@@ -512,15 +512,17 @@ def replay(base: Tree, op: DataFrame) -> Tree:
     )
 
 
+def as_list(links: DataFrame, owner: str, member: str) -> DataFrame:
+    """(tree_id, owner, member, ord): the members of each owner, numbered from 0 in their order."""
+    order = Window.partitionBy("tree_id", owner).orderBy("ord", member)
+    return links.select("tree_id", owner, member, (F.row_number().over(order) - 1).cast("int").alias("ord"))
+
+
 def as_base(tree: Tree) -> Tree:
     """A tree as the start of further edits: the same tables in one layout, whether they were read or are the outcome of a replay.
 
     Edits on top of it lead to what one replay of all edits leads to, if they come after the earlier ones.
     """
-    def placed(links: DataFrame, owner: str, member: str) -> DataFrame:
-        order = Window.partitionBy("tree_id", owner).orderBy("ord", member)
-        return links.select("tree_id", owner, member, (F.row_number().over(order) - 1).cast("int").alias("ord"))
-
     no_text, p, e = F.array().cast("array<string>"), tree.person, tree.event
     person = p.select(
         "tree_id", "person_id", "names", "sex", "notes", "sources", "family_id_as_child",
@@ -529,10 +531,10 @@ def as_base(tree: Tree) -> Tree:
         "tree_id", "event_id", F.col("seq").cast("bigint").alias("seq"), "type", "raw_tag", "date",
         _if_there(e, "own_place", F.col("place")).alias("place"), "description", _if_there(e, "user_supplied", F.lit(False)).alias("user_supplied"))
     return Tree(
-        person, placed(tree.person_fams, "person_id", "family_id"),
+        person, as_list(tree.person_fams, "person_id", "family_id"),
         tree.family.select("tree_id", "family_id", F.col("seq").cast("bigint").alias("seq")),
-        placed(tree.family_spouse, "family_id", "person_id"), placed(tree.family_child, "family_id", "person_id"), event,
-        placed(tree.person_event, "person_id", "event_id"), placed(tree.family_event, "family_id", "event_id"),
+        as_list(tree.family_spouse, "family_id", "person_id"), as_list(tree.family_child, "family_id", "person_id"), event,
+        as_list(tree.person_event, "person_id", "event_id"), as_list(tree.family_event, "family_id", "event_id"),
         tree.event_participant.select("tree_id", "event_id", "person_id", F.col("pord").cast("int").alias("pord")))
 
 

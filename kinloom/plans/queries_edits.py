@@ -161,6 +161,14 @@ def merged_event_lists(b: Bridge) -> DataFrame:
     return person_event.groupBy("tree_id", "person_id").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query
+def merged_event_rows(b: Bridge) -> DataFrame:
+    """The lists themselves: the events of each person left, their own first, then those of the merged in the order of the merges."""
+    _, person_event, _, _ = _run(b, "merge").events
+    listed = edits.as_list(person_event, "person_id", "event_id")
+    return listed.select("tree_id", "person_id", "event_id", big("ord", "position"))
+
+
 @query
 def merged_sources(b: Bridge) -> DataFrame:
     return _run(b, "merge").people.select("tree_id", "person_id", F.size("sources").cast("bigint").alias("sources"))

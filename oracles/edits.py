@@ -242,3 +242,29 @@ ORACLES["project_proofs"] = more(
   CASE WHEN is_doc THEN 'D' || q END AS doc_id, CASE WHEN NOT is_doc AND q % 5 = 0 THEN link || '>service' ELSE link END AS covered_keys,
   CASE WHEN NOT is_doc THEN CASE WHEN q % 2 = 0 THEN 'SAR' ELSE 'DAR' END END AS society, CASE WHEN NOT is_doc THEN (q + 1000)::VARCHAR END AS national_number,
   CASE WHEN NOT is_doc THEN 1975 + q % 25 END AS approved_year, CASE WHEN NOT is_doc AND q % 4 = 1 THEN 'pension file' END AS service_proof_cited FROM held""", "p0")
+# Where everybody ends up by merges alone, with the merges on the way from the person who is left.
+FOLDS = MERGES + """,
+fo AS (SELECT tree_id, person_id AS id, person_id AS at, [0::BIGINT][:0] AS path FROM p0
+  UNION ALL SELECT f.tree_id, f.id, s.keep_id, list_prepend(s.n, f.path) FROM fo f JOIN st s ON s.tree_id = f.tree_id AND s.id = f.at),
+fd AS (SELECT f.tree_id, f.id, f.at AS root, f.path FROM fo f JOIN ok ON ok.tree_id = f.tree_id AND ok.person_id = f.at)"""
+_EVENTS = FOLDS + """, le AS (SELECT d.tree_id, d.root AS person_id, e.event_id, d.path, e.ord FROM fd d JOIN ev e ON e.tree_id = d.tree_id AND e.owner_id = d.id)"""
+ORACLES["merged_event_rows"] = more(
+    _EVENTS, "SELECT tree_id, person_id, event_id, row_number() OVER (PARTITION BY tree_id, person_id ORDER BY path, ord) - 1 AS position FROM le", "ops", "p0", "ev")
+ORACLES["merged_event_lists"] = more(_EVENTS, "SELECT tree_id, person_id, count(*) AS events FROM le GROUP BY ALL", "ops", "p0", "ev")
+ORACLES["merged_sources"] = more(
+    FOLDS, """SELECT d.tree_id, d.root AS person_id, max(CASE WHEN a.k % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS sources
+FROM fd d JOIN praw a ON a.person_id = d.id GROUP BY ALL""", "ops", "p0", "praw")
+ORACLES["people_merged"] = more(
+    FOLDS + """,
+na AS (SELECT d.tree_id, d.root, d.path, n.pos0, n."full" AS shown, CASE WHEN n."full" <> '' THEN n."full" ELSE n.raw END AS label
+  FROM fd d JOIN pname n ON n.person_id = d.id),
+nb AS (SELECT tree_id, root, path, pos0, shown FROM na WHERE len(path) = 0 UNION ALL
+  SELECT tree_id, root, path, pos0, shown FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, root, label ORDER BY path, pos0) AS nth FROM na m
+    WHERE len(path) > 0 AND NOT EXISTS (SELECT 1 FROM na o WHERE o.tree_id = m.tree_id AND o.root = m.root AND len(o.path) = 0 AND o.label = m.label)) WHERE nth = 1),
+nc AS (SELECT tree_id, root, string_agg(shown, '|' ORDER BY path, pos0) AS names FROM nb GROUP BY ALL),
+rest AS (SELECT d.tree_id, d.root, coalesce(min_by(a.sex, d.path) FILTER (a.sex <> 'unknown'), 'unknown') AS sex,
+    coalesce(string_agg('note ' || a.k, '|' ORDER BY d.path) FILTER (a.k % 5 = 0), '') AS notes,
+    coalesce(string_agg(d.id, '|' ORDER BY d.path) FILTER (len(d.path) > 0), '') AS merged_from_ids
+  FROM fd d JOIN praw a ON a.person_id = d.id GROUP BY ALL)""",
+    """SELECT r.tree_id, r.root AS person_id, c.names, r.sex, r.notes, false AS user_supplied, r.merged_from_ids
+FROM rest r LEFT JOIN nc c ON c.tree_id = r.tree_id AND c.root = r.root""", "ops", "p0", "praw", "pname")

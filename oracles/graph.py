@@ -121,7 +121,7 @@ UNION ALL SELECT tree_id, 'spouse', person_id, spouse_id, row_number() OVER (PAR
     "relationship_paths": build(
         """SELECT tree_id, from_id, to_id, path_no, length, array_to_string(steps, '>') AS steps, n AS path_count FROM lam""", "lam"),
     "first_relationship_paths": build(
-        """SELECT tree_id, from_id, to_id, path_no, length, array_to_string(steps, '>') AS steps, tip AS apex_id, n AS path_count FROM lam WHERE path_no <= 2""", "lam"),
+        """SELECT tree_id, from_id, to_id, path_no, length, array_to_string(steps, '>') AS steps, n AS path_count FROM lam WHERE path_no <= 2""", "lam"),
     "path_listing": build(
         """SELECT tree_id, from_id, to_id, path_no, '#' || path_no || ' (' || length || ' step' || CASE WHEN length = 1 THEN '' ELSE 's' END || '): ' || names AS listing
 FROM (SELECT l.tree_id, l.from_id, l.to_id, l.path_no, l.length, string_agg(p.name, ' → ' ORDER BY l.i) AS names FROM (
