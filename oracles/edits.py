@@ -170,9 +170,7 @@ FROM supplier WHERE s_suppkey % 7 <> 0""",
 
 # The edits of each tree one after the other. A link between a parent and a child first climbs from the parent, a generation
 # a step, until the child is met (refused) or nobody is left (accepted); any other edit takes one step.
-_PARENTS = """list_distinct(list_transform(list_filter(mem, lambda m: m.r = 's' AND list_contains(alive, m.p) AND list_contains(
-  list_transform(list_filter(mem, lambda c: c.r = 'c' AND list_contains(front, c.p)), lambda c: c.f), m.f)), lambda m: m.p))"""
-_REPLACED = "list_distinct(list_transform(mem, lambda m: {{'f': m.f, 'p': CASE WHEN m.p = you THEN me ELSE m.p END, 'r': m.r}}))".replace("{{", "{").replace("}}", "}")
+_REPLACED = "list_distinct(list_transform(mem, lambda m: {'f': m.f, 'p': CASE WHEN m.p = you THEN me ELSE m.p END, 'r': m.r}))"
 STEPS = f"""lo AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY n) AS i, relation = 'parent-child' AS blood FROM ops
   WHERE kind IN ('addPerson', 'merge', 'linkRelationship', 'unlinkRelationship')),
 s0 AS (SELECT tree_id, list({{'f': family_id, 'p': person_id, 'r': r}}) AS mem FROM (
@@ -184,8 +182,7 @@ w AS (SELECT tree_id, 1::BIGINT AS i, mem, (SELECT list(person_id) FROM p0 WHERE
     CASE did WHEN 'link' THEN list_distinct(mem || list_filter([{{'f': fam, 'p': me, 'r': 's'}}, {{'f': fam, 'p': you, 'r': CASE WHEN blood THEN 'c' ELSE 's' END}}],
         lambda m: list_contains(alive, m.p)))
       WHEN 'unlink' THEN list_filter(mem, lambda m: NOT (m.f = fam AND m.p = me AND m.r = CASE WHEN blood THEN 'c' ELSE 's' END))
-      WHEN 'merge' THEN list_filter({_REPLACED}, lambda m: NOT (m.r = 'c' AND m.p = me AND list_contains(list_transform(list_filter(mem, lambda x: x.p = you), lambda x: x.f), m.f)
-        AND list_contains({_REPLACED}, {{'f': m.f, 'p': me, 'r': 's'}})))
+      WHEN 'merge' THEN list_filter({_REPLACED}, lambda m: NOT (m.r = 'c' AND m.p = me AND list_contains(touched, m.f) AND list_contains(wed, m.f)))
       ELSE mem END,
     CASE did WHEN 'merge' THEN list_filter(alive, lambda x: x <> you) WHEN 'add' THEN list_append(alive, person) ELSE alive END,
     CASE WHEN did = 'climb' THEN CASE WHEN front IS NULL THEN [me] ELSE list_filter(up, lambda x: NOT list_contains(seen, x)) END END,
@@ -196,8 +193,12 @@ w AS (SELECT tree_id, 1::BIGINT AS i, mem, (SELECT list(person_id) FROM p0 WHERE
       WHEN 'unlinkRelationship' THEN 'unlink'
       ELSE CASE WHEN NOT (list_contains(alive, me) AND list_contains(alive, you)) THEN 'link' WHEN me = you THEN 'self' WHEN NOT blood THEN 'link'
         WHEN list_contains(seen, you) THEN 'loop' WHEN len(front) = 0 THEN 'link' ELSE 'climb' END END AS did
-    FROM (SELECT w.tree_id, w.i, mem, alive, front, seen, {_PARENTS} AS up, o.n, kind, blood, me, you, family_id AS fam, person_id AS person
-      FROM w JOIN lo o ON o.tree_id = w.tree_id AND o.i = w.i))),
+    FROM (SELECT *, list_distinct(list_transform(list_filter(mem, lambda m: m.r = 's' AND list_contains(born, m.f) AND list_contains(alive, m.p)), lambda m: m.p)) AS up
+      FROM (SELECT w.tree_id, w.i, mem, alive, front, seen, o.n, kind, blood, me, you, family_id AS fam, person_id AS person,
+          CASE WHEN front IS NOT NULL THEN list_transform(list_filter(mem, lambda m: m.r = 'c' AND list_contains(front, m.p)), lambda m: m.f) END AS born,
+          CASE WHEN kind = 'merge' THEN list_transform(list_filter(mem, lambda m: m.p = you), lambda m: m.f) END AS touched,
+          CASE WHEN kind = 'merge' THEN list_transform(list_filter(mem, lambda m: m.r = 's' AND (m.p = you OR m.p = me)), lambda m: m.f) END AS wed
+        FROM w JOIN lo o ON o.tree_id = w.tree_id AND o.i = w.i)))),
 bad AS (SELECT w.tree_id, w.n AS seq, w.did, o.me, o.you, o.blood FROM w JOIN lo o ON o.n = w.n WHERE did IN ('self', 'loop')),
 since AS (SELECT b.seq, x.p, coalesce(max(a.n), -1) AS s FROM bad b, LATERAL (SELECT unnest([b.me, b.you]) AS p) x
   LEFT JOIN (SELECT w.n, o.person_id FROM w JOIN lo o ON o.n = w.n WHERE did = 'add') a ON a.person_id = x.p AND a.n < b.seq GROUP BY ALL),
