@@ -126,8 +126,8 @@ def path_counts(parents: DataFrame, focals: DataFrame, levels_per_job: int = LEV
 
     Loop-free lines need no path: each level adds up the counts of the level
     before, until the lines end. Lines that are still open after ``LOOP_CHECK``
-    levels are examined for loops; the focals that reach one are counted over
-    their simple paths instead, the others go on as before.
+    levels are examined for loops; the focals that reach one are counted by
+    ``loops.looped_path_counts``, over simple paths, the others go on as before.
     """
     step = steps_of(parents, "up").select("tree_id", "node", "next")
     focals = focals.select("tree_id", "focal_id").distinct()
@@ -157,9 +157,9 @@ def path_counts(parents: DataFrame, focals: DataFrame, levels_per_job: int = LEV
                 caught, _ = cut(_reaching(parents, focals, loops))
                 keys = ["tree_id", "focal_id"]
                 done, level = done.join(caught, keys, "left_anti"), level.join(caught, keys, "left_anti")
-                extra, _ = cut(
-                    upward_trails(parents, caught).groupBy(*keys, F.col("tip_id").alias("node"), F.col("length").alias("depth"))
-                    .agg(F.count(F.lit(1)).alias("paths")))
+                from kinloom.operators.loops import looped_path_counts  # it builds on this module
+
+                extra, _ = cut(looped_path_counts(parents, caught))
                 done = done.unionByName(extra.select(*done.columns))
     return done.withColumnRenamed("node", "ancestor_id")
 
