@@ -79,14 +79,31 @@ def evaluate_items(
     over (priority, seq): first document, else first sufficient record copy, else
     first older copy.
     """
-    is_doc = F.col("kind") == "document"
     # the rules are configuration on the driver, so the one that applies is a literal
     cutoff = {r["society_id"]: r["record_copy_cutoff"] for r in rules or SOCIETY_RULES}[society_id]
+    return _evaluate(items, proofs.withColumn("cutoff", F.lit(cutoff)), _LINE)
+
+
+def evaluate_applications(items: DataFrame, proofs: DataFrame, applications: DataFrame, rules: DataFrame) -> DataFrame:
+    """Proof status of every checklist item for each society a line applies to.
+
+    ``applications(line keys, society_id)``; ``rules(society_id, record_copy_cutoff)`` as
+    ``society_rules`` gives them. A society without a rule, or without a cutoff, takes
+    documents only.
+    """
+    keys = [*_LINE, "society_id"]
+    cutoffs = rules.select("society_id", F.col("record_copy_cutoff").alias("cutoff"))
+    asked = applications.select(*keys).distinct().join(cutoffs, "society_id", "left").select(*keys, "cutoff")
+    return _evaluate(items.join(asked.drop("cutoff"), _LINE), proofs.join(asked, _LINE), keys)
+
+
+def _evaluate(items: DataFrame, proofs: DataFrame, keys: list[str]) -> DataFrame:
+    is_doc = F.col("kind") == "document"
     per_key = (
         proofs.withColumn("link_key", F.explode(F.array_distinct("covered_keys")))
-        .withColumn("sufficient", F.when(~is_doc, F.col("approved_year") >= F.lit(cutoff)))
+        .withColumn("sufficient", F.when(~is_doc, F.col("approved_year") >= F.coalesce("cutoff", F.lit(2**31 - 1))))
         .withColumn("priority", F.when(is_doc, 0).when(F.col("sufficient"), 1).otherwise(2))
-        .groupBy(*_LINE, "link_key")
+        .groupBy(*keys, "link_key")
         .agg(
             F.min_by(
                 F.struct("kind", "doc_id", "society", "national_number", "approved_year", "sufficient",
@@ -102,19 +119,20 @@ def evaluate_items(
     )
     copy = best["kind"] == "record-copy"
     cite = service_citation(best["society"], best["national_number"], best["service_proof_cited"])
-    return items.join(per_key, [*_LINE, "link_key"], "left").select(
-        *_LINE, "link_key", "link_no", status.alias("status"), best["doc_id"].alias("doc_id"),
+    return items.join(per_key, [*keys, "link_key"], "left").select(
+        *keys, "link_key", "link_no", status.alias("status"), best["doc_id"].alias("doc_id"),
         F.when(copy, best["national_number"]).alias("record_copy"),
         F.coalesce(copy & ~best["sufficient"], F.lit(False)).alias("insufficient"),
         F.when(copy & (F.col("link_key") == SERVICE_KEY), cite).alias("citation"),
     )
 
 
-def checklist_summary(evaluated: DataFrame) -> DataFrame:
+def checklist_summary(evaluated: DataFrame, by_society: bool = False) -> DataFrame:
     """Totals per checklist; completeness is proven / total."""
+    keys = [*_LINE, "society_id"] if by_society else _LINE
     proven = F.col("status") != "unproven"
     service = F.col("link_key") == SERVICE_KEY
-    return evaluated.groupBy(*_LINE).agg(
+    return evaluated.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), F.count(F.when(proven, 1)).alias("proven"),
         F.count(F.when(~proven & ~service, 1)).alias("unproven_links"),
         F.max(~proven & service).alias("service_unproven"),

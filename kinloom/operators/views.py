@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.names import name_matches
+from kinloom.functions.text import trim
 from kinloom.operators.closure import closure
 from kinloom.operators.graph import all_edges, neighbours, siblings, spouse_links
 from kinloom.operators.lineage import cut
@@ -14,6 +15,8 @@ from kinloom.operators.numbering import number_rows
 # Default reach and size of a view.
 UP, DOWN = 4, 0
 
+CELLS = 16  # keys the list of one gram is dealt to
+LONGER_LIST = 8  # a list so many times longer than the rarest one is not read
 _VIEW = ["tree_id", "focal_id"]
 
 
@@ -204,26 +207,55 @@ def latest_years(person_event: DataFrame, event: DataFrame) -> DataFrame:
     )
 
 
-def search_people(person: DataFrame, queries: list[str]) -> DataFrame:
-    """Matches of each typed search text per tree, ranked in file order.
+def _grams(text: Column, size: int) -> Column:
+    """All stretches of ``size`` letters."""
+    every = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: text.substr(i, F.lit(size)))
+    return F.when(F.length(text) >= size, every).otherwise(F.array().cast("array<string>"))
 
-    The texts travel as literals, so every person row is tested in place. A
-    caller who wants the first few filters on ``rank``, which Spark also applies
-    before the shuffle.
+
+def name_grams(person: DataFrame, cells: int = CELLS) -> DataFrame:
+    """(gram, cell, tree_id, person_id): who has one to three letters in a row in any form of any name.
+
+    The list of a frequent gram is dealt to ``cells`` keys by person.
     """
-    texts = F.array(*[F.lit(q) for q in queries])
-    hits = person.select(
-        "tree_id", "person_id", "seq",
-        F.explode(F.filter(texts, lambda q: name_matches(F.col("names"), q))).alias("query"),
-    )
-    order = Window.partitionBy("tree_id", "query").orderBy("seq")
-    return hits.withColumn("rank", F.row_number().over(order)).select("tree_id", "query", "person_id", "rank")
+    forms = F.array_distinct(F.flatten(F.transform(
+        "names", lambda n: F.array(*[F.lower(F.coalesce(n[f], F.lit(""))) for f in ("full", "given", "surname", "raw")]))))
+    grams = F.flatten(F.transform(forms, lambda form: F.concat(*[_grams(form, size) for size in (1, 2, 3)])))
+    return person.select(
+        "tree_id", "person_id", F.pmod(F.xxhash64("tree_id", "person_id"), F.lit(cells)).cast("int").alias("cell"),
+        F.explode(F.array_distinct(grams)).alias("gram")).select("gram", "cell", "tree_id", "person_id")
+
+
+def search_people(person: DataFrame, grams: DataFrame, texts: DataFrame, lists: int = 3, cells: int = CELLS) -> DataFrame:
+    """Matches of each search text ``texts(query)`` per tree, ranked in file order.
+
+    Whoever matches a text has all its grams, so only people on the list of its rarest
+    gram are looked at; further lists narrow them down where they are not much longer.
+    The test itself is ``name_matches``. ``grams`` is ``name_grams(person, cells)``, as
+    a table. Blank texts find nobody.
+    """
+    needle = F.lower(trim(F.col("query")))
+    asked = texts.select("query").distinct().withColumn("needle", needle).where("needle <> ''")
+    parts = F.when(F.length("needle") >= 3, _grams(F.col("needle"), 3)).otherwise(F.array("needle"))
+    asked, _ = cut(asked.select("query", F.explode(F.array_distinct(parts)).alias("gram")))
+    sizes = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    sized = asked.join(sizes, "gram", "left").fillna(0, ["n"])
+    by_size = Window.partitionBy("query").orderBy("n", "gram")
+    ranked = sized.withColumn("no", F.row_number().over(by_size)).withColumn("least", F.min("n").over(Window.partitionBy("query")))
+    chosen = ranked.where((F.col("no") == 1) | ((F.col("no") <= lists) & (F.col("n") <= LONGER_LIST * F.col("least"))))
+    chosen, _ = cut(chosen.withColumn("wanted", F.count(F.lit(1)).over(Window.partitionBy("query"))).select("query", "gram", "wanted"))
+    spread = chosen.withColumn("cell", F.explode(F.array(*[F.lit(i) for i in range(cells)])))
+    met = grams.join(spread, ["gram", "cell"]).groupBy("query", "tree_id", "person_id").agg(
+        F.count(F.lit(1)).alias("met"), F.max("wanted").alias("wanted")).where("met = wanted")
+    hits = met.join(person.select("tree_id", "person_id", "seq", "names"), ["tree_id", "person_id"]).where(
+        name_matches(F.col("names"), F.col("query"))).select("tree_id", "query", "person_id", "seq")
+    return number_rows(hits, ["tree_id", "query"], ["seq", "person_id"], "rank").select("tree_id", "query", "person_id", "rank")
 
 
 def list_people(person: DataFrame) -> DataFrame:
     """People of each tree, ranked in file order."""
-    order = Window.partitionBy("tree_id").orderBy("seq")
-    return person.withColumn("rank", F.row_number().over(order)).select("tree_id", "person_id", "rank")
+    return number_rows(person.select("tree_id", "person_id", "seq"), ["tree_id"], ["seq", "person_id"], "rank").select(
+        "tree_id", "person_id", "rank")
 
 
 def pick_ancestors(ordered_ancestors: DataFrame, names: DataFrame, queries: DataFrame) -> DataFrame:

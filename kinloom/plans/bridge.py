@@ -30,8 +30,9 @@ from kinloom.operators.graph import parent_of, spouse_of
 from kinloom.operators.paths import pedigree_collapse
 from kinloom.operators.edits import Tree
 from kinloom.operators.profile import display_names
+from kinloom.operators.views import name_grams
 from kinloom.sources.gedcom import Corpus, parse_corpus
-from kinloom.sources.sinks import write_gedcom
+from kinloom.sources.sinks import write_bundles, write_gedcom
 
 # Place texts by nation key, written as City, County, State, Country.
 PLACES = [
@@ -107,7 +108,7 @@ def _date_text(k: str, year: str) -> Column:
     )
 
 
-_reread: dict[tuple[str, str], Corpus] = {}
+_reread: dict[tuple[str, ...], Corpus] = {}
 _ingested: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -339,6 +340,10 @@ class Bridge:
     def names(self) -> DataFrame:
         return display_names(self.person())
 
+    @ingested
+    def name_grams(self) -> DataFrame:
+        return name_grams(self.person())
+
     @ingested
     def located(self) -> DataFrame:
         return located_events(self.person_event(), self.event_participant(), self.event())
@@ -511,6 +516,15 @@ class Bridge:
             _reread[key] = parse_corpus(self.spark, folder, tree_from_folder=True)
         return _reread[key]
 
+    def reread_bundles(self) -> Corpus:
+        """The corpus written as a few files of many trees and parsed again, once per session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "bundles")
+        if key not in _reread:
+            folder = f"{scratch_root(self.spark)}/kinloom-bundles-{uuid.uuid4().hex}"
+            write_bundles(self.corpus(), folder, files=32)
+            _reread[key] = parse_corpus(self.spark, folder, bundled=True)
+        return _reread[key]
+
     @ingested
     def gazetteer(self) -> DataFrame:
         """Known coordinates by lookup text, from the nation table, for three providers."""

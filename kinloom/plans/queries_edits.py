@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,14 +186,24 @@ def gedcom_header(b: Bridge) -> DataFrame:
     return b.reread().header.select("tree_id", "source_system", "gedcom_version", "charset")
 
 
-@query
-def gedcom_people(b: Bridge) -> DataFrame:
-    return b.reread().person.select(
+def _read_people(c: Corpus) -> DataFrame:
+    return c.person.select(
         "tree_id", "person_id", F.array_join(F.transform("names", lambda n: n["full"]), "|").alias("names"), "sex",
         "family_id_as_child", joined("notes", "|"), F.size("sources").cast("bigint").alias("sources"),
     )
 
 
+@query
+def gedcom_people(b: Bridge) -> DataFrame:
+    return _read_people(b.reread())
+
+
+@query
+def bundled_people(b: Bridge) -> DataFrame:
+    """People of trees that share files."""
+    return _read_people(b.reread_bundles())
+
+
 @query
 def gedcom_families(b: Bridge) -> DataFrame:
     c = b.reread()
@@ -235,6 +246,28 @@ def model_json(b: Bridge) -> DataFrame:
     )
 
 
+@query
+def model_json_rows(b: Bridge) -> DataFrame:
+    """Every row of all tables read back from the JSON dump: what it joins, and its order or year."""
+    folder = f"{scratch_root(b.spark)}/kinloom-json-{uuid.uuid4().hex}"
+    sinks.write_model_json(b.corpus(), folder)
+    tables = sinks.read_model_json(b.spark, folder)
+    none = F.lit(None).cast("string")
+    shown = {
+        "header": ("source_system", "root_person_id", none), "person": ("person_id", "sex", "seq"), "person_fams": ("person_id", "family_id", "ord"),
+        "family": ("family_id", none, "seq"), "family_spouse": ("family_id", "person_id", "ord"), "family_child": ("family_id", "person_id", "ord"),
+        "event": ("event_id", "type", F.col("date.year")), "person_event": ("person_id", "event_id", "ord"),
+        "family_event": ("family_id", "event_id", "ord"), "event_participant": ("event_id", "person_id", "pord"),
+    }
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
+    rows = [
+        tables[name].select(F.lit(name).alias("table_name"), "tree_id", as_column(one).alias("a"), as_column(two).alias("b"),
+                            as_column(number).cast("bigint").alias("n"))
+        for name, (one, two, number) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _uploads(b: Bridge) -> DataFrame:
     n = F.col("doc_id")
     ext = F.element_at(F.array(*[F.lit(x) for x in ("PDF", "jpg", "jpeg", "png", "txt")]), (n % 5 + 1).cast("int"))

@@ -10,6 +10,8 @@ from kinloom.operators.lineage import cut
 from kinloom.plans.bridge import Bridge
 from kinloom.plans.catalog import big, query
 
+LATER_CUTOFF = 1992
+SOCIETIES = [*society.SOCIETY_RULES, society.SOCIETY_RULES[0] | {"society_id": "later", "record_copy_cutoff": LATER_CUTOFF}]
 LINE = ["tree_id", "focal_id", "ancestor_id"]
 
 
@@ -229,6 +231,26 @@ def checklist_summary(b: Bridge) -> DataFrame:
     return society.checklist_summary(_evaluated(b))
 
 
+def _by_society(b: Bridge) -> DataFrame:
+    rules = society.society_rules(b.spark, SOCIETIES)
+    ids = F.array(*[F.lit(r["society_id"]) for r in SOCIETIES])
+    asked = b.lines().withColumn("society_id", F.explode(ids))
+    return society.evaluate_applications(society.checklist_items(b.lines(), _links(b)), b.proofs(), asked, rules)
+
+
+@query
+def society_checklists(b: Bridge) -> DataFrame:
+    """Every line as an application to two societies that take record copies from different years on."""
+    return _by_society(b).select(
+        *LINE, "society_id", "link_key", "status", "doc_id", "record_copy", "insufficient", "citation"
+    )
+
+
+@query
+def society_totals(b: Bridge) -> DataFrame:
+    return society.checklist_summary(_by_society(b), by_society=True)
+
+
 @query
 def record_copy_spans(b: Bridge) -> DataFrame:
     links = _links(b)

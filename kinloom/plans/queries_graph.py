@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.operators import closure as cl
-from kinloom.operators import graph, kinship, paths, views
+from kinloom.operators import graph, kinship, loops, maintain, paths, views
 from kinloom.operators.lineage import cut
 from kinloom.plans.bridge import Bridge
 from kinloom.plans.catalog import big, joined, query
@@ -84,6 +84,43 @@ def path_counts(b: Bridge) -> DataFrame:
     )
 
 
+def _with_edits(b: Bridge) -> tuple[DataFrame, DataFrame]:
+    """The parent links before and after the links and unlinks of the edits."""
+    before = b.parents().select("tree_id", "parent_id", "child_id", "family_id")
+    edits = b.ops().where("relation = 'parent-child'")
+    gone = edits.where("kind = 'unlinkRelationship'").select("tree_id", "family_id", "child_id")
+    made = edits.where("kind = 'linkRelationship' and parent_id <> child_id").select("tree_id", "parent_id", "child_id")
+    for end in ("parent_id", "child_id"):
+        made = made.join(b.person_raw().select("tree_id", F.col("person_id").alias(end)), ["tree_id", end], "left_semi").select(*made.columns)
+    links = before.join(gone, ["tree_id", "family_id", "child_id"], "left_anti").select("tree_id", "parent_id", "child_id")
+    return before, cut(links.unionByName(made).distinct())[0]
+
+
+@query
+def maintained_closure(b: Bridge) -> DataFrame:
+    """Ancestors of everybody after the links of the edits, from those before."""
+    before, after = _with_edits(b)
+    added, removed = maintain.link_changes(before, after)
+    return maintain.maintained(b.ancestors(), after, added, removed).withColumn("min_depth", big("min_depth"))
+
+
+@query
+def looped_path_counts(b: Bridge) -> DataFrame:
+    """Lines by length where a link of every supplier makes a younger person the parent of an older one."""
+    a = "(s_suppkey * 15)"
+    later = f"({a} div 64 * 64 + ({a} % 64 + 8 + s_suppkey % 10) % 64)"
+    person = lambda k: F.concat(F.lit("I"), F.expr(f"cast({k} as string)"))
+    zero = F.lit(0)
+    back = b.source("supplier").select(
+        F.concat(F.lit("T"), F.expr(f"cast({a} div 64 as string)")).alias("tree_id"), person(later).alias("parent_id"), person(a).alias("child_id"),
+        F.lit("FS").alias("family_id"), zero.cast("bigint").alias("fseq"), zero.alias("pord"), zero.alias("cord"))
+    same = ["tree_id", "parent_id", "child_id"]
+    parents = b.parents().select(*same, "family_id", "fseq", "pord", "cord")
+    links, _ = cut(parents.unionByName(back.join(parents.select(*same), same, "left_anti").dropDuplicates(same)))
+    return loops.looped_path_counts(links, b.focals()).select(
+        "tree_id", "focal_id", F.col("node").alias("ancestor_id"), big("depth"), big("paths"))
+
+
 @query
 def ancestral_paths(b: Bridge) -> DataFrame:
     return paths.ancestral_paths(b.parents(), b.lines(), None).select(

@@ -65,12 +65,22 @@ def display_names(b: Bridge) -> DataFrame:
 
 @query
 def name_search(b: Bridge) -> DataFrame:
-    return views.search_people(b.person(), SEARCHES).withColumn("rank", big("rank"))
+    texts = b.spark.createDataFrame([(text,) for text in SEARCHES], "query string")
+    return views.search_people(b.person(), b.name_grams(), texts)
+
+
+@query
+def name_search_texts(b: Bridge) -> DataFrame:
+    """A text of every part: an alias by its number, or the beginning of a surname."""
+    n = F.col("p_partkey")
+    text = F.when(n % 2 == 0, F.concat(F.lit("aliaS "), n.cast("string"))).otherwise(
+        F.concat(F.lit(" #"), F.lpad((n * 3 / 4).cast("bigint").cast("string"), 6, "0")))
+    return views.search_people(b.person(), b.name_grams(), b.source("part").select(text.alias("query")))
 
 
 @query
 def people_list(b: Bridge) -> DataFrame:
-    return views.list_people(b.person()).withColumn("rank", big("rank"))
+    return views.list_people(b.person())
 
 
 @query

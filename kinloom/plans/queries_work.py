@@ -54,6 +54,14 @@ def families_for_spouse(b: Bridge) -> DataFrame:
     return _candidates(b, "spouse")
 
 
+@query
+def families_for_spouse_after_unlinks(b: Bridge) -> DataFrame:
+    """Families a new spouse could join once the spouses that edits unlink have left."""
+    gone = b.ops().where("kind = 'unlinkRelationship' and relation = 'spouse'").select("tree_id", "family_id", F.col("spouse_a").alias("person_id"))
+    left = b.family_spouse().join(gone, ["tree_id", "family_id", "person_id"], "left_anti")
+    return quality.candidate_families(b.family(), left, b.family_child(), b.person_raw(), "spouse").drop("seq")
+
+
 @query
 def unlink_parent_impact(b: Bridge) -> DataFrame:
     return quality.unlink_parent_impact(b.person_raw(), b.family_spouse(), b.parents(), b.names())

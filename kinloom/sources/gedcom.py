@@ -106,14 +106,36 @@ def _wide_files(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFra
     return odd, out
 
 
-def read_records(spark: SparkSession, path: str, tree_from_folder: bool = False) -> DataFrame:
+def _trees_by_marker(raw: DataFrame, path: str) -> DataFrame:
+    """Records with the tree named by the last ``0 _TREE <id>`` record before them, in files that follow each other by name.
+
+    Inside a scan split the marker is looked up among the split's own records; across
+    splits and files only the last marker of each split travels. Records before the
+    first marker of a folder keep the name of their file.
+    """
+    line = F.regexp_replace("value", "^\ufeff?(0 )?", "")
+    marked = raw.withColumn("mark", F.when(line.startswith("_TREE "), F.url_decode(F.regexp_extract(line, "^_TREE (\\S*)", 1))))
+    upto = Window.partitionBy("file", "block").orderBy("_id", "_sub").rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.withColumn("own", F.last("mark", ignorenulls=True).over(upto))
+    ends = marked.groupBy("file", "block").agg(
+        F.max_by("mark", F.when(F.col("mark").isNotNull(), F.struct("_id", "_sub"))).alias("mark"))
+    # one row per split, as for the record numbers
+    earlier = Window.partitionBy(F.regexp_extract("file", "^(.*)/", 1)).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("carried", F.last("mark", ignorenulls=True).over(earlier)).drop("mark")
+    named = F.coalesce("own", "carried", tree_name(F.col("file"), path, False))
+    return inside.join(carried, ["file", "block"]).where("mark is null").select(
+        named.alias("tree_id"), "file", "block", "_id", "_sub", "value")
+
+
+def read_records(spark: SparkSession, path: str, tree_from_folder: bool = False, bundled: bool = False) -> DataFrame:
     """(tree_id, rec, text): one row per level-0 record, ``rec`` counts through the files of a tree.
 
     Lines may end in LF, CR LF or CR; files are UTF-8, or UTF-16 with a byte
     order mark. Row ids grow with the position inside a scan task; a record's
     number is the number of records of its tree in earlier splits plus its place
     in the split, so no task has to hold a file. (A file with bare CR is one
-    piece for the scan.)
+    piece for the scan.) With ``bundled`` a file holds any number of trees, see
+    ``sinks.write_bundles``.
     """
     raw = (
         spark.read.option("lineSep", "\n0 ").option("recursiveFileLookup", "true").text(path)
@@ -127,8 +149,11 @@ def read_records(spark: SparkSession, path: str, tree_from_folder: bool = False)
     if wide is not None:
         raw = raw.join(odd.select("file"), "file", "left_anti").unionByName(wide)
     pieces = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n0 ")
-    rows = raw.select(
-        tree_name(F.col("file"), path, tree_from_folder).alias("tree_id"), "file", "block", "_id", F.posexplode(pieces).alias("_sub", "value"))
+    rows = raw.select("file", "block", "_id", F.posexplode(pieces).alias("_sub", "value"))
+    if bundled:
+        rows, _ = cut(_trees_by_marker(rows, path))
+    else:
+        rows = rows.withColumn("tree_id", tree_name(F.col("file"), path, tree_from_folder))
     splits = rows.groupBy("tree_id", "file", "block").agg(F.count(F.lit(1)).alias("_n"))
     # One row per split: far smaller than the data, and ordered per tree.
     before = Window.partitionBy("tree_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,14 +164,15 @@ def read_records(spark: SparkSession, path: str, tree_from_folder: bool = False)
         "tree_id", (F.col("_base") + F.col("_at") - 1).alias("rec"), text.alias("text"))
 
 
-def empty_files(spark: SparkSession, path: str, tree_from_folder: bool, heads: DataFrame) -> DataFrame:
+def empty_files(spark: SparkSession, path: str, tree_from_folder: bool, heads: DataFrame, bundled: bool = False) -> DataFrame:
     """A warning for each tree whose files hold neither a person nor a family; ``heads(tree_id, tag)``.
 
     Files of no bytes are passed over by every scan and get none.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
         F.col("_metadata.file_path").alias("file"))
-    trees = files.select(tree_name(F.col("file"), path, tree_from_folder).alias("tree_id")).where(F.col("tree_id") != "").distinct()
+    named = heads.select("tree_id") if bundled else files.select(tree_name(F.col("file"), path, tree_from_folder).alias("tree_id"))
+    trees = named.where(F.col("tree_id") != "").distinct()
     filled = heads.where(F.col("tag").isin("INDI", "FAM")).select("tree_id").distinct()
     return trees.join(filled, "tree_id", "left_anti").select(
         "tree_id", F.lit("warning").alias("severity"), F.lit("The file holds no individual and no family record.").alias("message"),
@@ -205,12 +231,13 @@ def _sources(own: DataFrame, pages: DataFrame, keys: list[str], at: str) -> Data
     )
 
 
-def parse_corpus(spark: SparkSession, path: str, tree_from_folder: bool = False) -> Corpus:
+def parse_corpus(spark: SparkSession, path: str, tree_from_folder: bool = False, bundled: bool = False) -> Corpus:
     """Parse all files under ``path``; ``tree_name`` says what a file's tree is called.
 
     ``tree_from_folder`` takes it from a ``tree_id=<id>`` folder instead, whose files follow each other by name.
+    ``bundled`` takes it from the marker before each tree.
     """
-    lines, _ = cut(_with_parents(read_lines(read_records(spark, path, tree_from_folder))))
+    lines, _ = cut(_with_parents(read_lines(read_records(spark, path, tree_from_folder, bundled))))
     heads = lines.where("level = 0")
     none = F.array().cast("array<struct<raw:string,source_id:string,page:string>>")
 
@@ -338,7 +365,7 @@ def parse_corpus(spark: SparkSession, path: str, tree_from_folder: bool = False)
 
     notes = _parse_notes(heads, of_person_all(sub, records("INDI")), hints, known, structural)
     dangling = reference_warnings(person, person_fams, family, family_spouse, family_child).unionByName(
-        empty_files(spark, path, tree_from_folder, heads.select("tree_id", "tag")))
+        empty_files(spark, path, tree_from_folder, heads.select("tree_id", "tag"), bundled))
     return Corpus(
         header, person, person_fams, family, family_spouse, family_child, event, person_event, family_event,
         participant, notes.unionByName(dangling),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinloom.functions.text import trim
 
 FORMAT = "kinloom/model"
 SOURCE_SYSTEM = "kinloom"
-_HEAD, _PERSON, _FAMILY, _TAIL = 0, 1, 2, 3
+VERSION = 1
+_MARK, _HEAD, _PERSON, _FAMILY, _TAIL = -1, 0, 1, 2, 3
 
 
 def _clean(value: Column) -> Column:
@@ -153,9 +157,40 @@ def write_gedcom(corpus, path: str) -> None:
     )
 
 
+def write_bundles(corpus, path: str, files: int = 256) -> None:
+    """Write all trees into at most ``files`` files, each tree after a ``0 _TREE <id>`` record.
+
+    The files follow each other by name; small trees share one, a large tree goes on in
+    the next ones. ``parse_corpus(..., bundled=True)`` reads them.
+    """
+    lines = gedcom_lines(corpus)
+    zero = F.lit(0)
+    marks = lines.select("tree_id").distinct().select(
+        "tree_id", F.lit(_MARK).alias("section"), zero.cast("bigint").alias("seq"), zero.alias("block"), zero.cast("bigint").alias("ord"),
+        zero.alias("pos"), F.concat(F.lit("0 _TREE "), F.url_encode("tree_id")).alias("text"))
+    order = ["tree_id", "section", "seq", "block", "ord", "pos"]
+    lines.unionByName(marks).repartitionByRange(files, *order[:3]).sortWithinPartitions(*order).select("text").write.text(path)
+
+
+TABLES = ["header", "person", "person_fams", "family", "family_spouse", "family_child", "event", "person_event", "family_event",
+          "event_participant"]
+
+
 def write_model_json(corpus, path: str) -> None:
-    """Lossless dump: one JSON-lines folder per entity, stamped with format and version."""
-    for name in ("header", "person", "person_fams", "family", "family_spouse", "family_child", "event",
-                 "person_event", "family_event", "event_participant"):
+    """Lossless dump: one JSON-lines folder per entity, stamped with format and version, and the layout of each."""
+    layouts = []
+    for name in TABLES:
         table = getattr(corpus, name)
-        table.withColumn("format", F.lit(FORMAT)).withColumn("version", F.lit(1)).write.json(f"{path}/{name}")
+        layouts.append((name, table.schema.json(), FORMAT, VERSION))
+        table.withColumn("format", F.lit(FORMAT)).withColumn("version", F.lit(VERSION)).write.json(f"{path}/{name}")
+    corpus.person.sparkSession.createDataFrame(layouts, "name string, layout string, format string, version int").coalesce(1).write.json(
+        f"{path}/layouts")
+
+
+def read_model_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a dump by name; a dump of another format or version is an error."""
+    layouts = spark.read.schema("name string, layout string, format string, version int").json(f"{path}/layouts").collect()  # one row per table
+    odd = [r["name"] for r in layouts if (r["format"], r["version"]) != (FORMAT, VERSION)]
+    if odd or {r["name"] for r in layouts} != set(TABLES):
+        raise ValueError(f"{path} is not a dump of format {FORMAT} {VERSION}: {odd or 'tables are missing'}")
+    return {r["name"]: spark.read.schema(StructType.fromJson(json.loads(r["layout"]))).json(f"{path}/{r['name']}") for r in layouts}

@@ -3,29 +3,10 @@
 from __future__ import annotations
 
 from kinloom.operators.edits import DEFAULT_TAGS
-from oracles.fragments import build, frag, spell, squash
+import oracles.ops  # noqa: F401
+from oracles.fragments import build, squash
 from oracles.graph import more
 
-HOME = "(t * 32 + (layer - 1) * 4 + (pos * 3 + layer) % 4)"
-frag("ops", [], f"""SELECT *, CASE kind WHEN 'addPerson' THEN CASE WHEN n % 7 = 0 THEN me ELSE 'N' || n END WHEN 'editPerson' THEN me END AS person_id,
-    CASE WHEN kind = 'addPerson' OR (kind = 'editPerson' AND n % 2 = 0) THEN 'Given ' || n || ' /Edit/' END AS name_raw,
-    CASE WHEN kind = 'addPerson' THEN CASE WHEN n % 2 = 0 THEN 'male' ELSE 'unknown' END WHEN kind = 'editPerson' AND n % 3 = 0 THEN 'female' END AS sex,
-    CASE WHEN kind = 'editPerson' AND n % 10 = 5 THEN '' WHEN kind IN ('addPerson', 'editPerson') AND n % 5 = 0 THEN 'edit ' || n END AS note,
-    CASE kind WHEN 'addEvent' THEN 'U' || n WHEN 'editEvent' THEN me || '-BIRT-0' END AS event_id,
-    CASE WHEN kind = 'addEvent' THEN CASE WHEN n % 2 = 0 THEN 'residence' ELSE 'census' END WHEN kind = 'editEvent' AND n % 2 = 0 THEN 'baptism' END AS event_type,
-    CASE WHEN kind IN ('addEvent', 'editEvent') AND n % 5 <> 0 THEN 'ABT ' || (1800 + n % 100) END AS date_raw,
-    CASE WHEN kind IN ('addEvent', 'editEvent') AND n % 7 <> 0 THEN {spell('n', 'n')} END AS place_raw,
-    CASE WHEN kind IN ('addEvent', 'editEvent') AND n % 4 <> 0 THEN 'text ' || n END AS description,
-    CASE WHEN kind = 'addEvent' AND n % 11 = 0 THEN 'F' || {HOME} WHEN kind = 'linkRelationship' AND relation = 'spouse' THEN 'FU' || n
-      WHEN kind = 'linkRelationship' THEN 'F' || {HOME} WHEN kind = 'unlinkRelationship' AND relation = 'spouse' THEN 'F' || (t * 32 + pos // 2)
-      WHEN kind = 'unlinkRelationship' THEN 'F' || {HOME} END AS family_id FROM (
-  SELECT *, CASE WHEN kind = 'linkRelationship' THEN CASE WHEN n % 2 = 0 THEN 'spouse' ELSE 'parent-child' END
-      WHEN kind = 'unlinkRelationship' THEN CASE WHEN layer = 0 THEN 'spouse' ELSE 'parent-child' END END AS relation FROM (
-  SELECT event_id AS n, k, t, 'T' || t AS tree_id, 'I' || k AS me, 'I' || (t * 64 + (k * 5 + event_id) % 64) AS you, k % 64 // 8 AS layer, k % 8 AS pos,
-    CASE event_type WHEN 'signup' THEN 'addPerson' WHEN 'click' THEN 'editPerson' WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'editEvent' ELSE 'addEvent' END
-      WHEN 'purchase' THEN 'linkRelationship' ELSE CASE WHEN event_id % 2 = 0 THEN 'unlinkRelationship' ELSE 'merge' END END AS kind
-  FROM (SELECT *, event_id * 3 // 20 AS k, event_id * 3 // 20 // 64 AS t FROM events)))""")
-
 TAG = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DEFAULT_TAGS.items()) + " END"
 FULL = squash("replace(name_raw, '/', ' ')")
 KEY = "lower(array_to_string(list_filter(list_transform(string_split({0}, ','), lambda c: " + squash("c") + "), lambda c: c <> ''), ', '))"
@@ -133,6 +114,10 @@ UNION ALL SELECT c.tree_id, c.family_id, c.person_id, 'pointer' FROM fc c JOIN p
     "gedcom_people": more(
         BASE,
         """SELECT b.tree_id, b.person_id, b.names, b.sex, c.family_id AS family_id_as_child, b.notes, CASE WHEN p.k % 4 = 0 THEN 1 ELSE 0 END AS sources
+FROM bp b JOIN p0 p USING (person_id) LEFT JOIN fc c ON c.person_id = b.person_id""", "praw", "pname", "p0", "fc"),
+    "bundled_people": more(
+        BASE,
+        """SELECT b.tree_id, b.person_id, b.names, b.sex, c.family_id AS family_id_as_child, b.notes, CASE WHEN p.k % 4 = 0 THEN 1 ELSE 0 END AS sources
 FROM bp b JOIN p0 p USING (person_id) LEFT JOIN fc c ON c.person_id = b.person_id""", "praw", "pname", "p0", "fc"),
     "gedcom_families": more(MEMBERS, "SELECT * FROM bm", "fs", "fc"),
     "gedcom_events": more(
@@ -153,6 +138,15 @@ UNION ALL SELECT tree_id, 2, f, '1 CHIL @' || person_id || '@' FROM fc
 UNION ALL SELECT e.tree_id, 2, f.f, e.text FROM evl e JOIN fam f ON f.family_id = e.family_id""", "ev", "p0", "praw", "fs", "fc", "fam"),
     "model_json": build(
         """SELECT tree_id, person_id, raw1 || coalesce('|' || raw2, '') AS raws, sex, 'kinloom/model' AS format, 1 AS version FROM praw""", "praw"),
+    "model_json_rows": build(
+        """SELECT 'header' AS table_name, tree_id, 'bridge' AS a, NULL::VARCHAR AS b, NULL::BIGINT AS n FROM (SELECT DISTINCT tree_id FROM p0)
+UNION ALL SELECT 'person', tree_id, person_id, sex, k FROM praw UNION ALL SELECT 'person_fams', tree_id, person_id, family_id, f FROM fs
+UNION ALL SELECT 'family', tree_id, family_id, NULL, f FROM fam UNION ALL SELECT 'family_spouse', tree_id, family_id, person_id, ord FROM fs
+UNION ALL SELECT 'family_child', tree_id, family_id, person_id, ord FROM fc UNION ALL SELECT 'event', tree_id, event_id, type, year FROM ev
+UNION ALL SELECT 'person_event', tree_id, owner_id, event_id, ord FROM ev WHERE owner_id IS NOT NULL
+UNION ALL SELECT 'family_event', tree_id, family_id, event_id, ord FROM ev WHERE family_id IS NOT NULL
+UNION ALL SELECT 'event_participant', tree_id, event_id, owner_id, 0 FROM ev WHERE owner_id IS NOT NULL
+UNION ALL SELECT 'event_participant', e.tree_id, e.event_id, s.person_id, s.ord FROM ev e JOIN fs s USING (family_id)""", "p0", "praw", "fs", "fc", "fam", "ev"),
     "vault_documents": f"""WITH {doc()} SELECT doc_id, filename, original_name, mimetype, size FROM (SELECT hash AS doc_id,
   hash || '.' || CASE mimetype WHEN 'application/pdf' THEN 'pdf' WHEN 'image/png' THEN 'png' ELSE 'jpg' END AS filename, original_name, mimetype, size,
   row_number() OVER (PARTITION BY hash ORDER BY seq) AS rn FROM up WHERE mimetype IS NOT NULL) WHERE rn = 1""",

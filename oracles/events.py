@@ -70,6 +70,17 @@ evl AS (SELECT i.tree_id, i.focal_id, i.ancestor_id, i.link_key, CASE WHEN b.doc
     CASE WHEN NOT b.doc AND i.link_key = 'service' THEN CASE WHEN b.q % 2 = 0 THEN 'SAR' ELSE 'DAR' END || '# ' || (b.q + 1000) || CASE WHEN b.q % 4 = 1 THEN ' cites pension file' ELSE '' END END AS citation
   FROM item i LEFT JOIN best b ON b.focal_id = i.focal_id AND b.ancestor_id = i.ancestor_id AND b.link_key = i.link_key)"""
 
+TOTALS = """SELECT tree_id, focal_id, ancestor_id, count(*) AS total, count(*) FILTER (status <> 'unproven') AS proven,
+  count(*) FILTER (status = 'unproven' AND link_key <> 'service') AS unproven_links, bool_or(status = 'unproven' AND link_key = 'service') AS service_unproven,
+  count(*) FILTER (status <> 'unproven') / count(*) AS completeness"""
+
+
+def by_society(final: str) -> str:
+    """The checklists once with each cutoff."""
+    each = [f"SELECT *, '{name}' AS society_id FROM ({more(LINKS.replace('1985', year), final, 'anc', 'lines')})" for name, year in (("sar", "1985"), ("later", "1992"))]
+    return " UNION ALL ".join(each)
+
+
 ORACLES = {
     "first_events": build("SELECT person_id, type, event_id, year FROM firsts", "firsts"),
     "all_person_events": build(
@@ -162,11 +173,9 @@ FROM lf f JOIN lr r ON r.focal_id = f.focal_id AND r.ancestor_id = f.ancestor_id
         """SELECT l.tree_id, l.focal_id, l.ancestor_id, max(a.n) IS NOT NULL AS reachable FROM lines l
   LEFT JOIN anc a ON a.focal_id = l.focal_id AND a.ancestor_id = l.ancestor_id GROUP BY ALL""", "anc", "lines"),
     "checklist_items": more(LINKS, "SELECT * FROM evl", "anc", "lines"),
-    "checklist_summary": more(
-        LINKS,
-        """SELECT tree_id, focal_id, ancestor_id, count(*) AS total, count(*) FILTER (status <> 'unproven') AS proven,
-  count(*) FILTER (status = 'unproven' AND link_key <> 'service') AS unproven_links, bool_or(status = 'unproven' AND link_key = 'service') AS service_unproven,
-  count(*) FILTER (status <> 'unproven') / count(*) AS completeness FROM evl GROUP BY ALL""", "anc", "lines"),
+    "checklist_summary": more(LINKS, TOTALS + " FROM evl GROUP BY ALL", "anc", "lines"),
+    "society_checklists": by_society("SELECT * FROM evl"),
+    "society_totals": by_society(TOTALS + " FROM evl GROUP BY ALL"),
     "record_copy_spans": more(
         LINKS,
         """SELECT a.tree_id, a.focal_id, a.ancestor_id, a.link_key AS start_key, a.generation % 3 + 1 AS generations, b.link_key FROM lk a

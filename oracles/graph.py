@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import oracles.ops  # noqa: F401
 from oracles.fragments import build
 from oracles.text import FATHER, SON, by_sex, great, lineal, times, word
 
@@ -115,6 +116,22 @@ UNION ALL SELECT tree_id, 'spouse', person_id, spouse_id, row_number() OVER (PAR
         """SELECT p.tree_id, p.person_id, (SELECT count(*) FROM po WHERE child_id = p.person_id) + (SELECT count(*) FROM po WHERE parent_id = p.person_id)
   + (SELECT count(*) FROM sp WHERE sp.person_id = p.person_id) AS degree, NOT EXISTS (SELECT 1 FROM po WHERE parent_id = p.person_id) AS is_leaf FROM p0 p""",
         "po", "sp", "p0"),
+    "maintained_closure": more(
+        """nl AS MATERIALIZED (SELECT tree_id, parent_id, child_id FROM po WHERE NOT EXISTS (SELECT 1 FROM ops o WHERE o.kind = 'unlinkRelationship' AND o.relation = 'parent-child'
+    AND o.tree_id = po.tree_id AND o.family_id = po.family_id AND o.me = po.child_id)
+  UNION SELECT tree_id, me, you FROM ops WHERE kind = 'linkRelationship' AND relation = 'parent-child' AND me <> you
+    AND me IN (SELECT person_id FROM p0) AND you IN (SELECT person_id FROM p0)),
+dist(tree_id, focal_id, person_id, d) USING KEY (tree_id, focal_id, person_id) AS (SELECT tree_id, person_id, person_id, 0::BIGINT FROM p0 UNION
+  SELECT r.tree_id, r.focal_id, n.parent_id, r.d + 1 FROM dist r JOIN nl n ON n.tree_id = r.tree_id AND n.child_id = r.person_id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.dist x WHERE x.tree_id = r.tree_id AND x.focal_id = r.focal_id AND x.person_id = n.parent_id))""",
+        "SELECT tree_id, focal_id, person_id, d AS min_depth FROM dist WHERE focal_id <> person_id", "po", "p0", "ops"),
+    "looped_path_counts": more(
+        """bl AS MATERIALIZED (SELECT tree_id, parent_id, child_id FROM po UNION SELECT 'T' || (a // 64), 'I' || (a // 64 * 64 + (a % 64 + 8 + s % 10) % 64), 'I' || a
+    FROM (SELECT s_suppkey AS s, s_suppkey * 15 AS a FROM supplier)),
+lt AS (SELECT tree_id, person_id AS focal_id, person_id AS tip, 0::BIGINT AS len, [person_id] AS steps FROM p0 UNION ALL
+  SELECT r.tree_id, r.focal_id, n.parent_id, r.len + 1, list_append(r.steps, n.parent_id) FROM lt r JOIN bl n ON n.tree_id = r.tree_id AND n.child_id = r.tip
+  WHERE NOT list_contains(r.steps, n.parent_id))""",
+        "SELECT tree_id, focal_id, tip AS ancestor_id, len AS depth, count(*) AS paths FROM lt WHERE len > 0 GROUP BY ALL", "po", "p0"),
     "path_counts": build("SELECT tree_id, focal_id, person_id AS ancestor_id, paths FROM up", "up"),
     "ancestral_paths": build(
         """SELECT tree_id, focal_id, ancestor_id, path_no, length, array_to_string(steps, '>') AS steps, n AS path_count FROM anc""", "anc"),

@@ -169,6 +169,12 @@ ORACLES = {
     "name_search": build(
         f"""SELECT tree_id, query, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, query ORDER BY k) AS rank
   FROM (SELECT DISTINCT * FROM ({_SEARCH})))""", "pname"),
+    "name_search_texts": build(
+        """SELECT tree_id, query, person_id, row_number() OVER (PARTITION BY tree_id, query ORDER BY k) AS rank FROM (
+  SELECT DISTINCT n.tree_id, q.query, n.person_id, n.k FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'aliaS ' || p_partkey
+      ELSE ' #' || lpad((p_partkey * 3 // 4)::VARCHAR, 6, '0') END AS query FROM part) q
+  JOIN pname n ON contains(lower(n."full"), lower(trim(q.query))) OR contains(lower(coalesce(n.given, '')), lower(trim(q.query)))
+    OR contains(lower(coalesce(n.surname, '')), lower(trim(q.query))) OR contains(lower(n.raw), lower(trim(q.query))))""", "pname"),
     "people_list": build(
         """SELECT tree_id, person_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY k) AS rank FROM p0)""", "p0"),
     "places_parsed": build("SELECT event_id, raw, normalized, array_to_string(parts, '|') AS parts FROM places", "places"),

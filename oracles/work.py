@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracles.events import gaz
+import oracles.ops  # noqa: F401
 from oracles.fragments import build
 from oracles.graph import more
 from oracles.text import LADDER
@@ -84,6 +85,11 @@ fl AS (SELECT q.*, coalesce(x.full_name, q.a_id) AS a, coalesce(y.full_name, q.b
         "fs", "fc", "fam", "p0"),
     "families_for_spouse": build(
         f"SELECT m.tree_id, m.person_id, family_id, s.n AS spouses, coalesce(c.n, 0) AS children FROM fs m {COUNTS} WHERE s.n < 2", "fs", "fc", "fam"),
+    "families_for_spouse_after_unlinks": more(
+        """fs2 AS (SELECT * FROM fs WHERE NOT EXISTS (SELECT 1 FROM ops o WHERE o.kind = 'unlinkRelationship' AND o.relation = 'spouse' AND o.tree_id = fs.tree_id
+  AND o.family_id = fs.family_id AND o.me = fs.person_id))""",
+        f"SELECT m.tree_id, m.person_id, family_id, s.n AS spouses, coalesce(c.n, 0) AS children FROM fs2 m {COUNTS.replace('FROM fs ', 'FROM fs2 ')} WHERE s.n < 2",
+        "fs", "fc", "fam", "ops"),
     "unlink_parent_impact": build(
         """SELECT p.tree_id, p.parent_id, p.child_id, p.family_id, 'Remove ' || x.name || ' as a parent of ' || y.name || '?' || coalesce(' This also removes ' ||
   (SELECT string_agg(z.name, ' and ' ORDER BY s.ord) FROM fs s JOIN person z ON z.person_id = s.person_id WHERE s.family_id = p.family_id AND s.person_id <> p.parent_id)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from kinloom.operators import closure, loops, maintain
@@ -63,15 +62,14 @@ def test_a_loop_on_forty_diamonds(spark):
     assert got == {"D40": 2**40, "X": 2**40, "Y": 2**40, "TOP": 2**40, "D3": 2**3}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_maintained_closure_equals_the_full_one(spark, seed):
-    rng = random.Random(seed)
+def test_maintained_closure_equals_the_full_one(spark):
+    rng = random.Random(1)
     before, after = {}, {}
-    for i in range(5):
+    for i in range(15):
         people = [f"P{n}" for n in range(12)]
         old = random_dag(rng, 12, 18) if i % 2 else sorted({tuple(rng.sample(people, 2)) for _ in range(18)})
-        gone = set(rng.sample(old, [0, 1, 3, 6, 18][i]) if len(old) >= [0, 1, 3, 6, 18][i] else old)
-        new = {tuple(rng.sample(people, 2)) for _ in range([4, 0, 3, 5, 2][i])}
+        gone = set(rng.sample(old, min(len(old), [0, 1, 3, 6, 18][i % 5])))
+        new = {tuple(rng.sample(people, 2)) for _ in range([4, 0, 3, 5, 2][i % 5])}
         before[f"T{i}"], after[f"T{i}"] = old, sorted((set(old) - gone) | new)
     before["gone"], after["come"] = [("A", "B")], [("A", "B"), ("B", "A")]
     old, new = table(spark, before), table(spark, after)

@@ -11,7 +11,7 @@ from kinloom.plans.catalog import load_all
 
 FOLDER = "/root/testdata/sf0.001"
 LAZY = [
-    "graph_edges", "siblings", "neighbours", "names_parsed", "name_search", "place_dimension", "service_records",
+    "graph_edges", "siblings", "neighbours", "names_parsed", "place_dimension", "service_records",
     "research_facts", "person_sketch", "spouse_checks", "data_richness", "vault_documents", "project_manifests",
     "research_person_facts", "unlink_spouse_impact", "gedcom_text",
 ]
@@ -19,6 +19,7 @@ WRITTEN = [
     "people_on_line", "locality_report", "research_gaps", "research_plan_lines", "checklist_links", "checklist_reach",
     "checklist_items", "checklist_summary", "record_copy_spans", "relationship_terms", "nearest_common_ancestors",
     "relationship_paths", "collapse_paths", "pedigree_collapse", "path_counts", "reader_notes", "next_ids",
+    "name_search", "society_totals", "maintained_closure",
 ]
 BANNED = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonRDD"]
 
