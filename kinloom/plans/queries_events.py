@@ -43,25 +43,21 @@ def line_stops(b: Bridge) -> DataFrame:
     )
 
 
-def _ancestor_stops(b: Bridge) -> DataFrame:
-    return events.stops_of_people(events.ancestry_members(b.ancestors(), b.focals()), b.located())
+def _ancestry(b: Bridge) -> DataFrame:
+    return events.ancestry_members(b.ancestors(), b.focals())
 
 
 @query
 def ancestor_stops(b: Bridge) -> DataFrame:
     """All-ancestor stops per focal, summed up: owners, first and last event, places."""
-    key = F.struct("sort_key", "event_id")
-    return _ancestor_stops(b).groupBy("tree_id", F.col("set_id").alias("focal_id")).agg(
-        F.count(F.lit(1)).alias("stops"), F.countDistinct("person_id").alias("owners"),
-        F.countDistinct("place_key").alias("places"), F.min_by("event_id", key).alias("first_event"),
-        F.min_by("person_id", key).alias("first_owner"), F.max_by("event_id", key).alias("last_event"),
-    )
+    return events.stop_totals(_ancestry(b), b.located(), unique=True).withColumnRenamed("set_id", "focal_id")
 
 
 @query
 def ancestor_stop_rows(b: Bridge) -> DataFrame:
     """The stops themselves, each with the nearest person it belongs to."""
-    return _ancestor_stops(b).select("tree_id", F.col("set_id").alias("focal_id"), "event_id", "person_id", big("year"), "sort_key", "place_key")
+    return events.stops_of_people(_ancestry(b), b.located(), unique=True).select(
+        "tree_id", F.col("set_id").alias("focal_id"), "event_id", "person_id", big("year"), "sort_key", "place_key")
 
 
 @query
