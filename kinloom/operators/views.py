@@ -16,6 +16,8 @@ from kinloom.operators.numbering import number_rows
 UP, DOWN = 4, 0
 
 CELLS = 16  # keys the list of one gram is dealt to
+GRAMS = (1, 2, 3, 6)  # letters in a gram; a text is looked up by the longest that fit
+SHORT_LIST = 10_000  # a list up to this long stays on one key
 LONGER_LIST = 8  # a list so many times longer than the rarest one is not read
 _VIEW = ["tree_id", "focal_id"]
 
@@ -214,13 +216,13 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def name_grams(person: DataFrame, cells: int = CELLS) -> DataFrame:
-    """(gram, cell, tree_id, person_id): who has one to three letters in a row in any form of any name.
+    """(gram, cell, tree_id, person_id): who has one to three, or six, letters in a row in any form of any name.
 
     The list of a frequent gram is dealt to ``cells`` keys by person.
     """
     forms = F.array_distinct(F.flatten(F.transform(
         "names", lambda n: F.array(*[F.lower(F.coalesce(n[f], F.lit(""))) for f in ("full", "given", "surname", "raw")]))))
-    grams = F.flatten(F.transform(forms, lambda form: F.concat(*[_grams(form, size) for size in (1, 2, 3)])))
+    grams = F.flatten(F.transform(forms, lambda form: F.concat(*[_grams(form, size) for size in GRAMS])))
     return person.select(
         "tree_id", "person_id", F.pmod(F.xxhash64("tree_id", "person_id"), F.lit(cells)).cast("int").alias("cell"),
         F.explode(F.array_distinct(grams)).alias("gram")).select("gram", "cell", "tree_id", "person_id")
@@ -236,16 +238,23 @@ def search_people(person: DataFrame, grams: DataFrame, texts: DataFrame, lists:
     """
     needle = F.lower(trim(F.col("query")))
     asked = texts.select("query").distinct().withColumn("needle", needle).where("needle <> ''")
-    parts = F.when(F.length("needle") >= 3, _grams(F.col("needle"), 3)).otherwise(F.array("needle"))
+    parts = F.when(F.length("needle") >= 6, _grams(F.col("needle"), 6)).when(F.length("needle") >= 3, _grams(F.col("needle"), 3)).otherwise(
+        F.array("needle"))
     asked, _ = cut(asked.select("query", F.explode(F.array_distinct(parts)).alias("gram")))
-    sizes = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # counted before the lists meet anything: only a number per gram travels
+    sizes = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(asked.select("gram").distinct(), "gram", "left_semi")
     sized = asked.join(sizes, "gram", "left").fillna(0, ["n"])
     by_size = Window.partitionBy("query").orderBy("n", "gram")
     ranked = sized.withColumn("no", F.row_number().over(by_size)).withColumn("least", F.min("n").over(Window.partitionBy("query")))
     chosen = ranked.where((F.col("no") == 1) | ((F.col("no") <= lists) & (F.col("n") <= LONGER_LIST * F.col("least"))))
-    chosen, _ = cut(chosen.withColumn("wanted", F.count(F.lit(1)).over(Window.partitionBy("query"))).select("query", "gram", "wanted"))
-    spread = chosen.withColumn("cell", F.explode(F.array(*[F.lit(i) for i in range(cells)])))
-    met = grams.join(spread, ["gram", "cell"]).groupBy("query", "tree_id", "person_id").agg(
+    chosen = chosen.withColumn("wanted", F.count(F.lit(1)).over(Window.partitionBy("query")))
+    # written out row by row, so that the engine knows how many there are before it chooses a join
+    spread = chosen.where("least > 0").withColumn("cell", F.explode(
+        F.when(F.col("n") <= SHORT_LIST, F.array(F.lit(-1))).otherwise(F.array(*[F.lit(i) for i in range(cells)]))))
+    spread, _ = cut(spread.select("query", "gram", "wanted", "cell"))
+    listed = grams.join(spread.select("gram", (F.col("cell") >= 0).alias("dealt")).distinct(), "gram")
+    listed = listed.withColumn("cell", F.when(F.col("dealt"), F.col("cell")).otherwise(F.lit(-1)))
+    met = listed.hint("shuffle_merge").join(spread, ["gram", "cell"]).groupBy("query", "tree_id", "person_id").agg(
         F.count(F.lit(1)).alias("met"), F.max("wanted").alias("wanted")).where("met = wanted")
     hits = met.join(person.select("tree_id", "person_id", "seq", "names"), ["tree_id", "person_id"]).where(
         name_matches(F.col("names"), F.col("query"))).select("tree_id", "query", "person_id", "seq")

@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinloom.operators import events, research
+from kinloom.functions.names import parse_names
+from kinloom.operators import events, research, views
 
 LINE = ["tree_id", "focal_id", "ancestor_id"]
 
@@ -87,3 +88,19 @@ def test_plan_items_are_numbered_in_the_task_of_their_place(spark):
     want = [(*k[:2], place[k], i, x[-1]) for k, xs in by.items() for i, x in enumerate(sorted(xs), 1)]
     assert sorted((r.focal_id, r.ancestor_id, r.section, r["item"], r.text) for r in rows) == sorted(want)
     assert plan(got).count("hashpartitioning(tree_id") and "place_key" in plan(got)
+
+
+def test_long_texts_are_looked_up_by_six_letters(spark, monkeypatch):
+    raws = [f"Ann /Lee#{i:06d}/" for i in range(60)] + ["", "Bob /Lee#000001 and more/"]
+    person = spark.createDataFrame([("T", f"I{i}", i, [raw]) for i, raw in enumerate(raws)], "tree_id string, person_id string, seq bigint, raws array<string>")
+    person = person.withColumn("names", parse_names(F.col("raws")))
+    texts = ["lee#000001", "#00005", "ann", "0", "lee#0", "nobody here", "#000001 and", "  ", "Ann /Lee#00003"]
+    asked = spark.createDataFrame([(t,) for t in texts], "query string")
+    grams = views.name_grams(person)
+    assert grams.where("gram = '000001'").count() == 2
+    forms = {f"I{i}": [raw.lower(), raw.replace("/", "").lower()] for i, raw in enumerate(raws)}
+    want = sorted((t, who) for t in texts for who, f in forms.items() if t.strip() and any(t.strip().lower() in x for x in f))
+    for short in (views.SHORT_LIST, 0):
+        monkeypatch.setattr(views, "SHORT_LIST", short)
+        got = views.search_people(person, grams, asked)
+        assert sorted((r.query, r.person_id) for r in got.collect()) == want
