@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ WORDS = -(-2 * HASHES // 16)
 APART_MOST = 63  # differing four-bit values of the 190; five deviations more than a similarity of 0.8 gives
 SURE_SIZE = 32  # smaller sets are not judged by their signatures
 KNOWN_WORDS = 400_000
+SKETCH_WORDS = 100_000  # hashes of words that a sketching worker keeps between slices
+SLICE_ROWS, SLICE_BYTES = 128, 1 << 20  # documents, and bytes of their texts, worked on at once; a longer text is a slice of its own
 DIFF_WORDS = 16  # longs in a bitmap of differences
 SMALL = 200_000  # ids that may be broadcast
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -66,14 +69,14 @@ def shingle_set(text: str | None, n: int) -> set[tuple[bytes, ...]]:
 
 
 class Sketcher:
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
+    def __init__(self, n: int, keep: int = KNOWN_WORDS):
+        self.n, self.keep, self.known = n, keep, {}
         self.times, self.masks = _seeds()
 
     def shingles(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of all documents that have words, one after the other, and how many each has."""
         flat = [w for d in docs for w in d]
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > self.keep:
             self.known = {}
         self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(flat) - self.known.keys())
         word = np.fromiter(map(self.known.__getitem__, flat), dtype=np.uint64, count=len(flat))
@@ -120,12 +123,25 @@ def _lists(rows: np.ndarray, whole: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.ravel(), pa.int64()), mask=pa.array(~whole))
 
 
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of stretches of at most ``SLICE_ROWS`` texts and ``SLICE_BYTES`` bytes, or one text."""
+    low, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > low and (at - low == SLICE_ROWS or held + size > SLICE_BYTES):
+            yield low, at - low
+            low, held = at, 0
+        held += size
+    if len(sizes) > low:
+        yield low, len(sizes) - low
+
+
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Sketcher(n)
+        maker = Sketcher(n, SKETCH_WORDS)
         for whole in batches:
-            for low in range(0, whole.num_rows, 128):
-                batch = whole.slice(low, 128)
+            sizes = pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False)
+            for low, rows in slices(sizes):
+                batch = whole.slice(low, rows)
                 docs = [words_of(t) for t in batch.column("text").to_pylist()]
                 value, count = maker.shingles(docs)
                 edge = np.r_[0, np.cumsum(count)]

@@ -71,3 +71,12 @@ def test_signature_values_agree_as_often_as_sets_do():
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)], "a long, b long").repartition(4)
     assert {r.comp for r in neardup.components(edges).collect()} == {1}
+
+
+def test_slices_hold_little_text(monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE_ROWS", 3)
+    monkeypatch.setattr(neardup, "SLICE_BYTES", 10)
+    cut = lambda *sizes: list(neardup.slices(np.array(sizes, dtype=np.int64)))
+    assert cut(1, 1, 1, 1) == [(0, 3), (3, 1)]
+    assert cut(6, 5, 50, 0, 2) == [(0, 1), (1, 1), (2, 1), (3, 2)]
+    assert cut() == [] and cut(0, 0, 99) == [(0, 2), (2, 1)]
