@@ -11,6 +11,7 @@ from kinloom.operators.lineage import scratch_root
 from kinloom.plans.bridge import Bridge
 from kinloom.plans.catalog import big, query
 from kinloom.sources.gedcom import EVENT_TAGS, Corpus, parse_corpus
+from kinloom.sources.sinks import write_marked
 
 TAGS = [*EVENT_TAGS, "GRAD", "EVEN"]
 _parsed: dict[tuple[str, str], Corpus] = {}
@@ -45,8 +46,11 @@ def odd_corpus(b: Bridge) -> Corpus:
     key = (b.spark.sparkContext.applicationId, b.sf_dir)
     if key not in _parsed:
         folder = f"{scratch_root(b.spark)}/kinloom-odd-{uuid.uuid4().hex}"
-        odd_records(b).write.partitionBy("tree_id").text(folder)
-        _parsed[key] = parse_corpus(b.spark, folder, tree_from_folder=True)
+        zero = F.lit(0)
+        placed = odd_records(b).select(
+            "tree_id", zero.alias("section"), F.xxhash64("text").alias("seq"), zero.alias("block"), zero.cast("bigint").alias("ord"), zero.alias("pos"), "text")
+        write_marked(placed, folder, 128)
+        _parsed[key] = parse_corpus(b.spark, folder, bundled=True)
     return _parsed[key]
 
 

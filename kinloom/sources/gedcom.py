@@ -363,7 +363,9 @@ def parse_corpus(spark: SparkSession, path: str, tree_from_folder: bool = False,
         )
     )
 
-    notes = _parse_notes(heads, of_person_all(sub, records("INDI")), hints, known, structural)
+    # Notes come from few lines; the others are left out before any join.
+    named = of_person_all(sub.where(F.col("tag").isin("NAME", "FAMC")), records("INDI"))
+    notes = _parse_notes(heads, named, of_person_all(sub, records("INDI")), hints, known, structural)
     dangling = reference_warnings(person, person_fams, family, family_spouse, family_child).unionByName(
         empty_files(spark, path, tree_from_folder, heads.select("tree_id", "tag"), bundled))
     return Corpus(
@@ -382,7 +384,9 @@ def _say(*parts) -> Column:
 
 
 # The wording of all notes and warnings below.
-def _parse_notes(heads: DataFrame, person_lines: DataFrame, hints: DataFrame, known: Column, structural: Column) -> DataFrame:
+def _parse_notes(
+    heads: DataFrame, named: DataFrame, person_lines: DataFrame, hints: DataFrame, known: Column, structural: Column
+) -> DataFrame:
     """Info rows: what was skipped or ignored while reading."""
     row = lambda df, message, context: df.select(
         "tree_id", F.lit("info").alias("severity"), message.alias("message"), context.alias("context")
@@ -399,22 +403,21 @@ def _parse_notes(heads: DataFrame, person_lines: DataFrame, hints: DataFrame, kn
         heads.where(~F.col("tag").isin(KNOWN_RECORDS)),
         _say("Unrecognized top-level record ", F.col("tag"), " was ignored."), F.col("xref"),
     )
-    has = person_lines.groupBy("tree_id", "rec", "id").agg(
+    has = named.groupBy("tree_id", "rec", "id").agg(
         F.count(F.when(F.col("tag") == "NAME", 1)).alias("names"), F.count(F.when(F.col("tag") == "FAMC", 1)).alias("famc")
     )
     nameless = row(has.where("names = 0"), _say("Individual ", at_id, " has no NAME record."), at_id)
     many = row(
         has.where("famc > 1"), _say("Individual ", at_id, " has multiple FAMC pointers; using the first."), at_id
     )
-    lines = person_lines.where(F.col("tag").isNotNull()).join(hints, [*_REC, "pos"], "left")
-    other = lines.where(known.isNull())
+    other = person_lines.where(F.col("tag").isNotNull() & known.isNull())
     vendor = row(
         other.where(F.col("tag").startswith("_")),
         _say("Vendor-specific tag ", F.col("tag"), " on ", at_id, " was not mapped."), at_id,
     )
-    looks = F.coalesce("has_hint", F.lit(False)) | (F.col("tag") == "EVEN")
+    plain = other.where(~structural & (F.col("tag") != "EVEN")).join(hints.where("has_hint"), [*_REC, "pos"], "left_anti")
     ignored = row(
-        other.where(~structural & ~looks), _say("Unrecognized tag ", F.col("tag"), " on ", at_id, " was ignored."), at_id
+        plain, _say("Unrecognized tag ", F.col("tag"), " on ", at_id, " was ignored."), at_id
     )
     out = no_ref
     for more in (unknown, nameless, many, vendor, ignored):

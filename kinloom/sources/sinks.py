@@ -163,7 +163,11 @@ def write_bundles(corpus, path: str, files: int = 256) -> None:
     The files follow each other by name; small trees share one, a large tree goes on in
     the next ones. ``parse_corpus(..., bundled=True)`` reads them.
     """
-    lines = gedcom_lines(corpus)
+    write_marked(gedcom_lines(corpus), path, files)
+
+
+def write_marked(lines: DataFrame, path: str, files: int = 256) -> None:
+    """Write ``lines(tree_id, section, seq, block, ord, pos, text)`` as ``write_bundles`` does."""
     zero = F.lit(0)
     marks = lines.select("tree_id").distinct().select(
         "tree_id", F.lit(_MARK).alias("section"), zero.cast("bigint").alias("seq"), zero.alias("block"), zero.cast("bigint").alias("ord"),
