@@ -7,11 +7,11 @@ the tree moves on to a parent. A common person can then only be met by both at o
 so the walks from (from, to) to some (x, x) are exactly the paths, and their number
 is a sum over pairs of people, whatever the number of paths.
 
-The first paths in depth-first order are grown step by step. A beginning is kept if
-it can be finished and fewer than ``first`` others stand before it. What can be
-finished follows from the pairs: while one side climbs along a given line, the other
-side's people stay above it, those on the line left out. Once the apex is chosen, the
-way down keeps to people that the other end reaches without touching the line.
+The first paths come from the same sums. People are numbered so that ancestors have the
+larger numbers, and a way of (u, v) is a way of the next pair with one person put before
+it (u moved) or behind it (v moved). Among ways of one length neither changes the
+depth-first order, so the first ways of a pair and length are among the first ones of
+the next pairs: each pair keeps ``first`` of every length, and nothing is built beyond them.
 
 Trees with an ancestry loop have no lower and higher; ``paths`` lists theirs whole.
 """
@@ -25,11 +25,14 @@ from kinloom.operators.closure import looping_people
 from kinloom.operators.lineage import cut
 
 LEVELS = 4  # levels planned per job
+HEIGHT_STEP = 1 << 48  # numbers of one height; row ids of 32,768 partitions fit in
+DOWN = 1 << 30  # added to the place of a child: a climb that goes on comes before one that turns
 _PAIR = ["tree_id", "from_id", "to_id"]
+_WAYS = "array<struct<key:array<int>,path:array<bigint>>>"
 
 
 def heights(parents: DataFrame) -> DataFrame:
-    """(tree_id, person_id, height): the longest line of descent below each person of loop-free trees."""
+    """(tree_id, person_id, height, no): the longest line of descent below each person of loop-free trees; numbers rise with it."""
     step = parents.select("tree_id", F.col("child_id").alias("node"), F.col("parent_id").alias("next"))
     everyone = parents.select("tree_id", F.col("child_id").alias("node")).unionByName(parents.select("tree_id", F.col("parent_id").alias("node"))).distinct()
     level, _ = cut(everyone)
@@ -44,7 +47,8 @@ def heights(parents: DataFrame) -> DataFrame:
         batch, seen = cut(batch, F.max("height").alias("deepest"))
         found = found.unionByName(batch)
         if not seen["rows"] or seen["deepest"] < depth:
-            return cut(found.groupBy("tree_id", F.col("node").alias("person_id")).agg(F.max("height").alias("height")))[0]
+            high, _ = cut(found.groupBy("tree_id", F.col("node").alias("person_id")).agg(F.max("height").alias("height")))
+            return cut(high.withColumn("no", F.col("height") * F.lit(HEIGHT_STEP) + F.monotonically_increasing_id()))[0]
         level = batch.where(F.col("height") == depth).drop("height")
 
 
@@ -55,143 +59,86 @@ def _steps(parents: DataFrame, high: DataFrame) -> DataFrame:
         F.col("pord").cast("bigint").alias("p"), F.col("cord").cast("bigint").alias("c"), F.col("height").alias("next_height"))
 
 
-def _ranked(high: DataFrame, who: str, rank: str) -> DataFrame:
-    return high.select("tree_id", F.col("person_id").alias(who), F.struct("height", "person_id").alias(rank))
+def _moves(steps: DataFrame, high: DataFrame) -> DataFrame:
+    """(node, next, a, b): steps between numbers, with the places of the parent and, seen from above, of the child."""
+    number = lambda who, no: high.select("tree_id", F.col("person_id").alias(who), F.col("no").alias(no))
+    known = steps.join(number("node", "n1"), ["tree_id", "node"]).join(number("next", "n2"), ["tree_id", "next"])
+    return cut(known.select(
+        F.col("n1").alias("node"), F.col("n2").alias("next"),
+        F.dense_rank().over(Window.partitionBy("n1").orderBy("f", "p")).alias("a"),
+        F.dense_rank().over(Window.partitionBy("n2").orderBy("f", "c")).alias("b")))[0]
 
 
-def pair_counts(steps: DataFrame, high: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(tree_id, u, v, n): number of ways in which two lines up from u and v first meet, for all pairs of people on the ways
-    of the asked ones; pairs whose lines never meet are left out."""
-    pair = ["tree_id", "u", "v"]
-    move = steps.select("tree_id", "node", "next")
-    seen, size = cut(pairs.select("tree_id", F.col("from_id").alias("u"), F.col("to_id").alias("v")).distinct())
+def _numbers(high: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Asked pairs of known people with the numbers u and v of their ends."""
+    for end, no in (("from_id", "u"), ("to_id", "v")):
+        pairs = pairs.join(high.select("tree_id", F.col("person_id").alias(end), F.col("no").alias(no)), ["tree_id", end])
+    return cut(pairs.select(*_PAIR, "u", "v").distinct())[0]
+
+
+def _pair_steps(moves: DataFrame, pairs: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(u, v, u2, v2, a, b): all steps on the ways up of the asked (u, v), and (u, v) of all pairs that are met on them."""
+    pair = ["u", "v"]
+    seen, size = cut(pairs.select(*pair).distinct())
     frontier, edges = seen, None
     while size["rows"]:
         made, level = None, frontier
         for _ in range(LEVELS):
-            placed = level.where("u != v").join(_ranked(high, "u", "ru"), ["tree_id", "u"]).join(_ranked(high, "v", "rv"), ["tree_id", "v"])
-            lower = placed.withColumn("node", F.when(F.col("ru") < F.col("rv"), F.col("u")).otherwise(F.col("v")))
-            on = lower.join(move, ["tree_id", "node"]).select(
-                *pair, F.when(F.col("node") == F.col("u"), F.col("next")).otherwise(F.col("u")).alias("u2"),
-                F.when(F.col("node") == F.col("u"), F.col("v")).otherwise(F.col("next")).alias("v2"))
+            on = level.where("u != v").withColumn("node", F.least("u", "v")).join(moves, "node").select(
+                *pair, F.when(F.col("u") < F.col("v"), F.col("next")).otherwise(F.col("u")).alias("u2"),
+                F.when(F.col("u") < F.col("v"), F.col("v")).otherwise(F.col("next")).alias("v2"), "a", "b")
+            level = on.select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct()
             made = on if made is None else made.unionByName(on)
-            level = on.select("tree_id", F.col("u2").alias("u"), F.col("v2").alias("v")).distinct()
-        made, _ = cut(made.distinct())
+        # every step of a pair is made whenever the pair is met
+        made, _ = cut(made.dropDuplicates([*pair, "u2", "v2"]))
         edges = made if edges is None else edges.unionByName(made)
-        reached = made.select("tree_id", F.col("u2").alias("u"), F.col("v2").alias("v")).distinct()
-        fresh, _ = cut(reached.join(seen, pair, "left_anti"))
-        seen = cut(seen.unionByName(fresh))[0]
-        open_ = made.select(*pair)  # everybody whose steps are known
-        frontier, size = cut(fresh.where("u != v").join(open_, pair, "left_anti"))
-    met = seen.where("u = v").withColumn("n", F.lit(1).cast("decimal(38,0)"))
+        fresh, _ = cut(made.select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct().join(seen, pair, "left_anti"))
+        seen = seen.unionByName(fresh)
+        frontier, size = cut(fresh.where("u != v").join(made.select(*pair), pair, "left_anti"))
+    return None if edges is None else cut(edges.dropDuplicates([*pair, "u2", "v2"]))[0], seen
+
+
+def _first_ways(moves: DataFrame, asked: DataFrame, first: int) -> DataFrame:
+    """(u, v, n, ways): the number of ways of the asked (u, v) that have any, and the first of them in depth-first order."""
+    pair = ["u", "v"]
+    edges, seen = _pair_steps(moves, asked)
+    none = F.array().cast("array<int>")
+    level = seen.where("u = v").select(
+        *pair, F.lit(1).cast("decimal(38,0)").alias("n"), F.array(F.struct(none.alias("key"), F.array("u").alias("path"))).cast(_WAYS).alias("ways"))
+    wanted = asked.select(*pair).distinct().withColumn("asked", F.lit(True))
+    best = lambda ways: F.slice(F.sort_array(F.flatten(F.collect_list(ways))), 1, first) if first else F.first(F.lit(None).cast(_WAYS))
+    done = level.join(wanted.select(*pair), pair, "left_semi")
     if edges is None:
-        return met
-    edges, _ = cut(edges.distinct())
-    level, out, depth = met, met.withColumn("d", F.lit(0)), 0
+        return done
+    climbs = F.col("u") < F.col("v")
+    longer = lambda w: F.struct(
+        F.when(climbs, F.concat(F.array("a"), w["key"])).otherwise(F.concat(w["key"], F.array(F.col("b") + DOWN))).alias("key"),
+        F.when(climbs, F.concat(F.array("u"), w["path"])).otherwise(F.concat(w["path"], F.array("v"))).alias("path"))
+    depth = 0
     while True:
         batch = None
         for _ in range(LEVELS):
             depth += 1
-            onto = level.select("tree_id", F.col("u").alias("u2"), F.col("v").alias("v2"), "n")
-            level = edges.join(onto, ["tree_id", "u2", "v2"]).groupBy(*pair).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+            onto = level.select(F.col("u").alias("u2"), F.col("v").alias("v2"), "n", "ways")
+            on = edges.join(onto, ["u2", "v2"]).select(*pair, "n", F.transform("ways", longer).alias("ways"))
+            level = on.groupBy(*pair).agg(F.sum("n").cast("decimal(38,0)").alias("n"), best("ways").alias("ways"))
             part = level.withColumn("d", F.lit(depth))
             batch = part if batch is None else batch.unionByName(part)
-        batch, size = cut(batch, F.max("d").alias("deepest"))
-        out = out.unionByName(batch)
+        # of the others only the last level is gone on from
+        kept = batch.join(wanted, pair, "left").where(F.col("asked") | (F.col("d") == depth))
+        batch, size = cut(kept, F.max("d").alias("deepest"))
+        done = done.unionByName(batch.where("asked").select(*done.columns))
         if not size["rows"] or size["deepest"] < depth:
-            return cut(out.groupBy(*pair).agg(F.sum("n").cast("decimal(38,0)").alias("n")))[0]
-        level = batch.where(F.col("d") == depth).drop("d")
-
-
-def _keep_first(items: DataFrame, first: int) -> DataFrame:
-    order = Window.partitionBy(*_PAIR).orderBy("key")
-    return items.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= first).drop("_n")
-
+            return cut(done.groupBy(*pair).agg(F.sum("n").cast("decimal(38,0)").alias("n"), best("ways").alias("ways")))[0]
+        level = batch.where(F.col("d") == depth).select(*pair, "n", "ways")
 
-def _climbs(steps: DataFrame, high: DataFrame, live: DataFrame, asked: DataFrame, first: int) -> DataFrame:
-    """Beginnings up to the apex: (tree_id, from_id, to_id, steps, key), at most ``first`` of each pair.
 
-    ``other`` lists the people whom the other end can have reached when this side is at ``u``: none lower, none on the line.
-    """
-    items = asked.select(*_PAIR, F.array("from_id").alias("steps"), F.array().cast("array<bigint>").alias("key"), F.col("from_id").alias("u"))
-    other = asked.select(*_PAIR, F.array("from_id").alias("steps"), F.col("to_id").alias("v"))
-    line = [*_PAIR, "steps"]
-    other = _above(other.join(_ranked(high, "from_id", "floor"), ["tree_id", "from_id"]), steps, high, line)
-    items, size = cut(items)
-    done: DataFrame | None = None
-    while size["rows"]:
-        turn = items.join(other.withColumnRenamed("v", "u"), [*line, "u"]).select(*_PAIR, "steps", F.concat("key", F.array(F.lit(1).cast("bigint"))).alias("key"))
-        up = items.join(steps.withColumnRenamed("node", "u"), ["tree_id", "u"]).select(
-            *_PAIR, F.col("steps").alias("was"), F.concat("steps", F.array("next")).alias("steps"),
-            F.concat("key", F.array(F.lit(0).cast("bigint"), F.col("f"), F.col("p"))).alias("key"), "u", F.col("next").alias("to_u"),
-            F.struct(F.col("next_height").alias("height"), F.col("next").alias("person_id")).alias("floor"))
-        up, _ = cut(up)
-        moved = up.join(other.withColumnRenamed("steps", "was"), [*_PAIR, "was"]).where("v != u").select(*line, "v", "floor")
-        moved = _above(moved, steps, high, line)
-        on = up.select(*line, "key", F.col("to_u").alias("u"))
-        fit = on.join(moved, line).join(live.select("tree_id", "u", "v"), ["tree_id", "u", "v"], "left_semi").select(*line).distinct()
-        both = on.join(fit, line, "left_semi").withColumn("open", F.lit(True)).unionByName(
-            turn.withColumn("u", F.lit(None).cast("string")).withColumn("open", F.lit(False)))
-        if done is not None:
-            both = both.unionByName(done.withColumn("u", F.lit(None).cast("string")).withColumn("open", F.lit(False)))
-        kept, size = cut(_keep_first(both, first), F.count_if("open").alias("open"))
-        size = {"rows": size["open"]}
-        done = kept.where("NOT open").select(*line, "key")
-        items = kept.where("open").select(*line, "key", "u")
-        other = moved.join(items.select(*line), line, "left_semi")
-    return asked.select(*_PAIR, F.array("from_id").alias("steps"), F.array().cast("array<bigint>").alias("key")).where(F.lit(False)) if done is None else done
-
-
-def _above(rows: DataFrame, steps: DataFrame, high: DataFrame, line: list[str]) -> DataFrame:
-    """Rows (line, v, floor) with every v below its floor replaced by the people above it, up to the floor: (line, v)."""
-    ranks = _ranked(high, "v", "rank")
-    up = steps.select("tree_id", F.col("node").alias("v"), "next")
-    below, out = rows.select(*line, "v", "floor").join(ranks, ["tree_id", "v"]), None
-    while True:
-        done = None
-        for _ in range(3):  # planned in one job
-            fine = below.where("rank >= floor")
-            done = fine if done is None else done.unionByName(fine)
-            below = below.where("rank < floor").join(up, ["tree_id", "v"]).select(*line, F.col("next").alias("v"), "floor").distinct().join(ranks, ["tree_id", "v"])
-        now, size = cut(done.unionByName(below).select(*line, "v", "floor", "rank").distinct(), F.count_if(F.col("rank") < F.col("floor")).alias("below"))
-        fine = now.where("rank >= floor").select(*line, "v")
-        out = fine if out is None else out.unionByName(fine).distinct()
-        if not size["below"]:
-            return out
-        below = now.where("rank < floor")
-
-
-def _descents(steps: DataFrame, high: DataFrame, climbs: DataFrame, first: int) -> DataFrame:
-    """Whole paths from the beginnings: (tree_id, from_id, to_id, steps, key, apex_id)."""
-    line = [*_PAIR, "steps"]
-    apex = F.element_at("steps", -1)
-    begun, size = cut(climbs.withColumn("apex_id", apex))
-    # who can be reached from the other end without touching the line, below the apex
-    tops = _ranked(high, "apex_id", "top")
-    level = begun.join(tops, ["tree_id", "apex_id"]).select(*line, "apex_id", "top", F.col("to_id").alias("node"))
-    reach = level.select(*line, "node")
-    while size["rows"]:
-        above = level.join(steps.select("tree_id", "node", "next", "next_height"), ["tree_id", "node"]).where(
-            (F.struct(F.col("next_height").alias("height"), F.col("next").alias("person_id")) < F.col("top")) & ~F.array_contains("steps", F.col("next")))
-        fresh = above.select(*line, "apex_id", "top", F.col("next").alias("node")).distinct().join(reach, [*line, "node"], "left_anti")
-        level, size = cut(fresh)
-        reach = reach.unionByName(level.select(*line, "node"))
-    reach, _ = cut(reach.select(*line, F.col("node").alias("down")))
-    items = begun.select(*line, F.col("steps").alias("path"), F.col("apex_id").alias("x"), "key", "apex_id")
-    whole: DataFrame | None = None
-    while True:
-        ready = items.where("x = to_id")
-        down = items.where("x != to_id").join(
-            steps.select("tree_id", F.col("next").alias("x"), F.col("node").alias("down"), "f", "c"), ["tree_id", "x"])
-        # the first [1] stands in the key since the turn
-        turned = F.when(F.col("x") == F.col("apex_id"), F.array("f", "c")).otherwise(F.array(F.lit(1).cast("bigint"), F.col("f"), F.col("c")))
-        down = down.join(reach, [*line, "down"], "left_semi").select(
-            *line, F.concat("path", F.array("down")).alias("path"), F.col("down").alias("x"), F.concat("key", turned).alias("key"), "apex_id")
-        kept, size = cut(_keep_first(ready.unionByName(down) if whole is None else ready.unionByName(down).unionByName(whole), first),
-                         F.count_if(F.col("x") != F.col("to_id")).alias("open"))
-        whole, items = kept.where("x = to_id"), kept.where("x != to_id")
-        if not size["open"]:
-            return whole.select(*_PAIR, F.col("path").alias("steps"), "key", "apex_id")
+def pair_counts(steps: DataFrame, high: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(tree_id, u, v, n): number of ways in which two lines up from u and v first meet, for the asked pairs of people;
+    pairs whose lines never meet are left out."""
+    asked = _numbers(high, pairs)
+    found = asked.join(_first_ways(_moves(steps, high), asked, 0), ["u", "v"])
+    return found.select("tree_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "n")
 
 
 def first_paths(parents: DataFrame, pairs: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
@@ -201,17 +148,18 @@ def first_paths(parents: DataFrame, pairs: DataFrame, first: int) -> tuple[DataF
     decimal: pairs without a path are in neither.
     """
     high = heights(parents)
-    steps, _ = cut(_steps(parents, high))
-    asked = pairs.select(*_PAIR).where("from_id != to_id").distinct()
-    for end in ("from_id", "to_id"):
-        asked = asked.join(high.select("tree_id", F.col("person_id").alias(end)), ["tree_id", end], "left_semi")
-    asked, _ = cut(asked)
-    live = pair_counts(steps, high, asked)
-    count = asked.join(live.select("tree_id", F.col("u").alias("from_id"), F.col("v").alias("to_id"), F.col("n").alias("path_count")), _PAIR)
-    asked, _ = cut(count.select(*_PAIR))
-    found = _descents(steps, high, _climbs(steps, high, live, asked, first), first)
-    numbered = found.withColumn("path_no", F.row_number().over(Window.partitionBy(*_PAIR).orderBy("key")))
-    return numbered.select(*_PAIR, "path_no", (F.size("steps") - 1).alias("length"), "steps", "apex_id"), count
+    asked = _numbers(high, pairs.select(*_PAIR).where("from_id != to_id").distinct())
+    ways = _first_ways(_moves(_steps(parents, high), high), asked, first)
+    found, _ = cut(asked.join(ways, ["u", "v"]))
+    listed = found.select(*_PAIR, F.posexplode("ways").alias("at", "way")).withColumn("path_no", F.col("at") + 1)
+    each = [*_PAIR, "path_no"]
+    # numbers become people again, the apex is the highest of a path
+    names = high.select(F.col("no"), F.col("person_id").alias("who"))
+    walked = listed.select(*each, F.array_max("way.path").alias("top"), F.posexplode("way.path").alias("pos", "no")).join(names, "no")
+    steps = F.transform(F.sort_array(F.collect_list(F.struct("pos", "who"))), lambda s: s["who"]).alias("steps")
+    apex = F.max(F.when(F.col("no") == F.col("top"), F.col("who"))).alias("apex_id")
+    numbered = walked.groupBy(*each).agg(steps, apex)
+    return numbered.select(*each, (F.size("steps") - 1).alias("length"), "steps", "apex_id"), found.select(*_PAIR, F.col("n").alias("path_count"))
 
 
 def loop_trees(parents: DataFrame) -> DataFrame:

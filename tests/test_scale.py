@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from kinloom.functions.names import parse_names
-from kinloom.operators import events, research, views
+from kinloom.operators import events, first_paths, research, views
 from kinloom.operators.lineage import scratch_root
 from kinloom.plans import bridge, queries_reader
 from kinloom.plans.catalog import load_all
@@ -130,3 +130,17 @@ def test_files_do_not_grow_with_the_trees(spark, tmp_path):
     (folder,) = set(glob.glob(f"{scratch_root(spark)}/kinloom-odd-*")) - before
     files = [f for f in glob.glob(f"{folder}/**", recursive=True) if f.endswith(".txt")]
     assert got == 300 and len(files) <= 128
+
+
+def test_first_paths_write_no_table_per_generation(spark, monkeypatch):
+    written, cut = [], first_paths.cut
+    monkeypatch.setattr(first_paths, "cut", lambda df, *metrics: written.append(1) or cut(df, *metrics))
+    edges = [(f"{s}{i}", f"{s}{i + 1}" if i < 5 else "TOP", i) for s in "AB" for i in range(6)]
+    parents = spark.createDataFrame(
+        [("T", up, low, f"F{low}", i, 0, 0) for low, up, i in edges],
+        "tree_id string, parent_id string, child_id string, family_id string, fseq bigint, pord int, cord int")
+    pairs = spark.createDataFrame([("T", "A0", "B0")], "tree_id string, from_id string, to_id string")
+    found, count = first_paths.first_paths(parents, pairs, 2)
+    want = [f"A{i}" for i in range(6)] + ["TOP"] + [f"B{i}" for i in reversed(range(6))]
+    assert [(r.path_no, r.length, r.steps, r.apex_id) for r in found.collect()] == [(1, 12, want, "TOP")]
+    assert [r.path_count for r in count.collect()] == [1] and len(written) <= 30
