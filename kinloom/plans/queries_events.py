@@ -44,7 +44,7 @@ def line_stops(b: Bridge) -> DataFrame:
 
 
 def _ancestry(b: Bridge) -> DataFrame:
-    return events.ancestry_members(b.ancestors(), b.focals())
+    return events.ancestry_members(b.ordered_ancestors(), b.focals())
 
 
 @query

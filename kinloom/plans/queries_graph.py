@@ -297,4 +297,4 @@ def next_ids(b: Bridge) -> DataFrame:
 @query
 def ancestor_picker(b: Bridge) -> DataFrame:
     asked = b.focals().withColumn("query", F.lit("")).unionByName(b.focals().withColumn("query", F.lit("mach")))
-    return views.pick_ancestors(b.ancestors(), b.names(), asked).withColumn("rank", big("rank"))
+    return views.pick_ancestors(b.ordered_ancestors(), b.names(), asked).withColumn("rank", big("rank"))

@@ -144,3 +144,11 @@ def test_first_paths_write_no_table_per_generation(spark, monkeypatch):
     want = [f"A{i}" for i in range(6)] + ["TOP"] + [f"B{i}" for i in reversed(range(6))]
     assert [(r.path_no, r.length, r.steps, r.apex_id) for r in found.collect()] == [(1, 12, want, "TOP")]
     assert [r.path_count for r in count.collect()] == [1] and len(written) <= 30
+
+
+def test_the_closure_of_everybody_carries_no_order(spark, tmp_path):
+    spark.range(128).selectExpr("id as c_custkey", "'n' as c_name", "0 as c_nationkey", "'BUILDING' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    b = bridge.Bridge(spark, str(tmp_path))
+    assert b.ancestors().columns == ["tree_id", "focal_id", "person_id", "min_depth"]
+    pairs = b.ancestors().select("tree_id", "focal_id", "person_id", "min_depth").collect()
+    assert sorted(pairs) == sorted(b.ordered_ancestors().select("tree_id", "focal_id", "person_id", "min_depth").collect()) and pairs
