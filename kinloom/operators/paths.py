@@ -20,7 +20,7 @@ from kinloom.operators.first_paths import first_paths, loop_trees
 from kinloom.operators.lineage import cut
 
 __all__ = [
-    "ancestral_paths", "collapse_paths", "looping_people", "path_highlights", "path_listing", "pedigree_collapse",
+    "ancestral_paths", "collapse_paths", "looping_people", "met_paths", "path_highlights", "path_listing", "pedigree_collapse",
     "relationship_paths", "upward_trails",
 ]
 
@@ -76,7 +76,19 @@ def relationship_paths(parents: DataFrame, pairs: DataFrame, first: int | None)
 
 
 def _every_path(parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All paths: upward trails of both ends meet on the apex (an end itself may be the apex)."""
+    """All paths, numbered, and how many there are."""
+    keys = ["tree_id", "from_id", "to_id"]
+    met, _ = cut(met_paths(parents, pairs))
+    numbered = met.withColumn("path_no", F.row_number().over(Window.partitionBy(*keys).orderBy("path_key")))
+    total = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("path_count"))
+    return numbered.join(total, keys).select(*keys, "path_no", "length", "steps", "apex_id", "path_count")
+
+
+def met_paths(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All paths: upward trails of both ends meet on the apex (an end itself may be the apex).
+
+    (tree_id, from_id, to_id, apex_id, length, steps, path_key); paths of a pair in the order of the key.
+    """
     asked = pairs.select("tree_id", "from_id", "to_id").where(F.col("from_id") != F.col("to_id")).distinct()
     ends = (
         asked.select("tree_id", F.col("from_id").alias("focal_id"))
@@ -104,7 +116,7 @@ def _every_path(parents: DataFrame, pairs: DataFrame) -> DataFrame:
             )
         ).alias("down_key"),
     )
-    met, _ = cut(
+    return (
         asked.join(climb, ["tree_id", "from_id"])
         .join(descend, ["tree_id", "to_id", "apex_id"])
         .where(F.size(F.array_intersect("up_steps", "down_steps")) == 1)
@@ -115,10 +127,6 @@ def _every_path(parents: DataFrame, pairs: DataFrame) -> DataFrame:
             F.concat("up_key", "down_key").alias("path_key"),
         )
     )
-    keys = ["tree_id", "from_id", "to_id"]
-    numbered = met.withColumn("path_no", F.row_number().over(Window.partitionBy(*keys).orderBy("path_key")))
-    total = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("path_count"))
-    return numbered.join(total, keys).select(*keys, "path_no", "length", "steps", "apex_id", "path_count")
 
 
 def path_highlights(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,20 +148,23 @@ def path_highlights(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def path_listing(paths: DataFrame, names: DataFrame) -> DataFrame:
-    """``#n (k steps): A → B → C`` per path; ``names(tree_id, person_id, name)``."""
-    ids = ["tree_id", "from_id", "to_id", "path_no"]
-    walked = paths.select(*ids, "length", F.posexplode("steps").alias("pos", "person_id"))
-    named = walked.join(names, ["tree_id", "person_id"], "left").withColumn(
-        "label", F.coalesce("name", "person_id")
-    )
-    chain = F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "label"))), lambda s: s["label"]), " → "
-    )
+    """``#n (k steps): A → B → C`` per path; ``names(tree_id, person_id, name)``.
+
+    Paths of one pair go through the same people again and again: names are looked up once per pair and person.
+    """
+    pair = ["tree_id", "from_id", "to_id"]
+    people = paths.select(*pair, F.explode("steps").alias("person_id")).distinct()
+    known = people.join(names.select("tree_id", "person_id", "name"), ["tree_id", "person_id"], "left")
+    # a person with several names stands there with each of them
+    shown = F.sort_array(F.collect_list(F.coalesce("name", "person_id"))).alias("shown")
+    labels = known.groupBy(*pair, "person_id").agg(shown).groupBy(*pair).agg(
+        F.map_from_entries(F.collect_list(F.struct("person_id", "shown"))).alias("labels"))
     plural = F.when(F.col("length") == 1, "").otherwise("s")
-    return named.groupBy(*ids, "length").agg(chain.alias("chain")).select(
-        *ids,
+    chain = F.array_join(F.flatten(F.transform("steps", lambda s: F.try_element_at("labels", s))), " → ")
+    return paths.join(labels, pair).select(
+        *pair, "path_no",
         F.concat(
             F.lit("#"), F.col("path_no").cast("string"), F.lit(" ("), F.col("length").cast("string"),
-            F.lit(" step"), plural, F.lit("): "), F.col("chain"),
+            F.lit(" step"), plural, F.lit("): "), chain,
         ).alias("listing"),
     )

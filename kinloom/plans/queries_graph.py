@@ -154,12 +154,12 @@ def path_listing(b: Bridge) -> DataFrame:
 
 @query
 def highlighted_people(b: Bridge) -> DataFrame:
-    return paths.path_highlights(_pair_paths(b))[0]
+    return paths.path_highlights(paths.met_paths(b.parents(), b.pairs()))[0]
 
 
 @query
 def highlighted_edges(b: Bridge) -> DataFrame:
-    return paths.path_highlights(_pair_paths(b))[1]
+    return paths.path_highlights(paths.met_paths(b.parents(), b.pairs()))[1]
 
 
 @query

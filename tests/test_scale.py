@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from kinloom.functions.names import parse_names
-from kinloom.operators import events, first_paths, research, views
+from kinloom.operators import events, first_paths, paths, research, views
 from kinloom.operators.lineage import scratch_root
 from kinloom.plans import bridge, queries_reader
 from kinloom.plans.catalog import load_all
@@ -146,6 +146,17 @@ def test_first_paths_write_no_table_per_generation(spark, monkeypatch):
     assert [r.path_count for r in count.collect()] == [1] and len(written) <= 30
 
 
+def test_names_are_looked_up_once_per_pair_and_person(spark):
+    rows = [("T", "a", "c", 1, 2, ["a", "b", "c"]), ("T", "a", "c", 2, 2, ["a", "d", "c"]), ("T", "x", "b", 1, 1, ["x", "b"])]
+    listed = spark.createDataFrame(rows, "tree_id string, from_id string, to_id string, path_no int, length int, steps array<string>")
+    names = spark.createDataFrame([("T", "a", "Ann"), ("T", "b", "Bob"), ("T", "b", "Abe"), ("T", "c", None)], "tree_id string, person_id string, name string")
+    got = paths.path_listing(listed, names)
+    assert sorted((r.from_id, r.path_no, r.listing) for r in got.collect()) == [
+        ("a", 1, "#1 (2 steps): Ann → Abe → Bob → c"), ("a", 2, "#2 (2 steps): Ann → d → c"), ("x", 1, "#1 (1 step): x → Abe → Bob")]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in text and "explode(steps" in text
+
+
 def test_the_closure_of_everybody_carries_no_order(spark, tmp_path):
     spark.range(128).selectExpr("id as c_custkey", "'n' as c_name", "0 as c_nationkey", "'BUILDING' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
     b = bridge.Bridge(spark, str(tmp_path))
