@@ -68,6 +68,10 @@ class Tree:
     family_event: DataFrame
     event_participant: DataFrame
 
+    @property
+    def event_ids(self) -> DataFrame:
+        return self.event.select("tree_id", "event_id")
+
 
 def kind(op: DataFrame, name: str) -> DataFrame:
     return op.where(F.col("kind") == name)
@@ -492,7 +496,34 @@ class Replay:
     @cached_property
     def events(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """event, person_event, family_event, event_participant."""
-        return _replay_events(self.base, self.op, self.life, self.folds, self.born, self.moves)
+        return self.event, self.person_event, self.family_event, self.event_participant
+
+    @cached_property
+    def added(self) -> DataFrame:
+        return _added_events(self.base, self.op)
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """People named by added events who exist then."""
+        people = self.added.select("tree_id", "event_id", "seq", "family_id", F.posexplode("participant_ids").alias("at", "id"))
+        return cut(existing_at(people, self.life))[0]
+
+    @cached_property
+    def event(self) -> DataFrame:
+        return _replay_events(self.base, self.op, self.added)
+
+    @cached_property
+    def person_event(self) -> DataFrame:
+        """Events on people's records; asks for no parsed event."""
+        return _listed_events(self.base, self.named, self.folds)
+
+    @cached_property
+    def family_event(self) -> DataFrame:
+        return _family_events(self.base, self.added, self.born)
+
+    @cached_property
+    def event_participant(self) -> DataFrame:
+        return _participants(self.base, self.named, self.moves)
 
 
 def _members(spans: DataFrame) -> DataFrame:
@@ -627,18 +658,24 @@ def _fold_people(base: Tree, op: DataFrame, life: DataFrame, edited: DataFrame,
     )
 
 
-def _replay_events(base: Tree, op: DataFrame, life: DataFrame, folds: DataFrame, born: DataFrame, moves: DataFrame):
-    ev = ["tree_id", "event_id"]
+_EVENT = ["tree_id", "event_id"]
+
+
+def _added_events(base: Tree, op: DataFrame) -> DataFrame:
+    """The first addEvent of each new event."""
+    return cut(
+        kind(op, "addEvent").join(base.event_ids, _EVENT, "left_anti").groupBy(*_EVENT).agg(
+            F.min_by(F.struct("seq", "event_type", "raw_tag", "participant_ids", "date_raw", "place_raw", "description",
+                              "family_id"), "seq").alias("a")
+        ).select(*_EVENT, "a.*")
+    )[0]
+
+
+def _replay_events(base: Tree, op: DataFrame, adds: DataFrame) -> DataFrame:
+    ev = _EVENT
     cols = ["type", "raw_tag", "date", "place", "description"]
     tags = F.create_map(*[F.lit(x) for kv in DEFAULT_TAGS.items() for x in kv])
     text = lambda c: F.when(F.col(c) != "", F.col(c))
-    known = base.event.select(*ev)
-    adds, _ = cut(
-        kind(op, "addEvent").join(known, ev, "left_anti").groupBy(*ev).agg(
-            F.min_by(F.struct("seq", "event_type", "raw_tag", "participant_ids", "date_raw", "place_raw", "description",
-                              "family_id"), "seq").alias("a")
-        ).select(*ev, "a.*")
-    )
     made = adds.select(
         *ev, F.col("seq").alias("born_seq"), F.col("event_type").alias("type"),
         F.coalesce("raw_tag", F.try_element_at(tags, F.col("event_type"))).alias("raw_tag"),
@@ -668,30 +705,35 @@ def _replay_events(base: Tree, op: DataFrame, life: DataFrame, folds: DataFrame,
     # Spelling of a place: base spellings first, then edits in order.
     seq = base.event.select(*ev, "seq")
     patched = patched.join(seq, ev, "left").withColumn("seq", F.coalesce("seq", F.lit(1 << 60) + F.col("born_seq")))
-    event, _ = cut(intern_places(cut(patched.withColumn("own_place", F.col("place")))[0]))
+    return cut(intern_places(cut(patched.withColumn("own_place", F.col("place")))[0]))[0]
 
-    # Events on people's records.
+
+def _listed_events(base: Tree, real: DataFrame, folds: DataFrame) -> DataFrame:
+    """Events on people's records."""
     own = base.person_event.select(
         "tree_id", F.col("person_id").alias("id"), F.lit(-1).cast("bigint").alias("from_seq"), "event_id",
         _key(-1, F.col("ord")).alias("k"),
     )
-    named = adds.select(*ev, "seq", "family_id", F.posexplode("participant_ids").alias("at", "id"))
-    real, _ = cut(existing_at(named, life))
     fresh = real.where(F.col("family_id").isNull() | (F.col("family_id") == "")).select(
         "tree_id", "id", "from_seq", "event_id", _key(F.col("seq"), 0).alias("k")
     )
     listed = own.unionByName(fresh).join(folds.select(*_ID, "from_seq", "root_id", "path"), [*_ID, "from_seq"])
-    person_event = listed.groupBy("tree_id", F.col("root_id").alias("person_id"), "event_id").agg(
+    return listed.groupBy("tree_id", F.col("root_id").alias("person_id"), "event_id").agg(
         F.min(F.concat("path", "k")).alias("ord")
     )
 
-    family_event = base.family_event.select("tree_id", "family_id", "event_id", _key(-1, F.col("ord")).alias("ord")).unionByName(
+
+def _family_events(base: Tree, adds: DataFrame, born: DataFrame) -> DataFrame:
+    return base.family_event.select("tree_id", "family_id", "event_id", _key(-1, F.col("ord")).alias("ord")).unionByName(
         adds.join(born, ["tree_id", "family_id"]).where(F.col("seq") > F.col("born_seq")).select(
             "tree_id", "family_id", "event_id", _key(F.col("seq"), 0).alias("ord")
         )
     )
 
-    # Participants follow the first merge of their id after they were named.
+
+def _participants(base: Tree, real: DataFrame, moves: DataFrame) -> DataFrame:
+    """Participants follow the first merge of their id after they were named."""
+    ev = _EVENT
     at = base.event_participant.select(
         *ev, F.col("person_id").alias("id"), F.lit(-1).cast("bigint").alias("t"), F.col("pord").cast("int").alias("pord")
     ).unionByName(real.select(*ev, "id", F.col("seq").alias("t"), F.col("at").cast("int").alias("pord")))
@@ -709,10 +751,9 @@ def _replay_events(base: Tree, op: DataFrame, life: DataFrame, folds: DataFrame,
                 *ev, F.col("m.keep_id").alias("id"), F.col("m.merge_seq").alias("t"), "pord"
             )
         )
-    participant = (final if final is not None else at.select(*ev, "id", "pord")).groupBy(
+    return (final if final is not None else at.select(*ev, "id", "pord")).groupBy(
         *ev, F.col("id").alias("person_id")
     ).agg(F.min("pord").alias("pord"))
-    return event, person_event, family_event, participant
 
 
 def merge_only(base: Tree, op: DataFrame) -> Tree:

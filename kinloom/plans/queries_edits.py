@@ -158,15 +158,13 @@ def guarded_families(b: Bridge) -> DataFrame:
 @query
 def merged_event_lists(b: Bridge) -> DataFrame:
     """Ordered union of the event lists of people who become one."""
-    _, person_event, _, _ = _run(b, "merge").events
-    return person_event.groupBy("tree_id", "person_id").agg(F.count(F.lit(1)).alias("events"))
+    return _run(b, "merge").person_event.groupBy("tree_id", "person_id").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query
 def merged_event_rows(b: Bridge) -> DataFrame:
     """The lists themselves: the events of each person left, their own first, then those of the merged in the order of the merges."""
-    _, person_event, _, _ = _run(b, "merge").events
-    listed = edits.as_list(person_event, "person_id", "event_id")
+    listed = edits.as_list(_run(b, "merge").person_event, "person_id", "event_id")
     return listed.select("tree_id", "person_id", "event_id", big("ord", "position"))
 
 
@@ -231,7 +229,7 @@ def warning_summary(b: Bridge) -> DataFrame:
 
 @query
 def gedcom_text(b: Bridge) -> DataFrame:
-    return sinks.gedcom_lines(b.corpus()).select("tree_id", big("section"), "seq", "text")
+    return sinks.gedcom_lines(b.texts()).select("tree_id", big("section"), "seq", "text")
 
 
 @query

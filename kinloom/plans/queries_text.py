@@ -91,19 +91,19 @@ def places_parsed(b: Bridge) -> DataFrame:
 
 @query
 def place_dimension(b: Bridge) -> DataFrame:
-    return events.place_dimension(b.event()).select(
+    return events.place_dimension(b.placed_event()).select(
         "tree_id", "normalized", "raw", joined("parts", "|"), big("uses")
     )
 
 
 @query
 def interned_places(b: Bridge) -> DataFrame:
-    return b.event().select("event_id", F.col("place.raw").alias("place_raw"))
+    return b.placed_event().select("event_id", F.col("place.raw").alias("place_raw"))
 
 
 @query
 def place_regions(b: Bridge) -> DataFrame:
-    p = b.event().where("place is not null")
+    p = b.placed_event().where("place is not null")
     return p.select("event_id", places.region_of(F.col("place.parts"), F.col("place.raw")).alias("region"))
 
 
@@ -122,7 +122,7 @@ def society_places(b: Bridge) -> DataFrame:
 
 @query
 def place_query_ladder(b: Bridge) -> DataFrame:
-    p = b.event().where("place is not null")
+    p = b.placed_event().where("place is not null")
     ladder = places.query_ladder(F.col("place.parts"), F.col("place.raw"))
     return p.select("event_id", F.posexplode(ladder).alias("rung", "query")).withColumn("rung", big("rung"))
 

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.dates import parse_date
 from kinloom.functions.names import parse_names, parse_sex
-from kinloom.functions.places import parse_place
-from kinloom.operators.events import intern_places
+from kinloom.operators.events import with_places
 from kinloom.operators.lineage import cut
 
 # Individual event tags and their types, tags that are never events,
@@ -179,18 +179,30 @@ def empty_files(spark: SparkSession, path: str, tree_from_folder: bool, heads: D
         F.lit(None).cast("string").alias("context"))
 
 
-def read_lines(records: DataFrame) -> DataFrame:
-    """(tree_id, rec, pos, level, xref, tag, value) with continuation lines folded in."""
+def _split_lines(records: DataFrame) -> DataFrame:
+    """(tree_id, rec, pos, level, xref, tag, value) of every line."""
     lines = records.select(*_REC, F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
         F.trim("line") != ""
     )
     part = lambda n: F.regexp_extract("line", LINE, n)
+    parts = lines.select(*_REC, "pos", *[part(n).alias(f"_{n}") for n in range(1, 5)])
     # A value is absent unless something follows the tag and a space.
-    parsed = lines.select(
-        *_REC, "pos", F.when(part(1) != "", part(1)).cast("int").alias("level"),
-        F.when(part(2) != "", part(2)).alias("xref"), F.upper(part(3)).alias("tag"),
-        F.when(part(4) != "", part(4)).alias("value"),
+    filled = lambda n: F.when(F.col(f"_{n}") != "", F.col(f"_{n}"))
+    return parts.select(
+        *_REC, "pos", filled(1).cast("int").alias("level"), filled(2).alias("xref"), F.upper("_3").alias("tag"), filled(4).alias("value"),
     ).where(F.col("level").isNotNull())
+
+
+def read_lines(records: DataFrame) -> DataFrame:
+    """(tree_id, rec, pos, level, xref, tag, value) with continuation lines folded in.
+
+    Only records that may have some are folded.
+    """
+    may = F.col("text").rlike("(?im)^\\s*\\d+\\s+(?:@[^@]+@\\s+)?CON[CT]\\b")
+    return _split_lines(records.where(~may)).unionByName(_fold_lines(_split_lines(records.where(may))))
+
+
+def _fold_lines(parsed: DataFrame) -> DataFrame:
     cont = F.col("tag").isin("CONT", "CONC")
     run = Window.partitionBy(*_REC).orderBy("pos")
     grouped = parsed.withColumn("_head", F.sum(F.when(cont, 0).otherwise(1)).over(run))
@@ -235,143 +247,198 @@ def parse_corpus(spark: SparkSession, path: str, tree_from_folder: bool = False,
     """Parse all files under ``path``; ``tree_name`` says what a file's tree is called.
 
     ``tree_from_folder`` takes it from a ``tree_id=<id>`` folder instead, whose files follow each other by name.
-    ``bundled`` takes it from the marker before each tree.
+    ``bundled`` takes it from the marker before each tree. The lines are read at once, each table when first asked for.
     """
-    lines, _ = cut(_with_parents(read_lines(read_records(spark, path, tree_from_folder, bundled))))
-    heads = lines.where("level = 0")
-    none = F.array().cast("array<struct<raw:string,source_id:string,page:string>>")
+    return ParsedCorpus(spark, path, tree_from_folder, bundled)
+
+
+def _first(cond: Column, name: str) -> Column:
+    return F.min_by(F.when(cond, F.col("value")), F.when(cond, F.col("pos"))).alias(name)
+
 
-    def records(tag: str) -> DataFrame:
-        own = heads.where(F.col("tag") == tag).select(
+class ParsedCorpus(Corpus):
+    """Tables of parsed files, each made from the lines when it is first asked for: who asks for people parses no events."""
+
+    def __init__(self, spark: SparkSession, path: str, tree_from_folder: bool, bundled: bool) -> None:
+        self._spark, self._path, self._tree_from_folder, self._bundled = spark, path, tree_from_folder, bundled
+        records, _ = cut(read_records(spark, path, tree_from_folder, bundled))
+        self._lines, _ = cut(_with_parents(read_lines(records)))
+        self._heads = self._lines.where("level = 0")
+        self._sub = self._lines.where("level = 1")
+        self._deep = self._lines.where("level = 2").withColumn("up", F.col("top"))
+
+    def _records(self, tag: str) -> DataFrame:
+        own = self._heads.where(F.col("tag") == tag).select(
             *_REC, F.col("xref").alias("external_id"), strip_xref(F.col("xref")).alias("id")
         )
         return own.where("id <> ''")
 
-    def live(tag: str) -> DataFrame:
+    def _live(self, tag: str) -> DataFrame:
         """The last record of each id; its place is that of the first."""
-        return records(tag).groupBy("tree_id", "id").agg(
+        return self._records(tag).groupBy("tree_id", "id").agg(
             F.max("rec").alias("rec"), F.min("rec").alias("seq"), F.max_by("external_id", "rec").alias("external_id")
         )
 
-    indi, fam = live("INDI"), live("FAM")
-    sub = lines.where("level = 1")
-    deep = lines.where("level = 2").withColumn("up", F.col("top"))
-    pages3 = lines.where("level = 3 and tag = 'PAGE'").withColumn("up", F.col("mid"))
-    of_person = sub.join(indi.select("tree_id", "rec", "id"), _REC)
-    of_family = sub.join(fam.select("tree_id", "rec", "id"), _REC)
-
-    # Header
-    head = lines.join(heads.where("tag = 'HEAD'").select(*_REC), _REC, "left_semi")
-    first = lambda cond, name: F.min_by(F.when(cond, F.col("value")), F.when(cond, F.col("pos"))).alias(name)
-    lvl1 = F.col("level") == 1
-    gedc = head.where("level = 1 and tag = 'GEDC'").groupBy(*_REC).agg(F.min("pos").alias("_g"))
-    header = (
-        head.join(gedc, _REC, "left").groupBy("tree_id").agg(
-            first(lvl1 & (F.col("tag") == "SOUR"), "source_system"),
-            first((F.col("level") == 2) & (F.col("tag") == "VERS") & (F.col("top") == F.col("_g")), "gedcom_version"),
-            first(lvl1 & (F.col("tag") == "CHAR"), "charset"),
-            first(lvl1 & (F.col("tag") == "_ROOT"), "root"),
+    @cached_property
+    def _indi(self) -> DataFrame:
+        return cut(self._live("INDI"))[0]
+
+    @cached_property
+    def _fam(self) -> DataFrame:
+        return cut(self._live("FAM"))[0]
+
+    def _of_person(self, lines: DataFrame) -> DataFrame:
+        return lines.join(self._indi.select("tree_id", "rec", "id"), _REC)
+
+    def _of_family(self, lines: DataFrame) -> DataFrame:
+        return lines.join(self._fam.select("tree_id", "rec", "id"), _REC)
+
+    @cached_property
+    def header(self) -> DataFrame:
+        lines = self._lines
+        head = lines.join(self._heads.where("tag = 'HEAD'").select(*_REC), _REC, "left_semi")
+        lvl1 = F.col("level") == 1
+        gedc = head.where("level = 1 and tag = 'GEDC'").groupBy(*_REC).agg(F.min("pos").alias("_g"))
+        return (
+            head.join(gedc, _REC, "left").groupBy("tree_id").agg(
+                _first(lvl1 & (F.col("tag") == "SOUR"), "source_system"),
+                _first((F.col("level") == 2) & (F.col("tag") == "VERS") & (F.col("top") == F.col("_g")), "gedcom_version"),
+                _first(lvl1 & (F.col("tag") == "CHAR"), "charset"),
+                _first(lvl1 & (F.col("tag") == "_ROOT"), "root"),
+            )
+            .withColumn("root_person_id", F.when(F.col("root").isNotNull(), strip_xref(F.col("root")))).drop("root")
         )
-        .withColumn("root_person_id", F.when(F.col("root").isNotNull(), strip_xref(F.col("root")))).drop("root")
-    )
 
-    # Persons
-    tagged = lambda t: F.when(F.col("tag") == t, F.struct(F.col("pos").alias("p"), F.col("value").alias("v")))
-    listed = lambda t: F.sort_array(F.collect_list(tagged(t)))
-    vals = lambda c: F.transform(F.col(c), lambda x: x["v"])
-    facts = of_person.where(F.col("tag").isin("NAME", "SEX", "FAMC", "NOTE")).groupBy("tree_id", "id").agg(
-        listed("NAME").alias("names"), listed("FAMC").alias("famc"), listed("NOTE").alias("notes"),
-        F.min_by(F.when(F.col("tag") == "SEX", F.col("value")), F.when(F.col("tag") == "SEX", F.col("pos"))).alias("sex"),
-    )
-    cited = _sources(
-        of_person.where("tag = 'SOUR'"), deep.where("tag = 'PAGE'"), ["tree_id", "id"], "spos"
-    )
-    raw_names = F.transform(vals("names"), lambda v: F.coalesce(v, F.lit("")))
-    person = indi.join(facts, ["tree_id", "id"], "left").join(cited, ["tree_id", "id"], "left").select(
-        "tree_id", F.col("id").alias("person_id"), "external_id", "seq",
-        parse_names(F.coalesce(raw_names, F.array().cast("array<string>"))).alias("names"),
-        parse_sex(F.col("sex")).alias("sex"),
-        F.when(F.size("famc") > 0, strip_xref(F.col("famc")[0]["v"])).alias("family_id_as_child"),
-        F.coalesce("sources", none).alias("sources"), F.filter(vals("notes"), lambda v: v.isNotNull()).alias("notes"),
-        F.coalesce(F.size("famc"), F.lit(0)).alias("famc_count"),
-    )
-    person, _ = cut(person)
-    person_fams = of_person.where("tag = 'FAMS'").select(
-        "tree_id", F.col("id").alias("person_id"), F.col("pos").alias("ord"), strip_xref(F.col("value")).alias("family_id")
-    )
+    @cached_property
+    def person(self) -> DataFrame:
+        tagged = lambda t: F.when(F.col("tag") == t, F.struct(F.col("pos").alias("p"), F.col("value").alias("v")))
+        listed = lambda t: F.sort_array(F.collect_list(tagged(t)))
+        vals = lambda c: F.transform(F.col(c), lambda x: x["v"])
+        facts = self._of_person(self._sub.where(F.col("tag").isin("NAME", "SEX", "FAMC", "NOTE"))).groupBy("tree_id", "id").agg(
+            listed("NAME").alias("names"), listed("FAMC").alias("famc"), listed("NOTE").alias("notes"),
+            F.min_by(F.when(F.col("tag") == "SEX", F.col("value")), F.when(F.col("tag") == "SEX", F.col("pos"))).alias("sex"),
+        )
+        cited = _sources(
+            self._of_person(self._sub.where("tag = 'SOUR'")), self._deep.where("tag = 'PAGE'"), ["tree_id", "id"], "spos"
+        )
+        raw_names = F.transform(vals("names"), lambda v: F.coalesce(v, F.lit("")))
+        person = self._indi.join(facts, ["tree_id", "id"], "left").join(cited, ["tree_id", "id"], "left").select(
+            "tree_id", F.col("id").alias("person_id"), "external_id", "seq",
+            parse_names(F.coalesce(raw_names, F.array().cast("array<string>"))).alias("names"),
+            parse_sex(F.col("sex")).alias("sex"),
+            F.when(F.size("famc") > 0, strip_xref(F.col("famc")[0]["v"])).alias("family_id_as_child"),
+            F.coalesce("sources", _no_sources()).alias("sources"), F.filter(vals("notes"), lambda v: v.isNotNull()).alias("notes"),
+            F.coalesce(F.size("famc"), F.lit(0)).alias("famc_count"),
+        )
+        return cut(person)[0]
 
-    # Families
-    family = fam.select("tree_id", F.col("id").alias("family_id"), "external_id", "seq")
-    member = lambda tags, key: of_family.where(F.col("tag").isin(tags)).select(
-        "tree_id", F.col("id").alias("family_id"), key.alias("ord"), strip_xref(F.col("value")).alias("person_id")
-    ).where("person_id <> ''")
-    # Husbands come before wives whatever the line order.
-    family_spouse = member(["HUSB", "WIFE"], F.col("pos") + F.when(F.col("tag") == "WIFE", 1 << 24).otherwise(0))
-    family_child = member(["CHIL"], F.col("pos"))
-
-    # Events
-    kind = F.create_map(*[F.lit(x) for kv in EVENT_TAGS.items() for x in kv])
-    hints = deep.where(F.col("tag").isin("DATE", "PLAC", "TYPE")).groupBy(*_REC, F.col("up").alias("pos")).agg(
-        first(F.col("tag") == "DATE", "date_raw"), first(F.col("tag") == "PLAC", "place_raw"),
-        first(F.col("tag") == "TYPE", "type_text"), F.max(F.col("tag").isin("DATE", "PLAC")).alias("has_hint"),
-    )
-    ev_sources = _sources(
-        deep.where("tag = 'SOUR'").withColumn("epos", F.col("up")), pages3, [*_REC, "epos"], "spos"
-    ).withColumnRenamed("epos", "pos")
-    known = F.try_element_at(kind, F.col("tag"))
-    structural = F.col("tag").isin(NOT_EVENTS) | F.col("tag").startswith("_")
-    hinted = of_person.join(hints, [*_REC, "pos"], "left").withColumn(
-        "looks", F.coalesce("has_hint", F.lit(False)) | (F.col("tag") == "EVEN")
-    )
-    own_events = hinted.withColumn(
-        "type", F.when(known.isNotNull(), known).when(~structural & F.col("looks"), "other")
-    ).where("type is not null")
-    fam_kind = F.create_map(*[F.lit(x) for kv in FAMILY_EVENT_TAGS.items() for x in kv])
-    fam_events = of_family.join(hints, [*_REC, "pos"], "left").withColumn(
-        "type", F.try_element_at(fam_kind, F.col("tag"))
-    ).where("type is not null")
-    columns = ["tree_id", "rec", "id", "pos", "tag", "value", "type", "date_raw", "place_raw", "type_text"]
-    every = own_events.select(*columns, F.lit(True).alias("own")).unionByName(
-        fam_events.select(*columns, F.lit(False).alias("own"))
-    )
-    nth = Window.partitionBy("tree_id", "own", "id", "tag").orderBy("pos")
-    # First spelling order over the file: record number, then line.
-    seq = F.col("rec") * F.lit(1 << 22).cast("bigint") + F.col("pos")
-    text = F.coalesce("value", "type_text")
-    event = (
-        every.withColumn("n", F.row_number().over(nth) - 1).join(ev_sources, [*_REC, "pos"], "left")
-        .select(
-            "tree_id", F.concat_ws("-", "id", "tag", F.col("n").cast("string")).alias("event_id"), seq.alias("seq"),
-            "type", F.col("tag").alias("raw_tag"), parse_date(F.col("date_raw")).alias("date"),
-            parse_place(F.col("place_raw")).alias("place"), F.when(text != "", text).alias("description"),
-            F.coalesce("sources", none).alias("sources"), (F.size(F.coalesce("sources", none)) > 0).alias("cited"),
-            F.when(F.col("own"), F.col("id")).alias("owner_id"), F.when(~F.col("own"), F.col("id")).alias("family_id"),
-            F.col("pos").cast("bigint").alias("ord"),
+    @cached_property
+    def person_fams(self) -> DataFrame:
+        return self._of_person(self._sub.where("tag = 'FAMS'")).select(
+            "tree_id", F.col("id").alias("person_id"), F.col("pos").alias("ord"), strip_xref(F.col("value")).alias("family_id")
         )
-    )
-    event, _ = cut(event)
-    event, _ = cut(intern_places(event))
-    person_event = event.where("owner_id is not null").select(
-        "tree_id", F.col("owner_id").alias("person_id"), "ord", "event_id"
-    )
-    family_event = event.where("family_id is not null").select("tree_id", "family_id", "ord", "event_id")
-    participant = event.where("owner_id is not null").select(
-        "tree_id", "event_id", F.col("owner_id").alias("person_id"), F.lit(0).alias("pord")
-    ).unionByName(
-        family_event.join(family_spouse.withColumnRenamed("ord", "pord"), ["tree_id", "family_id"]).select(
-            "tree_id", "event_id", "person_id", "pord"
+
+    @cached_property
+    def family(self) -> DataFrame:
+        return self._fam.select("tree_id", F.col("id").alias("family_id"), "external_id", "seq")
+
+    def _members(self, tags: list[str], key: Column) -> DataFrame:
+        return self._of_family(self._sub.where(F.col("tag").isin(tags))).select(
+            "tree_id", F.col("id").alias("family_id"), key.alias("ord"), strip_xref(F.col("value")).alias("person_id")
+        ).where("person_id <> ''")
+
+    @cached_property
+    def family_spouse(self) -> DataFrame:
+        # Husbands come before wives whatever the line order.
+        return self._members(["HUSB", "WIFE"], F.col("pos") + F.when(F.col("tag") == "WIFE", 1 << 24).otherwise(0))
+
+    @cached_property
+    def family_child(self) -> DataFrame:
+        return self._members(["CHIL"], F.col("pos"))
+
+    @cached_property
+    def _hints(self) -> DataFrame:
+        return self._deep.where(F.col("tag").isin("DATE", "PLAC", "TYPE")).groupBy(*_REC, F.col("up").alias("pos")).agg(
+            _first(F.col("tag") == "DATE", "date_raw"), _first(F.col("tag") == "PLAC", "place_raw"),
+            _first(F.col("tag") == "TYPE", "type_text"), F.max(F.col("tag").isin("DATE", "PLAC")).alias("has_hint"),
         )
-    )
 
-    # Notes come from few lines; the others are left out before any join.
-    named = of_person_all(sub.where(F.col("tag").isin("NAME", "FAMC")), records("INDI"))
-    notes = _parse_notes(heads, named, of_person_all(sub, records("INDI")), hints, known, structural)
-    dangling = reference_warnings(person, person_fams, family, family_spouse, family_child).unionByName(
-        empty_files(spark, path, tree_from_folder, heads.select("tree_id", "tag"), bundled))
-    return Corpus(
-        header, person, person_fams, family, family_spouse, family_child, event, person_event, family_event,
-        participant, notes.unionByName(dangling),
-    )
+    @cached_property
+    def event(self) -> DataFrame:
+        pages3 = self._lines.where("level = 3 and tag = 'PAGE'").withColumn("up", F.col("mid"))
+        ev_sources = _sources(
+            self._deep.where("tag = 'SOUR'").withColumn("epos", F.col("up")), pages3, [*_REC, "epos"], "spos"
+        ).withColumnRenamed("epos", "pos")
+        hinted = self._of_person(self._sub).join(self._hints, [*_REC, "pos"], "left").withColumn(
+            "looks", F.coalesce("has_hint", F.lit(False)) | (F.col("tag") == "EVEN")
+        )
+        own_events = hinted.withColumn(
+            "type", F.when(_known().isNotNull(), _known()).when(~_structural() & F.col("looks"), "other")
+        ).where("type is not null")
+        fam_kind = F.create_map(*[F.lit(x) for kv in FAMILY_EVENT_TAGS.items() for x in kv])
+        fam_events = self._of_family(self._sub).join(self._hints, [*_REC, "pos"], "left").withColumn(
+            "type", F.try_element_at(fam_kind, F.col("tag"))
+        ).where("type is not null")
+        columns = ["tree_id", "rec", "id", "pos", "tag", "value", "type", "date_raw", "place_raw", "type_text"]
+        every = own_events.select(*columns, F.lit(True).alias("own")).unionByName(
+            fam_events.select(*columns, F.lit(False).alias("own"))
+        )
+        nth = Window.partitionBy("tree_id", "own", "id", "tag").orderBy("pos")
+        # First spelling order over the file: record number, then line.
+        seq = F.col("rec") * F.lit(1 << 22).cast("bigint") + F.col("pos")
+        text = F.coalesce("value", "type_text")
+        event = (
+            every.withColumn("n", F.row_number().over(nth) - 1).join(ev_sources, [*_REC, "pos"], "left")
+            .select(
+                "tree_id", F.concat_ws("-", "id", "tag", F.col("n").cast("string")).alias("event_id"), seq.alias("seq"),
+                "type", F.col("tag").alias("raw_tag"), parse_date(F.col("date_raw")).alias("date"), "place_raw",
+                F.when(text != "", text).alias("description"),
+                F.coalesce("sources", _no_sources()).alias("sources"), (F.size(F.coalesce("sources", _no_sources())) > 0).alias("cited"),
+                F.when(F.col("own"), F.col("id")).alias("owner_id"), F.when(~F.col("own"), F.col("id")).alias("family_id"),
+                F.col("pos").cast("bigint").alias("ord"),
+            )
+        )
+        return cut(with_places(cut(event)[0]).drop("place_raw"))[0]
+
+    @cached_property
+    def person_event(self) -> DataFrame:
+        return self.event.where("owner_id is not null").select("tree_id", F.col("owner_id").alias("person_id"), "ord", "event_id")
+
+    @cached_property
+    def family_event(self) -> DataFrame:
+        return self.event.where("family_id is not null").select("tree_id", "family_id", "ord", "event_id")
+
+    @cached_property
+    def event_participant(self) -> DataFrame:
+        return self.event.where("owner_id is not null").select(
+            "tree_id", "event_id", F.col("owner_id").alias("person_id"), F.lit(0).alias("pord")
+        ).unionByName(
+            self.family_event.join(self.family_spouse.withColumnRenamed("ord", "pord"), ["tree_id", "family_id"]).select(
+                "tree_id", "event_id", "person_id", "pord"
+            )
+        )
+
+    @cached_property
+    def warning(self) -> DataFrame:
+        # Notes come from few lines; the others are left out before any join.
+        indi = self._records("INDI")
+        named = of_person_all(self._sub.where(F.col("tag").isin("NAME", "FAMC")), indi)
+        notes = _parse_notes(self._heads, named, of_person_all(self._sub, indi), self._hints, _known(), _structural())
+        dangling = reference_warnings(self.person, self.person_fams, self.family, self.family_spouse, self.family_child).unionByName(
+            empty_files(self._spark, self._path, self._tree_from_folder, self._heads.select("tree_id", "tag"), self._bundled))
+        return notes.unionByName(dangling)
+
+
+def _no_sources() -> Column:
+    return F.array().cast("array<struct<raw:string,source_id:string,page:string>>")
+
+
+def _known() -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_TAGS.items() for x in kv]), F.col("tag"))
+
+
+def _structural() -> Column:
+    return F.col("tag").isin(NOT_EVENTS) | F.col("tag").startswith("_")
 
 
 def of_person_all(sub: DataFrame, records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kinloom.functions.text import trim
+from kinloom.operators.lineage import cut
 
 FORMAT = "kinloom/model"
 SOURCE_SYSTEM = "kinloom"
@@ -168,6 +169,7 @@ def write_bundles(corpus, path: str, files: int = 256) -> None:
 
 def write_marked(lines: DataFrame, path: str, files: int = 256) -> None:
     """Write ``lines(tree_id, section, seq, block, ord, pos, text)`` as ``write_bundles`` does."""
+    lines, _ = cut(lines)  # the range bounds and the markers are taken from the rows, not from another run of what makes them
     zero = F.lit(0)
     marks = lines.select("tree_id").distinct().select(
         "tree_id", F.lit(_MARK).alias("section"), zero.cast("bigint").alias("seq"), zero.alias("block"), zero.cast("bigint").alias("ord"),
