@@ -18,7 +18,7 @@ depth of merge chains only.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +92,8 @@ def lifecycles(person: DataFrame, op: DataFrame) -> DataFrame:
 
     ``to_seq`` is FAR for people that still exist. A merge counts when both ids
     exist at its moment. Each round decides every merge not preceded by another
-    undecided merge of the same people; the earliest one is always decided.
+    undecided merge of the same people; the earliest one is always decided. It looks
+    only at the people whom undecided merges name; the others are settled.
     """
     adds, _ = cut(
         person.select("tree_id", F.col("person_id").alias("id"), F.lit(-1).cast("bigint").alias("seq")).unionByName(
@@ -103,9 +104,17 @@ def lifecycles(person: DataFrame, op: DataFrame) -> DataFrame:
         "tree_id", "seq", "keep_id", "merge_id"
     )
     todo, metrics = cut(merges)
+    later = adds.where("seq >= 0")
     alive = adds.groupBy(*_ID).agg(F.min("seq").alias("from_seq"))
     closed: DataFrame | None = None
+    settled: list[DataFrame] = []
     while metrics["rows"]:
+        asked = todo.select("tree_id", F.col("keep_id").alias("id")).unionByName(
+            todo.select("tree_id", F.col("merge_id").alias("id"))
+        ).distinct().withColumn("_asked", F.lit(True))
+        alive, _ = cut(alive.join(asked, _ID, "left"))
+        settled.append(alive.where(F.col("_asked").isNull()).drop("_asked"))
+        alive = alive.where("_asked").drop("_asked")
         doomed = todo.withColumnRenamed("merge_id", "id").join(alive, _ID).where(
             F.col("seq") > F.col("from_seq")
         ).groupBy(*_ID).agg(F.min("seq").alias("first_end"))
@@ -139,14 +148,12 @@ def lifecycles(person: DataFrame, op: DataFrame) -> DataFrame:
             ).join(state.select(*_ID, "from_seq"), _ID)
         )
         closed = ended if closed is None else closed.unionByName(ended)
-        again = ended.join(adds, _ID).where(F.col("seq") > F.col("to_seq")).groupBy(*_ID).agg(
+        again = ended.join(later, _ID).where(F.col("seq") > F.col("to_seq")).groupBy(*_ID).agg(
             F.min("seq").alias("from_seq")
         )
-        alive, _ = cut(
-            state.select(*_ID, "from_seq").join(ended.select(*_ID), _ID, "left_anti").unionByName(again)
-        )
+        alive = state.select(*_ID, "from_seq").join(ended.select(*_ID), _ID, "left_anti").unionByName(again)
         todo, metrics = cut(named.where(~dead & ~both).select("tree_id", "seq", "keep_id", "merge_id"))
-    living = alive.select(
+    living = reduce(DataFrame.unionByName, settled, alive).select(
         *_ID, "from_seq", F.lit(FAR).cast("bigint").alias("to_seq"), F.lit(None).cast("string").alias("into_id")
     )
     return cut(living if closed is None else living.unionByName(closed.select(*living.columns)))[0]
@@ -249,11 +256,10 @@ def follow_tokens(
     ``prefix_key``, with the merge moment put in front.
     """
     where = ["tree_id", "family_id", "id"]
-    tokens, metrics = cut(tokens)
+    numbered = lambda df: cut(df.withColumn("_n", F.monotonically_increasing_id()))
+    cur, metrics = numbered(tokens)
     done: DataFrame | None = None
     while metrics["rows"]:
-        cur = tokens.withColumn("_n", F.monotonically_increasing_id())
-        cur, _ = cut(cur)
         ends = cur.select(*where, "_n", "t").join(removals, where).where(F.col("seq") > F.col("t")).select("_n", "seq")
         if clears is not None:
             ends = ends.unionByName(
@@ -269,13 +275,13 @@ def follow_tokens(
         spans = full.select(*where, "t", F.least(removed, merge_at).alias("e"), "key")
         done = spans if done is None else done.unionByName(spans)
         key = F.concat(F.array("m.merge_seq"), "key") if prefix_key else F.col("key")
-        tokens, metrics = cut(
+        cur, metrics = numbered(
             full.where((merge_at < FAR) & (merge_at < removed)).select(
                 "tree_id", "family_id", F.col("m.keep_id").alias("id"), F.col("m.merge_seq").alias("t"), key.alias("key")
             )
         )
     # An interval that was cleared at its own first moment never existed.
-    return tokens if done is None else cut(done.where(F.col("e") > F.col("t")))[0]
+    return tokens.select(*where, "t", F.lit(FAR).alias("e"), "key") if done is None else cut(done.where(F.col("e") > F.col("t")))[0]
 
 
 def _present(spans: DataFrame) -> DataFrame:
@@ -388,9 +394,12 @@ def _famc(base: Tree, links: DataFrame, unlinked: DataFrame, life: DataFrame, fo
 class Replay:
     """Parts of a replay, each computed once when first asked for."""
 
-    def __init__(self, base: Tree, op: DataFrame) -> None:
+    def __init__(self, base: Tree, op: DataFrame, life: DataFrame | None = None) -> None:
+        """``life``: the lifecycles, where they are known from a log with the same people and merges."""
         self.base = base
         self.op = cut(op)[0]
+        if life is not None:
+            self.life = life
 
     @cached_property
     def life(self) -> DataFrame:

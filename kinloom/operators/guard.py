@@ -32,6 +32,7 @@ from kinloom.operators.lineage import cut
 BASE = -1  # origin of what the tree had before all edits
 _LINK = ["tree_id", "seq"]
 _TOKEN = ["tree_id", "family_id", "key"]
+WIDE = 100_000  # frontier rows from which on each level is written
 
 
 def proposals(op: DataFrame, life: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def loops(edges: DataFrame, asked: DataFrame) -> DataFrame:
     seen, found = frontier, None
     while metrics["rows"]:
         level = frontier
-        for _ in range(2):
+        for _ in range(1 if metrics["rows"] > WIDE else 2):  # the first of two levels is made twice
             step = level.join(edges.withColumnRenamed("child_id", "node"), ["tree_id", "node"]).where((F.col("f") < F.col("seq")) & (F.col("seq") < F.col("u")))
             up = step.select(*_LINK, "goal", F.col("parent_id").alias("node")).distinct()
             level = up if level is frontier else level.unionByName(up).distinct()
@@ -194,6 +195,12 @@ def blocked_links(base: Tree, op: DataFrame) -> DataFrame:
     return full.select(*_LINK, message.alias("message"))
 
 
+def lawful_replay(base: Tree, op: DataFrame) -> Replay:
+    """The log replayed without the links that are refused; who exists when does not depend on links."""
+    moments = Moments(base, op)
+    return Replay(base, without_op(op, _refused(moments, op)), moments.life)
+
+
 def lawful_log(base: Tree, op: DataFrame) -> DataFrame:
     """The log without the links that are refused."""
     return without_op(op, refused_links(base, op))

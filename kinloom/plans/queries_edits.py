@@ -150,7 +150,7 @@ def links_let_through(b: Bridge) -> DataFrame:
 @query
 def guarded_families(b: Bridge) -> DataFrame:
     """Who belongs to which family after the whole log, refused links left out."""
-    run = edits.Replay(b.tree(), guard.lawful_log(b.tree(), _link_log(b)))
+    run = guard.lawful_replay(b.tree(), _link_log(b))
     tag = lambda df, role: df.select("tree_id", "family_id", "person_id", F.lit(role).alias("role"))
     return tag(edits._members(run.spouse_spans), "spouse").unionByName(tag(edits._members(run.child_spans), "child"))
 
