@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.operators import blocks
 from kinloom.operators.closure import HOPS, first_trails, looping_people, path_counts, upward_trails
 from kinloom.operators.first_paths import first_paths, loop_trees
 from kinloom.operators.lineage import cut
@@ -66,8 +67,28 @@ def relationship_paths(parents: DataFrame, pairs: DataFrame, first: int | None)
     With ``first`` no path beyond them is built, and the count (a decimal) adds up pairs of
     people; trees with an ancestry loop are listed whole all the same.
     """
+    odd, plain, asked, told = _by_order(parents, pairs)
     if first is None:
-        return _every_path(parents, pairs)
+        found = blocks.every_path(plain, asked)
+        return found if not told else found.unionByName(_every_path(*odd))
+    ready, nodes, wide, many = blocks.parted(plain, asked)
+    found = blocks.some_paths(ready, nodes, plain, first)
+    for rest in ([(plain, wide)] if many else []) + ([odd] if told else []):
+        found = found.unionByName(_first_by_joins(*rest, first))
+    return found
+
+
+def _by_order(parents: DataFrame, pairs: DataFrame) -> tuple[tuple[DataFrame, DataFrame], DataFrame, DataFrame, int]:
+    """Links and pairs of trees that do not tell the order of parents and children, and those of all others; the number of the former."""
+    tied, size = cut(blocks.tied_trees(parents))
+    if not size["rows"]:
+        return (parents, pairs), parents, pairs, 0
+    split = lambda how: tuple(x.join(tied, "tree_id", how) for x in (parents, pairs))
+    return split("left_semi"), *split("left_anti"), size["rows"]
+
+
+def _first_by_joins(parents: DataFrame, pairs: DataFrame, first: int) -> DataFrame:
+    """The first paths by joins over pairs of people: for people with very many ancestors, and trees without an order."""
     keys = ["tree_id", "from_id", "to_id"]
     looping = loop_trees(parents)
     found, count = first_paths(parents.join(looping, "tree_id", "left_anti"), pairs.join(looping, "tree_id", "left_anti"), first)
@@ -76,7 +97,7 @@ def relationship_paths(parents: DataFrame, pairs: DataFrame, first: int | None)
 
 
 def _every_path(parents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All paths, numbered, and how many there are."""
+    """All paths by joins, numbered, and how many there are; for trees where positions are tied."""
     keys = ["tree_id", "from_id", "to_id"]
     met, _ = cut(met_paths(parents, pairs))
     numbered = met.withColumn("path_no", F.row_number().over(Window.partitionBy(*keys).orderBy("path_key")))
@@ -147,6 +168,39 @@ def path_highlights(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def highlights(parents: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``path_highlights`` of all paths of the asked pairs; where nobody has very many ancestors, no path is listed."""
+    ids = ["tree_id", "from_id", "to_id"]
+    asked, nodes, wide, many = blocks.parted(parents, pairs)
+    hops = blocks.hops_on_paths(asked, nodes, parents)
+    # the hops of a pair come out of one task, one after the other
+    met = hops.select(*ids, F.explode(F.array("a", "b")).alias("person_id")).distinct()
+    text = lambda x, y: F.concat(F.lit("parentOf:"), F.col(x), F.lit("->"), F.col(y))
+    edges = hops.select(*ids, F.explode(F.array(text("a", "b"), text("b", "a"))).alias("edge_key"))
+    if many:
+        more = path_highlights(met_paths(parents, wide))
+        met, edges = met.unionByName(more[0]), edges.unionByName(more[1])
+    return met, edges
+
+
+def names_on_paths(parents: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``path_listing`` of all paths of the asked pairs: paths are named where they are made."""
+    odd, plain, asked, told = _by_order(parents, pairs)
+    found = _listing(blocks.every_path(plain, asked, names).withColumn("chain", F.array_join("steps", " → ")))
+    return found if not told else found.unionByName(path_listing(_every_path(*odd), names))
+
+
+def _listing(paths: DataFrame) -> DataFrame:
+    plural = F.when(F.col("length") == 1, "").otherwise("s")
+    return paths.select(
+        "tree_id", "from_id", "to_id", "path_no",
+        F.concat(
+            F.lit("#"), F.col("path_no").cast("string"), F.lit(" ("), F.col("length").cast("string"),
+            F.lit(" step"), plural, F.lit("): "), "chain",
+        ).alias("listing"),
+    )
+
+
 def path_listing(paths: DataFrame, names: DataFrame) -> DataFrame:
     """``#n (k steps): A → B → C`` per path; ``names(tree_id, person_id, name)``.
 
@@ -159,12 +213,5 @@ def path_listing(paths: DataFrame, names: DataFrame) -> DataFrame:
     shown = F.sort_array(F.collect_list(F.coalesce("name", "person_id"))).alias("shown")
     labels = known.groupBy(*pair, "person_id").agg(shown).groupBy(*pair).agg(
         F.map_from_entries(F.collect_list(F.struct("person_id", "shown"))).alias("labels"))
-    plural = F.when(F.col("length") == 1, "").otherwise("s")
     chain = F.array_join(F.flatten(F.transform("steps", lambda s: F.try_element_at("labels", s))), " → ")
-    return paths.join(labels, pair).select(
-        *pair, "path_no",
-        F.concat(
-            F.lit("#"), F.col("path_no").cast("string"), F.lit(" ("), F.col("length").cast("string"),
-            F.lit(" step"), plural, F.lit("): "), chain,
-        ).alias("listing"),
-    )
+    return _listing(paths.join(labels, pair).withColumn("chain", chain))

@@ -149,17 +149,17 @@ def first_relationship_paths(b: Bridge) -> DataFrame:
 
 @query
 def path_listing(b: Bridge) -> DataFrame:
-    return paths.path_listing(_pair_paths(b), b.names()).withColumn("path_no", big("path_no"))
+    return paths.names_on_paths(b.parents(), b.pairs(), b.names()).withColumn("path_no", big("path_no"))
 
 
 @query
 def highlighted_people(b: Bridge) -> DataFrame:
-    return paths.path_highlights(paths.met_paths(b.parents(), b.pairs()))[0]
+    return paths.highlights(b.parents(), b.pairs())[0]
 
 
 @query
 def highlighted_edges(b: Bridge) -> DataFrame:
-    return paths.path_highlights(paths.met_paths(b.parents(), b.pairs()))[1]
+    return paths.highlights(b.parents(), b.pairs())[1]
 
 
 @query
