@@ -34,11 +34,12 @@ def scratch_root(spark: SparkSession) -> str:
 def cut(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
     """Write ``df``, return the re-read table and its observed metrics.
 
+    Tables pile up until the folder is cleaned, so they are packed tightly.
     ``rows`` is always measured as part of the write, so that loops need no
     extra job to learn whether they are done.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/kinloom-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get

@@ -183,12 +183,12 @@ TABLES = ["header", "person", "person_fams", "family", "family_spouse", "family_
 
 
 def write_model_json(corpus, path: str) -> None:
-    """Lossless dump: one JSON-lines folder per entity, stamped with format and version, and the layout of each."""
+    """Lossless dump: one folder of gzipped JSON lines per entity, stamped with format and version, and the layout of each."""
     layouts = []
     for name in TABLES:
         table = getattr(corpus, name)
         layouts.append((name, table.schema.json(), FORMAT, VERSION))
-        table.withColumn("format", F.lit(FORMAT)).withColumn("version", F.lit(VERSION)).write.json(f"{path}/{name}")
+        table.withColumn("format", F.lit(FORMAT)).withColumn("version", F.lit(VERSION)).write.option("compression", "gzip").json(f"{path}/{name}")
     corpus.person.sparkSession.createDataFrame(layouts, "name string, layout string, format string, version int").coalesce(1).write.json(
         f"{path}/layouts")
 
