@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from kinloom.operators.lineage import cut
 
 PAIRS = 128  # pairs of a block, at most
+FOCALS = 256  # focal people of a block, at most
 LARGE = 2048  # people above a block from which on sums over pairs of them are left to joins
 LEVELS = 4  # levels planned per job
 CLIMBS = 1024  # climbs of a person that are listed at once
@@ -36,6 +37,7 @@ _PAIR = ["tree_id", "from_id", "to_id"]
 _LINK, _NAME, _ASKED = 0, 1, 2
 PATHS = "tree_id string, from_id string, to_id string, path_no int, length int, steps array<string>, apex_id string, path_count bigint"
 FIRST = PATHS.replace("bigint", "decimal(38,0)")
+CLIMB = "tree_id string, focal_id string, person_id string, min_depth int"
 HOPS = "tree_id string, from_id string, to_id string, a string, b string"
 
 
@@ -503,3 +505,39 @@ def some_paths(asked: DataFrame, nodes: DataFrame, parents: DataFrame, first: in
 def hops_on_paths(asked: DataFrame, nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """(tree_id, from_id, to_id, a, b): the links on the paths of pairs in blocks, each once."""
     return _sent(asked, nodes, parents).mapInArrow(_list_hops, HOPS)
+
+
+def _list_ancestors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for tree, block, pairs in _blocks(batches):
+        ids, parts, rows = pa.array(block.ids, pa.string()), [], 0
+        up = [[x[2] for x in some] for some in block.up]
+        for n, (focal, _) in enumerate(pairs, 1):
+            depth, level, far = {focal: 0}, [focal], 0
+            while level:
+                far, above_ = far + 1, []
+                for who in level:
+                    for parent in up[who]:
+                        if parent not in depth:
+                            depth[parent] = far
+                            above_.append(parent)
+                level = above_
+            del depth[focal]
+            parts.append((focal, list(depth), list(depth.values())))
+            rows += len(depth)
+            if rows and (rows >= ROWS or n == len(pairs)):
+                flat = lambda i: pa.array(np.concatenate([np.array(p[i], dtype=np.int32) for p in parts]))
+                focals = pa.array(np.repeat(np.array([p[0] for p in parts], dtype=np.int32), [len(p[1]) for p in parts]))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(tree, pa.string()), rows), ids.take(focals), ids.take(flat(1)), flat(2)],
+                                                 names=["tree_id", "focal_id", "person_id", "min_depth"])
+                parts, rows = [], 0
+
+
+def ancestors(parents: DataFrame, focals: DataFrame) -> DataFrame:
+    """The upward ``closure`` (tree_id, focal_id, person_id, min_depth) of focal people, block by block: what is joined level by
+    level are the people above a block, not those above each focal."""
+    links, zero = parents.select("tree_id", "parent_id", "child_id").distinct(), F.lit(0)
+    who = F.col("focal_id")
+    asked = focals.where("tree_id is not null and focal_id is not null").select("tree_id", who.alias("from_id"), who.alias("to_id")).distinct()
+    asked = dealt(asked, FOCALS)
+    nodes = above(links, asked, ["from_id"])
+    return _sent(asked, nodes, links.select("*", zero.alias("fseq"), zero.alias("pord"), zero.alias("cord"))).mapInArrow(_list_ancestors, CLIMB)

@@ -1,11 +1,10 @@
 """Closures kept up to date while links come and go.
 
-A batch of link changes touches few of the (focal, ancestor) pairs of a large corpus.
-Pairs whose shortest line may have used a removed link are taken back and found again
-from the pairs that stand (delete and rederive); new links start lines from the pairs
-that end in them (semi-naive insertion). Only pairs that have just become shorter are
-followed in a round, so the work grows with what a batch changes. Loops do no harm: a
-pair is followed again only if its distance falls.
+A focal's ancestors, or their distances, can only change if a changed link begins at the focal or at
+one of the ancestors before the change: the first changed link of a line is reached over links
+that stood before. Pairs of all other focals stand as they are. The lines of those touched are
+walked again over the links after the change, block by block (``blocks.ancestors``), in as many jobs
+as there are generations by four, however many rounds of changes lie on top of each other. Loops do no harm.
 """
 
 from __future__ import annotations
@@ -13,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.operators.blocks import ancestors
 from kinloom.operators.lineage import cut
 
-ROUNDS_PER_JOB = 3
 _LINK = ["tree_id", "parent_id", "child_id"]
 _PAIR = ["tree_id", "focal_id", "person_id"]
 
@@ -26,23 +25,11 @@ def link_changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFr
     return new.join(old, _LINK, "left_anti"), old.join(new, _LINK, "left_anti")
 
 
-def doubtful_pairs(closed: DataFrame, removed: DataFrame) -> DataFrame:
-    """Pairs with a shortest line through a removed link. A pair beside them keeps a line of its length."""
-    below = _and_self(closed, removed.select("tree_id", F.col("child_id").alias("person_id"))).select(
-        "tree_id", "focal_id", F.col("person_id").alias("child_id"), F.col("min_depth").alias("to_child"))
-    up = _and_self(closed, removed.select("tree_id", F.col("parent_id").alias("focal_id")), end="focal_id").select(
-        "tree_id", F.col("focal_id").alias("parent_id"), "person_id", F.col("min_depth").alias("from_parent"))
-    through = removed.join(below, ["tree_id", "child_id"]).join(up, ["tree_id", "parent_id"]).select(
-        *_PAIR, (F.col("to_child") + 1 + F.col("from_parent")).alias("min_depth")).distinct()
-    return closed.join(through, [*_PAIR, "min_depth"], "left_semi").select(*_PAIR)
-
-
-def _and_self(closed: DataFrame, people: DataFrame, end: str = "person_id") -> DataFrame:
-    """Pairs that end (or begin) at some people, and those people with themselves at depth 0."""
-    people = people.distinct()
-    own = people.select(
-        "tree_id", F.col(end).alias("focal_id"), F.col(end).alias("person_id"), F.lit(0).alias("min_depth"))
-    return closed.select(*_PAIR, "min_depth").join(people, ["tree_id", end], "left_semi").unionByName(own)
+def touched_focals(closed: DataFrame, changed: DataFrame) -> DataFrame:
+    """(tree_id, focal_id) of those at or below the child of a changed link."""
+    ends = changed.select("tree_id", F.col("child_id").alias("person_id")).where("tree_id is not null and person_id is not null").distinct()
+    below = closed.join(ends, ["tree_id", "person_id"], "left_semi").select("tree_id", "focal_id")
+    return below.unionByName(ends.withColumnRenamed("person_id", "focal_id")).distinct()
 
 
 def maintained(closed: DataFrame, links: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
@@ -52,67 +39,9 @@ def maintained(closed: DataFrame, links: DataFrame, added: DataFrame, removed: D
     the batch, ``added`` and ``removed`` (tree_id, parent_id, child_id) what changed. The
     outcome is that of ``closure`` over ``links``.
     """
-    links, _ = cut(links.select(*_LINK).distinct())
-    added, new_links = cut(added.select(*_LINK).distinct())
-    removed, lost_links = cut(removed.select(*_LINK).distinct())
     closed = closed.select(*_PAIR, F.col("min_depth").cast("int").alias("min_depth"))
-    standing, starts = closed, None
-    if lost_links["rows"]:
-        doubtful, _ = cut(doubtful_pairs(closed, removed))
-        standing, _ = cut(closed.join(doubtful, _PAIR, "left_anti"))
-        starts = _found_again(standing, links, doubtful)
-    if new_links["rows"]:
-        ends = _and_self(standing, added.select("tree_id", F.col("child_id").alias("person_id")))
-        begun = _follow(ends, added)
-        starts = begun if starts is None else starts.unionByName(begun)
-    if starts is None:
-        return standing
-    return _relaxed(standing, links, starts)
-
-
-def _follow(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs one link further up."""
-    step = links.select("tree_id", F.col("child_id").alias("person_id"), "parent_id")
-    return pairs.join(step, ["tree_id", "person_id"]).where("focal_id <> parent_id").select(
-        "tree_id", "focal_id", F.col("parent_id").alias("person_id"), (F.col("min_depth") + 1).alias("min_depth"))
-
-
-def _found_again(standing: DataFrame, links: DataFrame, doubtful: DataFrame) -> DataFrame:
-    """Doubtful pairs that are one link above a standing pair or above their focal."""
-    asked = doubtful.join(links.withColumnRenamed("parent_id", "person_id"), ["tree_id", "person_id"])
-    near = asked.where("child_id = focal_id").select(*_PAIR, F.lit(1).alias("min_depth"))
-    below = standing.select("tree_id", "focal_id", F.col("person_id").alias("child_id"), "min_depth")
-    far = asked.join(below, ["tree_id", "focal_id", "child_id"]).select(*_PAIR, (F.col("min_depth") + 1).alias("min_depth"))
-    return near.unionByName(far)
-
-
-def _relaxed(standing: DataFrame, links: DataFrame, starts: DataFrame) -> DataFrame:
-    """Follow pairs that became shorter until none does."""
-    known = standing
-    found: DataFrame | None = None
-    while True:
-        every = starts
-        level = starts
-        for _ in range(ROUNDS_PER_JOB - 1):
-            level = _shorter(_follow(level, links), known)
-            every = every.unionByName(level)
-        fresh, seen = cut(_shorter(every, known))
-        if not seen["rows"]:
-            break
-        found = fresh if found is None else found.unionByName(fresh)
-        best = found.groupBy(*_PAIR).agg(F.min("min_depth").alias("min_depth"))
-        found, _ = cut(best)
-        known = standing.unionByName(found)
-        starts = _follow(fresh, links)
-    if found is None:
-        return standing
-    return standing.join(found.select(*_PAIR), _PAIR, "left_anti").unionByName(found)
-
-
-def _shorter(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The shortest of each pair, if the pair is new or shorter than before."""
-    best = pairs.groupBy(*_PAIR).agg(F.min("min_depth").alias("min_depth"))
-    worse = known.select(*_PAIR, F.col("min_depth").alias("known_depth"))
-    return best.join(worse, [*_PAIR], "left").groupBy(*_PAIR).agg(
-        F.min("min_depth").alias("min_depth"), F.min("known_depth").alias("known_depth")).where(
-        F.col("known_depth").isNull() | (F.col("min_depth") < F.col("known_depth"))).drop("known_depth")
+    touched, size = cut(touched_focals(closed, added.select(*_LINK).unionByName(removed.select(*_LINK))))
+    if not size["rows"]:
+        return closed
+    standing = closed.join(touched, ["tree_id", "focal_id"], "left_anti").select(*closed.columns)
+    return standing.unionByName(ancestors(links, touched))

@@ -139,3 +139,27 @@ def test_places_and_plans_of_lines(spark, monkeypatch, written):
     on_line = research.people_on_line(closure.closure(parents, everybody), lines).localCheckpoint()
     assert got[0] == rows(research.locality_rows(on_line, facts), places)
     assert got[1] == rows(research.markdown_lines(on_line, facts, titles), plan)
+
+
+def test_maintained_closure_in_few_tables(spark, monkeypatch):
+    """Every three generations above a change took two tables more before."""
+    from kinloom.operators import maintain
+
+    trees, _ = _trees(21, 12, 18)
+    trees["LONG"] = [(f"L{i:02}", f"L{i + 1:02}") for i in range(30)]
+    old = table(spark, trees)
+    rng = random.Random(4)
+    after = {t: [e for e in edges if rng.random() < 0.8] + [(edges[0][0], edges[-1][1]), (edges[-1][1], edges[1][0])] for t, edges in trees.items()}
+    after["LONG"] = trees["LONG"][1:] + [("L00", "L05"), ("L00", "NEW")]
+    new = table(spark, {t: sorted({e for e in edges if e[0] != e[1]}) for t, edges in after.items()})
+    who = {(t, x) for part in (trees, after) for t, edges in part.items() for e in edges for x in e}
+    focals = spark.createDataFrame(sorted(who), "tree_id string, focal_id string")
+    closed = closure.closure(old, focals).localCheckpoint()
+    added, removed = maintain.link_changes(old, new)
+    made, real = [], lineage.cut
+    for module in (maintain, blocks):
+        monkeypatch.setattr(module, "cut", lambda df, *m: made.append(1) or real(df, *m))
+    got = Counter(map(tuple, maintain.maintained(closed, new, added, removed).collect()))
+    assert got == Counter(map(tuple, closure.closure(new, focals).select("tree_id", "focal_id", "person_id", "min_depth").collect()))
+    assert len(made) <= 14
+    assert Counter(map(tuple, blocks.ancestors(old, focals).collect())) == Counter(map(tuple, closed.select("tree_id", "focal_id", "person_id", "min_depth").collect()))
